@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash_vptree
+from tidemark.llm import decontam_sa, simhash_vptree
 from tidemark.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in 13-word windows of benchmark items."""
+    out = decontam_sa.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, one_in=20)
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam_sa.digest("items").alias("items_sha256"), "contaminated", "longest", "longest_at")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op7_decontamination": op7_decontamination,
 }
