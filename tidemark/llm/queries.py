@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam_sa, simhash_vptree
+from tidemark.llm import decontam_sa, quality_gam, simhash_vptree
 from tidemark.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document by a model of the labels of two thirds of the ids."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    out = quality_gam.score(docs, quality_gam.train(docs, labels.where(third != 1)))
+    return out.select("doc_id", (third == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in 13-word windows of benchmark items."""
     out = decontam_sa.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, one_in=20)
@@ -24,5 +32,6 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
 }
