@@ -183,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
         return pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
     rows = texts.select("text", "y").mapInArrow(by_batch(one), "x array<double>, y double").limit(4 * max_rows).collect()
+    rows.sort(key=lambda r: (r.y, r.x))  # sums of floats, and so ties between cuts, depend on the order
     return fit(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.y for r in rows]))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam_sa, quality_gam, simhash_vptree
+from tidemark.llm import decontam_sa, line_templates, mixing, quality_gam, simhash_vptree
 from tidemark.llm.common import table
+from tidemark.llm.sql import MIX_DOMAIN, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """Six tenths of all tokens, mixed to the weights in sql.py."""
+    weights = docs.sparkSession.createDataFrame(MIX_WEIGHTS, "domain string, lang string, source string, weight long")
+    return mixing.mix(docs, weights, F.expr(MIX_DOMAIN), F.expr("tokens * 6 div 10"), MIX_EPOCHS, seed=MIX_SEED)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and epochs that fill the token budget of each domain, language and source."""
+    leaf = [F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "domain", *leaf, "epoch")
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines whose template recurs across documents."""
+    out = line_templates.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lines_report.n_lines", "lines_report.n_dropped", "text")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of each document by a model of the labels of two thirds of the ids."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -32,6 +51,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
+    "op5_lines": op5_lines,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
 }

@@ -1,3 +1,80 @@
 """DuckDB SQL with the rows of the queries of the same names."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+_SPACE = r"[^ \t\n\x0B\f\r]+"
+
+
+def line_dedup_sql() -> str:
+    return r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
+), norms AS (
+  SELECT *, regexp_replace(trim(regexp_replace(line, '[ \t\r\f\x0B]+', ' ', 'g')), '[0-9]+', '<*>', 'g') AS norm FROM split
+), toks AS (
+  SELECT *, string_split(norm, ' ') AS t, len(string_split(norm, ' ')) AS n FROM norms
+), named AS (
+  SELECT doc_id, line_no, 2 AS need, norm AS template FROM toks WHERE n >= 4
+  UNION ALL
+  SELECT doc_id, line_no, 3, concat(n, '|', array_to_string(t[1:(2 * n + 4) // 5], ' '), '|', array_to_string(t[n - (7 * n + 19) // 20 + 1:n], ' ')) FROM toks WHERE n >= 8
+), stats AS (
+  SELECT need, template, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM named GROUP BY ALL
+), firsts AS (
+  SELECT s.need, s.template, s.first_doc, min(n.line_no) AS first_line
+  FROM stats s JOIN named n ON n.need = s.need AND n.template = s.template AND n.doc_id = s.first_doc WHERE s.docs >= s.need GROUP BY ALL
+), dropped AS (
+  SELECT DISTINCT n.doc_id, n.line_no FROM named n JOIN firsts f USING (need, template) WHERE n.doc_id <> f.first_doc OR n.line_no <> f.first_line
+), rebuilt AS (
+  SELECT s.doc_id, count(*) AS n_lines, count(d.doc_id) AS n_dropped,
+         coalesce(string_agg(s.line, chr(10) ORDER BY s.line_no) FILTER (WHERE d.doc_id IS NULL), '') AS text
+  FROM split s LEFT JOIN dropped d ON d.doc_id = s.doc_id AND d.line_no = s.line_no GROUP BY s.doc_id
+)
+SELECT o.doc_id, coalesce(r.n_lines, 0)::BIGINT AS n_lines, coalesce(r.n_dropped, 0)::BIGINT AS n_dropped, r.text FROM documents o LEFT JOIN rebuilt r ON r.doc_id = o.doc_id"""
+
+
+def mixing_sql(domain: str, weights: list[tuple], max_epochs: int, seed: int) -> str:
+    """The tree's levels, each filled like the one above, then the seeded prefixes."""
+    quoted = lambda x: "NULL" if x is None else f"'{x}'"
+    values = ", ".join(f"({quoted(d)}, {quoted(g)}, {quoted(s)}, {w})" for d, g, s, w in weights)
+    levels, above, parents = "", "SELECT 0 AS root, (sum(tokens) * 6 // 10)::BIGINT AS budget FROM leaves", ["root"]
+    names = ["domain", "lang", "source"]
+    for depth in (1, 2, 3):
+        own = names[:depth]
+        cols, part = ", ".join(own), ", ".join(parents)
+        given = " AND ".join(f"{c} IS {'NOT ' if c in own else ''}NULL" for c in names)
+        levels += f""", above{depth} AS ({above})
+, nodes{depth} AS (
+  SELECT n.*, coalesce(w.weight, 1) AS weight, a.budget FROM
+    (SELECT 0 AS root, {cols}, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {max_epochs} AS capacity FROM leaves GROUP BY {cols}) n
+  LEFT JOIN (SELECT * FROM weights WHERE {given}) w ON {' AND '.join(f'w.{c} = n.{c}' for c in own)}
+  JOIN above{depth} a ON {' AND '.join(f'a.{c} = n.{c}' for c in parents)}
+), sums{depth} AS (
+  SELECT *, coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_on
+  FROM nodes{depth} WINDOW o AS (PARTITION BY {part} ORDER BY capacity::DOUBLE / weight, {cols})
+), fulls{depth} AS (SELECT *, capacity * weight_on <= weight * (budget - before) AS is_full FROM sums{depth}
+), shares{depth} AS (
+  SELECT *, CASE WHEN is_full THEN capacity ELSE weight * (budget - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER p)
+     // sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER p END AS share FROM fulls{depth} WINDOW p AS (PARTITION BY {part})
+)"""
+        above, parents = f"SELECT {cols}, share AS budget FROM shares{depth}", own
+    return f"""
+WITH small AS (
+  SELECT doc_id, {domain} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{_SPACE}')) AS tokens FROM documents
+), weights(domain, lang, source, weight) AS (VALUES {values}
+), leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM small WHERE tokens > 0 GROUP BY ALL){levels}
+, plan AS (SELECT domain, lang, source, (share // tokens)::BIGINT AS epochs, (share % tokens)::BIGINT AS rest FROM shares3
+), keyed AS (SELECT s.*, p.epochs, p.rest, md5(concat_ws('|', '{seed}', p.epochs, s.doc_id)) AS key FROM small s JOIN plan p USING (domain, lang, source) WHERE s.tokens > 0
+), placed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM keyed
+), taken AS (SELECT *, CASE WHEN upto <= rest THEN epochs ELSE epochs - 1 END AS last FROM placed)
+SELECT doc_id, domain, lang, source, unnest(range(0, last + 1))::BIGINT AS epoch FROM taken WHERE last >= 0"""
+
+
+#: Parameters of op2 as registered: domains are dealt by the source's number.
+MIX_DOMAIN = "CASE coalesce(try_cast(regexp_extract(source, '[0-9]+$', 0) AS INT), 0) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'books' ELSE 'code' END"
+MIX_WEIGHTS = [("web", None, None, 3), ("books", None, None, 5), ("code", None, None, 2), *[(d, g, None, w) for d in ("web", "books", "code") for g, w in (("en", 4), ("de", 3), ("fr", 2), ("es", 3))]]
+MIX_EPOCHS, MIX_SEED = 2, 17
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing_sql(MIX_DOMAIN, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED),
+    "op5_lines": line_dedup_sql(),
+}
