@@ -65,4 +65,4 @@ def test_nulls_repeats_empty_and_zero_weight(spark):
     assert got.columns == ["doc_id", "text", "lang", "source", "domain", "epoch"]
     assert sorted(r.doc_id for r in got.collect()) == [2, 3, 3]
     assert mix(spark, [], [], 10).count() == 0
-    assert tokens(mix(spark, rows[1:2] + rows[4:], [("a", None, None, 0)], 1000, max_epochs=1)) == {("", "", ""): (2, 0)}
+    assert tokens(mix(spark, rows[1:2] + rows[4:], [("a", None, None, 0)], 1000, max_epochs=1)) == {("", None, None): (2, 0)}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam_sa, line_templates, mixing, quality_gam, simhash_vptree
+from tidemark.llm import decontam_sa, license_diagonals, line_templates, mixing, quality_gam, simhash_vptree, url_rules
 from tidemark.llm.common import table
-from tidemark.llm.sql import MIX_DOMAIN, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS
+from tidemark.llm.sql import MIX_DOMAIN, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, OWN_URL_RULES, URL_RULES
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +49,24 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam_sa.digest("items").alias("items_sha256"), "contaminated", "longest", "longest_at")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each page's URL: the contract's rules first, then the method's own."""
+    rules = [(*r, 0) for r in URL_RULES] + [(*r, 1) for r in OWN_URL_RULES]
+    out = url_rules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(rules, "host string, path string, verdict string, tier int"))
+    return out.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("rule")).alias("rule"), "verdict")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and passages of each document."""
+    return license_diagonals.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op5_lines": op5_lines,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
+    "op8_urls": op8_urls,
+    "op10_licenses": op10_licenses,
 }

@@ -74,7 +74,56 @@ MIX_DOMAIN = "CASE coalesce(try_cast(regexp_extract(source, '[0-9]+$', 0) AS INT
 MIX_WEIGHTS = [("web", None, None, 3), ("books", None, None, 5), ("code", None, None, 2), *[(d, g, None, w) for d in ("web", "books", "code") for g, w in (("en", 4), ("de", 3), ("fr", 2), ("es", 3))]]
 MIX_EPOCHS, MIX_SEED = 2, 17
 
+#: Rules of op8: the contract's, and the method's own for pages that none of those fits.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+OWN_URL_RULES = [("spam-farm.example.org", "", "block"), ("cheap-pills.example.com", "", "block")]
+
+
+def url_rules_sql() -> str:
+    rows = [f"('{h}', '{p}', '{v}', 0)" for h, p, v in URL_RULES] + [f"('{h}', '{p}', '{v}', 1)" for h, p, v in OWN_URL_RULES]
+    parts = r"'^(?s:.*?)://([^/?#]*)([^?#]*)'"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH rules(rh, rp, v, tier) AS (VALUES {', '.join(rows)}
+), p AS (
+  SELECT row_number() OVER () AS rid, page_id, translate(coalesce(regexp_extract(url, {parts}, 1), ''), '{upper}', '{lower}') AS host, coalesce(regexp_extract(url, {parts}, 2), '') AS path FROM pages
+), m AS (
+  SELECT p.*, rh || rp AS r, v, tier, row_number() OVER (PARTITION BY rid ORDER BY tier, length(rh || rp) DESC NULLS LAST, length(rh) DESC, v DESC) AS k
+  FROM p LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+)
+SELECT page_id, host, path, CASE WHEN tier = 0 THEN r END AS rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1"""
+
+
+def decontamination_sql(window: int = 13) -> str:
+    """Windows as joined words; longest and longest_at are left to the suffix arrays, so the
+    SQL extends each occurrence word by word through the numbered words of both sides."""
+    words = lambda t: f"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce({words('text')}, []) AS w FROM documents
+), b AS (SELECT item_id, coalesce({words('text')}, []) AS w FROM benchmark
+), windows AS (
+  SELECT item_id, w, s, least({window}, len(w)) AS size, array_to_string(w[s:s + least({window}, len(w)) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {window} + 2, 2))) AS s FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM windows
+), grams AS (
+  SELECT doc_id, p, size, array_to_string(w[p:p + size - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes WHERE len(w) >= size)
+), hits AS (SELECT g.doc_id, g.p, g.size, v.item_id, v.s, v.w AS iw FROM grams g JOIN windows v ON g.size = v.size AND g.gram = v.gram
+), long AS (
+  SELECT h.doc_id, h.p, h.size + coalesce((SELECT min(x) FROM range(0, len(h.iw) - h.s - h.size + 2) t(x) WHERE h.s + h.size + x > len(h.iw) OR d.w[h.p + h.size + x] IS DISTINCT FROM h.iw[h.s + h.size + x]), 0) AS n
+  FROM hits h JOIN d USING (doc_id)
+), best AS (SELECT doc_id, max(n) AS longest FROM long GROUP BY doc_id
+), best_at AS (SELECT l.doc_id, any_value(b.longest) AS longest, min(l.p) - 1 AS longest_at FROM long l JOIN best b ON l.doc_id = b.doc_id AND l.n = b.longest GROUP BY l.doc_id
+), covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS pos FROM hits) GROUP BY doc_id
+), named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items, sha256(coalesce(n.items, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated, coalesce(a.longest, 0)::INT AS longest, a.longest_at::INT AS longest_at
+FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id LEFT JOIN best_at a ON a.doc_id = d.doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing_sql(MIX_DOMAIN, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED),
     "op5_lines": line_dedup_sql(),
+    "op7_decontamination": decontamination_sql(),
+    "op8_urls": url_rules_sql(),
 }
