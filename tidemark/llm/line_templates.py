@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import checkpointed, stored
 
 
 def templates(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8) -> DataFrame:
@@ -49,7 +49,8 @@ def dropped_lines(found: DataFrame, min_docs: int = 2, general_docs: int = 3) ->
     rows = found.select("row_key", "doc_id", "line_no", each.alias("t")).select("row_key", "doc_id", "line_no", "t.need", "t.template").where("template is not null")
     by_doc = rows.groupBy("need", "template", "doc_id").agg(F.min("line_no").alias("line_no"))
     stats = by_doc.groupBy("need", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    recurring = stats.where("docs >= need").select("need", "template", "first")
+    # Written, so that the join deals out its rows anew and a hot template can be split.
+    recurring = checkpointed(stats.where("docs >= need").select("need", "template", "first"))
     later = rows.join(recurring, ["need", "template"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     return later.groupBy("row_key").agg(F.collect_set("line_no").alias("dropped"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam_sa, license_diagonals, line_templates, mixing, quality_gam, simhash_vptree, url_rules
+from tidemark.llm import decontam_sa, langid_crf, license_diagonals, line_templates, mixing, pii_crf, quality_gam, simhash_vptree, url_rules
 from tidemark.llm.common import table
 from tidemark.llm.sql import MIX_DOMAIN, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, OWN_URL_RULES, URL_RULES
 
@@ -28,6 +28,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "domain", *leaf, "epoch")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of each document, counted and hashed, and all spans."""
+    out = pii_crf.find(table(spark, sf_dir, "documents"), pii_crf.train())
+    of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of(kind) for kind in pii_crf.BASE_KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii_crf.joined("base"), 256).alias("base_sha256"), pii_crf.joined("concat(base, added)").alias("spans"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by a model of four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5
+    out = langid_crf.predict(docs, langid_crf.train(docs.where(fifth != 0)))
+    return out.select("doc_id", (fifth == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the lines whose template recurs across documents."""
     out = line_templates.dedup_lines(table(spark, sf_dir, "documents"))
@@ -64,6 +80,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
+    "op4_language": op4_language,
     "op5_lines": op5_lines,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
