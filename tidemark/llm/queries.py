@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam_sa, langid_crf, license_diagonals, line_templates, mixing, pii_crf, quality_gam, simhash_vptree, url_rules
+from tidemark.llm import decontam_sa, langid_crf, license_diagonals, line_templates, mixing, pii_crf, quality_gam, robust_rules, simhash_vptree, url_rules
 from tidemark.llm.common import table
 from tidemark.llm.sql import MIX_DOMAIN, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, OWN_URL_RULES, URL_RULES
 
@@ -72,6 +72,12 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("rule")).alias("rule"), "verdict")
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each document, the base rules, and the robust outliers of its group."""
+    out = robust_rules.reject(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and passages of each document."""
     return license_diagonals.scan(table(spark, sf_dir, "documents"))
@@ -86,5 +92,6 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_urls": op8_urls,
+    "op9_rules": op9_rules,
     "op10_licenses": op10_licenses,
 }
