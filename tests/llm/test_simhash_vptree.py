@@ -31,6 +31,7 @@ def fixture_rows():
 def test_matches_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(sv, "SHARD_TARGET", 25)
     monkeypatch.setattr(sv, "SHARD_ROWS", 40)
+    monkeypatch.setattr(sv, "MIN_SHARDS", 1)
     rows = fixture_rows()
     got = sv.simhash_components(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "fingerprint", "component_id").toPandas()
     want = sv.brute_force([r[:2] for r in rows])

@@ -43,10 +43,11 @@ from tidemark.llm.common import by_batch, checkpointed
 
 #: Rows of the sample that fixes the trees' vantage points and radii.
 TREE_SAMPLE = 4096
-#: Fingerprints that one shard should hold, and rows beyond which it is split.
-SHARD_TARGET, SHARD_ROWS = 20_000, 150_000
-#: Shards of one tree at most; later growth goes to the size of the shards and their grid.
-MAX_SHARDS = 1024
+#: Shards of one tree at least and at most. A shard looks partners up by block value, so it
+#: may be large; more shards would only make each query visit more of them.
+MIN_SHARDS, MAX_SHARDS = 16, 1024
+#: Fingerprints beyond which a tree gets more shards, and rows beyond which a shard is split.
+SHARD_TARGET, SHARD_ROWS = 500_000, 2_000_000
 #: 64-bit words of the wide fingerprint that confirms links by similarity.
 WIDE_WORDS = 4
 BLOCKS = 4
@@ -162,7 +163,7 @@ def grow_forest(nodes: DataFrame, total: int) -> list:
     """One tree per block, from a bounded sample in the order of a hash."""
     sample = nodes.select("fp").orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(TREE_SAMPLE).collect()
     fps = np.array([r.fp for r in sample], np.int64)
-    shards = min(MAX_SHARDS, max(1, -(-total // SHARD_TARGET)))
+    shards = min(MAX_SHARDS, max(MIN_SHARDS, -(-total // SHARD_TARGET)))
     return [grow_tree(block(fps, t), shards) for t in range(BLOCKS)]
 
 
@@ -225,12 +226,13 @@ def links(nodes: DataFrame, distance: int, wide_distance: int | None = None) ->
 
     def reached(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = batch.column("fp").to_numpy()
-        found = [(t << 16) | route(forest[t], block(fp, t), slack)[1] for t in range(BLOCKS)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64))], ["shard"])
+        found = [(t << 16) | route(forest[t], block(fp, t), slack)[1].astype(np.int64) for t in range(BLOCKS)]
+        shard, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(n)], ["shard", "n"])
 
     # One row per shard: at most BLOCKS * MAX_SHARDS of them. Its queries include its residents.
-    held = nodes.mapInArrow(by_batch(reached), "shard bigint").groupBy("shard").count().collect()
-    parts = {r.shard: -(-r["count"] // SHARD_ROWS) for r in held}
+    held = nodes.mapInArrow(by_batch(reached), "shard bigint, n bigint").groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    parts = {r.shard: -(-r.n // SHARD_ROWS) for r in held}
 
     def deal(batch: pa.RecordBatch) -> pa.Table:
         fp, node = batch.column("fp").to_numpy(), batch.column("node").to_numpy()
@@ -257,7 +259,9 @@ def links(nodes: DataFrame, distance: int, wide_distance: int | None = None) ->
         tree = int(table.column("cell")[0].as_py() >> 56)
         wide = None
         if wide_distance is not None and len(node):
-            bits = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
+            packed = table.column("wide").chunk(0)  # no nulls, all of one size
+            first = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]
+            bits = np.frombuffer(packed.buffers()[2], np.uint64, len(node) * WIDE_WORDS, int(first)).reshape(len(node), -1)
             wide = (bits[~asks], bits[asks])
         label = shard_links(tree, fp[~asks], fp[asks], distance, wide, wide_distance or 0)
         member = np.concatenate([node[~asks], node[asks]])
