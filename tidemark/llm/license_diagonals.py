@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import checkpointed
 from tidemark.llm.url_rules import LOWER, UPPER
 
 #: Phrases that name a license; all of a phrase's words must follow each other.
@@ -122,7 +123,7 @@ def scan(docs: DataFrame, phrases: list[tuple] = PHRASES, more: list[tuple] = MO
     score is the best cover of a template: 1 for a phrase, less for a changed passage.
     """
     templates = [(t, x, "base") for t, x in phrases] + [(t, x, "phrase") for t, x in more] + [(t, x, "passage") for t, x in passages]
-    found = spans(votes(docs, template_grams(docs.sparkSession, templates)))
+    found = spans(checkpointed(votes(docs, template_grams(docs.sparkSession, templates))))
     base = F.col("kind") == "base"
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     of = found.groupBy(F.col("row_key").alias("_row_key")).agg(
