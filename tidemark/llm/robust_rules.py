@@ -27,7 +27,6 @@ import math
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -43,7 +42,7 @@ DIM = 5
 #: Floor under each statistic's standard deviation.
 FLOOR = 0.15
 #: Squared distances are counted in this many steps to a doubling.
-GRID = 64
+GRID = 16
 
 
 def repeated_words(texts: list[list[bytes]], size: int = WINDOW) -> list[int]:
@@ -161,18 +160,39 @@ def _cell(d2: Column) -> Column:
     return F.floor(F.log2(F.greatest(d2, F.lit(1e-6))) * GRID).cast("int")
 
 
-def _cut(rows: DataFrame, share: float) -> DataFrame:
-    """(estimate, cut): the least cell up to which ``share`` of an estimate's rows lie."""
-    counts = rows.groupBy("estimate", "cell").count()
-    order = W.partitionBy("estimate").orderBy("cell")
-    counts = counts.withColumn("upto", F.sum("count").over(order)).withColumn("all", F.sum("count").over(W.partitionBy("estimate")))
-    return counts.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("estimate").agg(F.min("cell").alias("cut"))
+PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+_MOMENTS = [*(f"s{i}" for i in range(DIM)), *(f"q{i}{j}" for i, j in PAIRS)]
 
 
-def reject(docs: DataFrame, share: float = 0.75, sample: int = 400, least: int = 60, steps: int = 3, p_normal: float = 3.29) -> DataFrame:
+def _cells(sound: DataFrame, params: DataFrame) -> DataFrame:
+    """Number and moments of each estimate's rows by cell, with ``upto`` and ``all`` rows."""
+    x = F.col("x")
+    near = sound.join(params, "estimate").withColumn("cell", _cell(_distance()))
+    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(DIM)] + [F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in PAIRS]
+    cells = near.groupBy("estimate", "cell").agg(F.count("*").alias("n"), *sums)
+    upto = F.sum("n").over(W.partitionBy("estimate").orderBy("cell"))
+    return cells.withColumn("upto", upto).withColumn("all", F.sum("n").over(W.partitionBy("estimate")))
+
+
+def _renewed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Centres and inverse scatters from the moments of the rows below the cut-off."""
+    centres, precisions = [], []
+    for r in batch.to_pylist():
+        mean = np.array([r[f"s{i}"] for i in range(DIM)]) / r["n"]
+        square = np.zeros((DIM, DIM))
+        for i, j in PAIRS:
+            square[i, j] = square[j, i] = r[f"q{i}{j}"] / r["n"]
+        centres.append(mean.tolist())
+        precisions.append(inverse(square - np.outer(mean, mean)).ravel().tolist())
+    vector = pa.list_(pa.float64())
+    return pa.RecordBatch.from_arrays([batch.column("estimate"), pa.array(centres, vector), pa.array(precisions, vector)], ["estimate", "centre", "precision"])
+
+
+def reject(docs: DataFrame, share: float = 0.75, sample: int = 400, least: int = 60, steps: int = 3, p_normal: float = 5.0) -> DataFrame:
     """(doc_id, lang, source, counts, base_failed, distance, cutoff, kept) of every row.
 
-    p_normal: the normal quantile of the cut-off's probability, 3.29 for one in 2000.
+    p_normal: the normal quantile of the cut-off: 3.29 stands for one document in 2000, and 5,
+    the default, rejects only what no tail of a skewed statistic explains.
     """
     rows = stored(measured(docs))
     group = rows.where("not base_failed").groupBy("lang", "source").count()
@@ -189,36 +209,21 @@ def reject(docs: DataFrame, share: float = 0.75, sample: int = 400, least: int =
     order = W.partitionBy("estimate").orderBy(F.xxhash64("doc_id", "x"), "doc_id")
     some = sound.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("estimate", "x")
 
-    def start(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(sorted(map(tuple, pdf["x"])))
+    def start(table: pa.Table) -> pa.Table:
+        x = np.array(sorted(table.column("x").to_pylist()))
+        names, vector = ["estimate", "centre", "precision"], pa.list_(pa.float64())
         if len(x) < least:
-            return pd.DataFrame({"estimate": [], "centre": [], "precision": []}, dtype=object)
+            return pa.table([pa.array([], pa.string()), pa.array([], vector), pa.array([], vector)], names=names)
         centre, precision = fast_mcd(x, share)
-        return pd.DataFrame({"estimate": [pdf["estimate"].iloc[0]], "centre": [centre.tolist()], "precision": [precision.ravel().tolist()]})
-
-    params = checkpointed(some.groupBy("estimate").applyInPandas(start, _PARAMS))
-
-    def renew(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                mean = np.array(r.sums) / r.n
-                square = np.zeros((DIM, DIM))
-                square[np.triu_indices(DIM)] = np.array(r.squares) / r.n
-                square = np.triu(square) + np.triu(square, 1).T
-                out.append((r.estimate, mean.tolist(), inverse(square - np.outer(mean, mean)).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["estimate", "centre", "precision"])
+        return pa.table([table.column("estimate").slice(0, 1), pa.array([centre.tolist()], vector), pa.array([precision.ravel().tolist()], vector)], names=names)
 
+    params = checkpointed(some.groupBy("estimate").applyInArrow(start, _PARAMS))
     for _ in range(steps):
-        near = sound.join(params, "estimate").withColumn("cell", _cell(_distance()))
-        near = near.join(_cut(near, share), "estimate").where("cell <= cut")
-        pairs = [(i, j) for i in range(DIM) for j in range(i, DIM)]
-        sums = near.groupBy("estimate").agg(
-            F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(DIM)]).alias("sums"), F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).alias("squares"))
-        params = checkpointed(sums.mapInPandas(renew, _PARAMS))
+        inside = _cells(sound, params).where(F.col("upto") - F.col("n") < F.ceil(F.col("all") * share))
+        sums = inside.groupBy("estimate").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _MOMENTS])
+        params = checkpointed(sums.mapInArrow(by_batch(_renewed), _PARAMS))
 
-    near = sound.join(params, "estimate").withColumn("cell", _cell(_distance()))
-    middle = _cut(near, 0.5).withColumnRenamed("cut", "middle")
+    middle = _cells(sound, params).where(F.col("upto") >= F.col("all") * 0.5).groupBy("estimate").agg(F.min("cell").alias("middle"))
     # The cell's value over the chi-squared median makes distances comparable.
     scaled = F.pow(F.lit(2.0), (F.col("middle") + 1) / GRID) / chi2_quantile(0.0)
     final = params.join(middle, "estimate").withColumn("cutoff", F.greatest(scaled, F.lit(1.0)) * chi2_quantile(p_normal))
