@@ -66,7 +66,7 @@ def l2_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l2_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "lineitem")
     return t.select(
-        (micros("l_shipdate") + F.col("l_linenumber") * 1_000_000).alias("trade_time"), F.col("l_suppkey").alias("instrument_id"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("price"),
+        (micros("l_shipdate") + F.col("l_linenumber") * 1_000_000).alias("trade_time"), F.col("l_suppkey").alias("instrument_id"), (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 10000 + 0.5) / 10000).alias("price"),
         F.col("l_quantity").cast("double").alias("volume"), F.when(F.col("l_returnflag") == "R", 4).otherwise(1).cast("long").alias("order_kind"), F.col("l_orderkey").alias("bid_appl_seq_num"),
         F.col("l_partkey").alias("offer_appl_seq_num"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("appl_seq_num"), F.round("l_extendedprice", 2).alias("turnover"))
 
@@ -110,7 +110,7 @@ CTES = {
   [round(price - i * (0.5 + volume % 3), 2) FOR i IN range(1, 6)] AS bid_prices, [(volume * i + 2 * (event_id % 7))::BIGINT FOR i IN range(1, 6)] AS bid_volumes FROM feed WHERE kind IN ('trade', 'buy'))""",
     "l2_orders": """l2_orders AS (SELECT epoch_us(o_orderdate) + o_orderkey % 86400 * 1000000 AS order_time, o_orderkey % 2 + 1 AS exchange_id, o_custkey AS instrument_id, round(o_totalprice / 1000, 2) AS price,
   (o_orderkey % 50 + 1)::DOUBLE AS volume, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END::BIGINT AS order_kind, CASE WHEN starts_with(o_orderpriority, '1') THEN 1 ELSE 2 END::BIGINT AS ord_type, o_orderkey AS appl_seq_num FROM orders)""",
-    "l2_trades": """l2_trades AS (SELECT epoch_us(l_shipdate) + l_linenumber * 1000000 AS trade_time, l_suppkey AS instrument_id, round(l_extendedprice / l_quantity, 4) AS price, l_quantity::DOUBLE AS volume,
+    "l2_trades": """l2_trades AS (SELECT epoch_us(l_shipdate) + l_linenumber * 1000000 AS trade_time, l_suppkey AS instrument_id, floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS price, l_quantity::DOUBLE AS volume,
   CASE WHEN l_returnflag = 'R' THEN 4 ELSE 1 END::BIGINT AS order_kind, l_orderkey AS bid_appl_seq_num, l_partkey AS offer_appl_seq_num, l_orderkey * 10 + l_linenumber AS appl_seq_num, round(l_extendedprice, 2) AS turnover FROM lineitem)""",
     "instruments": f"""instruments AS (SELECT {PREFIXES}[p_partkey % {len(PREFIXES)} + 1] || lpad((p_partkey % 1000)::VARCHAR, 3, '0') AS code, p_partkey, p_name AS name, p_retailprice AS close,
   p_size * 1000.0::DOUBLE AS free_share, p_retailprice * p_size * 100 AS history_amount, (p_partkey % 8)::INT AS shard FROM part)""",
