@@ -59,7 +59,7 @@ def l2_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     return o.select(
         (micros("o_orderdate") + F.col("o_orderkey") % 86400 * 1_000_000).alias("order_time"), (F.col("o_orderkey") % 2 + 1).alias("exchange_id"), F.col("o_custkey").alias("instrument_id"),
-        F.round(F.col("o_totalprice") / 1000, 2).alias("price"), (F.col("o_orderkey") % 50 + 1).cast("double").alias("volume"), F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).cast("long").alias("order_kind"),
+        (F.floor(F.col("o_totalprice") / 10 + 0.5) / 100).alias("price"), (F.col("o_orderkey") % 50 + 1).cast("double").alias("volume"), F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).cast("long").alias("order_kind"),
         F.when(F.col("o_orderpriority").startswith("1"), 1).otherwise(2).cast("long").alias("ord_type"), F.col("o_orderkey").alias("appl_seq_num"))
 
 
@@ -108,7 +108,7 @@ CTES = {
     "snapshots": """snapshots AS (SELECT symbol, trading_day, ts_us, event_id, price AS last_price, event_id AS volume, round(event_id * 10.0, 2) AS turnover,
   [round(price + i * (0.5 + volume % 3), 2) FOR i IN range(1, 6)] AS ask_prices, [(volume * i + event_id % 7)::BIGINT FOR i IN range(1, 6)] AS ask_volumes,
   [round(price - i * (0.5 + volume % 3), 2) FOR i IN range(1, 6)] AS bid_prices, [(volume * i + 2 * (event_id % 7))::BIGINT FOR i IN range(1, 6)] AS bid_volumes FROM feed WHERE kind IN ('trade', 'buy'))""",
-    "l2_orders": """l2_orders AS (SELECT epoch_us(o_orderdate) + o_orderkey % 86400 * 1000000 AS order_time, o_orderkey % 2 + 1 AS exchange_id, o_custkey AS instrument_id, round(o_totalprice / 1000, 2) AS price,
+    "l2_orders": """l2_orders AS (SELECT epoch_us(o_orderdate) + o_orderkey % 86400 * 1000000 AS order_time, o_orderkey % 2 + 1 AS exchange_id, o_custkey AS instrument_id, floor(o_totalprice / 10 + 0.5) / 100 AS price,
   (o_orderkey % 50 + 1)::DOUBLE AS volume, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END::BIGINT AS order_kind, CASE WHEN starts_with(o_orderpriority, '1') THEN 1 ELSE 2 END::BIGINT AS ord_type, o_orderkey AS appl_seq_num FROM orders)""",
     "l2_trades": """l2_trades AS (SELECT epoch_us(l_shipdate) + l_linenumber * 1000000 AS trade_time, l_suppkey AS instrument_id, floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS price, l_quantity::DOUBLE AS volume,
   CASE WHEN l_returnflag = 'R' THEN 4 ELSE 1 END::BIGINT AS order_kind, l_orderkey AS bid_appl_seq_num, l_partkey AS offer_appl_seq_num, l_orderkey * 10 + l_linenumber AS appl_seq_num, round(l_extendedprice, 2) AS turnover FROM lineitem)""",

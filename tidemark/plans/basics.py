@@ -10,7 +10,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import quality, static
 from tidemark.plans import adapters as A
 from tidemark.plans.adapters import with_ctes
-from tidemark.plans.registry import query
+from tidemark.plans.registry import part, query
 from tidemark.sources import readers, sinks
 
 # --- sources and sinks ------------------------------------------------------------
@@ -318,3 +318,34 @@ def f21_endpoint(spark: SparkSession, d: str) -> DataFrame:
 def f23_imbalance(spark: SparkSession, d: str) -> DataFrame:
     side = lambda k: F.sum(F.when(F.col("kind") == k, F.col("volume")).otherwise(0))
     return A.feed(spark, d).groupBy("symbol").agg(side("buy").alias("b"), side("sell").alias("s")).select("symbol", F.round(S.imbalance("b", "s"), 9).alias("imbalance"))
+
+
+@query("SELECT encode(c_name) = encode(c_name) AS same, count(*) AS n FROM customer GROUP BY 1")
+def f20_gbk(spark: SparkSession, d: str) -> DataFrame:
+    """Names as GBK bytes and back."""
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        rows = A.read(spark, d, "customer").select("c_name", S.gbk_to_utf8(F.encode("c_name", "GBK")).alias("back"))
+        return rows.groupBy((F.col("c_name") == F.col("back")).alias("same")).agg(F.count("*").alias("n"))
+    finally:
+        spark.conf.set("spark.sql.legacy.javaCharsets", before)
+
+
+@query("SELECT event_id, event_type AS instrument, value AS raw_prediction FROM events")
+def s5_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of which one file is absent: an absent file is an empty relation."""
+    absent = readers.read_samples(spark, f"{d}/no_such_samples.csv").select(F.col("app_sequence").alias("event_id"), "instrument", "raw_prediction")
+    e = A.read(spark, d, "events").select("event_id", F.col("event_type").alias("instrument"), F.col("value").alias("raw_prediction"))
+    return e.unionByName(absent)
+
+
+for _name, _of, *_columns in [
+    ("f1_startup_position", "f1_position_risk", "symbol", "total", "available", "delta"),
+    ("f2_max_can_buy", "f1_position_risk", "symbol", "can_buy"), ("f3_max_can_sell", "f1_position_risk", "symbol", "can_sell"),
+    ("f4_bias", "f1_position_risk", "symbol", "bias"), ("f5_unit_bias", "f1_position_risk", "symbol", "unit_bias"),
+    ("f9_lot_round", "f1_position_risk", "symbol", "lots"), ("f22_flags", "f1_position_risk", "symbol", "buy_flag", "sell_flag"),
+    ("f11_time_text", "f10_times", "event_id", "ms"), ("f13_round_price", "f12_text", "p_partkey", "tick"), ("f15_format_decimal", "f12_text", "p_partkey", "dec"),
+    ("f19_to_float", "f12_text", "p_partkey", "number"), ("f17_softsign_sigmoid", "f16_vectors", "vec_id", "soft", "sig"), ("f18_is_finite", "f16_vectors", "vec_id", "finite"),
+]:
+    part(_name, _of, *_columns)

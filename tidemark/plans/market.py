@@ -10,7 +10,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import arbiter, asof, book, factors, quality, sampling, static, stats
 from tidemark.plans import adapters as A
 from tidemark.plans.adapters import with_ctes
-from tidemark.plans.registry import query
+from tidemark.plans.registry import part, query
 
 # --- as-of and equi joins ---------------------------------------------------------
 
@@ -308,7 +308,7 @@ def a7_flow_factors(spark: SparkSession, d: str) -> DataFrame:
 
 _TOTAL = "list_sum({}_volumes)"
 _MARKET = """WITH t AS (SELECT *, (ask_prices[1] + bid_prices[1]) / 2 AS mid, list_sum(bid_volumes)::DOUBLE AS bt, list_sum(ask_volumes)::DOUBLE AS at_ FROM snapshots), l AS (SELECT *, lag(mid) OVER w AS pmid, lag(bt) OVER w AS pbt FROM t WINDOW w AS (PARTITION BY symbol, trading_day ORDER BY ts_us, event_id))
-SELECT event_id, round(((ask_prices[1] * bid_volumes[1] + bid_prices[1] * ask_volumes[1]) / (bid_volumes[1] + ask_volumes[1]) / mid - 1) * 1000, 5) AS factor_hermes_permille, round((ask_prices[1] - bid_prices[1]) / mid * 1000, 5) AS factor_spread, round((mid / pmid - 1) * 1000, 5) AS factor_mid_return,
+SELECT event_id, round(((ask_prices[1] * bid_volumes[1] + bid_prices[1] * ask_volumes[1]) / (bid_volumes[1] + ask_volumes[1]) / mid - 1) * 1000, 5) + 0 AS factor_hermes_permille, round((ask_prices[1] - bid_prices[1]) / mid * 1000, 5) AS factor_spread, round((mid / pmid - 1) * 1000, 5) AS factor_mid_return,
   round(mid * 0.0005 / 0.01, 6) AS factor_fee_on_tick, round(CASE WHEN bt + pbt = 0 THEN 0 ELSE (bt - pbt) / (bt + pbt) END, 8) AS factor_bid_volume_change_ratio, round(CASE WHEN bt + at_ = 0 THEN 0 ELSE (bt - at_) / (bt + at_) END, 8) AS factor_volume_imbalance, round(ask_volumes[1] / at_, 8) AS factor_ask_l1_share FROM l WHERE mid > 0"""
 
 
@@ -324,3 +324,8 @@ SELECT event_id, round(i1, 8) AS level_imbalance_1, round((bid_prices[1] / pb[1]
 def a9_paired_factors(spark: SparkSession, d: str) -> DataFrame:
     rows = factors.paired_factors(A.snapshots(spark, d).where(S.valid_snapshot()), ["symbol", "trading_day"], ["ts_us", "event_id"])
     return rows.select("event_id", F.round("level_imbalance_1", 8).alias("level_imbalance_1"), *[F.round(c, 5).alias(c) for c in ("bid_return_1", "bid_return_5")], "interval_volume")
+
+
+part("j7_event_replay", "j6_replay_compare", "n_exact", "n_floating", "n_ordering")
+part("t6_arbiter_rules", "j9_arbitrate", "symbol", "arrival", "selected", "selected_sequence")
+part("t7_late_rules", "j9_arbitrate", "symbol", "arrival", "accepted")

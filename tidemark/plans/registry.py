@@ -20,3 +20,14 @@ def query(sql: str | None = None) -> Callable:
         return fn
 
     return add
+
+
+def part(name: str, of: str, *columns: str) -> None:
+    """Register some columns of a registered query as a query of its own."""
+    whole = QUERIES[of]
+
+    def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return whole(spark, sf_dir).select(*columns)
+
+    fn.__name__, fn.__module__, fn.__doc__ = name, whole.__module__, f"{', '.join(columns)} of {of}."
+    query(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[of]})" if of in ORACLE_SQL else None)(fn)

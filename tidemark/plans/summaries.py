@@ -9,7 +9,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import sampling, scoring, static, stats
 from tidemark.plans import adapters as A
 from tidemark.plans.adapters import with_ctes
-from tidemark.plans.registry import query
+from tidemark.plans.registry import part, query
 
 _RANKED = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY price) - 1 AS i, count(*) OVER (PARTITION BY shard) AS n FROM feed)"
 
@@ -293,3 +293,7 @@ def m7_labels(spark: SparkSession, d: str) -> DataFrame:
     mids = rows.select("symbol", "ts_us", F.col("event_id").alias("sequence"), "mid")
     labelled = asof.forward(rows, mids, ["symbol"], "mid", {"later": 54_000_000_000})
     return labelled.withColumn("target", S.target_permille("mid", "later")).where("target is not null").select("event_id", F.round("factor_spread", 5).alias("factor_spread"), F.round("target", 5).alias("target"))
+
+
+part("w3_row_in_stock_day", "w2_numbers", "event_id", "row_in_stock_day")
+part("t9_dedup", "w10_trade_dedup", "l_orderkey", "l_linenumber")
