@@ -69,7 +69,7 @@ def full_book_aggregate(alive: DataFrame, key: list[str], bands: tuple[int, ...]
     best = alive.groupBy(*key).agg(F.max(F.when(F.col("side") == "B", F.col("tick"))).alias("b1"), F.min(F.when(F.col("side") == "S", F.col("tick"))).alias("a1"))
     best = best.where("b1 is not null and a1 is not null").withColumn("mid", (F.col("b1") + F.col("a1")) / 2)
     rows = top_levels(alive, key, 2**31 - 1).join(best, key)
-    away = F.abs(F.col("tick") - F.col("mid")) / F.col("mid") * 100
+    away = F.when(F.col("mid") != 0, F.abs(F.col("tick") - F.col("mid")) / F.col("mid") * 100)
     age = F.col("ts_us") - F.col("since")
     out = []
     for side in ("B", "S"):

@@ -38,6 +38,11 @@ def flow_factors(flow: DataFrame, history: str = "history_amount") -> DataFrame:
         F.when(orders > 0, F.col("traded") / orders).otherwise(0.0).alias("factor_fill_rate"), imbalance("order_buy", "order_sell").alias("factor_order_flow_imbalance"))
 
 
+def _ratio(x: Column, y: Column) -> Column:
+    """x / y, null where y is 0."""
+    return F.when(y != 0, x / y)
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
@@ -48,23 +53,23 @@ def market_factors(snapshots: DataFrame, by: list[str], order: list[str], tick:
     b, a, bv, av = (F.col(c) for c in ("bid_prices", "ask_prices", "bid_volumes", "ask_volumes"))
     mid = (a[0] + b[0]) / 2
     total = lambda v, k=5: _sum(F.slice(v, 1, k))
-    vwap = lambda p, v: _sum(F.zip_with(p, v, lambda x, y: x * y)) / total(v)
-    micro = lambda k: (a[0] * total(bv, k) + b[0] * total(av, k)) / (total(bv, k) + total(av, k))
+    vwap = lambda p, v: _ratio(_sum(F.zip_with(p, v, lambda x, y: x * y)), total(v))
+    micro = lambda k: _ratio(a[0] * total(bv, k) + b[0] * total(av, k), total(bv, k) + total(av, k))
     rows = snapshots.select("*", mid.alias("mid"), total(bv).alias("bid_total"), total(av).alias("ask_total"), vwap(b, bv).alias("vwap_bid"), vwap(a, av).alias("vwap_ask"), *[micro(k).alias(f"micro_{k}") for k in range(1, 6)])
     w = W.partitionBy(*by).orderBy(*order)
     was = lambda c: F.lag(c).over(w)
     weights = F.array(*[F.lit(1.0 / k) for k in range(1, 6)])
     weighted = lambda v: _sum(F.zip_with(v, weights, lambda x, y: x * y))
-    permille = lambda x, y: (x / y - 1) * 1000
+    permille = lambda x, y: (_ratio(x, y) - 1) * 1000
     m = F.col("mid")
     return rows.select(
-        "*", permille(F.col("micro_1"), m).alias("factor_hermes_permille"), ((a[0] - b[0]) / m * 1000).alias("factor_spread"), permille(m, was("mid")).alias("factor_mid_return"), (m * fee_share / tick).alias("factor_fee_on_tick"),
+        "*", permille(F.col("micro_1"), m).alias("factor_hermes_permille"), (_ratio(a[0] - b[0], m) * 1000).alias("factor_spread"), permille(m, was("mid")).alias("factor_mid_return"), (m * fee_share / tick).alias("factor_fee_on_tick"),
         imbalance("bid_total", was("bid_total")).alias("factor_bid_volume_change_ratio"), imbalance("ask_total", was("ask_total")).alias("factor_ask_volume_change_ratio"),
         *[permille(F.col(f"micro_{k}"), was("mid")).alias(f"factor_weighted_return_{k}") for k in range(1, 6)],
         permille(F.col("vwap_ask"), m).alias("factor_weighted_ask"), permille(F.col("vwap_bid"), m).alias("factor_weighted_bid"),
         permille(F.col("vwap_ask"), was("vwap_ask")).alias("factor_weighted_ask_return"), permille(F.col("vwap_bid"), was("vwap_bid")).alias("factor_weighted_bid_return"),
         imbalance(weighted(bv), weighted(av)).alias("factor_weighted_volume_imbalance"), imbalance("bid_total", "ask_total").alias("factor_volume_imbalance"),
-        (av[0] / F.col("ask_total")).alias("factor_ask_l1_share"), (bv[0] / F.col("bid_total")).alias("factor_bid_l1_share"),
+        _ratio(av[0], F.col("ask_total")).alias("factor_ask_l1_share"), _ratio(bv[0], F.col("bid_total")).alias("factor_bid_l1_share"),
     ).drop("bid_total", "ask_total", "vwap_bid", "vwap_ask", *[f"micro_{k}" for k in range(1, 6)])
 
 
@@ -93,5 +98,5 @@ def paired_factors(snapshots: DataFrame, by: list[str], order: list[str]) -> Dat
         now = imbalance(F.col("bid_volumes")[i], F.col("ask_volumes")[i])
         then = imbalance(F.col("p.bid_volumes")[i], F.col("p.ask_volumes")[i])
         out += [now.alias(f"level_imbalance_{i + 1}"), (now - then).alias(f"level_change_{i + 1}")]
-        out += [((F.col(f"{s}_prices")[i] / F.col(f"p.{s}_prices")[i] - 1) * 1000).alias(f"{s}_return_{i + 1}") for s in ("bid", "ask")]
+        out += [((_ratio(F.col(f"{s}_prices")[i], F.col(f"p.{s}_prices")[i]) - 1) * 1000).alias(f"{s}_return_{i + 1}") for s in ("bid", "ask")]
     return rows.select("*", *out, (F.col("volume") - F.col("p.volume")).alias("interval_volume"), (F.col("turnover") - F.col("p.turnover")).alias("interval_turnover")).drop("p")

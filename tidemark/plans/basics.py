@@ -58,9 +58,9 @@ def s9_split(spark: SparkSession, d: str) -> DataFrame:
     return full.withColumn("kind", F.lit("full")).unionByName(compact.withColumn("kind", F.lit("compact")), allowMissingColumns=True)
 
 
-@query(with_ctes("SELECT document, sha256(document) AS sha256 FROM (SELECT '[' || string_agg('{\"code\":\"' || code || '\",\"p_partkey\":' || p_partkey || ',\"shard\":' || shard || '}', ',' ORDER BY code, p_partkey) || ']' AS document FROM instruments)", "instruments"))
+@query(with_ctes("SELECT document, sha256(document) AS sha256 FROM (SELECT '[' || string_agg('{\"code\":\"' || code || '\",\"p_partkey\":' || p_partkey || ',\"shard\":' || shard || '}', ',' ORDER BY p_partkey) || ']' AS document FROM instruments)", "instruments"))
 def s10_daily(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.daily_document(A.instruments(spark, d).select("code", "p_partkey", "shard"), "code")
+    return sinks.daily_document(A.instruments(spark, d).select("code", "p_partkey", "shard"), "p_partkey")
 
 
 @query("SELECT event_type, count(*) AS n, CASE event_type WHEN 'click' THEN round(max(value), 2) END AS greatest FROM events GROUP BY 1")

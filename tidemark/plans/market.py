@@ -252,7 +252,7 @@ def a3_visible_book(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ZONES = {"pct1": "away <= 1", "pct5": "away <= 5", "l1": "rank <= 1", "l5": "rank <= 5", "all": "true"}
-_AGG = _BOOK + ", best AS (SELECT symbol, ts_us, (max(CASE WHEN side = 'B' THEN tick END) + min(CASE WHEN side = 'S' THEN tick END)) / 2 AS mid FROM alive GROUP BY ALL), rows_ AS (SELECT r.*, mid, abs(tick - mid) / mid * 100 AS away FROM ranked r JOIN best b ON b.symbol = r.symbol AND b.ts_us = r.ts_us WHERE mid IS NOT NULL)"
+_AGG = _BOOK + ", best AS (SELECT symbol, ts_us, (max(CASE WHEN side = 'B' THEN tick END) + min(CASE WHEN side = 'S' THEN tick END)) / 2 AS mid FROM alive GROUP BY ALL), rows_ AS (SELECT r.*, mid, abs(tick - mid) / nullif(mid, 0) * 100 AS away FROM ranked r JOIN best b ON b.symbol = r.symbol AND b.ts_us = r.ts_us WHERE mid IS NOT NULL)"
 
 
 def _zone_sums() -> str:
@@ -308,8 +308,8 @@ def a7_flow_factors(spark: SparkSession, d: str) -> DataFrame:
 
 _TOTAL = "list_sum({}_volumes)"
 _MARKET = """WITH t AS (SELECT *, (ask_prices[1] + bid_prices[1]) / 2 AS mid, list_sum(bid_volumes)::DOUBLE AS bt, list_sum(ask_volumes)::DOUBLE AS at_ FROM snapshots), l AS (SELECT *, lag(mid) OVER w AS pmid, lag(bt) OVER w AS pbt FROM t WINDOW w AS (PARTITION BY symbol, trading_day ORDER BY ts_us, event_id))
-SELECT event_id, round(((ask_prices[1] * bid_volumes[1] + bid_prices[1] * ask_volumes[1]) / (bid_volumes[1] + ask_volumes[1]) / mid - 1) * 1000, 5) + 0 AS factor_hermes_permille, round((ask_prices[1] - bid_prices[1]) / mid * 1000, 5) AS factor_spread, round((mid / pmid - 1) * 1000, 5) AS factor_mid_return,
-  round(mid * 0.0005 / 0.01, 6) AS factor_fee_on_tick, round(CASE WHEN bt + pbt = 0 THEN 0 ELSE (bt - pbt) / (bt + pbt) END, 8) AS factor_bid_volume_change_ratio, round(CASE WHEN bt + at_ = 0 THEN 0 ELSE (bt - at_) / (bt + at_) END, 8) AS factor_volume_imbalance, round(ask_volumes[1] / at_, 8) AS factor_ask_l1_share FROM l WHERE mid > 0"""
+SELECT event_id, round(((ask_prices[1] * bid_volumes[1] + bid_prices[1] * ask_volumes[1]) / nullif(bid_volumes[1] + ask_volumes[1], 0) / mid - 1) * 1000, 5) + 0 AS factor_hermes_permille, round((ask_prices[1] - bid_prices[1]) / mid * 1000, 5) AS factor_spread, round((mid / nullif(pmid, 0) - 1) * 1000, 5) AS factor_mid_return,
+  round(mid * 0.0005 / 0.01, 6) AS factor_fee_on_tick, round(CASE WHEN bt + pbt = 0 THEN 0 ELSE (bt - pbt) / (bt + pbt) END, 8) AS factor_bid_volume_change_ratio, round(CASE WHEN bt + at_ = 0 THEN 0 ELSE (bt - at_) / (bt + at_) END, 8) AS factor_volume_imbalance, round(ask_volumes[1] / nullif(at_, 0), 8) AS factor_ask_l1_share FROM l WHERE mid > 0"""
 
 
 @query(with_ctes(_MARKET, "snapshots"))

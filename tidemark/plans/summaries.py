@@ -115,10 +115,10 @@ def a24_bars(spark: SparkSession, d: str) -> DataFrame:
     return stats.bars(t, 3600, 9 * 3600, 15 * 3600).withColumn("turnover", F.round("turnover", 4))
 
 
-@query(with_ctes("""SELECT symbol, (sum(s * volume))::BIGINT AS position, round(sum(-s * price * volume) + sum(s * volume) * arg_max(price, {'a': ts_us, 'b': event_id}) - 0.001 * sum(price * volume), 4) AS pnl FROM (SELECT *, CASE kind WHEN 'buy' THEN 1 WHEN 'sell' THEN -1 END AS s FROM feed WHERE kind IN ('buy', 'sell')) GROUP BY 1""", "feed"))
+@query(with_ctes("""SELECT symbol, (sum(s * volume))::BIGINT AS position, round(sum(-s * price * volume) + sum(s * volume) * arg_max(price, {'a': ts_us, 'b': event_id}) - 0.001 * sum(price * volume), 6) AS pnl FROM (SELECT *, CASE kind WHEN 'buy' THEN 1 WHEN 'sell' THEN -1 END AS s FROM feed WHERE kind IN ('buy', 'sell')) GROUP BY 1""", "feed"))
 def a25_pnl(spark: SparkSession, d: str) -> DataFrame:
     t = A.feed(spark, d).where("kind in ('buy', 'sell')").withColumn("sign", F.when(F.col("kind") == "buy", 1).otherwise(-1)).withColumnRenamed("event_id", "sequence")
-    return stats.ticker_pnl(t, 0.001).withColumn("pnl", F.round("pnl", 4))
+    return stats.ticker_pnl(t, 0.001).withColumn("pnl", F.round("pnl", 6))
 
 
 @query(with_ctes("SELECT symbol, ts_us // 86400000000 AS day, count(*) AS n, count(*) > 3 AS over_limit, round(count(*) FILTER (kind = 'cancel') / count(*), 6) AS cancel_ratio FROM feed WHERE kind <> 'malformed' GROUP BY 1, 2", "feed"))
