@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def thinned(df: DataFrame, key: list[str], want: int, total: Column) -> DataFrame:
+    """About three times ``want`` of ``total`` rows, chosen by a hash of their key.
+
+    Before a bounded sample is taken in an order, so that what the partitions hand on for
+    it does not grow with their number.
+    """
+    place = F.pmod(F.xxhash64(*key, F.lit(1)), F.lit(1 << 30))
+    return df.where(place.cast("double") * total < F.lit(3 * want) * F.lit(1 << 30).cast("double"))
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]) -> Callable:
     """An iterator function for ``mapInArrow`` from one that maps a single batch."""
 

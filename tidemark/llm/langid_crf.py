@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import crf
-from tidemark.llm.common import by_batch
+from tidemark.llm.common import by_batch, thinned
 
 #: Runs of letters.
 WORD = re.compile(r"[^\W\d_]+")
@@ -150,9 +150,12 @@ def fit(rows: list[tuple[str, str]], spans_per_doc: int = 6, span_words: int = 2
 def train(docs: DataFrame, docs_per_lang: int = 150) -> LangModel:
     """A model from a bounded sample of the documents that have a text and a lang."""
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    counts = [(r.lang, r["count"]) for r in rows.groupBy("lang").count().collect()]  # one row per language
+    sizes = docs.sparkSession.createDataFrame(counts, "lang string, rows long")
+    some = thinned(rows.join(F.broadcast(sizes), "lang"), ["doc_id", "text"], docs_per_lang, F.col("rows"))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    ids = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang)
-    return fit([(r.text, r.lang) for r in ids.select("text", "lang").collect()])
+    chosen = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang)
+    return fit([(r.text, r.lang) for r in chosen.select("text", "lang").collect()])
 
 
 def predict(docs: DataFrame, model: LangModel) -> DataFrame:
