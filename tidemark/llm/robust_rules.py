@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, checkpointed, stored
+from tidemark.llm.common import by_batch, checkpointed, stored, thinned
 
 #: Words in the windows whose repetition is counted.
 WINDOW = 8
@@ -200,14 +200,17 @@ def reject(docs: DataFrame, share: float = 0.75, sample: int = 400, least: int =
     by_lang = F.sum(F.when(small, F.col("count")).otherwise(0)).over(W.partitionBy("lang"))
     group = group.withColumn("of_lang", by_lang)
     name = F.when(~small, F.to_json(F.array("lang", "source"))).when(F.col("of_lang") >= least, F.to_json(F.array("lang"))).otherwise("[]")
-    named = checkpointed(group.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), name.alias("estimate")))
+    members = F.sum("count").over(W.partitionBy("estimate"))
+    group = group.withColumn("estimate", name).withColumn("members", members)
+    named = checkpointed(group.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "estimate", "members"))
     rows = rows.join(named, (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")), "left").drop("_lang", "_source")
     rows = rows.withColumn("x", F.array(*statistics()))
     rows = stored(rows)
-    sound = rows.where("not base_failed").select("doc_id", "estimate", "x")
+    sound = rows.where("not base_failed").select("doc_id", "estimate", "members", "x")
 
     order = W.partitionBy("estimate").orderBy(F.xxhash64("doc_id", "x"), "doc_id")
-    some = sound.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("estimate", "x")
+    some = thinned(sound, ["doc_id", "x"], sample, F.col("members"))
+    some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("estimate", "x")
 
     def start(table: pa.Table) -> pa.Table:
         x = np.array(sorted(table.column("x").to_pylist()))
@@ -229,4 +232,4 @@ def reject(docs: DataFrame, share: float = 0.75, sample: int = 400, least: int =
     final = params.join(middle, "estimate").withColumn("cutoff", F.greatest(scaled, F.lit(1.0)) * chi2_quantile(p_normal))
     out = rows.join(checkpointed(final.drop("middle")), "estimate", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(True))
-    return out.withColumn("kept", kept).drop("x", "centre", "precision", "estimate")
+    return out.withColumn("kept", kept).drop("x", "centre", "precision", "estimate", "members")
