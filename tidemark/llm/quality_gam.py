@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch
+from tidemark.llm.common import by_batch, thinned
 
 FEATURES = [
     "words", "word_bytes", "distinct_words", "distinct_pairs", "top_word", "stop_words", "lines", "distinct_lines", "line_words",
@@ -175,6 +175,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 40,
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000) -> Gam:
     """A model of ``label`` from at most ``max_rows`` rows of labels and their documents."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
+    chosen = thinned(chosen, ["doc_id"], max_rows, F.lit(chosen.count()))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows rows of two numbers
 
