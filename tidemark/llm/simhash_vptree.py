@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, checkpointed
+from tidemark.llm.common import by_batch, checkpointed, thinned
 
 #: Rows of the sample that fixes the trees' vantage points and radii.
 TREE_SAMPLE = 4096
@@ -161,7 +161,7 @@ def route(tree, points: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]
 
 def grow_forest(nodes: DataFrame, total: int) -> list:
     """One tree per block, from a bounded sample in the order of a hash."""
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(TREE_SAMPLE).collect()
+    sample = thinned(nodes.select("fp"), ["fp"], TREE_SAMPLE, F.lit(total)).orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(TREE_SAMPLE).collect()
     fps = np.array([r.fp for r in sample], np.int64)
     shards = min(MAX_SHARDS, max(MIN_SHARDS, -(-total // SHARD_TARGET)))
     return [grow_tree(block(fps, t), shards) for t in range(BLOCKS)]
