@@ -1,4 +1,8 @@
-"""As-of joins by one union and window functions: no inequality join, one shuffle by key."""
+"""As-of joins by one union and window functions: no inequality join, one shuffle by key.
+
+What comes next is read with the order turned round, as the last value so far: a frame
+from the current row onwards would be computed anew for each row.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +16,10 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], time: str = "ts_us
     before it and to the next one after it; null where right has no row of the key."""
     both = left.withColumn("_other", F.lit(None).cast("long")).unionByName(right.select(*by, time, F.col(time).alias("_other")), allowMissingColumns=True)
     both = both.withColumn("_rank", F.col("_other").isNull().cast("int"))  # at equal times right comes first
-    order = W.partitionBy(*by).orderBy(time, "_rank")
-    before = F.last("_other", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("_other", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    key = W.partitionBy(*by)
+    last = F.last("_other", ignorenulls=True)
+    before = last.over(key.orderBy(time, "_rank").rowsBetween(W.unboundedPreceding, 0))
+    after = last.over(key.orderBy(F.desc(time), F.desc("_rank")).rowsBetween(W.unboundedPreceding, 0))
     delta = F.least(F.abs(F.col(time) - before), F.abs(F.col(time) - after))
     return both.withColumn("delta", delta).where("_rank = 1").drop("_other", "_rank")
 
@@ -26,8 +31,8 @@ def forward(left: DataFrame, right: DataFrame, by: list[str], value: str, horizo
     for name, ahead in horizons.items():
         asks = out.withColumn("_at", F.col(time) + ahead).withColumn("_rank", F.lit(0)).withColumn("_tie", F.lit(None).cast("long")).withColumn("_value", F.lit(None).cast(right.schema[value].dataType))
         rows = right.select(*by, F.col(time).alias("_at"), F.lit(1).alias("_rank"), F.col(tie).cast("long").alias("_tie"), F.col(value).alias("_value"))
-        order = W.partitionBy(*by).orderBy("_at", "_rank", "_tie").rowsBetween(0, W.unboundedFollowing)
-        both = asks.unionByName(rows, allowMissingColumns=True).withColumn(name, F.first("_value", ignorenulls=True).over(order))
+        order = W.partitionBy(*by).orderBy(F.desc("_at"), F.desc("_rank"), F.desc("_tie")).rowsBetween(W.unboundedPreceding, 0)
+        both = asks.unionByName(rows, allowMissingColumns=True).withColumn(name, F.last("_value", ignorenulls=True).over(order))
         out = both.where("_rank = 0").drop("_at", "_rank", "_tie", "_value")
     return out
 
