@@ -52,8 +52,8 @@ def fill(nodes: DataFrame, parents: list[str]) -> DataFrame:
     ratio = [F.col("capacity") / F.col("weight"), *[F.col(c) for c in LEVELS if c in nodes.columns]]
     order = W.partitionBy(*parents).orderBy(*ratio)
     before = F.coalesce(F.sum("capacity").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    weight_on = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
     all_ = W.partitionBy(*parents)
+    weight_on = F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     nodes = nodes.where("weight > 0").withColumn("full", F.col("capacity") * weight_on <= F.col("weight") * (F.col("budget") - before))
     rest = F.col("budget") - F.sum(F.when(F.col("full"), F.col("capacity")).otherwise(0)).over(all_)
     open_weight = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(all_)
