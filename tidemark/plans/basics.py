@@ -70,7 +70,7 @@ def s12_exports(spark: SparkSession, d: str) -> DataFrame:
     return out["summary"].withColumnRenamed("count", "n").join(best, "event_type", "left")
 
 
-@query("SELECT DISTINCT 'sze_journal_' || strftime(o_orderdate, '%Y%m%d') AS name, (o_orderdate::DATE)::VARCHAR AS day FROM orders WHERE o_orderdate::DATE < DATE '1996-06-15' - 30 AND o_orderkey % 9 <> 0".replace("sze_", "day_"))
+@query("SELECT DISTINCT 'day_journal_' || strftime(o_orderdate, '%Y%m%d') AS name, (o_orderdate::DATE)::VARCHAR AS day FROM orders WHERE o_orderdate::DATE < DATE '1996-06-15' - 30 AND o_orderkey % 9 <> 0")
 def s13_retention(spark: SparkSession, d: str) -> DataFrame:
     o = A.read(spark, d, "orders")
     name = F.concat(F.when(F.col("o_orderkey") % 9 == 0, "day_journal_x").otherwise("day_journal_"), F.date_format("o_orderdate", "yyyyMMdd"))
@@ -286,7 +286,7 @@ def f10_times(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", text.alias("text"), S.parse_ns(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ns"), S.time_text_to_ms(F.substring(text, 1, 12)).alias("ms"))
 
 
-@query("SELECT p_partkey, lpad(p_brand, greatest(12, length(p_brand))::INT, ' ') AS padded, round(p_retailprice * 100)::BIGINT AS tick, regexp_replace(regexp_replace(printf('%.10f', p_retailprice), '0+$', ''), '\\.$', '') AS decimal, try_cast(p_brand AS DOUBLE) AS number FROM part".replace("AS decimal", "AS dec"))
+@query("SELECT p_partkey, lpad(p_brand, greatest(12, length(p_brand))::INT, ' ') AS padded, round(p_retailprice * 100)::BIGINT AS tick, regexp_replace(regexp_replace(printf('%.10f', p_retailprice), '0+$', ''), '\\.$', '') AS dec, try_cast(p_brand AS DOUBLE) AS number FROM part")
 def f12_text(spark: SparkSession, d: str) -> DataFrame:
     p = A.read(spark, d, "part")
     return p.select("p_partkey", S.rjust("p_brand", 12).alias("padded"), S.round_price("p_retailprice").alias("tick"), S.format_decimal("p_retailprice").alias("dec"), S.to_float("p_brand").alias("number"))

@@ -157,7 +157,7 @@ def j10_inherit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_ctes("""SELECT symbol, now, CASE WHEN known THEN total_position WHEN now >= 93100 THEN 0 END AS total, CASE WHEN known THEN available_position WHEN now >= 93100 THEN 0 END AS available, NOT known AND now < 93100 AS gated
-FROM (SELECT p.symbol, (92000 + p.static_position)::INT AS now, b.symbol IS NOT NULL AS known, b.total_position, b.available_position FROM positions p LEFT JOIN (SELECT * FROM positions WHERE total_position > 300) b ON b.symbol = p.symbol)""".replace("92000 + p.static_position", "92000 + p.static_position * 2"), "positions"))
+FROM (SELECT p.symbol, (92000 + p.static_position * 2)::INT AS now, b.symbol IS NOT NULL AS known, b.total_position, b.available_position FROM positions p LEFT JOIN (SELECT * FROM positions WHERE total_position > 300) b ON b.symbol = p.symbol)""", "positions"))
 def j11_startup_sync(spark: SparkSession, d: str) -> DataFrame:
     p = A.positions(spark, d)
     params = p.select("symbol", (92000 + F.col("static_position") * 2).cast("int").alias("now"))
@@ -235,7 +235,7 @@ def a2_intervals(spark: SparkSession, d: str) -> DataFrame:
     return book.intervals(A.book_changes(spark, d)).drop("since")
 
 
-@query(with_ctes("SELECT sequence, sum(qty) OVER w::BIGINT AS level_qty, sum(orders) OVER w::BIGINT AS level_orders FROM book_changes WINDOW w AS (PARTITION BY symbol, side, tick ORDER BY ts_us, sequence ROWS UNBOUNDED PRECEDING)".replace("sum(qty) OVER w::BIGINT", "(sum(qty) OVER w)::BIGINT").replace("sum(orders) OVER w::BIGINT", "(sum(orders) OVER w)::BIGINT"), "book_changes"))
+@query(with_ctes("SELECT sequence, (sum(qty) OVER w)::BIGINT AS level_qty, (sum(orders) OVER w)::BIGINT AS level_orders FROM book_changes WINDOW w AS (PARTITION BY symbol, side, tick ORDER BY ts_us, sequence ROWS UNBOUNDED PRECEDING)", "book_changes"))
 def w4_running_levels(spark: SparkSession, d: str) -> DataFrame:
     return book.running_levels(A.book_changes(spark, d)).select("sequence", "level_qty", "level_orders")
 
@@ -306,7 +306,6 @@ def a7_flow_factors(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("symbol", "trading_day", *[F.round(c, 9).alias(c) for c in ("factor_order_flow", "factor_market", "factor_fill_rate", "factor_order_flow_imbalance")])
 
 
-_TOTAL = "list_sum({}_volumes)"
 _MARKET = """WITH t AS (SELECT *, (ask_prices[1] + bid_prices[1]) / 2 AS mid, list_sum(bid_volumes)::DOUBLE AS bt, list_sum(ask_volumes)::DOUBLE AS at_ FROM snapshots), l AS (SELECT *, lag(mid) OVER w AS pmid, lag(bt) OVER w AS pbt FROM t WINDOW w AS (PARTITION BY symbol, trading_day ORDER BY ts_us, event_id))
 SELECT event_id, round(((ask_prices[1] * bid_volumes[1] + bid_prices[1] * ask_volumes[1]) / nullif(bid_volumes[1] + ask_volumes[1], 0) / mid - 1) * 1000, 5) + 0 AS factor_hermes_permille, round((ask_prices[1] - bid_prices[1]) / mid * 1000, 5) AS factor_spread, round((mid / nullif(pmid, 0) - 1) * 1000, 5) AS factor_mid_return,
   round(mid * 0.0005 / 0.01, 6) AS factor_fee_on_tick, round(CASE WHEN bt + pbt = 0 THEN 0 ELSE (bt - pbt) / (bt + pbt) END, 8) AS factor_bid_volume_change_ratio, round(CASE WHEN bt + at_ = 0 THEN 0 ELSE (bt - at_) / (bt + at_) END, 8) AS factor_volume_imbalance, round(ask_volumes[1] / nullif(at_, 0), 8) AS factor_ask_l1_share FROM l WHERE mid > 0"""
