@@ -41,6 +41,8 @@ _SYMBOLS = list(b"#*$%&|<>")
 DIM = 5
 #: Floor under each statistic's standard deviation.
 FLOOR = 0.15
+#: Groups (a name and some thirty numbers each) up to which their estimates are broadcast.
+BROADCAST_GROUPS = 20_000
 #: Squared distances are counted in this many steps to a doubling.
 GRID = 16
 
@@ -203,7 +205,8 @@ def reject(docs: DataFrame, share: float = 0.75, sample: int = 400, least: int =
     members = F.sum("count").over(W.partitionBy("estimate"))
     group = group.withColumn("estimate", name).withColumn("members", members)
     named = checkpointed(group.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "estimate", "members"))
-    rows = rows.join(named, (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")), "left").drop("_lang", "_source")
+    hint = F.broadcast if named.count() <= BROADCAST_GROUPS else (lambda df: df)
+    rows = rows.join(hint(named), (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")), "left").drop("_lang", "_source")
     rows = rows.withColumn("x", F.array(*statistics()))
     rows = stored(rows)
     sound = rows.where("not base_failed").select("doc_id", "estimate", "members", "x")
@@ -220,16 +223,16 @@ def reject(docs: DataFrame, share: float = 0.75, sample: int = 400, least: int =
         centre, precision = fast_mcd(x, share)
         return pa.table([table.column("estimate").slice(0, 1), pa.array([centre.tolist()], vector), pa.array([precision.ravel().tolist()], vector)], names=names)
 
-    params = checkpointed(some.groupBy("estimate").applyInArrow(start, _PARAMS))
+    params = hint(checkpointed(some.groupBy("estimate").applyInArrow(start, _PARAMS)))
     for _ in range(steps):
         inside = _cells(sound, params).where(F.col("upto") - F.col("n") < F.ceil(F.col("all") * share))
         sums = inside.groupBy("estimate").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _MOMENTS])
-        params = checkpointed(sums.mapInArrow(by_batch(_renewed), _PARAMS))
+        params = hint(checkpointed(sums.mapInArrow(by_batch(_renewed), _PARAMS)))
 
     middle = _cells(sound, params).where(F.col("upto") >= F.col("all") * 0.5).groupBy("estimate").agg(F.min("cell").alias("middle"))
     # The cell's value over the chi-squared median makes distances comparable.
     scaled = F.pow(F.lit(2.0), (F.col("middle") + 1) / GRID) / chi2_quantile(0.0)
     final = params.join(middle, "estimate").withColumn("cutoff", F.greatest(scaled, F.lit(1.0)) * chi2_quantile(p_normal))
-    out = rows.join(checkpointed(final.drop("middle")), "estimate", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    out = rows.join(hint(checkpointed(final.drop("middle"))), "estimate", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(True))
     return out.withColumn("kept", kept).drop("x", "centre", "precision", "estimate", "members")
