@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, checkpointed, thinned
+from tidemark.llm.common import by_batch, checkpointed, stored, thinned
 
 #: Rows of the sample that fixes the trees' vantage points and radii.
 TREE_SAMPLE = 4096
@@ -87,19 +87,19 @@ def wide_simhash(text: bytes | None, size: int, words: int = WIDE_WORDS) -> byte
 
 
 def with_fingerprints(docs: DataFrame, shingle: int, index_shingle: int | None = None) -> DataFrame:
-    """(doc_id, fp) of each row; with ``index_shingle`` that is the size of fp's
+    """(doc_id, text_hash, fp) of each row; with ``index_shingle`` that is the size of fp's
     shingles, and ``wide`` is a wide SimHash of shingles of ``shingle`` words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        out = [batch.column(0), pa.array([simhash(x, index_shingle or shingle) for x in texts], pa.int64())]
+        texts = batch.column("text").to_pylist()
+        out = [batch.column("doc_id"), batch.column("text_hash"), pa.array([simhash(x, index_shingle or shingle) for x in texts], pa.int64())]
         if index_shingle:
             out.append(pa.array([wide_simhash(x, shingle) for x in texts], pa.binary()))
-        return pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "wide"][: len(out)])
+        return pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "fp", "wide"][: len(out)])
 
-    schema = f"doc_id {kind}, fp bigint" + (", wide binary" if index_shingle else "")
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(by_batch(one), schema)
+    schema = f"doc_id {kind}, text_hash bigint, fp bigint" + (", wide binary" if index_shingle else "")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(by_batch(one), schema)
 
 
 # --- vantage-point trees ----------------------------------------------------------
@@ -184,10 +184,13 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = shorter
 
 
-def shard_links(tree: int, home: np.ndarray, asks: np.ndarray, distance: int, wide: tuple | None = None, wide_distance: int = 0) -> np.ndarray:
-    """Labels of the concatenation of home and asks after linking every pair within
-    the distance (and, given wide fingerprints, within their distance too)."""
+def shard_links(tree: int, home: np.ndarray, asks: np.ndarray, distance: int, wide: tuple | None = None, wide_distance: int = 0, same: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of the concatenation of home and asks after linking every pair within the
+    distance (and, given wide fingerprints, within their distance too); and, given those and
+    the names of both sides, for each query the resident of another name with the nearest
+    wide fingerprint, -1 for none."""
     label = np.arange(len(home) + len(asks))
+    nearest, least = np.full(len(asks), -1), np.full(len(asks), 1 << 30)
     values = block(home, tree)
     order = np.argsort(values, kind="stable")
     start = np.searchsorted(values[order], np.arange(65537))
@@ -208,16 +211,21 @@ def shard_links(tree: int, home: np.ndarray, asks: np.ndarray, distance: int, wi
             q, p = q[close], p[close]
             if wide is not None and len(q):
                 differ = np.bitwise_count(wide[0][p] ^ wide[1][q]).sum(axis=1, dtype=np.int32)
-                q, p = q[differ <= wide_distance], p[differ <= wide_distance]
+                near = differ <= wide_distance
+                q, p, differ = q[near], p[near], differ[near]
+                better = np.flatnonzero((same[0][p] != same[1][q]) & (differ < least[q]))
+                better = better[np.argsort(-differ[better], kind="stable")]  # of one query the nearest is written last
+                nearest[q[better]], least[q[better]] = p[better], differ[better]
             merge_labels(label, p, q + len(home))
             at = stop
-    return label
+    return label, nearest
 
 
 def links(nodes: DataFrame, distance: int, wide_distance: int | None = None) -> DataFrame:
     """(a, b): a forest of links whose components are those of all links between nodes.
 
-    nodes: node (long, unique), fp (long) and, with ``wide_distance``, wide (binary).
+    nodes: node (long, unique), fp (long) and, with ``wide_distance``, wide (binary). With
+    wide fingerprints each node's nearest partner in each shard is linked to it as well.
     """
     total = nodes.count()
     forest, slack = grow_forest(nodes, total), distance // BLOCKS
@@ -263,9 +271,10 @@ def links(nodes: DataFrame, distance: int, wide_distance: int | None = None) ->
             first = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]
             bits = np.frombuffer(packed.buffers()[2], np.uint64, len(node) * WIDE_WORDS, int(first)).reshape(len(node), -1)
             wide = (bits[~asks], bits[asks])
-        label = shard_links(tree, fp[~asks], fp[asks], distance, wide, wide_distance or 0)
+        label, nearest = shard_links(tree, fp[~asks], fp[asks], distance, wide, wide_distance or 0, (node[~asks], node[asks]))
         member = np.concatenate([node[~asks], node[asks]])
-        a, b = member, member[label]
+        found = nearest >= 0
+        a, b = np.concatenate([member, node[asks][found]]), np.concatenate([member[label], node[~asks][nearest[found]]])
         # A node may stand here twice, as resident and as query: it links to itself.
         return pa.table({"a": a[a != b], "b": b[a != b]})
 
@@ -319,19 +328,43 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) ->
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
+def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges whose nodes' texts have that Jaccard similarity of shingle sets, exactly."""
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digest = xxhash.xxh3_64_intdigest
+        found = [np.unique(np.array([digest(x) for x in shingles(t, shingle)], np.uint64)).view(np.int64) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array(found, pa.list_(pa.int64()))], ["text_hash", "shingles"])
+
+    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    linked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    named = checkpointed(nodes.select("node", "text_hash").join(linked, "node"))
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(named.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    known = named.join(texts.mapInArrow(by_batch(sets), "text_hash bigint, shingles array<bigint>"), "text_hash")
+    known = stored(known.select("node", "shingles"))
+    side = lambda c: known.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+    both = edges.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return both.where(shared >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
+
+
 def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): classes of documents whose shingle sets have a Jaccard
-    similarity of about ``similarity`` or more.
+    similarity of ``similarity`` or more.
 
     Candidates differ in at most 11 bits of a 64-bit SimHash of word pairs, which
-    changes less under edits than one of longer shingles. A 256-bit SimHash of
-    the shingles proper then estimates the similarity of each pair inside the shard.
+    changes less under edits than one of longer shingles, and a 256-bit SimHash of the
+    shingles proper puts their similarity near the limit or above. Of these a shard keeps a
+    forest and each document's nearest partner, whose similarity is then computed exactly.
     """
     cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
-    limit = round(64 * WIDE_WORDS * float(np.arccos(cosine)) / np.pi) + 5
+    limit = round(64 * WIDE_WORDS * float(np.arccos(cosine)) / np.pi) + 12  # two standard errors
     rows = checkpointed(with_fingerprints(docs, shingle, index_shingle=2))
-    nodes = checkpointed(rows.groupBy("fp", "wide").agg(F.min("doc_id").alias("rep")).withColumn("node", F.xxhash64("fp", "wide")))
-    return classes(rows, nodes, ["fp", "wide"], links(nodes, 11, limit)).select("doc_id", "component_id")
+    nodes = rows.groupBy("fp", "wide").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"))
+    nodes = checkpointed(nodes.withColumn("node", F.xxhash64("fp", "wide")))
+    edges = verified(links(nodes, 11, limit), nodes, docs, shingle, similarity)
+    return classes(rows, nodes, ["fp", "wide"], edges).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
