@@ -334,15 +334,15 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         digest = xxhash.xxh3_64_intdigest
         found = [np.unique(np.array([digest(x) for x in shingles(t, shingle)], np.uint64)).view(np.int64) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array(found, pa.list_(pa.int64()))], ["text_hash", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
     edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     linked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    named = checkpointed(nodes.select("node", "text_hash").join(linked, "node"))
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(named.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    known = named.join(texts.mapInArrow(by_batch(sets), "text_hash bigint, shingles array<bigint>"), "text_hash")
-    known = stored(known.select("node", "shingles"))
+    named = checkpointed(nodes.select("node", F.col("rep").alias("doc_id"), "text_hash").join(linked, "node"))
+    # One document stands for each node: its copies, however many, are not brought together.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(named, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+    known = stored(texts.mapInArrow(by_batch(sets), "node bigint, shingles array<bigint>"))
     side = lambda c: known.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = edges.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
@@ -361,8 +361,9 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float
     cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
     limit = round(64 * WIDE_WORDS * float(np.arccos(cosine)) / np.pi) + 12  # two standard errors
     rows = checkpointed(with_fingerprints(docs, shingle, index_shingle=2))
-    nodes = rows.groupBy("fp", "wide").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash"))
-    nodes = checkpointed(nodes.withColumn("node", F.xxhash64("fp", "wide")))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    nodes = rows.groupBy("fp", "wide").agg(first.alias("first")).withColumn("node", F.xxhash64("fp", "wide"))
+    nodes = checkpointed(nodes.select("fp", "wide", "node", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash")))
     edges = verified(links(nodes, 11, limit), nodes, docs, shingle, similarity)
     return classes(rows, nodes, ["fp", "wide"], edges).select("doc_id", "component_id")
 
