@@ -83,3 +83,37 @@ def test_routes_reach_every_partner(slack):
     a, b = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= slack)
     assert all((x, home[y]) in reach for x, y in zip(a.tolist(), b.tolist()))
     assert len(reach) < 12 * len(points)
+
+
+def similar_classes(rows, similarity=0.8):
+    """doc_id -> smallest doc_id of its class, from the exact similarity of all pairs."""
+    import numpy as np
+
+    sets = [set(sv.shingles(t.encode(), 5)) for _, t, _ in rows]
+    alike = lambda a, b: not (a or b) or len(a & b) >= similarity * len(a | b)
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    label = np.arange(len(rows))
+    sv.merge_labels(label, *np.array(pairs, int).reshape(-1, 2).T)
+    least = {}
+    for (doc, _, _), k in zip(rows, label.tolist()):
+        least[k] = min(doc, least.get(k, doc))
+    return {r[0]: least[k] for r, k in zip(rows, label.tolist())}
+
+
+def found_classes(spark, rows):
+    return {r.doc_id: r.component_id for r in sv.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_copies_that_only_their_original_links(spark):
+    """Each copy is near to the original, and hardly any to another copy."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+    rows = [(1000, " ".join(base), 0)]
+    for i in range(250):
+        x = list(base)
+        for at in rnd.sample(range(5, 195), 3):
+            x[at] = f"new{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(x), 0))
+    want = similar_classes(rows)
+    assert len(set(want.values())) == 1
+    assert found_classes(spark, rows) == want

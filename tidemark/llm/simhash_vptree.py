@@ -50,6 +50,8 @@ MIN_SHARDS, MAX_SHARDS = 16, 1024
 SHARD_TARGET, SHARD_ROWS = 500_000, 2_000_000
 #: 64-bit words of the wide fingerprint that confirms links by similarity.
 WIDE_WORDS = 4
+#: Shingles of sets that are small: each of their shingles is a key of its own.
+SMALL_SET = 8
 BLOCKS = 4
 
 
@@ -86,19 +88,30 @@ def wide_simhash(text: bytes | None, size: int, words: int = WIDE_WORDS) -> byte
     return majority((b"".join([digest(x, s) for s in seeds]) for x in set(shingles(text, size))), 8 * words)
 
 
-def with_fingerprints(docs: DataFrame, shingle: int, index_shingle: int | None = None) -> DataFrame:
+def hashed_set(text: bytes | None, size: int) -> np.ndarray:
+    """The XXH3 hashes of a text's set of shingles in ascending order."""
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(x) for x in shingles(text, size)], np.uint64))
+
+
+def with_fingerprints(docs: DataFrame, shingle: int, index_shingle: int | None = None, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, fp) of each row; with ``index_shingle`` that is the size of fp's
-    shingles, and ``wide`` is a wide SimHash of shingles of ``shingle`` words."""
+    shingles, ``wide`` is a wide SimHash of shingles of ``shingle`` words, and of the set of
+    these there are the ``size``, a hash and the run keys for that similarity."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    length, tokens = run_size(similarity)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         out = [batch.column("doc_id"), batch.column("text_hash"), pa.array([simhash(x, index_shingle or shingle) for x in texts], pa.int64())]
         if index_shingle:
+            sets = [hashed_set(x, shingle) for x in texts]
             out.append(pa.array([wide_simhash(x, shingle) for x in texts], pa.binary()))
-        return pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "fp", "wide"][: len(out)])
+            out.append(pa.array([len(x) for x in sets], pa.int32()))
+            out.append(pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], pa.uint64()).view(pa.int64()))
+            out.append(pa.array([run_keys(x, length, tokens) for x in sets], pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "fp", "wide", "size", "set_hash", "keys"][: len(out)])
 
-    schema = f"doc_id {kind}, text_hash bigint, fp bigint" + (", wide binary" if index_shingle else "")
+    schema = f"doc_id {kind}, text_hash bigint, fp bigint" + (", wide binary, size int, set_hash bigint, keys array<bigint>" if index_shingle else "")
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(by_batch(one), schema)
 
 
@@ -283,6 +296,91 @@ def links(nodes: DataFrame, distance: int, wide_distance: int | None = None) ->
     return dealt.groupBy("cell").applyInArrow(compare, "a bigint, b bigint")
 
 
+# --- links between classes --------------------------------------------------------
+
+
+def run_size(similarity: float) -> tuple[int, int]:
+    """The length of a run and the number of a set's least hashes in which runs are looked for.
+
+    Hashes order the union of two sets at random, so each place of it is shared with a chance
+    of the similarity. Shared places in a row lie next to each other in both sets as well. The
+    number makes the chance that a pair at the limit has no such run less than 1e-9. Sets no
+    larger than the number are looked at whole: what is not shared parts what is shared into
+    so few pieces that one is as long as a run, but for unions of ``SMALL_SET`` at most.
+    """
+    length = 3 if similarity >= 0.75 else 2 if similarity >= 0.6 else 1
+    state, tokens = [1.0] + [0.0] * (length - 1), 0  # chances of no run yet, by the length of the last
+    while sum(state) > 1e-9:
+        state, tokens = [sum(state) * (1 - similarity), *(x * similarity for x in state[:-1])], tokens + 1
+    return length, tokens
+
+
+def run_keys(hashes: np.ndarray, length: int, tokens: int) -> np.ndarray:
+    """Hashes of the runs among a set's least hashes; of a small set its hashes as well."""
+    least = hashes[:tokens]
+    keys = np.zeros(max(0, len(least) - length + 1), np.uint64)
+    for k in range(length):
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + least[k : k + len(keys)]
+    return (np.concatenate([keys, hashes]) if len(hashes) <= SMALL_SET else keys).view(np.int64)
+
+
+def class_pairs(node: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """All pairs (a, b) of nodes of different roots whose sizes allow the similarity."""
+    order = np.argsort(size, kind="stable")
+    node, size, root = node[order], size[order], root[order]
+    names, n = np.unique(root, return_counts=True)
+    most = root == names[n.argmax()]  # pairs within the largest class are not even listed
+    x, xs, xr = node[~most], size[~most], root[~most]
+    for y, ys, yr, once in ((node[most], size[most], root[most], False), (x, xs, xr, True)):
+        low = np.searchsorted(ys, xs * similarity - 1e-6, "left")
+        n = np.searchsorted(ys * similarity, xs + 1e-6, "right") - low
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(x):  # in runs of about two million pairs
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, "right")))
+            m = n[at:stop]
+            i = np.repeat(np.arange(at, stop), m)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[at:stop], m)
+            apart = xr[i] < yr[j] if once else xr[i] != yr[j]
+            a, b = x[i[apart]], y[j[apart]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            at = stop
+
+
+def links_between(nodes: DataFrame, root: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of nodes of different classes that share a run key and whose sizes
+    allow the similarity. nodes: node, size, keys; root: (node, root), of other nodes the node."""
+    named = nodes.select("node", "size", "keys").join(root, "node", "left")
+    dealt = named.select(F.explode("keys").alias("key"), "node", "size", F.coalesce("root", "node").alias("root")).repartition("key").sortWithinPartitions("key")
+
+    def groups(parts: list) -> Iterator[pa.RecordBatch]:
+        key, node, size, root = (np.concatenate(x) for x in zip(*parts))
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        stops = np.append(starts[1:], len(key))
+        several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        for a, b in zip(starts[several].tolist(), stops[several].tolist()):
+            yield from class_pairs(node[a:b], size[a:b], root[a:b], similarity)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # what may belong to the key that the next batch begins with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in ("key", "node", "size", "root")]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if held and (last or held[-1][0][-1] != rows[0][0]):
+                yield from groups([*held, [c[:last] for c in rows]])
+                held = []
+            elif last:
+                yield from groups([[c[:last] for c in rows]])
+            held.append([c[last:] for c in rows])
+        if held:
+            yield from groups(held)
+
+    return dealt.mapInArrow(scan, "a bigint, b bigint").distinct()
+
+
 # --- components -------------------------------------------------------------------
 
 
@@ -332,8 +430,7 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     """The edges whose nodes' texts have that Jaccard similarity of shingle sets, exactly."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digest = xxhash.xxh3_64_intdigest
-        found = [np.unique(np.array([digest(x) for x in shingles(t, shingle)], np.uint64)).view(np.int64) for t in batch.column("text").to_pylist()]
+        found = [hashed_set(t, shingle).view(np.int64) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
     edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -353,19 +450,25 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float
     """(doc_id, component_id): classes of documents whose shingle sets have a Jaccard
     similarity of ``similarity`` or more.
 
-    Candidates differ in at most 11 bits of a 64-bit SimHash of word pairs, which
+    First candidates differ in at most 11 bits of a 64-bit SimHash of word pairs, which
     changes less under edits than one of longer shingles, and a 256-bit SimHash of the
     shingles proper puts their similarity near the limit or above. Of these a shard keeps a
     forest and each document's nearest partner, whose similarity is then computed exactly.
+    Most of a class hangs together by them. Then all pairs that lie in different classes yet
+    share a run of their sets' least hashes, as all but 1e-9 of the pairs at the limit do
+    whatever their SimHashes, have their similarity computed exactly as well.
     """
     cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
     limit = round(64 * WIDE_WORDS * float(np.arccos(cosine)) / np.pi) + 12  # two standard errors
-    rows = checkpointed(with_fingerprints(docs, shingle, index_shingle=2))
+    rows = with_fingerprints(docs, shingle, index_shingle=2, similarity=similarity)
+    rows = stored(rows.withColumn("node", F.xxhash64("fp", "wide", "set_hash")))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
-    nodes = rows.groupBy("fp", "wide").agg(first.alias("first")).withColumn("node", F.xxhash64("fp", "wide"))
-    nodes = checkpointed(nodes.select("fp", "wide", "node", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash")))
-    edges = verified(links(nodes, 11, limit), nodes, docs, shingle, similarity)
-    return classes(rows, nodes, ["fp", "wide"], edges).select("doc_id", "component_id")
+    same = [F.first(c).alias(c) for c in ("size", "keys")]
+    nodes = rows.groupBy("node", "fp", "wide").agg(first.alias("first"), *same)
+    nodes = stored(nodes.select("fp", "wide", "node", "size", "keys", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash")))
+    near = checkpointed(verified(links(nodes, 11, limit), nodes, docs, shingle, similarity))
+    others = verified(links_between(nodes, components(near), similarity), nodes, docs, shingle, similarity)
+    return classes(rows, nodes, ["node"], near.union(others)).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
