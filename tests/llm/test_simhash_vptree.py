@@ -117,3 +117,21 @@ def test_copies_that_only_their_original_links(spark):
     want = similar_classes(rows)
     assert len(set(want.values())) == 1
     assert found_classes(spark, rows) == want
+
+
+def test_contiguous_changes(spark):
+    """Pairs at a similarity of 0.80 to 0.85 by a passage appended or replaced."""
+    rnd = random.Random(6)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    rows = []
+    for k in range(300):
+        base = [word() for _ in range(200)]
+        n = rnd.randrange(36, 49) if k % 2 else rnd.randrange(12, 18)
+        at = rnd.randrange(5, 175)
+        other = base + [word() for _ in range(n)] if k % 2 else base[:at] + [word() for _ in range(n)] + base[at + n :]
+        rows += [(2 * k, " ".join(base), 0), (2 * k + 1, " ".join(other), 0)]
+    rows += [(1000 + k, " ".join(f"{k}s{x}" for x in range(k % 12)), 0) for k in range(24)]
+    rows += [(2000 + k, " ".join(f"{k}s{x}" for x in range(k % 12 + 1)), 0) for k in range(24)]
+    want = similar_classes(rows)
+    assert sum(i != c for i, c in want.items() if i < 600) == 300
+    assert found_classes(spark, rows) == want
