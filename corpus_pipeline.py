@@ -16,8 +16,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without lines whose template recurs across documents."""
-    out = line_templates.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, their texts without lines whose template recurs across documents,
+    those of 1 to 3 words in three documents at least."""
+    out = line_templates.dedup_lines(docs, short_docs=3).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

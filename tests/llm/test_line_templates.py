@@ -47,3 +47,11 @@ def test_long_document(spark):
     body = "\n".join(" ".join(f"{letters(i)}{k}" for k in "abcdef") for i in range(20_000))
     got = run(spark, [(1, "x", body), (2, "x", body)])
     assert got[0][1] == body and got[1][1] == "" and got[1][2:] == (20_000, 20_000)
+
+
+def test_short_lines_go_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"All rights reserved.\n\nword{letters(i)}\n文章\nsaid twice" if i < 2 else f"All rights reserved.\n\nword{letters(i)}\n文章", 0) for i in range(4)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()}
+    assert got == {0: docs.first().text, 1: f"\nword{letters(1)}\nsaid twice", 2: f"\nword{letters(2)}", 3: f"\nword{letters(3)}"}

@@ -10,7 +10,9 @@ digits generalised to ``<*>``. That gives two templates per line:
 
 A template that recurs in ``min_docs`` documents (``general_docs`` for general ones)
 is boilerplate or a copied passage: its first occurrence, by doc_id and line number,
-stays and every other line of it goes. Lines of fewer than ``min_tokens`` tokens stay.
+stays and every other line of it goes. Lines of fewer than ``min_tokens`` tokens have an
+exact template only, which recurs in ``short_docs`` documents; without that number they
+stay. Blank lines stay.
 
 Only (row key, line number, template hash) rows are shuffled to find recurring
 templates; counts are pre-aggregated by document, and a template that a third of all
@@ -35,24 +37,29 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import checkpointed, stored
 
 
-def templates(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8) -> DataFrame:
-    """(row_key, doc_id, line_no, exact, general): template hashes of the lines that have some."""
+def templates(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8, short: bool = False) -> DataFrame:
+    """(row_key, doc_id, line_no, exact, general): template hashes of the lines that have some;
+    with ``short`` also those of lines of fewer than ``min_tokens`` tokens, in a column short."""
     lines = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # Most lines hold single spaces only, which plain searches tell faster than the pattern.
     spaced = [F.contains("line", F.lit(c)) for c in ("  ", "\t", "\r", "\f", "\x0b")]
     plain = F.trim(F.when(reduce(or_, spaced), F.regexp_replace("line", "[ \\t\\r\\f\\x0B]+", " ")).otherwise(F.col("line")))
     # Counted before numbers are generalised, which changes no token's bounds: the filter moves
     # below the projection, and what it uses is computed once more there.
-    lines = lines.withColumn("n", F.length(plain) - F.length(F.replace(plain, F.lit(" "))) + 1).where(F.col("n") >= min_tokens)
+    lines = lines.withColumn("n", F.length(plain) - F.length(F.replace(plain, F.lit(" "))) + 1)
+    lines = lines.where((plain != "") if short else F.col("n") >= min_tokens)
     lines = lines.withColumn("norm", F.regexp_replace(plain, "[0-9]+", "<*>"))
     lead, tail = F.expr("substring_index(norm, ' ', (2 * n + 4) div 5)"), F.expr("substring_index(norm, ' ', -((7 * n + 19) div 20))")
     general = F.when(F.col("n") >= general_tokens, F.xxhash64("n", lead, tail))
-    return lines.select("row_key", "doc_id", "line_no", F.xxhash64("norm").alias("exact"), general.alias("general"))
+    norm, long = F.xxhash64("norm"), F.col("n") >= min_tokens
+    found = [F.when(long, norm).alias("exact"), F.when(long, general).alias("general"), F.when(~long, norm).alias("short")] if short else [norm.alias("exact"), general.alias("general")]
+    return lines.select("row_key", "doc_id", "line_no", *found)
 
 
-def dropped_lines(found: DataFrame, min_docs: int = 2, general_docs: int = 3) -> DataFrame:
+def dropped_lines(found: DataFrame, min_docs: int = 2, general_docs: int = 3, short_docs: int | None = None) -> DataFrame:
     """(row_key, dropped): the numbers of the lines that repeat a recurring template."""
-    each = F.explode(F.array(F.struct(F.lit(min_docs).alias("need"), F.col("exact").alias("template")), F.struct(F.lit(general_docs).alias("need"), F.col("general").alias("template"))))
+    needs = [(min_docs, "exact"), (general_docs, "general")] + ([(short_docs, "short")] if short_docs is not None else [])
+    each = F.explode(F.array(*[F.struct(F.lit(need).alias("need"), F.col(c).alias("template")) for need, c in needs]))
     rows = found.select("row_key", "doc_id", "line_no", each.alias("t")).select("row_key", "doc_id", "line_no", "t.need", "t.template").where("template is not null")
     by_doc = rows.groupBy("need", "template", "doc_id").agg(F.min("line_no").alias("line_no"))
     stats = by_doc.groupBy("need", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line_no")).alias("first"))
@@ -62,11 +69,11 @@ def dropped_lines(found: DataFrame, min_docs: int = 2, general_docs: int = 3) ->
     return later.groupBy("row_key").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8, min_docs: int = 2, general_docs: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8, min_docs: int = 2, general_docs: int = 3, short_docs: int | None = None) -> DataFrame:
     """The documents with their columns, text without repeated lines, and a struct ``lines_report``
     of n_lines and n_dropped."""
-    found = stored(templates(docs, min_tokens, general_tokens))
-    dropped = dropped_lines(found, min_docs, general_docs).withColumnRenamed("row_key", "_row_key").withColumnRenamed("dropped", "_dropped")
+    found = stored(templates(docs, min_tokens, general_tokens, short_docs is not None))
+    dropped = dropped_lines(found, min_docs, general_docs, short_docs).withColumnRenamed("row_key", "_row_key").withColumnRenamed("dropped", "_dropped")
     # The split text crosses the join, so that it is split once and not for each line.
     others = [F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns) if c != "text"]
     rows = docs.select(*others, F.xxhash64("doc_id", "text").alias("_key"), F.split("text", "\n").alias("_lines"))
