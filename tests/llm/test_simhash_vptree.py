@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ def test_matches_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(sv, "SHARD_TARGET", 25)
     monkeypatch.setattr(sv, "SHARD_ROWS", 40)
     monkeypatch.setattr(sv, "MIN_SHARDS", 1)
+    monkeypatch.setattr(sv, "FULL", 2)
     rows = fixture_rows()
     got = sv.simhash_components(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "fingerprint", "component_id").toPandas()
     want = sv.brute_force([r[:2] for r in rows])
@@ -68,27 +70,73 @@ def test_near_duplicates_by_similarity(spark):
     assert sorted(r.doc_id or -1 for r in got.collect()) == [-1, 3, 7, 8]
 
 
-@pytest.mark.parametrize("slack", [1, 2])
+@pytest.mark.parametrize("slack", [0, 1, 2])
 def test_routes_reach_every_partner(slack):
-    import numpy as np
-
     rng = np.random.default_rng(0)
-    points = rng.integers(0, 65536, 2000).astype(np.uint16)
-    tree = sv.grow_tree(points[:500], 12)
+    points = rng.integers(0, 1 << 21, 1500).astype(np.uint32)
+    points = np.concatenate([points, points[:700] ^ np.uint32(1 << 5), points[:700] ^ np.uint32(3 << 12)])
+    tree = sv.grow_tree(points[:900], 0, 64)
     home = np.zeros(len(points), int)
-    at, leaf = sv.route(tree, points, 0)
+    at, leaf = sv.route(tree, points, 0, 0)
+    assert sorted(at) == list(range(len(points)))
     home[at] = leaf
-    at, leaf = sv.route(tree, points, slack)
+    at, leaf = sv.route(tree, points, 0, slack)
     reach = set(zip(at.tolist(), leaf.tolist()))
     a, b = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= slack)
-    assert all((x, home[y]) in reach for x, y in zip(a.tolist(), b.tolist()))
-    assert len(reach) < 12 * len(points)
+    assert len(a) > len(points) * slack // 2 and all((x, home[y]) in reach for x, y in zip(a.tolist(), b.tolist()))
+
+
+def test_visits_grow_with_the_logarithm_of_the_shards():
+    rng = np.random.default_rng(1)
+    sample, asks = rng.integers(0, 1 << 21, 16384).astype(np.uint32), rng.integers(0, 1 << 21, 1000).astype(np.uint32)
+    visits = {n: len(sv.route(sv.grow_tree(sample, 0, n), asks, 0, 1)[0]) / len(asks) for n in (16, 256, 1024)}
+    assert visits[16] < 4 and visits[256] < 9 and visits[1024] < 13
+
+
+@pytest.mark.parametrize("distance", [0, 2, 4, 5])
+def test_candidates_hold_every_pair(distance, monkeypatch):
+    """In shards where many fingerprints share a block's value, and where few do."""
+    monkeypatch.setattr(sv, "FULL", 3)
+    monkeypatch.setattr(sv, "RUN", 500)
+    rng = np.random.default_rng(distance)
+    fps = rng.integers(-(2**63), 2**63 - 1, 200)
+    flips = lambda n: np.array([sum(1 << int(b) for b in rng.choice(63, rng.integers(0, distance + 3), replace=False)) for _ in range(n)], np.int64)
+    one_block = (fps & ~np.int64((1 << 21) - 1)) | np.int64(77)  # equal in the first tree's block
+    fps = np.concatenate([fps, one_block, np.tile(fps[:40], 5) ^ flips(200), np.tile(one_block[:3], 60) ^ flips(180)])
+    found, compared = set(), 0
+    for tree in range(3):
+        for p, q in sv.candidates(tree, fps, fps, distance):
+            compared += len(p)
+            close = np.bitwise_count(fps[p].view(np.uint64) ^ fps[q].view(np.uint64)) <= distance
+            found |= set(zip(p[close].tolist(), q[close].tolist()))
+    a, b = np.nonzero(np.bitwise_count(fps[:, None].view(np.uint64) ^ fps[None, :].view(np.uint64)) <= distance)
+    assert found == set(zip(a.tolist(), b.tolist())) and compared < len(fps) ** 2
+
+
+def test_no_text_is_lost_where_ids_repeat(spark):
+    rnd = random.Random(2)
+    a, b, c, d = (" ".join(f"w{rnd.randrange(3000)}" for _ in range(300)) for _ in range(4))
+    rows = [(1, a, 0), (1, b, 0), (2, b + " more", 0), (3, a, 0), (3, a, 0), (None, c, 0), (None, c, 0), (None, d, 0), (9, d, 0)]
+    got = sv.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (0, c), (9, d)])
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"w{i % 7919}x{i % 13}" for i in range(150_000))
+    rows = [(1, long, "a"), (2, long + " end", "b"), (3, "short text", "c"), (4, None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    for name in ("node", "component_id", "text_hash", "_id", "_first", "wide", "root"):
+        docs = docs.withColumn(name, F.col("fp"))
+    got = sv.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.node) for r in got.select("doc_id", "node").collect()) == [(1, "a"), (3, "c"), (4, "d")]
+    ids = {r.doc_id: r.component_id for r in sv.simhash_components(docs).collect()}
+    want = sv.brute_force([r[:2] for r in rows])
+    assert ids == dict(zip(want.doc_id, want.component_id))
 
 
 def similar_classes(rows, similarity=0.8):
     """doc_id -> smallest doc_id of its class, from the exact similarity of all pairs."""
-    import numpy as np
-
     sets = [set(sv.shingles(t.encode(), 5)) for _, t, _ in rows]
     alike = lambda a, b: not (a or b) or len(a & b) >= similarity * len(a | b)
     pairs = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]

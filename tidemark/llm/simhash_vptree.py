@@ -2,18 +2,25 @@
 
 How links are found
 -------------------
-Two 64-bit fingerprints that differ in at most ``d`` bits differ in at most
-``d // 4`` bits of at least one of their four 16-bit blocks. So one vantage-point
-tree is kept per block, under the Hamming distance of that block, and searched with
-radius ``d // 4``:
-
-* a bounded sample of fingerprints fixes vantage points and radii (``TREE_SAMPLE``
-  rows; they set the balance of the shards, never which links are found);
-* each fingerprint lives in one shard of each tree. As a query it follows a branch
-  only where the triangle bound allows a partner within the radius, so it visits
-  its own shard and those whose boundary its ball overlaps;
-* a shard compares queries and residents over all 64 bits, exactly, in numpy, and
-  returns a spanning forest of the links it found, not all pairs.
+Two 64-bit fingerprints that differ in at most ``d`` bits differ in at most ``d // 3``
+bits of at least one of three blocks of 21 or 22 bits. So one vantage-point tree is kept
+per block and searched with radius ``d // 3``:
+
+* a node parts its points by their Hamming distance to a vantage point, taken over one
+  range of about seven bits of the block; a bounded sample of fingerprints fixes vantage
+  points and radii (they set the balance of the shards, never which links are found);
+* each fingerprint lives in one shard of each tree. As a query it follows a branch only
+  where the triangle bound allows a partner within the radius. Bounds of one range are
+  alternatives, the greatest counts; bounds of different ranges add up, because the bits
+  are different ones. That keeps the shards a query visits to a number that grows with
+  the logarithm of the number of shards: in all three trees 10 of 48, 23 of 768, 32 of
+  3072 and 43 of 12288 for random fingerprints;
+* a shard looks its queries' values, up to the radius, up among its residents'. Where more
+  than ``FULL`` residents share a value, the other bits are cut into ``d + 1`` parts, of
+  which a partner has at least one in common, and the value is looked up together with each
+  part. What is left, 22 or 23 of 2^21 of the shard's residents or, where they are many,
+  some hundredth of these, is compared over all 64 bits, exactly, in numpy. A shard returns
+  a spanning forest of the links it found, not all pairs.
 
 Shards that hold more than ``SHARD_ROWS`` rows are dealt out as a grid of
 (resident part, query part) tasks, so that memory stays bounded for any group of
@@ -23,8 +30,11 @@ and small-star steps, checkpointed to the shared folder.
 
 Edge cases: a null or wordless text has fingerprint zero and links like any other;
 a null doc_id is fingerprinted and linked, but never is the smallest doc_id (a class
-of only such rows has a null component); repeated rows appear as often as given; an
-empty table gives an empty result. Columns other than doc_id and text are ignored.
+of only such rows has a null component); repeated rows appear as often as given, and
+rows that share a doc_id but not a text are judged one by one; a text of any length is
+hashed whole, in parts of 65,536 shingles; an empty table gives an empty result. Columns
+other than doc_id and text are ignored by the searches, whatever their names, and pass
+through ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -36,23 +46,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_batch, checkpointed, stored, thinned
 
-#: Rows of the sample that fixes the trees' vantage points and radii.
-TREE_SAMPLE = 4096
-#: Shards of one tree at least and at most. A shard looks partners up by block value, so it
-#: may be large; more shards would only make each query visit more of them.
-MIN_SHARDS, MAX_SHARDS = 16, 1024
+#: Rows of the sample that fixes the trees' vantage points and radii, at least and by shard.
+TREE_SAMPLE, SAMPLE_PER_SHARD = 4096, 16
+#: Shards of one tree at least and at most.
+MIN_SHARDS, MAX_SHARDS = 16, 16_384
 #: Fingerprints beyond which a tree gets more shards, and rows beyond which a shard is split.
 SHARD_TARGET, SHARD_ROWS = 500_000, 2_000_000
 #: 64-bit words of the wide fingerprint that confirms links by similarity.
 WIDE_WORDS = 4
 #: Shingles of sets that are small: each of their shingles is a key of its own.
 SMALL_SET = 8
-BLOCKS = 4
+#: Width of each tree's block of bits and of the ranges of it that its nodes look at.
+BLOCKS, RANGES = (21, 21, 22), ((7, 7, 7), (7, 7, 7), (7, 7, 8))
+#: Residents with one value beyond which their other bits are looked up as well.
+FULL = 256
+#: Pairs that are compared at once.
+RUN = 2_000_000
 
 
 # --- fingerprints -----------------------------------------------------------------
@@ -119,65 +133,90 @@ def with_fingerprints(docs: DataFrame, shingle: int, index_shingle: int | None =
 
 
 def block(fp: np.ndarray, tree: int) -> np.ndarray:
-    return (fp.view(np.uint64) >> np.uint64(16 * tree)).astype(np.uint16)
+    """The bits of a tree's block."""
+    return ((fp.view(np.uint64) >> np.uint64(sum(BLOCKS[:tree]))) & np.uint64((1 << BLOCKS[tree]) - 1)).astype(np.uint32)
 
 
-def grow_tree(sample: np.ndarray, shards: int) -> list:
-    """A tree as nested [vantage, radius, inner, outer], or a leaf as an int.
+def rest(fp: np.ndarray, tree: int) -> np.ndarray:
+    """The bits outside a tree's block, put together."""
+    low, fp = np.uint64(sum(BLOCKS[:tree])), fp.view(np.uint64)
+    high = fp >> (low + np.uint64(BLOCKS[tree])) if tree + 1 < len(BLOCKS) else np.zeros_like(fp)
+    return (high << low) | (fp & ((np.uint64(1) << low) - np.uint64(1)))
 
-    It splits the fullest branch by the sample's median distance until there are
-    ``shards`` leaves or no sampled branch can be divided.
+
+def in_range(values: np.ndarray, tree: int, part: int) -> np.ndarray:
+    return (values >> np.uint32(sum(RANGES[tree][:part]))) & np.uint32((1 << RANGES[tree][part]) - 1)
+
+
+def grow_tree(sample: np.ndarray, tree: int, shards: int) -> list:
+    """A tree as nested [range, vantage, radius, inner, outer], or a leaf as an int.
+
+    Levels take the ranges in turn. A node's vantage point and radius are those, of a few, for
+    which the fewest points lie beside the boundary for what the split tells. Branches get leaves
+    by their share of the sample until there are ``shards`` or none can be divided.
     """
     count = 0
 
-    def grow(points: np.ndarray, want: int):
+    def grow(points: np.ndarray, want: int, level: int):
         nonlocal count
+        found = None
         if want > 1 and len(points) > 1:
-            # Of a few candidates the one whose distances spread most prunes best.
-            picks = points[:: max(1, len(points) // 8)][:8]
-            vantage = max(picks, key=lambda v: float(np.var(np.bitwise_count(points ^ v))))
-            away = np.bitwise_count(points ^ vantage)
-            radius = int(np.median(away))
-            if radius == away.max():
-                radius -= 1
-            inner = away <= radius
-            if 0 < inner.sum() < len(points):
-                part = min(want - 1, max(1, round(want * inner.mean())))
-                return [int(vantage), radius, grow(points[inner], part), grow(points[~inner], want - part)]
-        count += 1
-        return count - 1
-
-    return grow(sample, shards)
-
-
-def route(tree, points: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+            part = level % len(RANGES[tree])
+            values = in_range(points, tree, part)
+            for vantage in values[:: max(1, len(values) // 16)][:16]:
+                away = np.bitwise_count(values ^ vantage)
+                for radius in {int(np.median(away)), int(np.median(away)) - 1}:
+                    share = float((away <= radius).mean())
+                    if 0 < share < 1:
+                        tells = -share * np.log2(share) - (1 - share) * np.log2(1 - share)
+                        beside = float(((away == radius) | (away == radius + 1)).mean())
+                        cost = (beside if tells > 0.6 else 2.0) / tells
+                        if found is None or cost < found[0]:
+                            found = cost, int(vantage), radius, away <= radius
+            if found is None and level < 8 * len(RANGES[tree]):  # all alike in this range, perhaps not in the next
+                return grow(points, want, level + 1)
+        if found is None:
+            count += 1
+            return count - 1
+        _, vantage, radius, inner = found
+        some = min(want - 1, max(1, round(want * inner.mean())))
+        return [part, vantage, radius, grow(points[inner], some, level + 1), grow(points[~inner], want - some, level + 1)]
+
+    return grow(sample, shards, 0)
+
+
+def route(root, points: np.ndarray, tree: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of ``points`` and the leaves they reach: with slack 0 each one's home,
     else every leaf that the ball of that radius overlaps."""
     at, leaf = [], []
 
-    def walk(node, rows: np.ndarray) -> None:
+    def walk(node, rows: np.ndarray, bounds: np.ndarray) -> None:
         if not len(rows):
             return
         if isinstance(node, int):
             at.append(rows)
             leaf.append(np.full(len(rows), node, np.int32))
             return
-        vantage, radius, inner, outer = node
-        away = np.bitwise_count(points[rows] ^ np.uint16(vantage)).astype(np.int16)
-        walk(inner, rows[away <= radius + slack])
-        walk(outer, rows[away > radius - slack])
-
-    walk(tree, np.arange(len(points)))
+        part, vantage, radius, inner, outer = node
+        away = np.bitwise_count(in_range(points[rows], tree, part) ^ np.uint32(vantage)).astype(np.int8)
+        for branch, beyond in ((inner, away - radius), (outer, radius + 1 - away)):
+            least = bounds.copy()
+            np.maximum(least[:, part], beyond, out=least[:, part])
+            near = least.sum(axis=1) <= slack
+            walk(branch, rows[near], least[near])
+
+    walk(root, np.arange(len(points)), np.zeros((len(points), len(RANGES[tree])), np.int8))
     empty = [np.zeros(0, np.int64)]
     return np.concatenate(at or empty), np.concatenate(leaf or empty)
 
 
 def grow_forest(nodes: DataFrame, total: int) -> list:
     """One tree per block, from a bounded sample in the order of a hash."""
-    sample = thinned(nodes.select("fp"), ["fp"], TREE_SAMPLE, F.lit(total)).orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(TREE_SAMPLE).collect()
-    fps = np.array([r.fp for r in sample], np.int64)
     shards = min(MAX_SHARDS, max(MIN_SHARDS, -(-total // SHARD_TARGET)))
-    return [grow_tree(block(fps, t), shards) for t in range(BLOCKS)]
+    want = max(TREE_SAMPLE, SAMPLE_PER_SHARD * shards)
+    sample = thinned(nodes.select("fp"), ["fp"], want, F.lit(total)).orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(want).collect()
+    fps = np.array([r.fp for r in sample], np.int64)
+    return [grow_tree(block(fps, t), t, shards) for t in range(len(BLOCKS))]
 
 
 # --- links inside a shard ---------------------------------------------------------
@@ -197,6 +236,61 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = shorter
 
 
+def pairs_of(order: np.ndarray, low: np.ndarray, size: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The residents order[low : low + size] of each query, in runs of about RUN pairs, one query at least."""
+    ends, at = np.cumsum(size), 0
+    while at < len(q):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN, "right")))
+        n = size[at:stop]
+        yield order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:stop], n)], np.repeat(q[at:stop], n)
+        at = stop
+
+
+def candidates(tree: int, home: np.ndarray, asks: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(p, q): residents and queries whose values in the tree's block are within the radius;
+    of values with more than FULL residents those that share a part of the other bits."""
+    values, asked = block(home, tree), block(asks, tree)
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    present = np.zeros(1 << BLOCKS[tree], bool)
+    present[values] = True
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    crowd = np.repeat(np.diff(np.append(starts, len(ordered))), np.diff(np.append(starts, len(ordered)))) > FULL
+    crowded = order[crowd]  # residents whose value more than FULL share
+    cuts = [round(i * (64 - BLOCKS[tree]) / (distance + 1)) for i in range(distance + 2)]
+    others = []
+
+    def with_part(value: np.ndarray, bits: np.ndarray, i: int) -> np.ndarray:
+        width = np.uint64(cuts[i + 1] - cuts[i])
+        return (value.astype(np.uint64) << width) | ((bits >> np.uint64(cuts[i])) & ((np.uint64(1) << width) - np.uint64(1)))
+
+    if len(crowded):
+        far = rest(asks, tree)
+        for i in range(distance + 1):
+            key = with_part(values[crowded], rest(home[crowded], tree), i)
+            by = np.argsort(key, kind="stable")
+            others.append((crowded[by], key[by]))
+    for k in range(distance // len(BLOCKS) + 1):
+        for bits in combinations(range(BLOCKS[tree]), k):
+            near = asked ^ np.uint32(sum(1 << b for b in bits))
+            q = np.flatnonzero(present[near])
+            low, high = (np.searchsorted(ordered, near[q], side) for side in ("left", "right"))
+            many = high - low > FULL
+            if many.any():
+                ask = q[many]
+                found = []
+                for i, (by, key) in enumerate(others):
+                    want = with_part(near[ask], far[ask], i)
+                    begin, end = (np.searchsorted(key, want, side) for side in ("left", "right"))
+                    found.append((by, begin, end - begin))
+                # In a group of near copies most residents share most parts: no use in them.
+                better = sum(n for _, _, n in found) < (high - low)[many]
+                for by, begin, n in found:
+                    yield from pairs_of(by, begin[better], n[better], ask[better])
+                many[np.flatnonzero(many)[~better]] = False
+            yield from pairs_of(order, low[~many], (high - low)[~many], q[~many])
+
+
 def shard_links(tree: int, home: np.ndarray, asks: np.ndarray, distance: int, wide: tuple | None = None, wide_distance: int = 0, same: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Labels of the concatenation of home and asks after linking every pair within the
     distance (and, given wide fingerprints, within their distance too); and, given those and
@@ -204,33 +298,17 @@ def shard_links(tree: int, home: np.ndarray, asks: np.ndarray, distance: int, wi
     wide fingerprint, -1 for none."""
     label = np.arange(len(home) + len(asks))
     nearest, least = np.full(len(asks), -1), np.full(len(asks), 1 << 30)
-    values = block(home, tree)
-    order = np.argsort(values, kind="stable")
-    start = np.searchsorted(values[order], np.arange(65537))
-    asked = block(asks, tree)
-    everyone = np.arange(len(asks))
-    masks = [sum(1 << b for b in bits) for k in range(distance // BLOCKS + 1) for bits in combinations(range(16), k)]
-    for mask in masks:
-        near = asked ^ np.uint16(mask)
-        low, size = start[near], start[near.astype(np.int64) + 1] - start[near]
-        ends = np.cumsum(size)
-        at = 0
-        while at < len(asks):  # queries in runs of about two million pairs, one query at least
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, "right")))
-            n = size[at:stop]
-            q = np.repeat(everyone[at:stop], n)
-            p = order[np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:stop], n)]
-            close = np.bitwise_count(home[p].view(np.uint64) ^ asks[q].view(np.uint64)) <= distance
-            q, p = q[close], p[close]
-            if wide is not None and len(q):
-                differ = np.bitwise_count(wide[0][p] ^ wide[1][q]).sum(axis=1, dtype=np.int32)
-                near = differ <= wide_distance
-                q, p, differ = q[near], p[near], differ[near]
-                better = np.flatnonzero((same[0][p] != same[1][q]) & (differ < least[q]))
-                better = better[np.argsort(-differ[better], kind="stable")]  # of one query the nearest is written last
-                nearest[q[better]], least[q[better]] = p[better], differ[better]
-            merge_labels(label, p, q + len(home))
-            at = stop
+    for p, q in candidates(tree, home, asks, distance):
+        close = np.bitwise_count(home[p].view(np.uint64) ^ asks[q].view(np.uint64)) <= distance
+        q, p = q[close], p[close]
+        if wide is not None and len(q):
+            differ = np.bitwise_count(wide[0][p] ^ wide[1][q]).sum(axis=1, dtype=np.int32)
+            near = differ <= wide_distance
+            q, p, differ = q[near], p[near], differ[near]
+            better = np.flatnonzero((same[0][p] != same[1][q]) & (differ < least[q]))
+            better = better[np.argsort(-differ[better], kind="stable")]  # of one query the nearest is written last
+            nearest[q[better]], least[q[better]] = p[better], differ[better]
+        merge_labels(label, p, q + len(home))
     return label, nearest
 
 
@@ -241,29 +319,30 @@ def links(nodes: DataFrame, distance: int, wide_distance: int | None = None) ->
     wide fingerprints each node's nearest partner in each shard is linked to it as well.
     """
     total = nodes.count()
-    forest, slack = grow_forest(nodes, total), distance // BLOCKS
+    forest, slack = grow_forest(nodes, total), distance // len(BLOCKS)
     columns = ["node", "fp"] + (["wide"] if wide_distance is not None else [])
     nodes = nodes.select(*columns)
 
     def reached(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = batch.column("fp").to_numpy()
-        found = [(t << 16) | route(forest[t], block(fp, t), slack)[1].astype(np.int64) for t in range(BLOCKS)]
+        found = [(t << 16) | route(forest[t], block(fp, t), t, slack)[1].astype(np.int64) for t in range(len(BLOCKS))]
         shard, n = np.unique(np.concatenate(found), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(n)], ["shard", "n"])
 
-    # One row per shard: at most BLOCKS * MAX_SHARDS of them. Its queries include its residents.
+    # One row per shard: at most three times MAX_SHARDS of them. Its queries include its residents.
     held = nodes.mapInArrow(by_batch(reached), "shard bigint, n bigint").groupBy("shard").agg(F.sum("n").alias("n")).collect()
-    parts = {r.shard: -(-r.n // SHARD_ROWS) for r in held}
+    split = np.ones((len(BLOCKS), MAX_SHARDS), np.int64)
+    for r in held:
+        split[r.shard >> 16, r.shard & 0xFFFF] = -(-r.n // SHARD_ROWS)
 
     def deal(batch: pa.RecordBatch) -> pa.Table:
         fp, node = batch.column("fp").to_numpy(), batch.column("node").to_numpy()
         own = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         tables = []
-        for t in range(BLOCKS):
+        for t in range(len(BLOCKS)):
             for asks in (False, True):
-                rows, leaf = route(forest[t], block(fp, t), slack if asks else 0)
-                split = np.array([parts.get((t << 16) | x, 1) for x in range(MAX_SHARDS)], np.int64)
-                n = split[leaf]
+                rows, leaf = route(forest[t], block(fp, t), t, slack if asks else 0)
+                n = split[t, leaf]
                 rows, leaf, each = np.repeat(rows, n), np.repeat(leaf, n), np.repeat(n, n)
                 other = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
                 mine = (own[rows] % np.maximum(each, 1).astype(np.uint64)).astype(np.int64)
@@ -406,22 +485,31 @@ def components(edges: DataFrame) -> DataFrame:
         size = state
 
 
+def rooted(nodes: DataFrame, key: list[str], edges: DataFrame) -> DataFrame:
+    """(key, first, root): the nodes with the root of their component."""
+    root = components(edges)
+    return checkpointed(nodes.join(root, "node", "left").select(*key, "first", F.coalesce("root", "node").alias("root")))
+
+
 def classes(rows: DataFrame, nodes: DataFrame, key: list[str], edges: DataFrame) -> DataFrame:
     """rows with component_id, the smallest doc_id that links reach from each row's node."""
-    root = components(edges)
-    rooted = nodes.join(root, "node", "left").select(*key, "rep", F.coalesce("root", "node").alias("root"))
-    rooted = checkpointed(rooted)
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select(*[F.col(k).alias(f"_{k}") for k in key], "component_id")
+    named = rooted(nodes, key, edges)
+    least = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    named = named.join(least, "root").select(*[F.col(k).alias(f"_{k}") for k in key], "component_id")
     same = [F.col(k) == F.col(f"_{k}") for k in key]
     return rows.join(named, same).drop(*[f"_{k}" for k in key])
 
 
+def first_row() -> Column:
+    """The least (doc_id, text_hash) of a group, rows without a doc_id after all others."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) of every row: documents whose SimHash
     fingerprints differ in at most ``distance`` bits are linked."""
     rows = checkpointed(with_fingerprints(docs, shingle))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("node", F.col("fp")))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.struct(F.min("doc_id").alias("doc_id")).alias("first")).withColumn("node", F.col("fp")))
     out = classes(rows, nodes, ["fp"], links(nodes, distance))
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
@@ -435,10 +523,10 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
     edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     linked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    named = checkpointed(nodes.select("node", F.col("rep").alias("doc_id"), "text_hash").join(linked, "node"))
+    named = checkpointed(nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).join(linked, "node"))
     # One document stands for each node: its copies, however many, are not brought together.
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(named, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+    texts = texts.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text").dropDuplicates(["node"])
     known = stored(texts.mapInArrow(by_batch(sets), "node bigint, shingles array<bigint>"))
     side = lambda c: known.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     both = edges.join(side("a"), "a").join(side("b"), "b")
@@ -446,39 +534,45 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return both.where(shared >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
 
 
-def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): classes of documents whose shingle sets have a Jaccard
-    similarity of ``similarity`` or more.
+def near_duplicates(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, edges): the rows with their node, that is their set of shingles; one row per
+    node; and links between nodes whose components are those of all pairs of the similarity.
 
-    First candidates differ in at most 11 bits of a 64-bit SimHash of word pairs, which
+    First candidates differ in at most 5 bits of a 64-bit SimHash of word pairs, which
     changes less under edits than one of longer shingles, and a 256-bit SimHash of the
     shingles proper puts their similarity near the limit or above. Of these a shard keeps a
     forest and each document's nearest partner, whose similarity is then computed exactly.
-    Most of a class hangs together by them. Then all pairs that lie in different classes yet
-    share a run of their sets' least hashes, as all but 1e-9 of the pairs at the limit do
-    whatever their SimHashes, have their similarity computed exactly as well.
+    Then all pairs that lie in different classes yet share a run of their sets' least hashes,
+    as all but 1e-9 of the pairs at the limit do whatever their SimHashes, have their
+    similarity computed exactly as well.
     """
     cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
     limit = round(64 * WIDE_WORDS * float(np.arccos(cosine)) / np.pi) + 12  # two standard errors
     rows = with_fingerprints(docs, shingle, index_shingle=2, similarity=similarity)
     rows = stored(rows.withColumn("node", F.xxhash64("fp", "wide", "set_hash")))
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
     same = [F.first(c).alias(c) for c in ("size", "keys")]
-    nodes = rows.groupBy("node", "fp", "wide").agg(first.alias("first"), *same)
-    nodes = stored(nodes.select("fp", "wide", "node", "size", "keys", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash")))
-    near = checkpointed(verified(links(nodes, 11, limit), nodes, docs, shingle, similarity))
+    nodes = stored(rows.groupBy("node", "fp", "wide").agg(first_row().alias("first"), *same))
+    near = checkpointed(verified(links(nodes, 5, limit), nodes, docs, shingle, similarity))
     others = verified(links_between(nodes, components(near), similarity), nodes, docs, shingle, similarity)
-    return classes(rows, nodes, ["node"], near.union(others)).select("doc_id", "component_id")
+    return rows, nodes, near.union(others)
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents without all but the smallest doc_id of each near-duplicate class.
+def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row: classes of documents whose shingle sets have a
+    Jaccard similarity of ``similarity`` or more."""
+    rows, nodes, edges = near_duplicates(docs, shingle, similarity)
+    return classes(rows, nodes, ["node"], edges).select("doc_id", "component_id")
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id all stay.
-    """
-    stay = near_duplicate_classes(docs, shingle, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each near-duplicate class: that of the smallest doc_id, of several such that of
+    the least hash of its text. A row without a doc_id stays only where its class has none other."""
+    _, nodes, edges = near_duplicates(docs, shingle, similarity)
+    stay = rooted(nodes, [], edges).groupBy("root").agg(F.min("first").alias("_first")).select(F.col("_first.doc_id").alias("_stay_id"), F.col("_first.text_hash").alias("_stay_hash"))
+    own = [F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*own, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    kept = rows.join(stay, F.col("_id").eqNullSafe(F.col("_stay_id")) & (F.col("_hash") == F.col("_stay_hash")), "left_semi").dropDuplicates(["_id", "_hash"])
+    return kept.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def brute_force(rows: list[tuple], shingle: int = 4, distance: int = 4) -> pd.DataFrame:
