@@ -54,3 +54,60 @@ def test_empty_tables(spark):
     assert not sa.contamination(spark.createDataFrame(docs, DOCS), none).where("contaminated").count()
     assert sa.contamination(spark.createDataFrame([], DOCS), spark.createDataFrame(items, ITEMS)).count() == 0
     assert sa.decontaminate(spark.createDataFrame(docs, DOCS), none).count() == len(docs)
+
+
+def test_longest_match_against_plain_loops(spark, monkeypatch):
+    """Also over several blocks, and for items and texts that repeat themselves."""
+    rnd = random.Random(8)
+    items = [(i, " ".join(rnd.choice("abc") for _ in range(n)), "") for i, n in enumerate([9, 14, 30, 3, 60])] + [(5, "a " * 20, ""), (6, "a b " * 9, "")]
+    docs = [(i, " ".join(rnd.choice("abcd") for _ in range(60)), 0) for i in range(30)] + [(40, "a " * 33 + "d " + "a b " * 5, 0), (41, items[4][1] + " a", 0)]
+
+    def plain(text, window):
+        best, words = (0, 0), text.split()
+        for _, t, _ in items:
+            w = t.split()
+            size = min(window, len(w))
+            for s in range(len(w) - size + 1):
+                for p in range(len(words) - size + 1):
+                    n = 0
+                    while p + n < len(words) and s + n < len(w) and words[p + n] == w[s + n]:
+                        n += 1
+                    best = max(best, (n, -p) if n >= size else best)
+        return (best[0], -best[1]) if best[0] else (0, None)
+
+    for chars in (10**6, 40):
+        monkeypatch.setattr(sa, "BLOCK_CHARS", chars)
+        got = sa.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), window=5).collect()
+        for r in got:
+            assert (r.longest, r.longest_at) == plain(dict(d[:2] for d in docs)[r.doc_id], 5)
+
+
+def test_long_items_and_texts_take_linear_space():
+    import tracemalloc
+
+    rnd = random.Random(1)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(200_000)]
+    text, same = " ".join(words).encode(), b"a " * 200_000
+    tracemalloc.start()
+    tests = sa.TestWindows([("long", text), ("same", same)], 13)
+    found = sa.match_shard([b"x y " + text, same + b"z", text[:100], b"clean words only"], tests)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["longest"] == [200_000, 200_000, len(text[:100].split()) - (text[100:101] != b" "), 0]
+    assert found["longest_at"][:2] == [2, 0] and found["items"] == [["long"], ["same"], ["long"], []]
+    assert peak < 1_000_000_000
+
+
+def test_clashing_columns(spark, monkeypatch):
+    docs, items = tables()
+    names = ["text_hash", "_id", "_text", "longest", "items", "_hash", "_before", "is_last"]
+    wide = spark.createDataFrame(docs, DOCS).selectExpr("*", *[f"'{n}' as {n}" for n in names])
+    tests = spark.createDataFrame(items, ITEMS).selectExpr("*", "1 as doc_id", "2 as text_hash")
+    seen = []
+    for chars in (10**6, 60):
+        monkeypatch.setattr(sa, "BLOCK_CHARS", chars)
+        kept = sa.decontaminate(wide, tests, window=4)
+        assert kept.columns == wide.columns
+        seen.append(sorted((r.doc_id, r.text or "", r.text_hash, r._before) for r in kept.collect()))
+        assert sa.contamination(wide, tests, window=4).count() == len(docs)
+    assert seen[0] == seen[1] and {r[2:] for r in seen[0]} == {("text_hash", "_before")}
