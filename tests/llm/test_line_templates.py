@@ -55,3 +55,69 @@ def test_short_lines_go_in_the_pipeline(spark):
     docs = spark.createDataFrame([(i, f"All rights reserved.\n\nword{letters(i)}\n文章\nsaid twice" if i < 2 else f"All rights reserved.\n\nword{letters(i)}\n文章", 0) for i in range(4)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()}
     assert got == {0: docs.first().text, 1: f"\nword{letters(1)}\nsaid twice", 2: f"\nword{letters(2)}", 3: f"\nword{letters(3)}"}
+
+
+def plain(rows):
+    """The same result by plain loops over (doc_id, text) of distinct ids."""
+    import re
+    from collections import defaultdict
+
+    lines = [(d, i, re.sub("[0-9]+", "<*>", " ".join(x.split())).split(" ")) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
+    lines = [(d, i, t) for d, i, t in lines if t != [""]]
+    leaf = lambda t: (len(t), tuple(t[: min(4, (2 * len(t) + 4) // 5)]))
+    docs, holders = defaultdict(set), defaultdict(set)
+    for d, _, t in lines:
+        docs[leaf(t)].add(d)
+        for k, w in enumerate(t):
+            holders[leaf(t), k, w].add(d)
+    groups = defaultdict(set)
+    for d, i, t in lines:
+        groups[3 if len(t) < 4 else 2, tuple(t), "exact"].add((d, i))
+        if len(t) >= 8 and len(docs[leaf(t)]) >= 3:
+            fixed = [len(holders[leaf(t), k, w]) > 1 for k, w in enumerate(t)]
+            if sum(fixed) >= 0.75 * len(t):
+                groups[3, tuple(w if f else "<*>" for w, f in zip(t, fixed)), "general"].add((d, i))
+    gone = {x for (need, _, _), places in groups.items() if len({d for d, _ in places}) >= need for x in places - {min(places)}}
+    return {d: t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+
+
+def test_matches_plain_loops(spark):
+    import random
+
+    rnd = random.Random(4)
+    frames = ["signed by {} at the {} office of the northern {} on a day", "{} of the", "total {} items", "a b c {} d e f g", "one two three four five six seven {}", "{} two three four five six seven eight"]
+    words = [letters(i) for i in range(40)] + ["red", "blue"] * 8
+    rows = [(i, "\n".join(re_fill(rnd, rnd.choice(frames), words) for _ in range(rnd.randrange(6)))) for i in range(120)] + [(500, None), (501, "")]
+    want = plain(rows)
+    got = {r[0]: r[1] for r in run(spark, [(d, "x", t) for d, t in rows])}
+    assert got == want and sum(want[d] != t for d, t in rows) > 50
+
+
+def re_fill(rnd, frame, words):
+    while "{}" in frame:
+        frame = frame.replace("{}", rnd.choice(words), 1)
+    return frame
+
+
+def test_a_field_at_the_end_and_two_fields(spark):
+    line = "the meeting was held in {} and was well attended by all of our {}"
+    rows = [(i, "x", line.format(a, b)) for i, (a, b) in enumerate([("rome", "friends"), ("oslo", "members"), ("bonn", "guests"), ("lyon", "staff")])]
+    assert [r[1] for r in run(spark, rows)] == [rows[0][2], "", "", ""]
+
+
+def test_short_lines_and_their_limit(spark):
+    rows = [(i, "x", "Read more\n文章\nalone " + letters(i) + ("\ntwice here" if i < 2 else "")) for i in range(3)]
+    assert [r[1] for r in run(spark, rows)] == [rows[0][2], "alone " + letters(1) + "\ntwice here", "alone " + letters(2)]
+    assert [r[1] for r in run(spark, rows, short_docs=4)] == [r[2] for r in rows]
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    line = "the very same words in a line"
+    rows = [(1, line, "r"), (1, "other words that are alone here\n" + line, "r"), (2, line, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines_report string")
+    for name in ("row_key", "line", "n", "norm", "t1", "leaf", "_key", "_dropped", "dropped", "_in_0"):
+        docs = docs.withColumn(name, docs.doc_id)
+    got = lt.dedup_lines(docs)
+    assert sorted(got.columns) == sorted(docs.columns)
+    # Of one doc_id two texts hold the line: the ids tell no order, so that both first places stay.
+    assert sorted((r.doc_id, r.text, r.leaf) for r in got.collect())[-1] == (2, "", 2)

@@ -1,29 +1,34 @@
 """Line deduplication with a log-template tree, in DataFrame operations only.
 
-A line is parsed at fixed depth: its number of tokens, then its leading tokens, with
-digits generalised to ``<*>``. That gives two templates per line:
+A line is parsed at fixed depth, with digits generalised to ``<*>``:
 
-* the exact one, all tokens with numbers generalised;
-* for lines of ``general_tokens`` tokens or more a general one: the token count, the
-  leading two fifths and the trailing seven twentieths of the tokens, so that at
-  least 75 % of the tokens agree and one field in between is free.
+* level 1 is its number of tokens, level 2 its leading tokens: two fifths of them, four at
+  most. That names a leaf;
+* in a leaf a token is a fixed part of its place if it stands there in two documents at
+  least; any other token is a variable field and becomes ``<*>`` as well. A line whose
+  tokens are fixed to ``fixed_share`` has the leaf's tokens and fields as its general
+  template; lines of fewer than ``general_tokens`` tokens have none;
+* every line that is not blank has an exact template, all its tokens.
 
-A template that recurs in ``min_docs`` documents (``general_docs`` for general ones)
-is boilerplate or a copied passage: its first occurrence, by doc_id and line number,
-stays and every other line of it goes. Lines of fewer than ``min_tokens`` tokens have an
-exact template only, which recurs in ``short_docs`` documents; without that number they
-stay. Blank lines stay.
+A template that recurs in ``min_docs`` documents (``general_docs`` for general ones,
+``short_docs`` for exact ones of fewer than ``min_tokens`` tokens) is boilerplate or a copied
+passage: its first occurrence, by doc_id and line number, stays and every other line of
+it goes. Blank lines stay.
 
-Only (row key, line number, template hash) rows are shuffled to find recurring
+Only (doc_id, text hash, line number, template hashes) rows are shuffled to find recurring
 templates; counts are pre-aggregated by document, and a template that a third of all
-lines share meets a single row of statistics in a join that adaptive execution can
-split. Whole texts move once, to meet the numbers of their dropped lines.
+lines share meets a single row of statistics in a join that adaptive execution can split.
+Tokens are looked at only in leaves that recur in ``general_docs`` documents, and there
+once for each different line, whose text is fetched from one of its documents. Whole
+texts move once, to meet the numbers of their dropped lines.
 
 Edge cases: a null text stays null and has no lines; an empty text is one empty line;
 if all lines go the text becomes empty; rows with equal doc_id and text are treated
 alike and count as one document; a null doc_id counts as one document that comes
-first; other columns pass through. Template hashes are 64-bit: two different templates
-share one with a chance of about 1e-19 a pair.
+first; very long texts are split whole, and a very long line is hashed, not carried;
+other columns pass through, but for an own ``lines_report``, which is replaced. Exact
+and general templates are compared by two independent 64-bit hashes: two different ones
+are taken for the same with a chance of about 3e-39 a pair.
 """
 
 from __future__ import annotations
@@ -31,56 +36,93 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, stored
 
 
-def templates(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8, short: bool = False) -> DataFrame:
-    """(row_key, doc_id, line_no, exact, general): template hashes of the lines that have some;
-    with ``short`` also those of lines of fewer than ``min_tokens`` tokens, in a column short."""
-    lines = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def plain_line(line: Column) -> Column:
+    """A line with single spaces between its tokens and none around them."""
     # Most lines hold single spaces only, which plain searches tell faster than the pattern.
-    spaced = [F.contains("line", F.lit(c)) for c in ("  ", "\t", "\r", "\f", "\x0b")]
-    plain = F.trim(F.when(reduce(or_, spaced), F.regexp_replace("line", "[ \\t\\r\\f\\x0B]+", " ")).otherwise(F.col("line")))
-    # Counted before numbers are generalised, which changes no token's bounds: the filter moves
-    # below the projection, and what it uses is computed once more there.
-    lines = lines.withColumn("n", F.length(plain) - F.length(F.replace(plain, F.lit(" "))) + 1)
-    lines = lines.where((plain != "") if short else F.col("n") >= min_tokens)
-    lines = lines.withColumn("norm", F.regexp_replace(plain, "[0-9]+", "<*>"))
-    lead, tail = F.expr("substring_index(norm, ' ', (2 * n + 4) div 5)"), F.expr("substring_index(norm, ' ', -((7 * n + 19) div 20))")
-    general = F.when(F.col("n") >= general_tokens, F.xxhash64("n", lead, tail))
-    norm, long = F.xxhash64("norm"), F.col("n") >= min_tokens
-    found = [F.when(long, norm).alias("exact"), F.when(long, general).alias("general"), F.when(~long, norm).alias("short")] if short else [norm.alias("exact"), general.alias("general")]
-    return lines.select("row_key", "doc_id", "line_no", *found)
-
-
-def dropped_lines(found: DataFrame, min_docs: int = 2, general_docs: int = 3, short_docs: int | None = None) -> DataFrame:
-    """(row_key, dropped): the numbers of the lines that repeat a recurring template."""
-    needs = [(min_docs, "exact"), (general_docs, "general")] + ([(short_docs, "short")] if short_docs is not None else [])
-    each = F.explode(F.array(*[F.struct(F.lit(need).alias("need"), F.col(c).alias("template")) for need, c in needs]))
-    rows = found.select("row_key", "doc_id", "line_no", each.alias("t")).select("row_key", "doc_id", "line_no", "t.need", "t.template").where("template is not null")
-    by_doc = rows.groupBy("need", "template", "doc_id").agg(F.min("line_no").alias("line_no"))
-    stats = by_doc.groupBy("need", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    spaced = [F.contains(line, F.lit(c)) for c in ("  ", "\t", "\r", "\f", "\x0b")]
+    return F.trim(F.when(reduce(or_, spaced), F.regexp_replace(line, "[ \\t\\r\\f\\x0B]+", " ")).otherwise(line))
+
+
+def without_digits(plain: Column) -> Column:
+    return F.regexp_replace(plain, "[0-9]+", "<*>")
+
+
+def two_hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def templates(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8) -> DataFrame:
+    """(doc_id, row_key, line_no, short, t1, t2, leaf) of the lines that are not blank: the hashes of
+    the exact template, and that of the leaf for lines of ``general_tokens`` tokens or more."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    plain = plain_line(F.col("line"))
+    # Counted before numbers are generalised, which changes no token's bounds.
+    lines = lines.where(plain != "").withColumn("n", F.length(plain) - F.length(F.replace(plain, F.lit(" "))) + 1)
+    lines = lines.withColumn("norm", without_digits(plain))
+    lead = F.expr("substring_index(norm, ' ', least(4, (2 * n + 4) div 5))")
+    leaf = F.when(F.col("n") >= general_tokens, F.xxhash64("n", lead)).alias("leaf")
+    return lines.select("doc_id", "row_key", "line_no", (F.col("n") < min_tokens).alias("short"), *two_hashes(F.col("norm")), leaf)
+
+
+def general_templates(docs: DataFrame, found: DataFrame, general_docs: int, fixed_share: float) -> DataFrame:
+    """(t1, t2, g1, g2): the general template of exact templates that have one."""
+    deep = found.where("leaf is not null")
+    leaves = deep.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= general_docs)
+    doc = F.struct("doc_id")  # a null id is a document too
+    at = F.min(F.struct("doc_id", "row_key", "line_no")).alias("at")
+    members = checkpointed(deep.join(leaves.select("leaf"), "leaf").groupBy("leaf", "t1", "t2").agg(F.min(doc).alias("least"), F.max(doc).alias("most"), at))
+    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
+    fetched = texts.join(members, F.col("_id").eqNullSafe(F.col("at.doc_id")) & (F.col("_key") == F.col("at.row_key")))
+    norm = without_digits(plain_line(F.get(F.split("text", "\n"), F.col("at.line_no"))))
+    fetched = fetched.select("leaf", "t1", "t2", "least", "most", norm.alias("norm")).dropDuplicates(["t1", "t2"])
+    tokens = checkpointed(fetched.select("leaf", "t1", "t2", "least", "most", F.posexplode(F.split("norm", " ")).alias("place", "token")))
+    fixed = tokens.groupBy("leaf", "place", "token").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    fixed = fixed.where(~F.col("least").eqNullSafe(F.col("most"))).select("leaf", "place", "token", F.lit(True).alias("fixed"))
+    parts = tokens.select("leaf", "t1", "t2", "place", "token").join(fixed, ["leaf", "place", "token"], "left")
+    part = F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("part"))
+    lines = parts.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.count("fixed").alias("fixed"), F.count("*").alias("n"))
+    text = F.concat_ws("|", F.col("n").cast("string"), F.array_join("parts.part", " "))
+    return lines.where(F.col("fixed") >= fixed_share * F.col("n")).select("t1", "t2", *[h.alias(f"g{i}") for i, h in enumerate(two_hashes(text), 1)])
+
+
+def later_lines(rows: DataFrame, need: Column) -> DataFrame:
+    """The lines (doc_id, row_key, line_no, t1, t2, short) but for the first of each template,
+    of templates that stand in ``need`` documents."""
+    by_doc = rows.groupBy("t1", "t2", "short", "doc_id").agg(F.min("line_no").alias("line_no"))
+    stats = by_doc.groupBy("t1", "t2", "short").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line_no")).alias("first"))
     # Written, so that the join deals out its rows anew and a hot template can be split.
-    recurring = checkpointed(stats.where("docs >= need").select("need", "template", "first"))
-    later = rows.join(recurring, ["need", "template"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
-    return later.groupBy("row_key").agg(F.collect_set("line_no").alias("dropped"))
+    recurring = checkpointed(stats.where(F.col("docs") >= need).select("t1", "t2", "first"))
+    later = rows.join(recurring, ["t1", "t2"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
+    return later.select("doc_id", "row_key", "line_no")
+
+
+def dropped_lines(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8, min_docs: int = 2, general_docs: int = 3, short_docs: int = 3, fixed_share: float = 0.75) -> DataFrame:
+    """(doc_id, row_key, dropped): the numbers of the lines that repeat a recurring template."""
+    found = stored(templates(docs, min_tokens, general_tokens))
+    general = checkpointed(general_templates(docs, found, general_docs, fixed_share))
+    alike = found.where("leaf is not null").join(general, ["t1", "t2"]).select("doc_id", "row_key", "line_no", "short", F.col("g1").alias("t1"), F.col("g2").alias("t2"))
+    exact = later_lines(found.drop("leaf"), F.when(F.col("short"), short_docs).otherwise(min_docs))
+    return exact.union(later_lines(alike, F.lit(general_docs))).groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8, min_docs: int = 2, general_docs: int = 3, short_docs: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8, min_docs: int = 2, general_docs: int = 3, short_docs: int = 3, fixed_share: float = 0.75) -> DataFrame:
     """The documents with their columns, text without repeated lines, and a struct ``lines_report``
     of n_lines and n_dropped."""
-    found = stored(templates(docs, min_tokens, general_tokens, short_docs is not None))
-    dropped = dropped_lines(found, min_docs, general_docs, short_docs).withColumnRenamed("row_key", "_row_key").withColumnRenamed("dropped", "_dropped")
+    dropped = dropped_lines(docs.select("doc_id", "text"), min_tokens, general_tokens, min_docs, general_docs, short_docs, fixed_share)
+    dropped = dropped.select(F.col("doc_id").alias("_drop_id"), F.col("row_key").alias("_drop_key"), F.col("dropped").alias("_dropped"))
     # The split text crosses the join, so that it is split once and not for each line.
     others = [F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns) if c != "text"]
-    rows = docs.select(*others, F.xxhash64("doc_id", "text").alias("_key"), F.split("text", "\n").alias("_lines"))
-    rows = rows.join(dropped, F.col("_key") == F.col("_row_key"), "left")
+    rows = docs.select(*others, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.split("text", "\n").alias("_lines"))
+    rows = rows.join(dropped, F.col("_id").eqNullSafe(F.col("_drop_id")) & (F.col("_key") == F.col("_drop_key")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_dropped")
     text = F.when(F.col("_dropped").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
     n_lines = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
     report = F.struct(n_lines.alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
-    back = [text.alias(c) if c == "text" else F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    back = [text.alias(c) if c == "text" else F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns) if c != "lines_report"]
     return rows.select(*back, report.alias("lines_report"))

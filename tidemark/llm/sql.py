@@ -13,10 +13,21 @@ WITH split AS (
   SELECT *, regexp_replace(trim(regexp_replace(line, '[ \t\r\f\x0B]+', ' ', 'g')), '[0-9]+', '<*>', 'g') AS norm FROM split
 ), toks AS (
   SELECT *, string_split(norm, ' ') AS t, len(string_split(norm, ' ')) AS n FROM norms
+), parsed AS (
+  SELECT *, array_to_string(t[1:least(4, (2 * n + 4) // 5)], ' ') AS lead FROM toks WHERE norm <> ''
+), leaves AS (
+  SELECT n, lead FROM parsed WHERE n >= 8 GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 3
+), parts AS (
+  SELECT doc_id, norm, n, lead, unnest(t) AS token, generate_subscripts(t, 1) AS place FROM parsed JOIN leaves USING (n, lead)
+), fixed AS (
+  SELECT n, lead, place, token, true AS is_fixed FROM parts GROUP BY n, lead, place, token HAVING count(DISTINCT doc_id) >= 2
+), general AS (
+  SELECT norm, concat(n, '|', string_agg(CASE WHEN is_fixed THEN token ELSE '<*>' END, ' ' ORDER BY place)) AS template
+  FROM (SELECT DISTINCT norm, n, lead, place, token FROM parts) LEFT JOIN fixed USING (n, lead, place, token) GROUP BY norm, n, lead HAVING 4 * count(is_fixed) >= 3 * n
 ), named AS (
-  SELECT doc_id, line_no, 2 AS need, norm AS template FROM toks WHERE n >= 4
+  SELECT doc_id, line_no, CASE WHEN n < 4 THEN 3 ELSE 2 END AS need, norm AS template FROM parsed
   UNION ALL
-  SELECT doc_id, line_no, 3, concat(n, '|', array_to_string(t[1:(2 * n + 4) // 5], ' '), '|', array_to_string(t[n - (7 * n + 19) // 20 + 1:n], ' ')) FROM toks WHERE n >= 8
+  SELECT doc_id, line_no, 3, template FROM parsed JOIN general USING (norm)
 ), stats AS (
   SELECT need, template, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM named GROUP BY ALL
 ), firsts AS (
