@@ -46,3 +46,30 @@ def test_batches_do_not_change_results(monkeypatch):
     monkeypatch.setattr(lid, "REMEMBERED", 20)
     parts = model.predict([r[1] for r in rows])
     assert whole[0] == parts[0] and max(abs(a - b) for a, b in zip(whole[1], parts[1])) < 1e-9
+
+
+def test_numbers_that_are_no_letters():
+    model = lid.fit([(t, x) for _, t, x, _ in corpus(60, 3)])
+    assert model.predict(["½ ² ①", "Ⅷ ¾", "_ 12", "\u0301"]) == (["und"] * 4, [0.0] * 4)
+    assert lid.words_in("a²b ½c Ⅷ élan") == ["a", "b", "c", "élan"]
+    assert model.predict(["thing² ther½"])[0] == ["aa"]
+
+
+def test_forward_backward_against_all_labellings():
+    """The label probabilities of short texts, from the weight of every labelling."""
+    import itertools
+    import math
+
+    model = lid.fit([(t, x) for _, t, x, _ in corpus(60, 5)])
+    for text in ("thing schkeit mente", "eau", "ther ther ung ción", "WHING, 12 los"):
+        words = lid.words_in(text)
+        emit = [[sum(model.weight[f][y] for f in lid.word_features(w, model.lexicon) if f >= 0) for y in range(len(model.langs))] for w in words]
+        share = [[0.0] * len(model.langs) for _ in words]
+        for labels in itertools.product(range(len(model.langs)), repeat=len(words)):
+            weight = math.exp(sum(emit[i][y] for i, y in enumerate(labels)) + sum(model.transit[a][b] for a, b in itertools.pairwise(labels)))
+            for i, y in enumerate(labels):
+                share[i][y] += weight
+        total = sum(share[0])
+        means = [sum(s[y] for s in share) / total / len(words) for y in range(len(model.langs))]
+        langs, scores = model.predict([text])
+        assert langs == [model.langs[max(range(len(means)), key=means.__getitem__)]] and abs(scores[0] - max(means)) < 1e-9

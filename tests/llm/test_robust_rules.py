@@ -68,3 +68,33 @@ def test_fast_mcd_ignores_a_cluster():
     away = np.einsum("ij,jk,ik->i", x - centre, precision, x - centre)
     assert np.abs(centre).max() < 0.5 and away[300:].min() > away[:300].max()
     assert abs(rr.chi2_quantile(0.0) - 4.351) < 0.02 and abs(rr.chi2_quantile(3.0902) - 20.515) < 0.3
+
+
+def test_repeated_rows_do_not_switch_off_an_estimate(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, body, "en", "a", 0)] * 3000 + [(8, " | ".join("###" for _ in range(80)), "en", "a", 0)]
+    got = rr.reject(spark.createDataFrame(rows, SCHEMA))
+    assert got.where("cutoff is null").count() == 0
+    kept = {(r.doc_id, r.kept) for r in got.select("doc_id", "kept").distinct().collect()}
+    assert (7, True) in kept
+
+
+def test_concentration_against_a_whole_group(spark):
+    """Distances of a group by FAST-MCD over all its rows in numpy: the same rows go."""
+    rows = corpus(700, 5)
+    rows = [(i, t, "en", "one", 0) for i, t, _, _, _ in rows]
+    out = rr.reject(spark.createDataFrame(rows, SCHEMA), sample=700)
+    measured = rr.measured(spark.createDataFrame(rows, SCHEMA)).where("not base_failed").select("doc_id", *[s.alias(f"s{i}") for i, s in enumerate(rr.statistics())]).toPandas()
+    x = measured[[f"s{i}" for i in range(rr.DIM)]].to_numpy()
+    centre, precision = rr.fast_mcd(x, 0.75, starts=200, steps=20)
+    away = np.einsum("ij,jk,ik->i", x - centre, precision, x - centre)
+    cutoff = max(np.median(away) / rr.chi2_quantile(0.0), 1.0) * rr.chi2_quantile(5.0)
+    want = dict(zip(measured.doc_id, away <= cutoff))
+    got = {r.doc_id: r.kept for r in out.collect()}
+    assert np.mean([got[i] == want[i] for i in want]) > 0.99
+
+
+def test_very_long_text(spark):
+    rows = [(1, " ".join(f"w{i % 9973}" for i in range(300_000)), "en", "a", 0), (2, "x" * 1_000_000, "en", "a", 0)]
+    got = {r.doc_id: r for r in rr.reject(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].n_words == 300_000 and got[1].base_failed and (got[2].n_words, got[2].word_chars) == (1, 1_000_000)

@@ -41,3 +41,11 @@ def test_repeats_empty_rules_and_empty_pages(spark):
     assert ur.judge(pages.limit(0), none).count() == 0
     null = spark.createDataFrame([(None, "/", "block", 0), ("com", None, "block", 0)], RULES)
     assert {r.verdict for r in ur.judge(pages, null).collect()} == {"allow"}
+
+
+def test_hosts_of_many_labels(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "example.com/x"), (2, "http://" + "b" * 100_000 + "/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("example.com", "/x", "block", 0)], "host string, path string, verdict string, tier int")
+    from tidemark.llm import url_rules
+
+    assert {r.page_id: r.verdict for r in url_rules.judge(pages, rules).collect()} == {1: "block", 2: "allow"}

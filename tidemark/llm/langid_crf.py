@@ -11,9 +11,14 @@ The model is fitted on at most ``docs_per_lang`` documents of each language, in
 order of a hash of their id, and at most ``spans_per_doc`` spans of each. Prediction
 reads every row's whole text, and nothing but the text.
 
-Edge cases: null texts and texts without a letter are ``und`` with score 0; words
-without letters are skipped; without any labelled document every text with letters is
-``und`` with score 0; repeated rows are judged alike; extra columns are ignored.
+A word has at most ``SLOTS`` features: of a word of more than about a dozen bytes the
+n-grams nearest to its two ends. Texts of any length are labelled whole, word by word.
+
+Edge cases: null texts and texts without a letter (Unicode categories L) are ``und`` with
+score 0, whatever digits, fractions or marks they hold; other characters only part words;
+of languages with equal means the first by name is taken; without any labelled document
+every text with letters is ``und`` with score 0; repeated rows are judged alike; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import crf
 from tidemark.llm.common import by_batch, thinned
 
-#: Runs of letters.
+#: Runs of letters, and of what Unicode counts as numbers but not as decimal digits.
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
 SLOTS = 16
@@ -42,6 +47,14 @@ REMEMBERED = 400_000
 AT_ONCE = 400_000
 
 
+def words_in(text: str | None) -> list[str]:
+    """Runs of letters."""
+    words = WORD.findall(text or "")
+    if words and not text.isascii() and not all(map(str.isalpha, words)):
+        return [w for x in words for w in (x if x.isalpha() else "".join(c if c.isalpha() else " " for c in x)).split()]
+    return words
+
+
 def word_features(word: str, lexicon: frozenset[str]) -> list[int]:
     """Feature numbers of a word, at most SLOTS, padded with -1.
 
@@ -85,7 +98,7 @@ class LangModel:
 
     def label_words(self, texts: list[str | None]) -> list[list[tuple[str, str, float]]]:
         """For each text its words with the most likely language and its probability."""
-        split = [WORD.findall(t or "") for t in texts]
+        split = [words_in(t) for t in texts]
         p, _ = crf.posteriors(self.emissions([w for x in split for w in x]), np.array([len(x) for x in split]), self.transit)
         best, at, out = p.argmax(axis=1), 0, []
         for x in split:
@@ -104,7 +117,7 @@ class LangModel:
                 langs[i], scores[i] = self.langs[int(mean.argmax())], min(1.0, float(mean.max()))
 
         for i, text in enumerate(texts if self.langs else []):
-            words = WORD.findall(text or "")
+            words = words_in(text)
             if not words:
                 continue
             pending.append((i, words))
@@ -123,7 +136,7 @@ def fit(rows: list[tuple[str, str]], spans_per_doc: int = 6, span_words: int = 2
     langs = sorted({lang for _, lang in rows})
     spans, counts = [], {}
     for text, lang in sorted(rows):
-        words = WORD.findall(text)
+        words = words_in(text)
         for w in words:
             counts[w.lower()] = counts.get(w.lower(), 0) + 1
         for _ in range(min(spans_per_doc, 1 + len(words) // span_words) if words else 0):

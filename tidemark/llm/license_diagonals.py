@@ -14,7 +14,7 @@ The templates are a fixed list of a few hundred grams and are broadcast. Documen
 never shuffled for the search: only votes are, pre-aggregated.
 
 Edge cases: a null text is empty; documents with equal doc_id and text are judged
-alike; a null doc_id is allowed; very long texts are exploded word by word and never
+alike, and matched by both; a null doc_id is allowed; very long texts are exploded word by word and never
 held as one group; an empty table gives no rows; other columns are ignored.
 """
 
@@ -92,29 +92,29 @@ def template_grams(spark: SparkSession, templates: list[tuple]) -> DataFrame:
 
 
 def votes(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(row_key, template, label, kind, grams, diagonal, places): the template positions
+    """(doc_id, row_key, template, label, kind, grams, diagonal, places): the template positions
     that vote for each diagonal of a document and a template."""
     text = F.translate(F.col("text"), UPPER, LOWER)
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
-    rows = rows.select("row_key", F.posexplode(rolling(F.col("words"))).alias("pos", "g")).select("row_key", "pos", "g.*")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    rows = rows.select("doc_id", "row_key", F.posexplode(rolling(F.col("words"))).alias("pos", "g")).select("doc_id", "row_key", "pos", "g.*")
     words = [F.col(f"w{i}") for i in range(4)]
     rows = rows.withColumn("hash", F.explode(F.array(gram_hash(2, *words), gram_hash(4, *words))))
     same = (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")) & (F.col("t2").isNull() | ((F.col("w2") == F.col("t2")) & (F.col("w3") == F.col("t3"))))
     hits = rows.join(F.broadcast(grams), "hash").where(same)  # a fixed list of a few hundred rows
-    by = ["row_key", "template", "label", "kind", "grams", (F.col("pos") - F.col("at")).alias("diagonal")]
+    by = ["doc_id", "row_key", "template", "label", "kind", "grams", (F.col("pos") - F.col("at")).alias("diagonal")]
     return hits.groupBy(*by).agg(F.collect_set("at").alias("places"))
 
 
 def spans(voted: DataFrame, max_shift: int = 4, min_cover: float = 0.6) -> DataFrame:
-    """(row_key, label, kind, start, cover): verified spans, start in words from 0."""
-    phrases = voted.where((F.col("kind") != "passage") & (F.size("places") == F.col("grams"))).select("row_key", "label", "kind", F.col("diagonal").alias("start"), F.lit(1.0).alias("cover"))
-    along = W.partitionBy("row_key", "template").orderBy("diagonal")
+    """(doc_id, row_key, label, kind, start, cover): verified spans, start in words from 0."""
+    phrases = voted.where((F.col("kind") != "passage") & (F.size("places") == F.col("grams"))).select("doc_id", "row_key", "label", "kind", F.col("diagonal").alias("start"), F.lit(1.0).alias("cover"))
+    along = W.partitionBy("doc_id", "row_key", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > max_shift, F.lit(True)).cast("int")
     merged = voted.where("kind = 'passage'").withColumn("apart", apart).withColumn("band", F.sum("apart").over(along))
-    merged = merged.groupBy("row_key", "template", "label", "kind", "grams", "band").agg(
+    merged = merged.groupBy("doc_id", "row_key", "template", "label", "kind", "grams", "band").agg(
         F.min(F.col("diagonal") + F.array_min("places")).alias("start"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     merged = merged.withColumn("cover", F.size("places") / F.col("grams")).where(F.col("cover") >= min_cover)
-    return phrases.unionByName(merged.select("row_key", "label", "kind", "start", "cover"))
+    return phrases.unionByName(merged.select("doc_id", "row_key", "label", "kind", "start", "cover"))
 
 
 def scan(docs: DataFrame, phrases: list[tuple] = PHRASES, more: list[tuple] = MORE_PHRASES, passages: list[tuple] = PASSAGES) -> DataFrame:
@@ -126,11 +126,11 @@ def scan(docs: DataFrame, phrases: list[tuple] = PHRASES, more: list[tuple] = MO
     found = spans(checkpointed(votes(docs, template_grams(docs.sparkSession, templates))))
     base = F.col("kind") == "base"
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    of = found.groupBy(F.col("row_key").alias("_row_key")).agg(
+    of = found.groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row_key")).agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
         names(F.when(base, F.col("label"))).alias("base_labels"), names(F.col("label")).alias("labels"), F.max("cover").alias("score"))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = rows.join(of, F.col("row_key") == F.col("_row_key"), "left")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    out = rows.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_row_key")), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -5,18 +5,20 @@ lookup table per feature; then pairs of features, chosen by how much of the resi
 they explain, get two-dimensional tables in the same way. A score is the logistic of
 an intercept plus one table entry per feature and pair: additions over bin numbers.
 
-The model is fitted on at most ``max_rows`` labelled rows, taken in the order of a
-hash of their id; scoring covers every row and whole texts. Features come from the
-text alone.
-
-Edge cases: a null text scores like an empty one; unlabelled or contradictory rows
-are allowed; without any labelled row every score is 0.5 (predicted 1, nothing is
-filtered away); repeated rows score alike; extra columns are ignored by ``score``
-and kept by ``keep_good``.
+The model is fitted on at most ``max_rows`` labels, taken in the order of a hash of their
+id; scoring covers every row and whole texts. Features come from the text alone.
+
+Edge cases: a null text scores like an empty one; very long texts are read whole;
+unlabelled rows are allowed; of contradictory labels of one id each counts; of several
+texts of one labelled id the one with the least hash is learned from; without any labelled
+row every score is 0.5 (predicted 1, nothing is filtered away); a score of exactly 0.5 is
+predicted 1 and kept; repeated rows score alike; an empty table gives no rows; extra
+columns are ignored by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -174,16 +176,19 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 40,
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000) -> Gam:
     """A model of ``label`` from at most ``max_rows`` rows of labels and their documents."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y")).distinct()
     chosen = thinned(chosen, ["doc_id"], max_rows, F.lit(chosen.count()))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows rows of two numbers
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = rows.join(F.broadcast(chosen), "doc_id")  # max_rows rows of two numbers
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = matrix(batch.column("text").to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("text_hash"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "text_hash", "x"])
 
-    rows = texts.select("text", "y").mapInArrow(by_batch(one), "x array<double>, y double").limit(4 * max_rows).collect()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = texts.mapInArrow(by_batch(one), f"doc_id {kind}, y double, text_hash bigint, x array<double>")
+    rows = found.groupBy("doc_id", "y").agg(F.min_by("x", "text_hash").alias("x")).collect()  # max_rows at most
     rows.sort(key=lambda r: (r.y, r.x))  # sums of floats, and so ties between cuts, depend on the order
     return fit(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.y for r in rows]))
 
@@ -206,3 +211,13 @@ def keep_good(docs: DataFrame, model: Gam) -> DataFrame:
         return batch.filter(pa.array(model.score(matrix(batch.column("text").cast(pa.binary()).to_pylist())) >= 0.5))
 
     return docs.mapInArrow(by_batch(one), docs.schema)
+
+
+def brute_force(text: str | None, model: Gam) -> float:
+    """The score of a text by plain loops over bin edges, for tests."""
+    values, total = features(text and text.encode()), model.intercept
+    for value, edges, table in zip(values, model.edges, model.tables):
+        total += table[sum(e <= value for e in edges)]
+    for i, j, a, b, table in model.pairs:
+        total += table[sum(e <= values[i] for e in a)][sum(e <= values[j] for e in b)]
+    return 1 / (1 + math.exp(-min(30, max(-30, total))))

@@ -37,11 +37,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of each document by a model of four fifths of the ids."""
+    """Language of each document by a model of four fifths of the ids; a row without an id is
+    neither learned from nor held out."""
     docs = table(spark, sf_dir, "documents")
     fifth = F.crc32(F.col("doc_id").cast("string")) % 5
     out = langid_crf.predict(docs, langid_crf.train(docs.where(fifth != 0)))
-    return out.select("doc_id", (fifth == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fifth == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +52,12 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of each document by a model of the labels of two thirds of the ids."""
+    """Quality of each document by a model of the labels of two thirds of the ids; a row without
+    an id is neither learned from nor held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     third = F.crc32(F.col("doc_id").cast("string")) % 3
     out = quality_gam.score(docs, quality_gam.train(docs, labels.where(third != 1)))
-    return out.select("doc_id", (third == 1).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ nothing.
 
 Edge cases: a null text has no words and fails the base rules, as does an empty one;
 null lang or source are groups of their own; repeated rows are counted and judged one
-by one; groups of equal documents have a floor under each variance; an empty table
-gives no rows; extra columns are ignored.
+by one, in the sample as often as in the table; groups of equal documents have a floor under
+each variance; a document at the cut-off stays; very long texts are counted whole; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, checkpointed, stored, thinned
+from tidemark.llm.common import by_batch, checkpointed, stored
 
 #: Words in the windows whose repetition is counted.
 WINDOW = 8
@@ -211,8 +212,13 @@ def reject(docs: DataFrame, share: float = 0.75, sample: int = 400, least: int =
     rows = stored(rows)
     sound = rows.where("not base_failed").select("doc_id", "estimate", "members", "x")
 
-    order = W.partitionBy("estimate").orderBy(F.xxhash64("doc_id", "x"), "doc_id")
-    some = thinned(sound, ["doc_id", "x"], sample, F.col("members"))
+    # About three times as many rows of each group as are wanted, so that what is put in order stays
+    # small; of rows that repeat, their share of it to the next whole number by a hash.
+    alike = sound.groupBy("estimate", "members", "doc_id", "x").agg(F.count("*").alias("rows"))
+    by_chance = F.pmod(F.xxhash64("doc_id", "x", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
+    share_of = F.least(F.col("rows"), F.floor(F.col("rows") * F.least(F.lit(1.0), 3 * sample / F.col("members")) + by_chance))
+    order = W.partitionBy("estimate").orderBy(F.xxhash64("doc_id", "x", "copy"), "doc_id", "copy")
+    some = alike.withColumn("taken", share_of).where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken"))))
     some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("estimate", "x")
 
     def start(table: pa.Table) -> pa.Table:

@@ -10,8 +10,9 @@ Rules have a tier; the lowest tier that matches decides, in it the longest rule
 and path together, then the longer host); of equal rules ``block`` wins.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, which no
-rule fits; a URL may be repeated, as may a page_id; an empty rule table gives every
-page the default verdict; other columns of pages are ignored.
+rule fits; a URL may be repeated, as may a page_id; a very long URL is read whole, and
+expanded only to as many labels as the longest rule host has; an empty rule table gives
+every page the default verdict; other columns of pages are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ def digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat_ws(" ", host, path), 256)
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All (host suffix, path prefix) pairs, the path's prefixes of the given lengths."""
-    labels = F.split(host, "\\.")
-    suffixes = F.when(host != "", F.transform(labels, lambda _, i: F.concat_ws(".", F.slice(labels, i + 1, F.size(labels)))))
+def expressions(host: Column, path: Column, lengths: list[int], most_labels: int) -> Column:
+    """All (host suffix, path prefix) pairs, the suffixes of up to ``most_labels`` labels and
+    the path's prefixes of the given lengths."""
+    suffixes = F.when(host != "", F.array_distinct(F.array(*[F.substring_index(host, ".", -n) for n in range(1, most_labels + 1)])))
     wanted = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     pair = lambda s, n: F.struct(s.alias("host"), F.substring(path, 1, n).alias("path"))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(wanted, lambda n: pair(s, n))))
@@ -52,12 +53,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """
     # Distinct lengths of rule paths: as many at most as the longest path has characters.
     lengths = sorted(r[0] for r in rules.where("path is not null").select(F.length("path")).distinct().collect()) or [0]
+    most_labels = rules.select(F.max(F.size(F.split("host", "\\.")))).first()[0] or 1
     keyed = rules.where("host is not null and path is not null").select(
         digest(F.col("host"), F.col("path")).alias("rule_digest"),
         F.struct((-F.col("tier")).alias("order"), F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size"), F.col("verdict"), F.concat("host", "path").alias("rule")).alias("rule"))
     keyed = keyed.groupBy("rule_digest").agg(F.max("rule").alias("rule")).withColumn("rule_short", F.substring("rule_digest", 1, 8))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    asked = rows.withColumn("e", F.explode_outer(expressions(F.col("host"), F.col("path"), lengths)))
+    asked = rows.withColumn("e", F.explode_outer(expressions(F.col("host"), F.col("path"), lengths, most_labels)))
     asked = asked.withColumn("digest", digest(F.col("e.host"), F.col("e.path"))).withColumn("short", F.substring("digest", 1, 8))
     found = asked.join(keyed, F.col("short") == F.col("rule_short"), "left")
     confirmed = F.when(F.col("digest") == F.col("rule_digest"), F.col("rule"))
