@@ -84,3 +84,43 @@ def test_query_columns_and_redaction(spark, model):
     assert len(got) == 4 and all(r.s == want[r.doc_id] and r.h == hashlib.sha256(r.s.encode()).hexdigest() for r in got)
     assert [r.text for r in pii.redact(docs, model).orderBy("doc_id").collect()] == [None, "mail <email> now", "mail <email> now", ""]
     assert pii.find(docs.limit(0), model).count() == 0
+
+
+def test_lines_written_apart(model):
+    """Recall and precision on lines that share neither values nor sentences with the frames."""
+    from collections import Counter
+
+    from tests.llm.pii_lines import LINES
+
+    hit, all_of, false = Counter(), Counter(), 0
+    for (kind, value, line), (_, added) in zip(LINES, pii.all_spans([x[2] for x in LINES], model)):
+        got = {(line[a:b], k) for a, b, k in added}
+        all_of[kind] += 1
+        hit[kind] += (value, kind) in got
+        false += len(got - {(value, kind)})
+    found, wanted = sum(hit[k] for k in hit if k), sum(all_of[k] for k in all_of if k)
+    assert found >= 0.9 * wanted and found >= 0.9 * (found + false)
+    assert all(hit[k] >= 0.8 * all_of[k] for k in all_of if k)
+
+
+def test_viterbi_against_all_labellings(model):
+    """The labels of short lines are those of the greatest weight of all."""
+    import itertools
+
+    import numpy as np
+
+    for line in ("pw: hunter2x now", "call 020 7946 0958", "the key is here", "ann at mail dot com"):
+        words = pii.words_of(line)[:5]
+        shapes = [pii.word_shape(w) for w in words]
+        beside = pii.around(np.array([s[1] for s in shapes]), np.array([s[2] for s in shapes]), np.array([len(words)]))
+        emit = [[sum(model.weight[f][y] for f in [*shapes[i][0], *(int(b[i]) for b in beside)]) for y in range(len(pii.LABELS))] for i in range(len(words))]
+        weigh = lambda x: sum(emit[i][y] for i, y in enumerate(x)) + sum(model.transit[a][b] for a, b in itertools.pairwise(x))  # noqa: B023, E731
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=len(words)), key=weigh)
+        assert weigh(model.label([words]).tolist()) > weigh(best) - 1e-9
+
+
+def test_very_long_text_and_clashing_columns(spark, model):
+    long = "word " * 200_000 + "pw: hunter2x " + "x" * 300_000
+    docs = spark.createDataFrame([(1, long, "a", "b")], "doc_id long, text string, added string, spans string")
+    r = pii.find(docs, model).first()
+    assert [(s.start, s.kind) for s in r.added] == [(1_000_004, "secret")]

@@ -1,15 +1,20 @@
 """Personal data: exact base patterns, and a linear-chain CRF over word shapes for the rest.
 
 The base kinds (email, ip, card, phone) are regular expressions with checks. The random
-field labels the whitespace-separated words of each line from their shapes (classes of
-characters, length, hexadecimal or not), cue words before them and the shapes beside
-them. It is trained from a small table of labelled lines and decoded by Viterbi for all
-lines of a batch in step. Its spans (secret, ssn, iban, phone without a country code,
-email written out) are added where they touch no base span.
+field labels the words of each line (parted by whitespace, and after the = or : of a name)
+from their shapes (classes of characters, length, hexadecimal or not), cue words before
+them and the shapes beside them. It is trained from a small table of labelled lines and
+decoded by Viterbi for all lines of a batch in step. Its spans (secret, ssn, iban, phone
+without a country code, email written out) are added where they touch no base span; an
+iban, an ssn, a phone number and a written-out email must look like one as a whole.
+
+A word's features are of bounded size: its length up to 48, the classes of its first 64
+characters, its shape to 24. All of a text's words are labelled, and a span covers whole words.
 
 Edge cases: a null text is empty and has no spans; texts are read whole, in linear time
-whatever they hold; repeated rows are judged alike; an empty table gives no rows; extra
-columns are ignored by ``find``.
+whatever they hold; of equally likely labels the first in LABELS is taken; repeated rows
+are judged alike; an empty table gives no rows; extra columns are ignored by ``find`` and
+kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -85,16 +90,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # --- the random field -------------------------------------------------------------
 
 BUCKETS = 4096
-SLOTS = 7
 #: Cue words by what they announce.
 CUES = {
-    "token": 1, "key": 1, "api_key": 1, "apikey": 1, "secret": 1, "password": 1, "passwd": 1, "bearer": 1,
-    "ssn": 2, "social": 2, "iban": 3, "account": 3, "konto": 3, "call": 4, "tel": 4, "phone": 4, "fax": 4, "telefon": 4,
-    "mail": 5, "email": 5, "contact": 5, "at": 6, "dot": 7, "=": 8, ":": 8, ":=": 8, "is": 9,
+    "token": 1, "key": 1, "api_key": 1, "apikey": 1, "api-key": 1, "secret": 1, "password": 1, "passwd": 1, "bearer": 1,
+    "pw": 1, "pwd": 1, "pass": 1, "passphrase": 1, "passwort": 1, "credential": 1, "credentials": 1, "access_token": 1, "auth": 1, "client_secret": 1,
+    "ssn": 2, "social": 2, "iban": 3, "account": 3, "konto": 3, "call": 4, "tel": 4, "phone": 4, "fax": 4, "telefon": 4, "mobile": 4, "ring": 4, "text": 4,
+    "mail": 5, "email": 5, "contact": 5, "write": 5, "reach": 5, "at": 6, "dot": 7, "=": 8, ":": 8, ":=": 8, "=>": 8, "is": 9, "was": 9,
+    "no": 10, "order": 10, "ref": 10, "ticket": 10, "invoice": 10, "serial": 10, "part": 10, "isbn": 10, "page": 10, "version": 10, "item": 10,
+    "commit": 11, "sha": 11, "sha1": 11, "sha256": 11, "md5": 11, "hash": 11, "checksum": 11, "revision": 11, "rev": 11, "digest": 11, "uuid": 11, "id": 11,
 }
-N_CUES, N_COARSE = 11, 8  # the last cue stands for the edge of a line
+N_CUES, N_COARSE = 13, 8  # the last cue stands for the edge of a line
 
 _EDGE = "\"'`.,;:!?()[]{}<>*#$%&|=-"
+#: A name with the sign that ties it to a value, or a word.
+_TIED = re.compile(r"[A-Za-z_][\w.-]*[=:]+(?=[^\s=:/])|\S+")
 
 
 class _Classes(dict):
@@ -107,13 +116,24 @@ class _Classes(dict):
 
 
 _SHAPE = _Classes()
-#: What a written-out address must look like.
-_WRITTEN = re.compile(r"\S+ at \S+(?: dot \S+)+")
+#: What a span of a kind must look like as a whole.
+_LOOKS = {
+    "email": re.compile(r"\S+(?: [\[(]?dot[\])]? \S+)* [\[(]?at[\])]? \S+(?: [\[(]?dot[\])]? \S+)+", re.I),
+    "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}"),
+    "phone": re.compile(r"[(]?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}"),
+    "secret": re.compile(r"\S{6,}"),
+    "ssn": re.compile(r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}"),
+}
+
+
+def words_of(line: str) -> list[str]:
+    return _TIED.findall(line) if "=" in line or ":" in line else line.split()
+_SPACED = re.compile(r"\S+")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 
 
 def cue_of(word: str) -> int:
-    return CUES.get(word if word in ("=", ":", ":=") else word.lower().strip("\"'.,;:()<>="), 0)
+    return CUES.get(word if word in ("=", ":", ":=", "=>") else word.lower().strip("\"'.,;:()[]<>="), 0)
 
 
 def word_shape(word: str) -> tuple[list[int], int, int]:
@@ -126,13 +146,13 @@ def word_shape(word: str) -> tuple[list[int], int, int]:
     mixed = sum(a != b for a, b in zip(shape, shape[1:]))
     cue = cue_of(word)
     coarse = 0 if not core else 1 if core.isalpha() else 2 if core.isdigit() else 3 if long_hex else 4 if any(c.isdigit() for c in core) else 5
-    names = [f"s{short}", f"n{size}", f"h{long_hex}", f"m{min(mixed, 10)}", f"c{cue}", f"e{shape[:24]}" if len(shape) <= 24 else "e", f"q{word[:1] in _EDGE}{coarse}"]
+    names = [f"s{short}", f"n{size}", f"h{long_hex}", f"m{min(mixed, 10)}", f"c{cue}", f"e{shape[:24]}" if len(shape) <= 24 else "e", f"q{word[:1] in _EDGE}{coarse}", f"z{core[:1] == '0'}{size}", f"p{core[:3]}" if len(core) >= 16 else "p", f"t{word[-1:] in '=:'}{cue}"]
     return [zlib.crc32(n.encode()) % BUCKETS for n in names], cue, coarse
 
 
 def around(cue: np.ndarray, coarse: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """Feature numbers (after BUCKETS) of the cues of three words before each word and the
-    classes of the words beside it."""
+    """Feature numbers (after BUCKETS) of the cues of three words before and two after each
+    word and the classes of the words beside it."""
     ends = np.cumsum(lengths)
     place = np.arange(len(cue)) - np.repeat(ends - lengths, lengths)
     left = np.repeat(ends, lengths) - np.arange(len(cue)) - 1
@@ -142,13 +162,18 @@ def around(cue: np.ndarray, coarse: np.ndarray, lengths: np.ndarray) -> list[np.
         near[back:] = cue[:-back] if back < len(cue) else near[back:]
         out.append(base + np.where(place >= back, near, N_CUES - 1))
         base += N_CUES
+    for ahead in (1, 2):
+        near = np.full(len(cue), N_CUES - 1)
+        near[:-ahead] = cue[ahead:] if ahead < len(cue) else near[:-ahead]
+        out.append(base + np.where(left >= ahead, near, N_CUES - 1))
+        base += N_CUES
     for step, inside in ((1, place >= 1), (-1, left >= 1)):
         out.append(base + np.where(inside, np.roll(coarse, step), N_COARSE - 1))
         base += N_COARSE
     return out
 
 
-N_FEATURES = BUCKETS + 3 * N_CUES + 2 * N_COARSE
+N_FEATURES = BUCKETS + 5 * N_CUES + 2 * N_COARSE
 
 
 @dataclass
@@ -188,7 +213,7 @@ class PiiModel:
         for i, text in enumerate(texts):
             begin = 0
             for line in text.split("\n"):
-                if words := line.split():
+                if words := words_of(line):
                     lines.append(words)
                     places.append((i, begin))
                     size += len(words)
@@ -207,7 +232,8 @@ class PiiModel:
         for k in np.unique(np.searchsorted(ends, found, "right")):
             i, begin = places[k]
             stop = texts[i].find("\n", begin)
-            words = [m.span() for m in re.finditer(r"\S+", texts[i][begin : stop if stop >= 0 else None])]
+            line = texts[i][begin : stop if stop >= 0 else None]
+            words = [m.span() for m in (_TIED if "=" in line or ":" in line else _SPACED).finditer(line)]
             marks = label[ends[k] - len(lines[k]) : ends[k]]
             at = 0
             while at < len(marks):
@@ -221,15 +247,17 @@ class PiiModel:
                 whole = texts[i][a:b]
                 edge = _EDGE.replace("(", "") if marks[at] == LABELS.index("phone") else _EDGE
                 a, b = a + len(whole) - len(whole.lstrip(edge)), b - len(whole) + len(whole.rstrip(_EDGE))
-                if a < b and (LABELS[marks[at]] != "email" or _WRITTEN.fullmatch(texts[i], a, b)):
-                    out[i].append((a, b, LABELS[marks[at]]))
+                kind = LABELS[marks[at]]
+                if a < b and (kind not in _LOOKS or _LOOKS[kind].fullmatch(texts[i], a, b)):
+                    out[i].append((a, b, kind))
                 at = last + 1
 
 
 # --- the labelled table -----------------------------------------------------------
 
 #: Lines with the labelled part in braces, as kind and pattern: 9 a digit,
-#: h a hexadecimal digit, b a base-62 character, X a capital letter, w a made-up word.
+#: h a hexadecimal digit, b a base-62 character, q a sign, X a capital letter, w a made-up word,
+#: what angle brackets hold as it stands.
 FRAMES = [
     'w w w token = "{secret:hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh}" w w',
     "w, w token = {secret:hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh} w w w.",
@@ -238,11 +266,20 @@ FRAMES = [
     "bearer {secret:bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb} w w", "w w secret = \"{secret:hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh}\"### w&&& w***",
     "w ssn {ssn:999-99-9999} w w", "w w w ssn: {ssn:999-99-9999}, w.", "social security {ssn:999-99-9999} w", "w {ssn:999-99-9999} w w",
     "iban {iban:XX99 9999 9999 9999 9999 99} w w", "w w iban: {iban:XX99XXXX99999999999999} w", "w account {iban:XX9999999999999999999} w w",
-    "call {phone:(999) 999-9999} w w", "w tel {phone:999-999-9999} w.", "w phone: {phone:(999) 999-9999}, w w w", "w w w {phone:(999) 999-9999} w w",
+    "call {phone:(999) 999-9999} w w", "w tel {phone:999-999-9999} w.", "w phone: {phone:(999) 999-9999}, w w w", "w w w {phone:(999) 999-9999} w w", "w? {phone:(999) 999-9999}", "w w {phone:(999) 999-9999}.",
     "mail {email:w at w dot com} w w", "w email {email:w at w dot org} w", "contact {email:w at mail9 dot net}, w w",
     "w w w w w w w w. W w w w, w w.", "W w w. W w w w w w.", "w 9999 w w 99 w, w 999999 w.", "w w 9999-99-99 w w 99:99 w", "w v9.9.9 w w 99.9% w $99.99 w",
     "W!! W!! W!! W,!! W!! W!!", "w### w*** w&&& w$$$ w,%%% w.### w", "w | w | w, | W | w.", "w 9999999999999999 w w", "w w +9 (999) 999-9999 w w", "w 99.999.99.999 w w w.99@mail9.example.com w",
     "w w in the key of w w is w", "w token of w w, w at w w", "the token is w w w. w is w", "w account of w w w", "w call w w w, w mail w w", "w at w w. w dot w w", "W at the w, w.", "w secret w w, password w w.",
+    "password: {secret:w99}", "w password: {secret:w9999} w w", "pw={secret:bbqbqbbb} w", "w pw: {secret:qbbbqbbq9}, w w", "pwd={secret:bbbbbbqq99}", "passwort = {secret:w99q} w", "w w passphrase is {secret:w-w-w9} w", "the password is {secret:wq99} w w", "password was {secret:bbb9bbbb}. W w",
+    "w secret key {secret:<AKIA>XXXX99XXXX99XXXX} w", "{secret:<AKIA>XXX9XXX99XX9XXXX} w w", "w w {secret:<ghp_>bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb} w", "token: {secret:<ghp_>bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb}", "export TOKEN={secret:<ghp_>bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb}", "w {secret:<sk_live_>bbbbbbbbbbbbbbbbbbbbbbbb} w", "auth {secret:<eyJ>bbbbbbbbbbbbbb.<eyJ>bbbbbbbbbbbbbbbbbbb.bbbbbbbbbbbbbbbbb} w", "client_secret={secret:bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb}", "api_key={secret:hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh} w", "access_token => '{secret:bbbbbbbbbbbbbbbbbbbbbbbbbbbb}'", "w api-key: {secret:hhhhhhhh-hhhh-hhhh-hhhh-hhhhhhhhhhhh} w", "w {secret:<xoxb->999999999999-bbbbbbbbbbbbbbbbbbbbbbbb} w w",
+    "call {phone:099 9999 9999} w w", "w w {phone:09999 999999} w", "ring {phone:09999 999 999}, w", "tel {phone:09 99 99 99 99} w", "w mobile: {phone:0999 9999999} w", "fax {phone:0999/9999999} w w", "w phone {phone:999.999.9999} w", "text {phone:999-999-9999} w w", "w w {phone:999-999-9999}, w w", "telefon: {phone:099 99999999}", "w tel. {phone:(099) 9999 9999} w w",
+    "write {email:w dot w at w dot com} w", "w w reach w {email:w at w dot w dot org}, w", "w {email:w dot w at w dot net} w w", "mail {email:w (at) w (dot) com} w", "w: {email:w (at) w (dot) de}", "email: {email:w (at) w (dot) net}, w", "email: {email:w [at] w [dot] org} w w", "{email:w9 at w dot com} w",
+    "w iban: {iban:XX99 XXXX 9999 9999 9999 99} w", "w w {iban:XX99 9999 9999 9999 9999 9999 999} w", "iban {iban:XX999999999999999999} w", "w {iban:XX9999999999999999999999} w w", "w w account {iban:XX99XXXX9999999999} w w w", "iban: {iban:XX99999999999999999X99999}", "w {iban:XX99XXXX9999999999}, w", "konto: {iban:XX99 9999 9999 9999 9999} w",
+    "social {ssn:999 99 9999} w w", "w w ssn={ssn:999-99-9999} w", "w social security no. {ssn:999-99-9999}, w", "ssn is {ssn:999-99-9999}. w",
+    "w 9999 9999 9999 9 w w", "w 9999 9999 9999 9999, w", "order no. 999-99-9999 w w", "w w order 999-99-9999 w", "part no. 999-99-9999 w", "ref 999-999-9999 w w", "w invoice 999-9999-9999, w w", "ticket no. 999-999-9999 w",
+    "commit hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh w w", "w w sha hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh w", "md5: hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh w", "w checksum hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh", "w revision hhhhhhhhhhhh w w", "w w hash = hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh w", "uuid: hhhhhhhh-hhhh-hhhh-hhhh-hhhhhhhhhhhh w", "id=hhhhhhhhhhhhhhhhhhhhhhhh w",
+    "w: w w; w=w w:w", "w=99 w w=w9 w", "key: w w w", "w key=w w w", "the password was w w, w w", "w pass w w w", "w text w w w", "w auth w w", "page 999 w w 999 w", "w 099 w 0999 w w", "w 99 99 99 w", "w item 99-999-9999 w w", "w 9,999,999 w w $9,999.99 w", "w w at 99:99 w w at 9 w", "w w was 99 w", "https://w.w.com/w?w=99&w=w w", "w_w w.w() w[9] = w;", "w version 99.9.9 w w 9.9.9-w9",
     "w w 9999 999-9999 w w", "w no. 99-9999 w w w", "(w) w [99] w - w w; w: w!", "w ref hhhh w w", "w isbn 999-9-99-999999-9 w w", "https://w.example.com/w/9999 w w", "© 9999 W W. w w",
 ]
 
@@ -254,14 +291,14 @@ def labelled_table(copies: int = 6, seed: int = 11) -> list[tuple[list[str], lis
     alphabet = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
 
     def fill(pattern: str, kind: str | None) -> str:
-        made = {"9": lambda: rnd.choice("0123456789"), "h": lambda: rnd.choice("0123456789abcdef"), "b": lambda: rnd.choice(alphabet), "X": lambda: rnd.choice("ABDEFGIKLNPRST")}
+        made = {"9": lambda: rnd.choice("0123456789"), "h": lambda: rnd.choice("0123456789abcdef"), "b": lambda: rnd.choice(alphabet), "X": lambda: rnd.choice("ABDEFGIKLNPRST"), "q": lambda: rnd.choice("!$%&#@*?_+")}
         if kind is None or kind == "email":
             word = lambda m: "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 4)))
             pattern = re.sub(r"\bW\b", lambda m: word(m).title() if rnd.random() < 0.6 else word(m).upper(), re.sub(r"\bw\b", word, pattern))
-            return re.sub(r"9|\bhhhh\b", lambda m: "".join(made[c]() for c in m.group()), pattern)
-        if kind == "secret" and pattern[0] == "h" and rnd.random() < 0.3:
-            return "".join(made["h"]() for _ in pattern).upper()
-        return "".join(made[c]() if c in made else c for c in pattern)
+            return re.sub(r"9|\bh{4,}\b", lambda m: "".join(made[c]() for c in m.group()), pattern)
+        made["w"] = lambda: "".join(rnd.choice(parts) for _ in range(rnd.randrange(2, 4)))
+        value = re.sub(r"<([^>]*)>|.", lambda m: m.group(1) or (made[m.group()]() if m.group() in made else m.group()), pattern)
+        return value.upper() if set(pattern) == {"h"} and rnd.random() < 0.3 else value
 
     out = []
     for frame in FRAMES:
@@ -275,7 +312,7 @@ def labelled_table(copies: int = 6, seed: int = 11) -> list[tuple[list[str], lis
                 marks.append((len(text), len(text) + len(value), kind))
                 text, cut = text + value, b
             text += fill(frame[cut:], None)
-            for m in re.finditer(r"\S+", text):
+            for m in (_TIED if "=" in text or ":" in text else _SPACED).finditer(text):
                 words.append(m.group())
                 labels.append(next((k for a, b, k in marks if m.start() < b and m.end() > a), "O"))
             out.append((words, labels))
