@@ -58,7 +58,7 @@ def test_whole_documents_match_brute_force(spark):
 def test_pipeline_stages(spark):
     """Each stage over all that the one before kept, and its decisions in its result."""
     import corpus_pipeline
-    from tidemark.llm import decontam_sa, quality_gam, simhash_vptree
+    from tidemark.llm import decontam_sa, quality_gam
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, seen = docs.columns, [docs.toPandas()]
@@ -73,13 +73,11 @@ def test_pipeline_stages(spark):
     score = model.score(quality_gam.matrix([t.encode() for t in start.text]))
     assert sorted(good.doc_id) == sorted(start.doc_id[score >= 0.5])
     assert sorted(lines.doc_id) == sorted(good.doc_id) and (lines.text.str.len() == lines.n_chars).all() and lines.n_chars.sum() < good.n_chars.sum()
-    shingles = {r.doc_id: set(simhash_vptree.shingles(r.text.encode(), 5)) for r in lines.itertuples()}
-    kept = sorted(single.doc_id)
-    alike = lambda a, b: len(a & b) / max(1, len(a | b)) if a or b else 1.0
-    for i in set(lines.doc_id) - set(kept):  # each that went has a partner of a smaller id
-        assert any(alike(shingles[i], shingles[j]) > 0.65 for j in shingles if j < i)
-    for n, i in enumerate(kept):
-        assert not any(alike(shingles[i], shingles[j]) > 0.95 for j in kept[:n])
+    # One document of each class of all pairs at 0.8 or more stays, that of the smallest id.
+    from tests.llm.test_simhash_vptree import similar_classes
+
+    want = similar_classes([(r.doc_id, r.text, 0) for r in lines.itertuples()])
+    assert sorted(single.doc_id) == sorted(set(want.values())) and len(single) < len(lines)
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet").toPandas()
     hits = decontam_sa.brute_force(list(zip(single.doc_id, single.text)), list(zip(bench.item_id, bench.text)))
     assert sorted(clean.doc_id) == sorted(i for i, (n, h, _, _) in hits.items() if not (h and 20 * h >= n))
