@@ -183,3 +183,21 @@ def test_contiguous_changes(spark):
     want = similar_classes(rows)
     assert sum(i != c for i, c in want.items() if i < 600) == 300
     assert found_classes(spark, rows) == want
+
+
+def test_large_groups_are_compared_in_parts(spark, monkeypatch):
+    """More pairs of one run than are named, over parts of a few nodes."""
+    monkeypatch.setattr(sv, "FEW_PAIRS", 20)
+    monkeypatch.setattr(sv, "PART_NODES", 25)
+    rnd = random.Random(7)
+    rows = []
+    for g in range(2):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+        for i in range(90):
+            x = list(base)
+            for at in rnd.sample(range(120), rnd.randrange(1, 9)):
+                x[at] = f"new{rnd.randrange(10**6)}"
+            rows.append((g * 1000 + i, " ".join(x), 0))
+    want = similar_classes(rows)
+    assert 2 < len(set(want.values())) < len(rows)
+    assert found_classes(spark, rows) == want

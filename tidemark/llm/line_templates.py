@@ -18,8 +18,9 @@ it goes. Blank lines stay.
 Only (doc_id, text hash, line number, template hashes) rows are shuffled to find recurring
 templates; counts are pre-aggregated by document, and a template that a third of all
 lines share meets a single row of statistics in a join that adaptive execution can split.
-Tokens are looked at only in leaves that recur in ``general_docs`` documents, and there
-once for each different line, whose text is fetched from one of its documents. Whole
+Tokens are looked at only in leaves that recur in ``general_docs`` documents and hold
+several exact templates, and there once for each different line, whose text is fetched
+from one of its documents. Whole
 texts move once, to meet the numbers of their dropped lines.
 
 Edge cases: a null text stays null and has no lines; an empty text is one empty line;
@@ -27,8 +28,8 @@ if all lines go the text becomes empty; rows with equal doc_id and text are trea
 alike and count as one document; a null doc_id counts as one document that comes
 first; very long texts are split whole, and a very long line is hashed, not carried;
 other columns pass through, but for an own ``lines_report``, which is replaced. Exact
-and general templates are compared by two independent 64-bit hashes: two different ones
-are taken for the same with a chance of about 3e-39 a pair.
+and general templates are compared by two independent hashes of 96 bits in all: two
+different ones are taken for the same with a chance of about 1e-29 a pair.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def without_digits(plain: Column) -> Column:
 
 
 def two_hashes(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+    return [F.xxhash64(text).alias("t1"), F.hash(F.lit(1), text).alias("t2")]
 
 
 def templates(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8) -> DataFrame:
@@ -73,10 +74,12 @@ def templates(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8) ->
 def general_templates(docs: DataFrame, found: DataFrame, general_docs: int, fixed_share: float) -> DataFrame:
     """(t1, t2, g1, g2): the general template of exact templates that have one."""
     deep = found.where("leaf is not null")
-    leaves = deep.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= general_docs)
+    by_doc = deep.groupBy("leaf", "doc_id").agg(F.min("t1").alias("least"), F.max("t1").alias("most"))
+    leaves = by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), (F.min("least") < F.max("most")).alias("several"))
+    leaves = checkpointed(leaves.where((F.col("docs") >= general_docs) & F.col("several")).select("leaf"))
     doc = F.struct("doc_id")  # a null id is a document too
     at = F.min(F.struct("doc_id", "row_key", "line_no")).alias("at")
-    members = checkpointed(deep.join(leaves.select("leaf"), "leaf").groupBy("leaf", "t1", "t2").agg(F.min(doc).alias("least"), F.max(doc).alias("most"), at))
+    members = checkpointed(deep.join(leaves, "leaf").groupBy("leaf", "t1", "t2").agg(F.min(doc).alias("least"), F.max(doc).alias("most"), at))
     texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
     fetched = texts.join(members, F.col("_id").eqNullSafe(F.col("at.doc_id")) & (F.col("_key") == F.col("at.row_key")))
     norm = without_digits(plain_line(F.get(F.split("text", "\n"), F.col("at.line_no"))))
@@ -94,8 +97,8 @@ def general_templates(docs: DataFrame, found: DataFrame, general_docs: int, fixe
 def later_lines(rows: DataFrame, need: Column) -> DataFrame:
     """The lines (doc_id, row_key, line_no, t1, t2, short) but for the first of each template,
     of templates that stand in ``need`` documents."""
-    by_doc = rows.groupBy("t1", "t2", "short", "doc_id").agg(F.min("line_no").alias("line_no"))
-    stats = by_doc.groupBy("t1", "t2", "short").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    by_doc = rows.groupBy("t1", "t2", "doc_id").agg(F.min("line_no").alias("line_no"), F.max("short").alias("short"))
+    stats = by_doc.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.max("short").alias("short"), F.min(F.struct("doc_id", "line_no")).alias("first"))
     # Written, so that the join deals out its rows anew and a hot template can be split.
     recurring = checkpointed(stats.where(F.col("docs") >= need).select("t1", "t2", "first"))
     later = rows.join(recurring, ["t1", "t2"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))

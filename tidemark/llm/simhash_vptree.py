@@ -61,12 +61,17 @@ SHARD_TARGET, SHARD_ROWS = 500_000, 2_000_000
 WIDE_WORDS = 4
 #: Shingles of sets that are small: each of their shingles is a key of its own.
 SMALL_SET = 8
+#: Pairs of different classes with a run in common that are named; of more, parts of the group
+#: of at most so many nodes and shingles are compared in one task.
+FEW_PAIRS, PART_NODES, PART_HASHES = 2000, 1024, 1_000_000
 #: Width of each tree's block of bits and of the ranges of it that its nodes look at.
 BLOCKS, RANGES = (21, 21, 22), ((7, 7, 7), (7, 7, 7), (7, 7, 8))
 #: Residents with one value beyond which their other bits are looked up as well.
 FULL = 256
 #: Pairs that are compared at once.
 RUN = 2_000_000
+#: Parts of a shard's residents in each of which a query's nearest partner is named.
+PARTNERS = 8
 
 
 # --- fingerprints -----------------------------------------------------------------
@@ -294,10 +299,11 @@ def candidates(tree: int, home: np.ndarray, asks: np.ndarray, distance: int) ->
 def shard_links(tree: int, home: np.ndarray, asks: np.ndarray, distance: int, wide: tuple | None = None, wide_distance: int = 0, same: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Labels of the concatenation of home and asks after linking every pair within the
     distance (and, given wide fingerprints, within their distance too); and, given those and
-    the names of both sides, for each query the resident of another name with the nearest
-    wide fingerprint, -1 for none."""
+    the names of both sides, for each query and each of PARTNERS parts of the residents the
+    one of another name with the nearest wide fingerprint, -1 for none."""
     label = np.arange(len(home) + len(asks))
-    nearest, least = np.full(len(asks), -1), np.full(len(asks), 1 << 30)
+    nearest, least = np.full(len(asks) * PARTNERS, -1), np.full(len(asks) * PARTNERS, 1 << 30)
+    part = (same[0].view(np.uint64) >> np.uint64(7)) % np.uint64(PARTNERS) if same else None
     for p, q in candidates(tree, home, asks, distance):
         close = np.bitwise_count(home[p].view(np.uint64) ^ asks[q].view(np.uint64)) <= distance
         q, p = q[close], p[close]
@@ -305,9 +311,10 @@ def shard_links(tree: int, home: np.ndarray, asks: np.ndarray, distance: int, wi
             differ = np.bitwise_count(wide[0][p] ^ wide[1][q]).sum(axis=1, dtype=np.int32)
             near = differ <= wide_distance
             q, p, differ = q[near], p[near], differ[near]
-            better = np.flatnonzero((same[0][p] != same[1][q]) & (differ < least[q]))
-            better = better[np.argsort(-differ[better], kind="stable")]  # of one query the nearest is written last
-            nearest[q[better]], least[q[better]] = p[better], differ[better]
+            slot = q * PARTNERS + part[p].astype(np.int64)
+            better = np.flatnonzero((same[0][p] != same[1][q]) & (differ < least[slot]))
+            better = better[np.argsort(-differ[better], kind="stable")]  # in one slot the nearest is written last
+            nearest[slot[better]], least[slot[better]] = p[better], differ[better]
         merge_labels(label, p, q + len(home))
     return label, nearest
 
@@ -316,7 +323,7 @@ def links(nodes: DataFrame, distance: int, wide_distance: int | None = None) ->
     """(a, b): a forest of links whose components are those of all links between nodes.
 
     nodes: node (long, unique), fp (long) and, with ``wide_distance``, wide (binary). With
-    wide fingerprints each node's nearest partner in each shard is linked to it as well.
+    wide fingerprints each node is linked to its nearest partners in each shard as well.
     """
     total = nodes.count()
     forest, slack = grow_forest(nodes, total), distance // len(BLOCKS)
@@ -365,8 +372,8 @@ def links(nodes: DataFrame, distance: int, wide_distance: int | None = None) ->
             wide = (bits[~asks], bits[asks])
         label, nearest = shard_links(tree, fp[~asks], fp[asks], distance, wide, wide_distance or 0, (node[~asks], node[asks]))
         member = np.concatenate([node[~asks], node[asks]])
-        found = nearest >= 0
-        a, b = np.concatenate([member, node[asks][found]]), np.concatenate([member[label], node[~asks][nearest[found]]])
+        found = np.flatnonzero(nearest >= 0)
+        a, b = np.concatenate([member, node[asks][found // PARTNERS]]), np.concatenate([member[label], node[~asks][nearest[found]]])
         # A node may stand here twice, as resident and as query: it links to itself.
         return pa.table({"a": a[a != b], "b": b[a != b]})
 
@@ -427,9 +434,79 @@ def class_pairs(node: np.ndarray, size: np.ndarray, root: np.ndarray, similarity
             at = stop
 
 
-def links_between(nodes: DataFrame, root: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of nodes of different classes that share a run key and whose sizes
-    allow the similarity. nodes: node, size, keys; root: (node, root), of other nodes the node."""
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes, written: their sets of shingles as hashes."""
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [hashed_set(t, shingle).view(np.int64) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    named = checkpointed(nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).join(wanted, "node"))
+    # One document stands for each node: its copies, however many, are not brought together.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text").dropDuplicates(["node"])
+    return stored(texts.mapInArrow(by_batch(sets), "node bigint, shingles array<bigint>"))
+
+
+def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges whose nodes' texts have that Jaccard similarity of shingle sets, exactly."""
+    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    linked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    known = shingle_sets(linked, nodes, docs, shingle)
+    side = lambda c: known.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+    both = edges.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return both.where(shared >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
+
+
+def cells(key: int, node: np.ndarray, size: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, b, cell): the node and root of each member of a large group, once for each pair of parts
+    of the group that its part belongs to."""
+    n = int(max(1, -(-len(node) // PART_NODES), -(-int(size.sum()) // PART_HASHES)))
+    part = np.empty(len(node), np.int64)
+    part[np.argsort(size, kind="stable")] = np.arange(len(node)) % n
+    for i in range(n):
+        for j in range(i, n):
+            chosen = (part == i) | (part == j)
+            cell = xxhash.xxh64_intdigest(f"{key} {i} {j}") - (1 << 63)
+            yield pa.RecordBatch.from_arrays([pa.array(node[chosen]), pa.array(root[chosen]), pa.array(np.full(chosen.sum(), cell, np.int64))], ["a", "b", "cell"])
+
+
+def cell_links(table: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): a forest whose components are those of all links between different classes of a
+    cell, from the exact numbers of shingles that its members share."""
+    table = table.combine_chunks()
+    node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+    shingles = table.column("shingles").combine_chunks()
+    size = np.diff(shingles.offsets.to_numpy()).astype(np.int64)
+    _, hash_of, count = np.unique(shingles.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(node)), size)
+    shared = count[hash_of] > 1  # what one member has alone is shared with none
+    row, column = row[shared], np.unique(hash_of[shared], return_inverse=True)[1]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    common = np.zeros((len(node), len(node)), np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, 2048):
+        here = slice(*np.searchsorted(column, (at, at + 2048)))
+        block = np.zeros((len(node), 2048), np.float32)
+        block[row[here], column[here] - at] = 1
+        common += block @ block.T
+    close = (common >= similarity * (size[:, None] + size[None, :] - common)) & (root[:, None] != root[None, :])
+    label = np.arange(len(node))
+    merge_labels(label, *np.nonzero(close))
+    linked = np.flatnonzero(label != np.arange(len(node)))
+    return pa.table({"a": node[linked], "b": node[label[linked]]})
+
+
+def links_between(nodes: DataFrame, docs: DataFrame, root: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of nodes of different classes that
+    have the similarity, exactly, and share a run key.
+
+    nodes: node, first, size, keys; root: (node, root), of other nodes the node. Up to
+    ``FEW_PAIRS`` pairs of different classes that share a key are named and joined with their
+    sets of shingles; of more the members are sent to tasks with their sets, which compare all
+    of a bounded part of the group with another and return only what links.
+    """
     named = nodes.select("node", "size", "keys").join(root, "node", "left")
     dealt = named.select(F.explode("keys").alias("key"), "node", "size", F.coalesce("root", "node").alias("root")).repartition("key").sortWithinPartitions("key")
 
@@ -439,7 +516,11 @@ def links_between(nodes: DataFrame, root: DataFrame, similarity: float) -> DataF
         stops = np.append(starts[1:], len(key))
         several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
         for a, b in zip(starts[several].tolist(), stops[several].tolist()):
-            yield from class_pairs(node[a:b], size[a:b], root[a:b], similarity)
+            if (b - a) ** 2 > 2 * FEW_PAIRS and (b - a) ** 2 - (np.unique(root[a:b], return_counts=True)[1] ** 2).sum() > 2 * FEW_PAIRS:
+                yield from cells(key[a], node[a:b], size[a:b], root[a:b])
+            else:
+                for pairs in class_pairs(node[a:b], size[a:b], root[a:b], similarity):
+                    yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(pairs.num_rows, pa.int64())], ["a", "b", "cell"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []  # what may belong to the key that the next batch begins with
@@ -457,7 +538,12 @@ def links_between(nodes: DataFrame, root: DataFrame, similarity: float) -> DataF
         if held:
             yield from groups(held)
 
-    return dealt.mapInArrow(scan, "a bigint, b bigint").distinct()
+    found = stored(dealt.mapInArrow(scan, "a bigint, b bigint, cell bigint"))
+    few = verified(found.where("cell is null").select("a", "b").distinct(), nodes, docs, shingle, similarity)
+    members = found.where("cell is not null").select("cell", F.col("a").alias("node"), F.col("b").alias("root"))
+    sets = shingle_sets(members.select("node").distinct(), nodes, docs, shingle)
+    many = members.join(sets, "node").groupBy("cell").applyInArrow(lambda t: cell_links(t, similarity), "a bigint, b bigint")
+    return few.union(many)
 
 
 # --- components -------------------------------------------------------------------
@@ -514,26 +600,6 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) ->
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
-def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges whose nodes' texts have that Jaccard similarity of shingle sets, exactly."""
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [hashed_set(t, shingle).view(np.int64) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    linked = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    named = checkpointed(nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).join(linked, "node"))
-    # One document stands for each node: its copies, however many, are not brought together.
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text").dropDuplicates(["node"])
-    known = stored(texts.mapInArrow(by_batch(sets), "node bigint, shingles array<bigint>"))
-    side = lambda c: known.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    both = edges.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.where(shared >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, edges): the rows with their node, that is their set of shingles; one row per
     node; and links between nodes whose components are those of all pairs of the similarity.
@@ -541,7 +607,7 @@ def near_duplicates(docs: DataFrame, shingle: int, similarity: float) -> tuple[D
     First candidates differ in at most 5 bits of a 64-bit SimHash of word pairs, which
     changes less under edits than one of longer shingles, and a 256-bit SimHash of the
     shingles proper puts their similarity near the limit or above. Of these a shard keeps a
-    forest and each document's nearest partner, whose similarity is then computed exactly.
+    forest and each document's nearest partners, whose similarity is then computed exactly.
     Then all pairs that lie in different classes yet share a run of their sets' least hashes,
     as all but 1e-9 of the pairs at the limit do whatever their SimHashes, have their
     similarity computed exactly as well.
@@ -553,7 +619,7 @@ def near_duplicates(docs: DataFrame, shingle: int, similarity: float) -> tuple[D
     same = [F.first(c).alias(c) for c in ("size", "keys")]
     nodes = stored(rows.groupBy("node", "fp", "wide").agg(first_row().alias("first"), *same))
     near = checkpointed(verified(links(nodes, 5, limit), nodes, docs, shingle, similarity))
-    others = verified(links_between(nodes, components(near), similarity), nodes, docs, shingle, similarity)
+    others = links_between(nodes, docs, components(near), shingle, similarity)
     return rows, nodes, near.union(others)
 
 
