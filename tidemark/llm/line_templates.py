@@ -42,6 +42,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, stored
 
+#: Rows of a few numbers up to which a table of leaves or templates is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A checkpointed table, marked for broadcasting if it has few rows: then the lines that
+    look it up are not shuffled, and no task gets all lines of a hot leaf or template."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
 
 def plain_line(line: Column) -> Column:
     """A line with single spaces between its tokens and none around them."""
@@ -79,7 +88,7 @@ def general_templates(docs: DataFrame, found: DataFrame, general_docs: int, fixe
     leaves = checkpointed(leaves.where((F.col("docs") >= general_docs) & F.col("several")).select("leaf"))
     doc = F.struct("doc_id")  # a null id is a document too
     at = F.min(F.struct("doc_id", "row_key", "line_no")).alias("at")
-    members = checkpointed(deep.join(leaves, "leaf").groupBy("leaf", "t1", "t2").agg(F.min(doc).alias("least"), F.max(doc).alias("most"), at))
+    members = checkpointed(deep.join(small(leaves), "leaf").groupBy("leaf", "t1", "t2").agg(F.min(doc).alias("least"), F.max(doc).alias("most"), at))
     texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
     fetched = texts.join(members, F.col("_id").eqNullSafe(F.col("at.doc_id")) & (F.col("_key") == F.col("at.row_key")))
     norm = without_digits(plain_line(F.get(F.split("text", "\n"), F.col("at.line_no"))))
@@ -101,7 +110,7 @@ def later_lines(rows: DataFrame, need: Column) -> DataFrame:
     stats = by_doc.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.max("short").alias("short"), F.min(F.struct("doc_id", "line_no")).alias("first"))
     # Written, so that the join deals out its rows anew and a hot template can be split.
     recurring = checkpointed(stats.where(F.col("docs") >= need).select("t1", "t2", "first"))
-    later = rows.join(recurring, ["t1", "t2"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
+    later = rows.join(small(recurring), ["t1", "t2"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     return later.select("doc_id", "row_key", "line_no")
 
 
@@ -109,7 +118,7 @@ def dropped_lines(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8,
     """(doc_id, row_key, dropped): the numbers of the lines that repeat a recurring template."""
     found = stored(templates(docs, min_tokens, general_tokens))
     general = checkpointed(general_templates(docs, found, general_docs, fixed_share))
-    alike = found.where("leaf is not null").join(general, ["t1", "t2"]).select("doc_id", "row_key", "line_no", "short", F.col("g1").alias("t1"), F.col("g2").alias("t2"))
+    alike = found.where("leaf is not null").join(small(general), ["t1", "t2"]).select("doc_id", "row_key", "line_no", "short", F.col("g1").alias("t1"), F.col("g2").alias("t2"))
     exact = later_lines(found.drop("leaf"), F.when(F.col("short"), short_docs).otherwise(min_docs))
     return exact.union(later_lines(alike, F.lit(general_docs))).groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("dropped"))
 
