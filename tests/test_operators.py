@@ -142,3 +142,24 @@ def test_scoring_keeps_one_state_per_instrument_day(spark):
             for _, _, i, x in [r for r in data if r[:2] == (s, day)]:
                 y, state = net.step(np.array([x], np.float32), state)
                 assert abs(got[s, day, i] - y[0]) < 1e-5
+
+
+def test_throttle_counts_from_the_last_row_let_through(spark):
+    from tidemark.operators import sampling
+
+    rows = [("a", t) for t in (0, 6, 12, 18, 20, 22)] + [("b", 5)] + [("c", t) for t in range(0, 3000, 7)]
+    got = sampling.throttled(spark.createDataFrame(rows, "symbol string, t long"), ["symbol"], "t", ["t"], 10).collect()
+    want, last = {}, {}
+    for s, t in sorted(rows):
+        want[s, t] = s in last and t - last[s] < 10
+        last[s] = last.get(s, t) if want[s, t] else t
+    assert {(r.symbol, r.t): r.blocked for r in got} == want and not want["a", 12]
+
+
+def test_parity_sees_a_changed_order(spark):
+    from tidemark.operators import quality
+
+    rows = [("s", i, f"x{i}") for i in range(5)]
+    turned = [("s", i, f"x{4 - i}") for i in range(5)]
+    digests = [quality.parity_digest(spark.createDataFrame(r, "symbol string, arrival long, body string"), "symbol", ["body"], ["arrival"]).first().digest for r in (rows, rows[::-1], turned)]
+    assert digests[0] == digests[1] != digests[2]

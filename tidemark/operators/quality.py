@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -64,8 +65,9 @@ def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.agg(F.lit(set(a.columns) == set(b.columns)).alias("same"), only(a, b).alias("only_first"), only(b, a).alias("only_second"))
 
 
-def parity_digest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Per key the number of rows and a hash of their contents that depends on their order numbers."""
-    line = F.md5(F.concat_ws("|", *order))
-    # A sum of hashes of (order, content) needs no sorted group and can be pre-aggregated.
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(line, 1, 8), 16, 10).cast("long")).alias("digest"))
+def parity_digest(rows: DataFrame, key: str, content: list[str], arrival: list[str]) -> DataFrame:
+    """Per key the number of rows and a hash of their contents and of the order in which they came."""
+    place = F.row_number().over(W.partitionBy(key).orderBy(*arrival))
+    line = F.md5(F.concat_ws("|", place, *content))
+    # Only the places need the key's rows in order; the sum of hashes of (place, content) is commutative.
+    return rows.select(key, line.alias("line")).groupBy(key).agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("line", 1, 8), 16, 10).cast("long")).alias("digest"))

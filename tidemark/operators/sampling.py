@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
@@ -66,9 +71,31 @@ def filled(rows: DataFrame, by: list[str], order: list[str], column: str) -> Dat
 
 
 def throttled(rows: DataFrame, by: list[str], time: str, order: list[str], min_gap: int) -> DataFrame:
-    """rows with ``blocked``: less than min_gap after the row before."""
-    gap = F.col(time) - F.lag(time).over(W.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("blocked", F.coalesce(gap < min_gap, F.lit(False)))
+    """rows with ``blocked``: less than min_gap after the last row of its key that was let through.
+
+    What a row meets depends on all decisions before it, so each key's rows are walked in order,
+    batch by batch; what is kept between batches is one key and one time. ``time`` is a long
+    without nulls and the first column of ``order``.
+    """
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, *order)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = None
+        for batch in batches:
+            at = batch.column(time).to_numpy()
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by)))
+            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            passed = np.zeros(len(keys), bool)
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                if keys[a] != key:
+                    key, last = keys[a], None
+                i = a if last is None else a + int(np.searchsorted(at[a:b], last + min_gap))
+                while i < b:  # from one row let through to the next
+                    passed[i], last = True, int(at[i])
+                    i = max(i + 1, a + int(np.searchsorted(at[a:b], last + min_gap)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(~passed)], [*batch.schema.names, "blocked"])
+
+    return dealt.mapInArrow(walk, T.StructType([*rows.schema.fields, T.StructField("blocked", T.BooleanType())]))
 
 
 def rolling_volume(rows: DataFrame, by: list[str], time: str, span: int, volume: str = "volume") -> DataFrame:

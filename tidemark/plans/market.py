@@ -198,12 +198,12 @@ def j16_universe_anti(spark: SparkSession, d: str) -> DataFrame:
     return A.instruments(spark, d).join(excluded, "p_partkey", "left_anti").select("p_partkey", "code")
 
 
-@query(with_ctes("""WITH a AS (SELECT symbol, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', event_id, kind)), 1, 8))::BIGINT)::BIGINT AS digest FROM feed GROUP BY 1),
-b AS (SELECT symbol, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', event_id, kind)), 1, 8))::BIGINT)::BIGINT AS digest FROM feed WHERE event_id % 700 <> 3 GROUP BY 1)
+@query(with_ctes("""WITH a AS (SELECT symbol, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', k, event_id, kind)), 1, 8))::BIGINT)::BIGINT AS digest FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, event_id) AS k FROM feed) GROUP BY 1),
+b AS (SELECT symbol, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', k, event_id, kind)), 1, 8))::BIGINT)::BIGINT AS digest FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, event_id) AS k FROM feed WHERE event_id % 700 <> 3) GROUP BY 1)
 SELECT a.symbol, a.n AS n_first, b.n AS n_second, coalesce(a.digest = b.digest, false) AS same FROM a LEFT JOIN b USING (symbol)""", "feed"))
 def j17_parity(spark: SparkSession, d: str) -> DataFrame:
     f = A.feed(spark, d)
-    a, b = quality.parity_digest(f, "symbol", ["event_id", "kind"]), quality.parity_digest(f.where("event_id % 700 <> 3"), "symbol", ["event_id", "kind"])
+    a, b = (quality.parity_digest(x, "symbol", ["event_id", "kind"], ["ts_us", "event_id"]) for x in (f, f.where("event_id % 700 <> 3")))
     both = a.select("symbol", F.col("n").alias("n_first"), F.col("digest").alias("x")).join(b.select("symbol", F.col("n").alias("n_second"), F.col("digest").alias("y")), "symbol", "full_outer")
     return both.select("symbol", "n_first", "n_second", F.coalesce(F.col("x") == F.col("y"), F.lit(False)).alias("same"))
 

@@ -209,7 +209,10 @@ def w12_last_price(spark: SparkSession, d: str) -> DataFrame:
     return sampling.filled(rows, ["symbol"], ["ts_us", "event_id"], "last_price").select("event_id", "last_price")
 
 
-@query(with_ctes("SELECT event_id, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY symbol, kind ORDER BY ts_us, event_id) < 7200000000, false) AS blocked FROM feed", "feed"))
+@query(with_ctes("""WITH numbered AS (SELECT event_id, symbol, kind, ts_us, row_number() OVER (PARTITION BY symbol, kind ORDER BY ts_us, event_id) AS k FROM feed),
+after AS (SELECT a.symbol, a.kind, a.k, min(b.k) AS next_k FROM numbered a JOIN numbered b ON a.symbol = b.symbol AND a.kind = b.kind AND b.k > a.k AND b.ts_us >= a.ts_us + 7200000000 GROUP BY ALL),
+passed(symbol, kind, k) AS (SELECT symbol, kind, 1::BIGINT FROM numbered WHERE k = 1 UNION ALL SELECT a.symbol, a.kind, a.next_k FROM passed p JOIN after a ON a.symbol = p.symbol AND a.kind = p.kind AND a.k = p.k)
+SELECT n.event_id, p.k IS NULL AS blocked FROM numbered n LEFT JOIN passed p ON p.symbol = n.symbol AND p.kind = n.kind AND p.k = n.k""", "feed").replace("WITH ", "WITH RECURSIVE ", 1))
 def w13_throttle(spark: SparkSession, d: str) -> DataFrame:
     return sampling.throttled(A.feed(spark, d), ["symbol", "kind"], "ts_us", ["ts_us", "event_id"], 7_200_000_000).select("event_id", "blocked")
 

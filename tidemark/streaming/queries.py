@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import scoring
 from tidemark.plans import adapters as A
+from tidemark.plans.market import _ARBITER
 from tidemark.plans.registry import query
 from tidemark.plans.summaries import _features
 from tidemark.sources.readers import read_parquet_stream
@@ -65,7 +66,7 @@ def t3_sampler(spark: SparkSession, d: str) -> DataFrame:
     return replayed(spark, _feed(spark, d).coalesce(1), T.samples, **_ROCKS)
 
 
-@query()
+@query(A.with_ctes("SELECT symbol, sequence, side, tick, (sum(qty) OVER (PARTITION BY symbol, side, tick ORDER BY ts_us, sequence ROWS UNBOUNDED PRECEDING))::BIGINT AS level_qty FROM book_changes", "book_changes"))
 def t4_book_owner(spark: SparkSession, d: str) -> DataFrame:
     changes = A.book_changes(spark, d).withColumn("exchange_time_us", F.col("ts_us"))
     return replayed(spark, changes.coalesce(1), T.book_levels, **_ROCKS)
@@ -77,15 +78,15 @@ def t5_stream_scoring(spark: SparkSession, d: str) -> DataFrame:
     return replayed(spark, _features(spark, d, 50).coalesce(1), lambda s: T.scored(s, weights), **_ROCKS)
 
 
-@query()
+@query(A.with_ctes(_ARBITER + " SELECT symbol, arrival, accepted, selected, selected_sequence FROM rows_", "candidates"))
 def t6_stream_arbiter(spark: SparkSession, d: str) -> DataFrame:
     return replayed(spark, A.candidates(spark, d).coalesce(1), lambda s: T.arbitration(s, 14_400_000_000), **_ROCKS)
 
 
-@query()
+@query(A.with_ctes("SELECT DISTINCT event_id, symbol FROM feed", "feed"))
 def t9_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     f = _feed(spark, d).select("event_id", "ts", "symbol")
-    return replayed(spark, f.union(f.where("event_id % 5 = 0")), lambda s: T.without_duplicates(s, ["event_id"], "40 days"), **_ROCKS)
+    return replayed(spark, f.union(f.where("event_id % 5 = 0")), lambda s: T.without_duplicates(s, ["event_id"], "40 days"), **_ROCKS).select("event_id", "symbol")
 
 
 @query()
@@ -93,22 +94,22 @@ def t10_heartbeats(spark: SparkSession, d: str) -> DataFrame:
     return replayed(spark, _feed(spark, d).select("shard", "ts").coalesce(1), lambda s: T.heartbeats(s, 3_600_000), **_ROCKS)
 
 
-@query()
+@query(A.with_ctes("SELECT f.event_id, p_size * 1000.0::DOUBLE AS free_share FROM feed f LEFT JOIN part ON lpad(p_partkey::VARCHAR, 6, '0') = f.symbol", "feed"))
 def t11_stream_enrich(spark: SparkSession, d: str) -> DataFrame:
     share = A.instruments(spark, d).select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("symbol"), "free_share")
     return replayed(spark, _feed(spark, d), lambda s: T.enriched(s, share)).select("event_id", "free_share")
 
 
-@query()
+@query(A.with_ctes("SELECT event_id, symbol, price FROM feed", "feed"))
 def s7_replay(spark: SparkSession, d: str) -> DataFrame:
     """S7, S11 and T12: replay to the end through the file sink's commit log."""
     return replayed(spark, _feed(spark, d), lambda s: s.select("event_id", "symbol", "price"))
 
 
-@query()
+@query(A.with_ctes("SELECT event_id, price, trading_day, shard FROM feed", "feed"))
 def s8_by_shard(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.sources.sinks import write_by_shard
 
     path = f"{shared_dir(spark)}/by_shard"
     write_by_shard(A.feed(spark, d).select("event_id", "price", "trading_day", "shard"), path)
-    return spark.read.parquet(path).where("shard = 2").select("event_id", "price", "trading_day")
+    return spark.read.parquet(path).select("event_id", "price", "trading_day", "shard")
