@@ -19,23 +19,31 @@ FLOW = ["factor_order_flow", "factor_market", "factor_cancel_buy", "factor_cance
 
 
 def order_flow(events: DataFrame, by: list[str]) -> DataFrame:
-    """Conditional sums of one window: orders and trades by direction, cancels, counts."""
-    kind, volume = F.col("kind"), F.col("volume")
-    pick = lambda *kinds: F.sum(F.when(kind.isin(*kinds), volume).otherwise(0))
-    amount = F.sum(F.when(kind == "trade", F.col("price") * volume).otherwise(0.0))
+    """Eleven conditional sums of one window by direction.
+
+    events: kind (order, trade or cancel), side ('B' or 'S': the order's, or the trade's active one),
+    is_market, price, volume. Sums: volumes of limit orders on either side and of market orders
+    (bought less sold); numbers and amounts of trades by active side; cancelled volumes; volumes
+    of all orders.
+    """
+    buys, volume, market = F.col("side") == "B", F.col("volume"), F.col("is_market")
+    of = lambda kind, side: (F.col("kind") == kind) & (buys if side == "B" else ~buys)
+    total = lambda which, what=volume: F.sum(F.when(which, what).otherwise(0))
+    signed = F.when(buys, volume).otherwise(-volume)
+    amount = F.col("price") * volume
     return events.groupBy(*by).agg(
-        pick("buy").alias("order_buy"), pick("sell").alias("order_sell"), pick("trade").alias("traded"), pick("cancel").alias("cancelled"),
-        F.count_if(kind == "buy").alias("n_buy"), F.count_if(kind == "sell").alias("n_sell"), F.count_if(kind == "trade").alias("n_trade"), amount.alias("amount"))
+        total(of("order", "B") & ~market).alias("order_pf"), total(of("order", "S") & ~market).alias("order_nf"), total((F.col("kind") == "order") & market, signed).alias("order_mf"),
+        F.count_if(of("trade", "B")).alias("trade_pcf"), F.count_if(of("trade", "S")).alias("trade_ncf"), total(of("trade", "B"), amount).alias("trade_pt"), total(of("trade", "S"), amount).alias("trade_nt"),
+        total(of("cancel", "B")).alias("cxl_buy_flow"), total(of("cancel", "S")).alias("cxl_sell_flow"), total(of("order", "B")).alias("buy_order_volume"), total(of("order", "S")).alias("sell_order_volume"))
 
 
 def flow_factors(flow: DataFrame, history: str = "history_amount") -> DataFrame:
-    """flow with normalised sums: order flow, market orders, cancels, trades, fill rate."""
+    """flow with the seven factors of FLOW: its sums over the instrument's usual amount."""
     base = F.when(F.col(history) > 0, F.col(history))
-    per = lambda c: F.coalesce(F.col(c) / base, F.lit(0.0))
-    orders = F.col("order_buy") + F.col("order_sell")
-    return flow.select(
-        "*", per("order_buy").alias("factor_order_flow"), per("amount").alias("factor_market"), per("cancelled").alias("factor_cancel"),
-        F.when(orders > 0, F.col("traded") / orders).otherwise(0.0).alias("factor_fill_rate"), imbalance("order_buy", "order_sell").alias("factor_order_flow_imbalance"))
+    per = lambda c: F.coalesce(c / base, F.lit(0.0))
+    c = F.col
+    sums = [c("order_pf") - c("order_nf"), c("order_mf"), c("cxl_buy_flow"), c("cxl_sell_flow"), c("trade_pt"), c("trade_nt"), c("trade_pt") + c("trade_nt")]
+    return flow.select("*", *[per(x).alias(n) for n, x in zip(FLOW, sums)])
 
 
 def _ratio(x: Column, y: Column) -> Column:
@@ -48,7 +56,7 @@ def _sum(values: Column) -> Column:
 
 
 def market_factors(snapshots: DataFrame, by: list[str], order: list[str], tick: float = 0.01, fee_share: float = 0.0005) -> DataFrame:
-    """snapshots (bid/ask prices and volumes as arrays of five) with the market factors; those
+    """snapshots (bid/ask prices and volumes as arrays of five, turnover) with the market factors; those
     that need the snapshot before are null on the first of a group."""
     b, a, bv, av = (F.col(c) for c in ("bid_prices", "ask_prices", "bid_volumes", "ask_volumes"))
     mid = (a[0] + b[0]) / 2
@@ -63,7 +71,8 @@ def market_factors(snapshots: DataFrame, by: list[str], order: list[str], tick:
     permille = lambda x, y: (_ratio(x, y) - 1) * 1000
     m = F.col("mid")
     return rows.select(
-        "*", permille(F.col("micro_1"), m).alias("factor_hermes_permille"), (_ratio(a[0] - b[0], m) * 1000).alias("factor_spread"), permille(m, was("mid")).alias("factor_mid_return"), (m * fee_share / tick).alias("factor_fee_on_tick"),
+        "*", permille(F.col("micro_1"), m).alias("factor_hermes_permille"), (_ratio(a[0] - b[0], m) * 1000).alias("factor_spread"), permille(m, was("mid")).alias("factor_mid_return"), F.sqrt(F.greatest(permille(m, was("mid")), F.lit(0.0)) + 0 * was("mid")).alias("factor_tr_sqrt_positive"),
+        _ratio(F.col("turnover") - was("turnover"), F.col("turnover")).alias("factor_percent_turnover"), (m * fee_share / tick).alias("factor_fee_on_tick"),
         imbalance("bid_total", was("bid_total")).alias("factor_bid_volume_change_ratio"), imbalance("ask_total", was("ask_total")).alias("factor_ask_volume_change_ratio"),
         *[permille(F.col(f"micro_{k}"), was("mid")).alias(f"factor_weighted_return_{k}") for k in range(1, 6)],
         permille(F.col("vwap_ask"), m).alias("factor_weighted_ask"), permille(F.col("vwap_bid"), m).alias("factor_weighted_bid"),

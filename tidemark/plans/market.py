@@ -289,40 +289,81 @@ def a28_pending_volume(spark: SparkSession, d: str) -> DataFrame:
 
 # --- flow and factors -------------------------------------------------------------
 
-_FLOW = """SELECT symbol, trading_day, sum(CASE WHEN kind = 'buy' THEN volume ELSE 0 END)::BIGINT AS order_buy, sum(CASE WHEN kind = 'sell' THEN volume ELSE 0 END)::BIGINT AS order_sell, sum(CASE WHEN kind = 'trade' THEN volume ELSE 0 END)::BIGINT AS traded,
-  sum(CASE WHEN kind = 'cancel' THEN volume ELSE 0 END)::BIGINT AS cancelled, count(*) FILTER (kind = 'buy') AS n_buy, count(*) FILTER (kind = 'sell') AS n_sell, count(*) FILTER (kind = 'trade') AS n_trade, sum(CASE WHEN kind = 'trade' THEN price * volume ELSE 0 END) AS amount FROM feed GROUP BY 1, 2"""
+_FLOW = """SELECT symbol, trading_day, sum(CASE WHEN k = 'order' AND b AND NOT m THEN volume ELSE 0 END)::BIGINT AS order_pf, sum(CASE WHEN k = 'order' AND NOT b AND NOT m THEN volume ELSE 0 END)::BIGINT AS order_nf, sum(CASE WHEN k = 'order' AND m THEN CASE WHEN b THEN volume ELSE -volume END ELSE 0 END)::BIGINT AS order_mf,
+  count(*) FILTER (k = 'trade' AND b) AS trade_pcf, count(*) FILTER (k = 'trade' AND NOT b) AS trade_ncf, sum(CASE WHEN k = 'trade' AND b THEN price * volume ELSE 0 END) AS trade_pt, sum(CASE WHEN k = 'trade' AND NOT b THEN price * volume ELSE 0 END) AS trade_nt,
+  sum(CASE WHEN k = 'cancel' AND b THEN volume ELSE 0 END)::BIGINT AS cxl_buy_flow, sum(CASE WHEN k = 'cancel' AND NOT b THEN volume ELSE 0 END)::BIGINT AS cxl_sell_flow, sum(CASE WHEN k = 'order' AND b THEN volume ELSE 0 END)::BIGINT AS buy_order_volume, sum(CASE WHEN k = 'order' AND NOT b THEN volume ELSE 0 END)::BIGINT AS sell_order_volume
+  FROM (SELECT *, CASE WHEN kind IN ('buy', 'sell') THEN 'order' ELSE kind END AS k, CASE WHEN kind IN ('buy', 'sell') THEN kind = 'buy' ELSE event_id % 2 = 0 END AS b, event_id % 10 = 1 AS m FROM feed) GROUP BY 1, 2"""
 
 
-@query(with_ctes(f"SELECT * REPLACE (round(amount, 4) AS amount) FROM ({_FLOW})", "feed"))
-def a5_order_flow(spark: SparkSession, d: str) -> DataFrame:
-    return factors.order_flow(A.feed(spark, d), ["symbol", "trading_day"]).withColumn("amount", F.round("amount", 4))
+def _flow(spark: SparkSession, d: str) -> DataFrame:
+    """Order flow of the feed; a tenth are market orders, and trades and cancels take sides by number."""
+    is_order = F.col("kind").isin("buy", "sell")
+    side = F.when(is_order, F.when(F.col("kind") == "buy", "B").otherwise("S")).otherwise(F.when(F.col("event_id") % 2 == 0, "B").otherwise("S"))
+    rows = A.feed(spark, d).select("symbol", "trading_day", "price", "volume", side.alias("side"), (F.col("event_id") % 10 == 1).alias("is_market"), F.when(is_order, "order").otherwise(F.col("kind")).alias("kind"))
+    return factors.order_flow(rows, ["symbol", "trading_day"])
 
 
-@query(with_ctes(f"""SELECT symbol, trading_day, round(order_buy / (p_retailprice * p_size * 100), 9) AS factor_order_flow, round(amount / (p_retailprice * p_size * 100), 9) AS factor_market, round(CASE WHEN order_buy + order_sell > 0 THEN traded / (order_buy + order_sell) ELSE 0 END, 9) AS factor_fill_rate,
-  round(CASE WHEN order_buy + order_sell = 0 THEN 0 ELSE (order_buy - order_sell) / (order_buy + order_sell) END, 9) AS factor_order_flow_imbalance FROM ({_FLOW}) JOIN part ON lpad(p_partkey::VARCHAR, 6, '0') = symbol""", "feed"))
-def a7_flow_factors(spark: SparkSession, d: str) -> DataFrame:
-    history = A.instruments(spark, d).select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("symbol"), "history_amount")
-    rows = factors.flow_factors(factors.order_flow(A.feed(spark, d), ["symbol", "trading_day"]).join(history, "symbol"))
-    return rows.select("symbol", "trading_day", *[F.round(c, 9).alias(c) for c in ("factor_order_flow", "factor_market", "factor_fill_rate", "factor_order_flow_imbalance")])
+@query(with_ctes(f"SELECT * REPLACE (round(trade_pt, 4) AS trade_pt, round(trade_nt, 4) AS trade_nt) FROM ({_FLOW})", "feed"))
+def a5_order_flow(spark: SparkSession, d: str) -> DataFrame:
+    return _flow(spark, d).withColumns({c: F.round(c, 4) for c in ("trade_pt", "trade_nt")})
 
 
-_MARKET = """WITH t AS (SELECT *, (ask_prices[1] + bid_prices[1]) / 2 AS mid, list_sum(bid_volumes)::DOUBLE AS bt, list_sum(ask_volumes)::DOUBLE AS at_ FROM snapshots), l AS (SELECT *, lag(mid) OVER w AS pmid, lag(bt) OVER w AS pbt FROM t WINDOW w AS (PARTITION BY symbol, trading_day ORDER BY ts_us, event_id))
-SELECT event_id, round(((ask_prices[1] * bid_volumes[1] + bid_prices[1] * ask_volumes[1]) / nullif(bid_volumes[1] + ask_volumes[1], 0) / mid - 1) * 1000, 5) + 0 AS factor_hermes_permille, round((ask_prices[1] - bid_prices[1]) / mid * 1000, 5) AS factor_spread, round((mid / nullif(pmid, 0) - 1) * 1000, 5) AS factor_mid_return,
-  round(mid * 0.0005 / 0.01, 6) AS factor_fee_on_tick, round(CASE WHEN bt + pbt = 0 THEN 0 ELSE (bt - pbt) / (bt + pbt) END, 8) AS factor_bid_volume_change_ratio, round(CASE WHEN bt + at_ = 0 THEN 0 ELSE (bt - at_) / (bt + at_) END, 8) AS factor_volume_imbalance, round(ask_volumes[1] / nullif(at_, 0), 8) AS factor_ask_l1_share FROM l WHERE mid > 0"""
+_FLOW_SUMS = dict(zip(factors.FLOW, ["order_pf - order_nf", "order_mf", "cxl_buy_flow", "cxl_sell_flow", "trade_pt", "trade_nt", "trade_pt + trade_nt"]))
 
 
-@query(with_ctes(_MARKET, "snapshots"))
+@query(with_ctes(f"""SELECT symbol, trading_day, {', '.join(f'round(({x}) / (p_retailprice * p_size * 100), 9) + 0 AS {n}' for n, x in _FLOW_SUMS.items())} FROM ({_FLOW}) JOIN part ON lpad(p_partkey::VARCHAR, 6, '0') = symbol""", "feed"))
+def a7_flow_factors(spark: SparkSession, d: str) -> DataFrame:
+    history = A.instruments(spark, d).select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("symbol"), "history_amount")
+    rows = factors.flow_factors(_flow(spark, d).join(history, "symbol"))
+    return rows.select("symbol", "trading_day", *[F.round(c, 9).alias(c) for c in factors.FLOW])
+
+
+def _places(name: str) -> int:
+    """Decimals that are compared: of parts of one more than of permille."""
+    return 8 if name.endswith(("_ratio", "_imbalance", "_share", "turnover")) else 6 if name.endswith("on_tick") else 5
+
+
+def _market_sql() -> str:
+    """All market factors; the five levels are written out."""
+    added = lambda c, k=5: "(" + " + ".join(f"{c}[{i}]" for i in range(1, k + 1)) + ")::DOUBLE"
+    vwap = lambda s: "(" + " + ".join(f"{s}_prices[{i}] * {s}_volumes[{i}]" for i in range(1, 6)) + f") / nullif({added(s + '_volumes')}, 0)"
+    falling = lambda c: "(" + " + ".join(f"{c}[{i}] / {i}.0::DOUBLE" for i in range(1, 6)) + ")"
+    micro = lambda k: f"(ask_prices[1] * {added('bid_volumes', k)} + bid_prices[1] * {added('ask_volumes', k)}) / nullif({added('bid_volumes', k)} + {added('ask_volumes', k)}, 0)"
+    part_of = lambda x, y: f"CASE WHEN {x} + {y} = 0 THEN 0 ELSE ({x} - {y}) / ({x} + {y}) END"
+    permille = lambda x, y: f"(({x}) / nullif({y}, 0) - 1) * 1000"
+    columns = {
+        "hermes_permille": permille("m1", "mid"), "spread": "(ask_prices[1] - bid_prices[1]) / mid * 1000", "mid_return": permille("mid", "pmid"), "tr_sqrt_positive": f"CASE WHEN pmid IS NOT NULL THEN sqrt(greatest({permille('mid', 'pmid')}, 0)) END",
+        "percent_turnover": "(turnover - pturnover) / nullif(turnover, 0)", "fee_on_tick": "mid * 0.0005 / 0.01", "bid_volume_change_ratio": part_of("bt", "pbt"), "ask_volume_change_ratio": part_of("at_", "pat"),
+        **{f"weighted_return_{k}": permille(f"m{k}", "pmid") for k in range(1, 6)}, "weighted_ask": permille("va", "mid"), "weighted_bid": permille("vb", "mid"), "weighted_ask_return": permille("va", "pva"), "weighted_bid_return": permille("vb", "pvb"),
+        "weighted_volume_imbalance": part_of(falling("bid_volumes"), falling("ask_volumes")), "volume_imbalance": part_of("bt", "at_"), "ask_l1_share": "ask_volumes[1] / nullif(at_, 0)", "bid_l1_share": "bid_volumes[1] / nullif(bt, 0)",
+    }
+    micros = ", ".join(f"{micro(k)} AS m{k}" for k in range(1, 6))
+    return f"""WITH t AS (SELECT *, (ask_prices[1] + bid_prices[1]) / 2 AS mid, {added('bid_volumes')} AS bt, {added('ask_volumes')} AS at_, {vwap('bid')} AS vb, {vwap('ask')} AS va, {micros} FROM snapshots),
+l AS (SELECT *, lag(mid) OVER w AS pmid, lag(bt) OVER w AS pbt, lag(at_) OVER w AS pat, lag(vb) OVER w AS pvb, lag(va) OVER w AS pva, lag(turnover) OVER w AS pturnover FROM t WINDOW w AS (PARTITION BY symbol, trading_day ORDER BY ts_us, event_id))
+SELECT event_id, {', '.join(f'round({x}, {_places(n)}) + 0 AS factor_{n}' for n, x in columns.items())} FROM l WHERE mid > 0"""
+
+
+@query(with_ctes(_market_sql(), "snapshots"))
 def a6_market_factors(spark: SparkSession, d: str) -> DataFrame:
     rows = factors.market_factors(A.snapshots(spark, d), ["symbol", "trading_day"], ["ts_us", "event_id"]).where("mid > 0")
-    places = {"factor_hermes_permille": 5, "factor_spread": 5, "factor_mid_return": 5, "factor_fee_on_tick": 6, "factor_bid_volume_change_ratio": 8, "factor_volume_imbalance": 8, "factor_ask_l1_share": 8}
-    return rows.select("event_id", *[F.round(c, n).alias(c) for c, n in places.items()])
+    return rows.select("event_id", *[F.round(c, _places(c)).alias(c) for c in factors.MARKET])
+
+
+def _paired_sql() -> str:
+    imbalance = lambda i, side="": f"CASE WHEN {side}bid_volumes[{i}] + {side}ask_volumes[{i}] = 0 THEN 0 ELSE ({side}bid_volumes[{i}] - {side}ask_volumes[{i}]) / ({side}bid_volumes[{i}] + {side}ask_volumes[{i}]) END"
+    columns = [f"round({imbalance(i)}, 8) + 0 AS level_imbalance_{i}, round({imbalance(i)} - ({imbalance(i, 'p.')}), 8) + 0 AS level_change_{i}" for i in range(1, 6)]
+    columns += [f"round(({s}_prices[{i}] / nullif(p.{s}_prices[{i}], 0) - 1) * 1000, 5) + 0 AS {s}_return_{i}" for i in range(1, 6) for s in ("bid", "ask")]
+    columns += ["volume - p.volume AS interval_volume", "round(turnover - p.turnover, 4) AS interval_turnover"]
+    return f"""WITH good AS (SELECT * FROM snapshots WHERE bid_prices[5] > 0 AND ask_prices[1] > bid_prices[1] AND last_price > 0),
+l AS (SELECT *, lag({{'bid_prices': bid_prices, 'ask_prices': ask_prices, 'bid_volumes': bid_volumes, 'ask_volumes': ask_volumes, 'volume': volume, 'turnover': turnover}}) OVER (PARTITION BY symbol, trading_day ORDER BY ts_us, event_id) AS p FROM good)
+SELECT event_id, {', '.join(columns)} FROM l WHERE p IS NOT NULL"""
 
 
-@query(with_ctes("""WITH good AS (SELECT * FROM snapshots WHERE bid_prices[5] > 0 AND ask_prices[1] > bid_prices[1] AND last_price > 0), l AS (SELECT *, lag(bid_prices) OVER w AS pb, lag(event_id) OVER w AS pv, (bid_volumes[1] - ask_volumes[1]) / (bid_volumes[1] + ask_volumes[1]) AS i1 FROM good WINDOW w AS (PARTITION BY symbol, trading_day ORDER BY ts_us, event_id))
-SELECT event_id, round(i1, 8) AS level_imbalance_1, round((bid_prices[1] / pb[1] - 1) * 1000, 5) AS bid_return_1, round((bid_prices[5] / pb[5] - 1) * 1000, 5) AS bid_return_5, event_id - pv AS interval_volume FROM l WHERE pb IS NOT NULL""", "snapshots"))
+@query(with_ctes(_paired_sql(), "snapshots"))
 def a9_paired_factors(spark: SparkSession, d: str) -> DataFrame:
     rows = factors.paired_factors(A.snapshots(spark, d).where(S.valid_snapshot()), ["symbol", "trading_day"], ["ts_us", "event_id"])
-    return rows.select("event_id", F.round("level_imbalance_1", 8).alias("level_imbalance_1"), *[F.round(c, 5).alias(c) for c in ("bid_return_1", "bid_return_5")], "interval_volume")
+    places = [f"level_{c}_{i}" for i in range(1, 6) for c in ("imbalance", "change")], [f"{s}_return_{i}" for i in range(1, 6) for s in ("bid", "ask")]
+    return rows.select("event_id", *[F.round(c, n).alias(c) for cols, n in zip(places, (8, 5)) for c in cols], "interval_volume", F.round("interval_turnover", 4).alias("interval_turnover"))
 
 
 part("j7_event_replay", "j6_replay_compare", "n_exact", "n_floating", "n_ordering")
