@@ -44,11 +44,11 @@ def book_at(samples: DataFrame, levels: DataFrame, bucket_us: int = 86_400_000_0
     return asked.join(spans, ["symbol", "_bucket"]).where("valid_from <= ts_us and ts_us < _to").drop("_bucket", "_to")
 
 
-def top_levels(alive: DataFrame, key: list[str], n: int) -> DataFrame:
-    """The n best levels of each side: highest bids, lowest asks; rank from 1."""
+def top_levels(alive: DataFrame, key: list[str], n: int | None) -> DataFrame:
+    """The n best levels of each side (all if n is None): highest bids, lowest asks; rank from 1."""
     best = F.when(F.col("side") == "B", -F.col("tick")).otherwise(F.col("tick"))
-    rank = F.row_number().over(W.partitionBy(*key, "side").orderBy(best))
-    return alive.withColumn("rank", rank).where(F.col("rank") <= n)
+    ranked = alive.withColumn("rank", F.row_number().over(W.partitionBy(*key, "side").orderBy(best)))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 def visible_book(alive: DataFrame, key: list[str], n: int = 5) -> DataFrame:
@@ -63,22 +63,29 @@ def max_volume_level(alive: DataFrame, key: list[str]) -> DataFrame:
     return alive.groupBy(*key, "side").agg(F.max(F.struct("qty", (-F.col("tick")).alias("down"))).alias("m")).select(*key, "side", (-F.col("m.down")).alias("tick"), F.col("m.qty").alias("qty"))
 
 
-def full_book_aggregate(alive: DataFrame, key: list[str], bands: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """Per sample: mid and, for each side, volume, orders, age and amount within bands of the
-    mid (in percent) and over the best one and five levels."""
-    best = alive.groupBy(*key).agg(F.max(F.when(F.col("side") == "B", F.col("tick"))).alias("b1"), F.min(F.when(F.col("side") == "S", F.col("tick"))).alias("a1"))
-    best = best.where("b1 is not null and a1 is not null").withColumn("mid", (F.col("b1") + F.col("a1")) / 2)
-    rows = top_levels(alive, key, 2**31 - 1).join(best, key)
-    away = F.when(F.col("mid") != 0, F.abs(F.col("tick") - F.col("mid")) / F.col("mid") * 100)
+def full_book_aggregate(alive: DataFrame, key: list[str], bands: tuple[int, ...] = (1, 5, 10), young_us: int = 60_000_000) -> DataFrame:
+    """Per sample with both sides: best ticks b1 and a1, mid and, for each side, sums of volume,
+    orders, age, price and amount within bands of the mid (in percent), over the best one and
+    five levels and over all; the volume of levels younger than ``young_us`` in the first band;
+    the level of greatest volume (of equal ones the lowest tick).
+
+    Best ticks and ranks are windows that share the shuffle by sample with the aggregation.
+    """
+    sample, (side, tick, qty) = W.partitionBy(*key), (F.col(c) for c in ("side", "tick", "qty"))
+    rows = alive.withColumn("b1", F.max(F.when(side == "B", tick)).over(sample)).withColumn("a1", F.min(F.when(side == "S", tick)).over(sample))
+    rows = top_levels(rows.where("b1 is not null and a1 is not null").withColumn("mid", (F.col("b1") + F.col("a1")) / 2), key, None)
+    away = F.when(F.col("mid") != 0, F.abs(tick - F.col("mid")) / F.col("mid") * 100)
     age = F.col("ts_us") - F.col("since")
+    zones = {f"pct{b}": away <= b for b in bands} | {"l1": F.col("rank") <= 1, "l5": F.col("rank") <= 5, "all": F.lit(True)}
+    sums = {"volume": qty, "count": F.col("n_orders"), "age": age, "price": tick, "amount": qty * tick}
     out = []
-    for side in ("B", "S"):
-        zones = {f"pct{b}": away <= b for b in bands} | {"l1": F.col("rank") <= 1, "l5": F.col("rank") <= 5, "all": F.lit(True)}
-        for zone, inside in zones.items():
-            pick = lambda x: F.sum(F.when((F.col("side") == side) & inside, x).otherwise(0))  # noqa: B023, E731
-            prefix = f"{'bid' if side == 'B' else 'ask'}_{zone}"
-            out += [pick(F.col("qty")).alias(f"{prefix}_volume"), pick(F.col("n_orders")).alias(f"{prefix}_count"), pick(age).alias(f"{prefix}_age"), pick(F.col("qty") * F.col("tick")).alias(f"{prefix}_amount")]
-    return rows.groupBy(*key, "mid").agg(*out)
+    for name, letter in (("bid", "B"), ("ask", "S")):
+        total = lambda inside, x, letter=letter: F.sum(F.when((side == letter) & inside, x).otherwise(0))
+        out += [total(inside, x).alias(f"{name}_{zone}_{what}") for zone, inside in zones.items() for what, x in sums.items()]
+        out += [total((away <= bands[0]) & (age <= young_us), qty).alias(f"{name}_young_volume"), F.max(F.when(side == letter, F.struct("qty", (-tick).alias("down")))).alias(f"{name}_max")]
+    rows = rows.groupBy(*key, "b1", "a1", "mid").agg(*out)
+    greatest = {f"{s}_max_{what}": F.col(f"{s}_max.{f}") * sign for s in ("bid", "ask") for what, f, sign in (("volume", "qty", 1), ("tick", "down", -1))}
+    return rows.withColumns(greatest).drop("bid_max", "ask_max")
 
 
 def pending_volume(orders: DataFrame) -> DataFrame:

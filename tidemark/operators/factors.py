@@ -16,6 +16,12 @@ MARKET = [
     "factor_weighted_ask_return", "factor_weighted_bid_return", "factor_weighted_volume_imbalance", "factor_volume_imbalance", "factor_percent_turnover", "factor_ask_l1_share", "factor_bid_l1_share",
 ]
 FLOW = ["factor_order_flow", "factor_market", "factor_cancel_buy", "factor_cancel_sell", "factor_trade_buy", "factor_trade_sell", "factor_trade_total"]
+FULL_BOOK = [
+    "factor_positive_fill_rate", "factor_negative_fill_rate", "factor_order_flow_imbalance", "factor_cfr_imbalance", "factor_book_fixdist_imbalance_1pct", "factor_book_fixdist_imbalance_5pct",
+    "factor_book_fixdist_weighted_1pct", "factor_book_fixdist_weighted_5pct", "factor_book_avg_size_imbalance", "factor_book_avg_size_imbalance_l1", "factor_book_avg_size_imbalance_l5",
+    "factor_book_count_imbalance", "factor_book_count_imbalance_l1", "factor_book_count_imbalance_l5", "factor_book_life_imbalance", "factor_book_life_imbalance_l1", "factor_book_life_imbalance_l5",
+    "factor_max_bid_distance_ratio", "factor_max_ask_distance_ratio", "factor_max_vol_distance_imbalance", "factor_book_young_imbalance_1pct", "factor_book_fixdist_hermes",
+]
 
 
 def order_flow(events: DataFrame, by: list[str]) -> DataFrame:
@@ -83,18 +89,28 @@ def market_factors(snapshots: DataFrame, by: list[str], order: list[str], tick:
 
 
 def full_book_factors(book: DataFrame) -> DataFrame:
-    """Factors of a full-book aggregate (book.full_book_aggregate): imbalances of volume, amount,
-    counts, average sizes and lives over bands and levels, and ``valid``."""
-    out = []
-    for zone in ("pct1", "pct5", "l1", "l5", "all"):
-        b, a = f"bid_{zone}", f"ask_{zone}"
-        mean = lambda side, what: F.when(F.col(f"{side}_count") > 0, F.col(f"{side}_{what}") / F.col(f"{side}_count")).otherwise(0.0)
-        out += [
-            imbalance(f"{b}_volume", f"{a}_volume").alias(f"factor_fixdist_imbalance_{zone}"), imbalance(f"{b}_amount", f"{a}_amount").alias(f"factor_fixdist_weighted_{zone}"),
-            imbalance(f"{b}_count", f"{a}_count").alias(f"factor_count_imbalance_{zone}"), imbalance(mean(b, "volume"), mean(a, "volume")).alias(f"factor_avg_size_imbalance_{zone}"),
-            imbalance(mean(b, "age"), mean(a, "age")).alias(f"factor_life_imbalance_{zone}"),
-        ]
-    return book.select("*", *out, ((F.col("bid_all_count") > 0) & (F.col("ask_all_count") > 0)).alias("valid"))
+    """A full-book aggregate (book.full_book_aggregate) beside the order flow of its window
+    (order_flow), with the factors of FULL_BOOK and ``valid``: both sides hold orders.
+
+    Fill rates: amounts traded over what was ordered, at the mid. Cancel ratios: volumes
+    cancelled over ordered. Averages are per order. A ratio over nothing is 0.
+    """
+    c = F.col
+    per = lambda x, y: F.coalesce(_ratio(x, y), F.lit(0.0))
+    both = lambda zone, what: imbalance(f"bid_{zone}_{what}", f"ask_{zone}_{what}")
+    mean = lambda zone, what: imbalance(*[per(c(f"{s}_{zone}_{what}"), c(f"{s}_{zone}_count")) for s in ("bid", "ask")])
+    far = lambda s: per(F.abs(c(f"{s}_max_tick") - c("mid")), c("mid"))
+    near = c("bid_pct1_volume") + c("ask_pct1_volume")
+    micro = _ratio(c("a1") * c("bid_pct1_volume") + c("b1") * c("ask_pct1_volume"), near)
+    levels = ("all", "l1", "l5")
+    values = [
+        per(c("trade_pt"), c("buy_order_volume") * c("mid")), per(c("trade_nt"), c("sell_order_volume") * c("mid")), imbalance("order_pf", "order_nf"),
+        imbalance(per(c("cxl_buy_flow"), c("buy_order_volume")), per(c("cxl_sell_flow"), c("sell_order_volume"))),
+        both("pct1", "volume"), both("pct5", "volume"), both("pct1", "amount"), both("pct5", "amount"),
+        *[mean(z, "volume") for z in levels], *[both(z, "count") for z in levels], *[mean(z, "age") for z in levels],
+        far("bid"), far("ask"), imbalance(far("bid"), far("ask")), imbalance("bid_young_volume", "ask_young_volume"), F.coalesce((_ratio(micro, c("mid")) - 1) * 1000, F.lit(0.0)),
+    ]
+    return book.select("*", *[x.alias(n) for n, x in zip(FULL_BOOK, values, strict=True)], ((c("bid_all_count") > 0) & (c("ask_all_count") > 0)).alias("valid"))
 
 
 def paired_factors(snapshots: DataFrame, by: list[str], order: list[str]) -> DataFrame:

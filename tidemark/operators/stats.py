@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,26 +13,60 @@ from pyspark.sql import functions as F
 RULES = {"ceil": lambda n, p: F.ceil((n - 1) * p), "floor": lambda n, p: F.floor((n - 1) * p), "round": lambda n, p: F.bround((n - 1) * p).cast("long")}
 
 
-def rank_percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
-    """Per group exact percentiles: name -> (p, rule). Values are ranked in one window; a group
-    is sorted, never gathered."""
-    order = W.partitionBy(*by).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(order) - 1).alias("_i"), F.count("*").over(W.partitionBy(*by)).alias("_n"))
-    picks = [F.max(F.when(F.col("_i") == RULES[rule](F.col("_n"), F.lit(p)), F.col(value))).alias(name) for name, (p, rule) in wanted.items()]
-    return ranked.groupBy(*by).agg(*picks)
+#: Share of a group's rows on either side of a wanted place that are put in order to find it.
+MARGIN = 0.002
+#: Groups (their key and a few numbers each) up to which a table of them is broadcast.
+BROADCAST_GROUPS = 10_000
+
+
+def _beside(rows: DataFrame, facts: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """rows with the facts of their group; null keys meet null keys."""
+    named = facts.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    return rows.join(F.broadcast(named) if few else named, same).drop(*[f"_by_{c}" for c in by])
+
 
+def at_places(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """Per group its number ``_n`` of values that are not null, and those at exact places of their
+    order: name -> (about which share of them is before, place from 0 as a function of ``_n``).
 
-def approx_percentiles(rows: DataFrame, by: list[str], value: str, ps: list[float], accuracy: int = 10000) -> DataFrame:
-    """For groups too large to sort: percentile_approx, pre-aggregated."""
-    return rows.groupBy(*by).agg(F.percentile_approx(value, ps, accuracy).alias("percentiles"))
+    No group is ordered whole. Approximate percentiles, which are aggregated before the shuffle,
+    part each group into ranges with two bounds about each place; counts by range tell which ones
+    hold the places, and only their values are shuffled, counted by value and ordered. Bounds
+    that are off cost time, not exactness. Ties are counted, so a frequent value is one row.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    few = rows.select(*by).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    shares = sorted({min(max(p + m, 0.0), 1.0) for p, _ in wanted.values() for m in (-MARGIN, MARGIN)})
+    bounds = rows.groupBy(*by).agg(F.percentile_approx("_v", shares, 10_000).alias("_bounds"))
+    cell = reduce(Column.__add__, [(F.col("_v") >= F.col("_bounds")[i]).cast("int") for i in range(len(shares))])
+    celled = _beside(rows, bounds, by, few).select(*by, "_v", cell.alias("_cell"))
+
+    group = W.partitionBy(*by)
+    sizes = celled.groupBy(*by, "_cell").agg(F.count("*").alias("_size"))
+    sizes = sizes.select(*by, "_cell", "_size", F.sum("_size").over(group).alias("_n"), (F.sum("_size").over(group.orderBy("_cell")) - F.col("_size")).alias("_before"))
+    places = {name: place(F.col("_n")) for name, (_, place) in wanted.items()}
+    holds = reduce(Column.__or__, [(x >= F.col("_before")) & (x < F.col("_before") + F.col("_size")) for x in places.values()])
+    held = sizes.where(holds).select(*by, "_cell", "_n", "_before")
+
+    inside = _beside(celled, held, [*by, "_cell"], few).groupBy(*by, "_cell", "_n", "_before", "_v").agg(F.count("*").alias("_k"))
+    upto = F.col("_before") + F.sum("_k").over(W.partitionBy(*by, "_cell").orderBy("_v"))
+    inside = inside.withColumn("_upto", upto)
+    picks = [F.max(F.when((x >= F.col("_upto") - F.col("_k")) & (x < F.col("_upto")), F.col("_v"))).alias(name) for name, x in places.items()]
+    return inside.groupBy(*by, "_n").agg(*picks)
+
+
+def rank_percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """Per group exact percentiles: name -> (p, rule). Nulls do not count."""
+    return at_places(rows, by, value, {name: (p, lambda n, p=p, rule=rule: RULES[rule](n, F.lit(p))) for name, (p, rule) in wanted.items()}).drop("_n")
 
 
 def latency_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, p50 at (n-1)/2, p99 at (n-1)*99/100 (whole division), max."""
-    order = W.partitionBy(*by).orderBy(value)
-    ranked = rows.select(*by, value, (F.row_number().over(order) - 1).alias("_i"), F.count("*").over(W.partitionBy(*by)).alias("_n"))
-    at = lambda rule: F.max(F.when(F.col("_i") == F.expr(rule), F.col(value)))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), at("(_n - 1) div 2").alias("p50"), at("(_n - 1) * 99 div 100").alias("p99"), F.max(value).alias("max"))
+    """count, mean, p50 at (n-1)/2, p99 at (n-1)*99/100 (whole division), max; nulls do not count."""
+    whole = lambda num, den: lambda n: F.floor((n - 1) * num / den)
+    base = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    placed = at_places(rows, by, value, {"p50": (0.5, whole(1, 2)), "p99": (0.99, whole(99, 100))})
+    return _beside(placed, base, by, few=False).select(*by, F.col("_n").alias("n"), "mean", "p50", "p99", "max")
 
 
 def gaps(rows: DataFrame, by: list[str], time: str) -> DataFrame:

@@ -251,25 +251,23 @@ def a3_visible_book(spark: SparkSession, d: str) -> DataFrame:
     return book.visible_book(_alive(spark, d), _KEY, 5).select("symbol", "trading_day", text("bids"), text("asks"))
 
 
-_ZONES = {"pct1": "away <= 1", "pct5": "away <= 5", "l1": "rank <= 1", "l5": "rank <= 5", "all": "true"}
-_AGG = _BOOK + ", best AS (SELECT symbol, ts_us, (max(CASE WHEN side = 'B' THEN tick END) + min(CASE WHEN side = 'S' THEN tick END)) / 2 AS mid FROM alive GROUP BY ALL), rows_ AS (SELECT r.*, mid, abs(tick - mid) / nullif(mid, 0) * 100 AS away FROM ranked r JOIN best b ON b.symbol = r.symbol AND b.ts_us = r.ts_us WHERE mid IS NOT NULL)"
+_ZONES = {"pct1": "away <= 1", "pct5": "away <= 5", "pct10": "away <= 10", "l1": "rank <= 1", "l5": "rank <= 5", "all": "true"}
+_AGG = _BOOK + ", best AS (SELECT symbol, ts_us, max(CASE WHEN side = 'B' THEN tick END) AS b1, min(CASE WHEN side = 'S' THEN tick END) AS a1 FROM alive GROUP BY ALL), rows_ AS (SELECT r.*, b1, a1, (b1 + a1) / 2 AS mid, abs(tick - (b1 + a1) / 2) / nullif((b1 + a1) / 2, 0) * 100 AS away FROM ranked r JOIN best b ON b.symbol = r.symbol AND b.ts_us = r.ts_us WHERE b1 + a1 IS NOT NULL)"
+#: Levels younger than this count as young; our test events are hours apart.
+_YOUNG_US = 2 * A.DAY_US
 
 
 def _zone_sums() -> str:
-    what = {"volume": "qty", "count": "n_orders", "age": "ts_us - since", "amount": "qty * tick"}
-    return ", ".join(f"sum(CASE WHEN side = '{s}' AND {cond} THEN {expr} ELSE 0 END)::BIGINT AS {'bid' if s == 'B' else 'ask'}_{z}_{w}" for s in "BS" for z, cond in _ZONES.items() for w, expr in what.items())
+    what = {"volume": "qty", "count": "n_orders", "age": "ts_us - since", "price": "tick", "amount": "qty * tick"}
+    sides = {"bid": "B", "ask": "S"}
+    sums = [f"sum(CASE WHEN side = '{s}' AND {cond} THEN {expr} ELSE 0 END)::BIGINT AS {n}_{z}_{w}" for n, s in sides.items() for z, cond in _ZONES.items() for w, expr in what.items()]
+    sums += [f"sum(CASE WHEN side = '{s}' AND away <= 1 AND ts_us - since <= {_YOUNG_US} THEN qty ELSE 0 END)::BIGINT AS {n}_young_volume" for n, s in sides.items()]
+    return ", ".join(sums + [f"max(CASE WHEN side = '{s}' THEN qty END) AS {n}_max_volume, arg_max(tick, {{'q': qty, 'd': -tick}}) FILTER (side = '{s}') AS {n}_max_tick" for n, s in sides.items()])
 
 
-@query(with_ctes(_AGG + f" SELECT symbol, trading_day, mid, {_zone_sums()} FROM rows_ GROUP BY ALL", "feed", "book_changes"))
+@query(with_ctes(_AGG + f" SELECT symbol, trading_day, b1, a1, mid, {_zone_sums()} FROM rows_ GROUP BY ALL", "feed", "book_changes"))
 def a4_full_book(spark: SparkSession, d: str) -> DataFrame:
-    return book.full_book_aggregate(_alive(spark, d), _KEY, (1, 5)).drop("ts_us")
-
-
-@query(with_ctes(_AGG + f""", agg AS (SELECT symbol, trading_day, {_zone_sums()} FROM rows_ GROUP BY ALL)
-SELECT symbol, trading_day, """ + ", ".join(f"round(CASE WHEN bid_{z}_volume + ask_{z}_volume = 0 THEN 0 ELSE (bid_{z}_volume - ask_{z}_volume) / (bid_{z}_volume + ask_{z}_volume) END, 9) AS factor_fixdist_imbalance_{z}, round(CASE WHEN bid_{z}_count + ask_{z}_count = 0 THEN 0 ELSE (bid_{z}_count - ask_{z}_count) / (bid_{z}_count + ask_{z}_count) END, 9) AS factor_count_imbalance_{z}" for z in _ZONES) + ", bid_all_count > 0 AND ask_all_count > 0 AS valid FROM agg", "feed", "book_changes"))
-def a8_full_book_factors(spark: SparkSession, d: str) -> DataFrame:
-    rows = factors.full_book_factors(book.full_book_aggregate(_alive(spark, d), _KEY, (1, 5)))
-    return rows.select("symbol", "trading_day", *[F.round(f"factor_{n}_imbalance_{z}", 9).alias(f"factor_{n}_imbalance_{z}") for z in _ZONES for n in ("fixdist", "count")], "valid")
+    return book.full_book_aggregate(_alive(spark, d), _KEY, young_us=_YOUNG_US).drop("ts_us")
 
 
 @query(with_ctes(_BOOK + " SELECT symbol, trading_day, side, tick, qty, rank::INT AS rank FROM ranked WHERE rank <= 3", "feed", "book_changes"))
@@ -303,6 +301,35 @@ def _flow(spark: SparkSession, d: str) -> DataFrame:
     return factors.order_flow(rows, ["symbol", "trading_day"])
 
 
+def _full_book_sql() -> str:
+    part_of = lambda x, y: f"CASE WHEN {x} + {y} = 0 THEN 0 ELSE ({x} - {y}) / ({x} + {y}) END"
+    per = lambda x, y: f"coalesce(({x}) / nullif({y}, 0), 0)"
+    both = lambda z, w: part_of(f"bid_{z}_{w}", f"ask_{z}_{w}")
+    mean = lambda z, w: part_of(*[per(f"{s}_{z}_{w}", f"{s}_{z}_count") for s in ("bid", "ask")])
+    far = lambda s: per(f"abs({s}_max_tick - mid)", "mid")
+    columns = {
+        "positive_fill_rate": per("trade_pt", "buy_order_volume * mid"), "negative_fill_rate": per("trade_nt", "sell_order_volume * mid"), "order_flow_imbalance": part_of("order_pf", "order_nf"),
+        "cfr_imbalance": part_of(per("cxl_buy_flow", "buy_order_volume"), per("cxl_sell_flow", "sell_order_volume")),
+        **{f"book_fixdist_{n}_{b}pct": both(f"pct{b}", w) for n, w in (("imbalance", "volume"), ("weighted", "amount")) for b in (1, 5)},
+        **{f"book_{n}_imbalance{t}": f(z, w) for n, f, w in (("avg_size", mean, "volume"), ("count", both, "count"), ("life", mean, "age")) for t, z in (("", "all"), ("_l1", "l1"), ("_l5", "l5"))},
+        "max_bid_distance_ratio": far("bid"), "max_ask_distance_ratio": far("ask"), "max_vol_distance_imbalance": part_of(far("bid"), far("ask")), "book_young_imbalance_1pct": part_of("bid_young_volume", "ask_young_volume"),
+        "book_fixdist_hermes": "coalesce(((a1 * bid_pct1_volume + b1 * ask_pct1_volume) / nullif(bid_pct1_volume + ask_pct1_volume, 0) / nullif(mid, 0) - 1) * 1000, 0)",
+    }
+    rounded = ", ".join(f"round({x}, {_book_places(n)}) + 0 AS factor_{n}" for n, x in columns.items())
+    return f"{_AGG}, agg AS (SELECT symbol, trading_day, b1, a1, mid, {_zone_sums()} FROM rows_ GROUP BY ALL), flow AS ({_FLOW}) SELECT symbol, trading_day, {rounded}, bid_all_count > 0 AND ask_all_count > 0 AS valid FROM agg JOIN flow USING (symbol, trading_day)"
+
+
+def _book_places(name: str) -> int:
+    return 6 if name.endswith("hermes") else 9
+
+
+@query(with_ctes(_full_book_sql(), "feed", "book_changes"))
+def a8_full_book_factors(spark: SparkSession, d: str) -> DataFrame:
+    whole = book.full_book_aggregate(_alive(spark, d), _KEY, young_us=_YOUNG_US)
+    rows = factors.full_book_factors(whole.join(_flow(spark, d), ["symbol", "trading_day"]))
+    return rows.select("symbol", "trading_day", *[F.round(c, _book_places(c)).alias(c) for c in factors.FULL_BOOK], "valid")
+
+
 @query(with_ctes(f"SELECT * REPLACE (round(trade_pt, 4) AS trade_pt, round(trade_nt, 4) AS trade_nt) FROM ({_FLOW})", "feed"))
 def a5_order_flow(spark: SparkSession, d: str) -> DataFrame:
     return _flow(spark, d).withColumns({c: F.round(c, 4) for c in ("trade_pt", "trade_nt")})
