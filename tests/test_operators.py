@@ -1,11 +1,12 @@
 """State machines, comparators and books on small tables."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import arbiter, asof, book, quality, sampling, scoring, static, stats
+from tidemark.operators import arbiter, asof, book, normalize, quality, sampling, scoring, static, stats
 
 US = 1_000_000
 
@@ -80,6 +81,33 @@ def test_batch_end_sessions_and_percentiles(spark):
     assert (got.c, got.f, got.r) == (3.0, 2.0, 2.0)
 
 
+def test_percentiles_with_ties_nulls_and_small_groups(spark):
+    """Exact places in a group of one frequent value, in one of a row, and under a null key."""
+    rnd = random.Random(7)
+    groups = {"hot": [5.0] * 4000 + [rnd.random() * 10 for _ in range(2000)], "one": [3.0], None: [float(i % 17) for i in range(500)], "none": [None] * 3}
+    rows = spark.createDataFrame([(g, v) for g, values in groups.items() for v in [*values, None]], "g string, v double")
+    wanted = {"low": (0.01, "floor"), "mid": (0.5, "ceil"), "high": (0.99, "round"), "last": (1.0, "ceil")}
+    got = {r.g: (r.low, r.mid, r.high, r.last) for r in stats.rank_percentiles(rows, ["g"], "v", wanted).collect()}
+    at = lambda x: (x[math.floor((len(x) - 1) * 0.01)], x[math.ceil((len(x) - 1) * 0.5)], x[round((len(x) - 1) * 0.99)], x[-1])
+    assert got == {g: at(sorted(values)) for g, values in groups.items() if g != "none"}
+    assert stats.rank_percentiles(rows.limit(0), ["g"], "v", wanted).count() == 0
+
+
+def test_normalized_events_and_reasons(spark):
+    day = F.lit(20260801)
+    noon = 1785585600_000_000  # 2026-08-01 12:00
+    make = lambda rows: spark.createDataFrame(rows, "appl_seq_num long, order_time long, instrument_id long, price double, volume double, order_kind long, ord_type long")
+    good = (1, noon, 7, 12.34, 100.0, 1, 2)
+    bad = [(2, noon - 86_400_000_000, 7, 1.0, 1.0, 1, 2), (0, noon, 7, 1.0, 1.0, 1, 2), (3, noon, 7, 1.0, 1.5, 1, 2), (4, noon, 7, 1.0, None, 1, 2), (5, noon, 7, 1.0, 1.0, 9, 2), (6, noon, 7, 0.0, 1.0, 1, 2)]
+    got = {r.appl_seq_num: r for r in normalize.normalize_orders(make([good, (8, noon, 7, 0.0, 1.0, 1, 1), *bad]), day).collect()}
+    assert {k: r.reject_reason for k, r in got.items()} == {1: None, 8: None, 2: "day", 0: "sequence", 3: "volume", 4: "volume", 5: "kind", 6: "price"}
+    assert (got[1].symbol, got[1].exchange_time_us, got[1].tick, got[1].qty, got[1].kind) == ("000007", 43_200_000_000, 1234, 100, "limit")
+    assert (got[8].tick, got[8].kind) == (None, "market") and got[2].symbol is None
+    trades = spark.createDataFrame([(1, noon, 7, 2.0, 1.0, 1, 3, 4), (2, noon, 7, 2.0, 1.0, 1, 3, 0), (3, noon, 7, 0.0, 1.0, 4, 3, None), (4, noon, 7, 0.0, 1.0, 4, 3, 4)], "appl_seq_num long, trade_time long, instrument_id long, price double, volume double, order_kind long, bid_appl_seq_num long, offer_appl_seq_num long")
+    found = {r.appl_seq_num: (r.reject_reason, r.kind, r.ask_sequence) for r in normalize.normalize_trades(trades, day).collect()}
+    assert found == {1: (None, "trade", 4), 2: ("link", None, None), 3: (None, "cancel", None), 4: ("link", None, None)}
+
+
 def test_book_intervals_match_a_replay(spark):
     rnd = random.Random(1)
     rows = [("s", rnd.choice("BS"), rnd.randrange(95, 105), t, t, rnd.choice([3, 2, 1, -2]), 1) for t in range(1, 200)]
@@ -124,7 +152,7 @@ def test_zero_weights_score_the_last_bias(spark):
     weights = {k: np.zeros_like(v) for k, v in scoring.random_weights(50, [512, 256, 128], 64, [8]).items()}
     weights["head1.b"][:] = 1.5
     rows = spark.createDataFrame([("a", 20260801, i, [0.1] * 50) for i in range(3)], "symbol string, trading_day int, row_in_stock_day long, x array<float>")
-    assert {r.prediction for r in scoring.score(rows, weights, buckets=2).collect()} == {1.5}
+    assert {r.prediction for r in scoring.score(rows, weights).collect()} == {1.5}
 
 
 def test_scoring_keeps_one_state_per_instrument_day(spark):
@@ -134,7 +162,7 @@ def test_scoring_keeps_one_state_per_instrument_day(spark):
     weights = scoring.random_weights(4, [8], 6, [3], layers=2)
     data = [(s, day, i, rng.normal(size=4).tolist()) for s in "abc" for day in (1, 2) for i in range(1, 6)]
     schema = "symbol string, trading_day int, row_in_stock_day long, x array<double>"
-    got = {(r.symbol, r.trading_day, r.row_in_stock_day): r.prediction for r in scoring.score(spark.createDataFrame(data[::-1], schema), weights, buckets=3).collect()}
+    got = {(r.symbol, r.trading_day, r.row_in_stock_day): r.prediction for r in scoring.score(spark.createDataFrame(data[::-1], schema), weights).collect()}
     net = scoring.Network(weights)
     for s in "abc":
         for day in (1, 2):

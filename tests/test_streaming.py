@@ -59,7 +59,7 @@ def test_stream_scores_equal_batch_scores(spark, files):
     weights = scoring.random_weights(3, [5], 4, [2])
     schema = "row_in_stock_day long, symbol string, trading_day int, x array<double>"
     rows = [(i, s, 20260801, rng.normal(size=3).tolist()) for i in range(1, 7) for s in "ab"]
-    batch = {(r.symbol, r.row_in_stock_day): r.prediction for r in scoring.score(spark.createDataFrame(rows, schema), weights, buckets=2).collect()}
+    batch = {(r.symbol, r.row_in_stock_day): r.prediction for r in scoring.score(spark.createDataFrame(rows, schema), weights).collect()}
     got = {(r.symbol, r.row_in_stock_day): r.prediction for r in replayed(spark, by_files(spark, rows, schema, files), lambda s: T.scored(s, weights), **_ROCKS).collect()}
     if files == 1:  # files of one replay may come in any order
         assert got.keys() == batch.keys() and all(abs(got[k] - batch[k]) < 1e-5 for k in got)

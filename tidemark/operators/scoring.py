@@ -3,7 +3,7 @@
 The network is a stack of dense layers with softsign, a residual projection, gated
 recurrent layers, a layer norm and a small head; sizes are read from the weights. A
 state belongs to one instrument and day and starts at zero. Sequences are independent,
-so Spark groups rows into buckets of instrument-days; within a bucket all sequences
+so Spark deals rows to tasks by instrument-day; within a task all sequences
 advance together, one numpy step per row number.
 """
 
@@ -73,16 +73,15 @@ class Network:
         return h[:, 0], out
 
 
-def score(rows: DataFrame, weights: dict[str, np.ndarray], symbol: str = "symbol", day: str = "trading_day", number: str = "row_in_stock_day", features: str = "x", buckets: int = 64) -> DataFrame:
+def score(rows: DataFrame, weights: dict[str, np.ndarray], symbol: str = "symbol", day: str = "trading_day", number: str = "row_in_stock_day", features: str = "x") -> DataFrame:
     """(symbol, day, number, prediction): every row scored in its instrument-day's order.
 
-    Rows are dealt to buckets of instrument-days and sorted by row number within, so that a
-    task reads its bucket once, in order, and keeps only the states.
+    Rows are dealt to tasks by instrument-day, as many as shuffles have, and sorted by row number
+    within, so that a task reads its rows once, in order, and keeps only the states.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     shared = rows.sparkSession.sparkContext.broadcast(weights)
-    bucket = F.pmod(F.xxhash64(symbol, day), F.lit(buckets))
-    dealt = rows.select(symbol, day, number, features, bucket.alias("_bucket")).repartition(buckets, "_bucket").sortWithinPartitions(number)
+    dealt = rows.select(symbol, day, number, features).repartition(symbol, day).sortWithinPartitions(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, lane, state = Network(shared.value), {}, None
@@ -103,7 +102,7 @@ def score(rows: DataFrame, weights: dict[str, np.ndarray], symbol: str = "symbol
                 out[run_], state[:, at[run_]] = net.step(x[run_], state[:, at[run_]])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (symbol, day, number)), pa.array(out.astype(np.float64))], [symbol, day, number, "prediction"])
 
-    return dealt.drop("_bucket").mapInArrow(run, f"{symbol} {kinds[symbol]}, {day} {kinds[day]}, {number} {kinds[number]}, prediction double")
+    return dealt.mapInArrow(run, f"{symbol} {kinds[symbol]}, {day} {kinds[day]}, {number} {kinds[number]}, prediction double")
 
 
 def linear_score(rows: DataFrame, weights: DataFrame, key: list[str], features: str = "x") -> DataFrame:

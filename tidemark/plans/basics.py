@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import quality, static
+from tidemark.operators import normalize, quality, static
 from tidemark.plans import adapters as A
 from tidemark.plans.adapters import with_ctes
 from tidemark.plans.registry import part, query
@@ -111,18 +111,38 @@ def p4_free_share(spark: SparkSession, d: str) -> DataFrame:
     return static.clean_free_share(i.select(code.alias("ts_code"), value.alias("free_share")))
 
 
-@query(with_ctes("""SELECT appl_seq_num, CASE WHEN order_kind <> 1 THEN 'kind' WHEN price <= 100 THEN 'price' WHEN volume <= 3 THEN 'volume' END AS reject_reason, CASE WHEN order_kind = 1 AND price > 100 AND volume > 3 THEN round(price * 100)::BIGINT END AS tick FROM l2_orders""", "l2_orders"))
+def _events_sql(rows: str, time: str, rules: str, fields: dict[str, str]) -> str:
+    """Rows with their time's day, judged by ``rules``; the fields of those that pass."""
+    common = {"symbol": "lpad(instrument_id::VARCHAR, 6, '0')", "trading_day": "day", "exchange_time_us": f"{time} % 86400000000", "sequence": "appl_seq_num", "qty": "volume::BIGINT"}
+    passed = ", ".join(f"CASE WHEN reject_reason IS NULL THEN {x} END AS {n}" for n, x in (common | fields).items())
+    return f"""WITH r AS ({rows}), t AS (SELECT *, strftime(DATE '1970-01-01' + ({time} // 86400000000)::INT, '%Y%m%d')::INT AS own FROM r), d AS (SELECT *, own - CASE WHEN appl_seq_num % 50 = 3 THEN 1 ELSE 0 END AS day FROM t),
+j AS (SELECT *, CASE WHEN own <> day THEN 'day' WHEN appl_seq_num <= 0 THEN 'sequence' WHEN volume <= 0 OR volume <> floor(volume) THEN 'volume' {rules} END AS reject_reason FROM d)
+SELECT appl_seq_num, reject_reason, {passed} FROM j"""
+
+
+def _other_day(time: str) -> F.Column:
+    """The row's day, but one earlier for a fiftieth of them."""
+    return normalize.day_of(F.col(time)) - F.when(F.col("appl_seq_num") % 50 == 3, 1).otherwise(0)
+
+
+@query(with_ctes(_events_sql(
+    "SELECT * REPLACE (CASE WHEN appl_seq_num % 40 = 7 THEN 0 ELSE price END AS price, volume - 3 AS volume) FROM l2_orders", "order_time", "WHEN ord_type <> 1 AND price <= 0 THEN 'price'",
+    {"tick": "CASE WHEN ord_type <> 1 THEN round(price * 100)::BIGINT END", "kind": "CASE WHEN order_kind = 2 THEN 'cancel' WHEN ord_type = 1 THEN 'market' ELSE 'limit' END"}), "l2_orders"))
 def p5_normalize_orders(spark: SparkSession, d: str) -> DataFrame:
-    o = A.l2_orders(spark, d)
-    reason = static.first_failure([(F.col("order_kind") == 1, "kind"), (F.col("price") > 100, "price"), (F.col("volume") > 3, "volume")])
-    return o.select("appl_seq_num", reason.alias("reject_reason"), F.when(reason.isNull(), S.round_price("price")).alias("tick"))
+    """Orders, some without a price or volume or of another day."""
+    o = A.l2_orders(spark, d).withColumn("price", F.when(F.col("appl_seq_num") % 40 == 7, 0.0).otherwise(F.col("price"))).withColumn("volume", F.col("volume") - 3)
+    return normalize.normalize_orders(o, _other_day("order_time"))
 
 
-@query(with_ctes("""SELECT appl_seq_num, CASE WHEN order_kind <> 1 THEN 'cancel' WHEN bid_appl_seq_num <= 0 OR offer_appl_seq_num <= 0 THEN 'link' WHEN volume <= 2 THEN 'volume' END AS reject_reason FROM l2_trades""", "l2_trades"))
+@query(with_ctes(_events_sql(
+    "SELECT * REPLACE (CASE WHEN order_kind = 4 AND appl_seq_num % 3 > 0 THEN 0 ELSE offer_appl_seq_num END AS offer_appl_seq_num, volume - 2 AS volume) FROM l2_trades", "trade_time",
+    "WHEN CASE WHEN order_kind = 4 THEN (bid_appl_seq_num > 0) = (offer_appl_seq_num > 0) ELSE bid_appl_seq_num <= 0 OR offer_appl_seq_num <= 0 END THEN 'link' WHEN order_kind <> 4 AND price <= 0 THEN 'price'",
+    {"tick": "CASE WHEN order_kind <> 4 THEN round(price * 100)::BIGINT END", "kind": "CASE WHEN order_kind = 4 THEN 'cancel' ELSE 'trade' END", "bid_sequence": "bid_appl_seq_num", "ask_sequence": "nullif(offer_appl_seq_num, 0)"}), "l2_trades"))
 def p6_normalize_trades(spark: SparkSession, d: str) -> DataFrame:
-    t = A.l2_trades(spark, d)
-    reason = static.first_failure([(F.col("order_kind") == 1, "cancel"), ((F.col("bid_appl_seq_num") > 0) & (F.col("offer_appl_seq_num") > 0), "link"), (F.col("volume") > 2, "volume")])
-    return t.select("appl_seq_num", reason.alias("reject_reason"))
+    """Trades and cancels, some cancels with one linked order, some with two."""
+    one = (F.col("order_kind") == 4) & (F.col("appl_seq_num") % 3 > 0)
+    t = A.l2_trades(spark, d).withColumn("offer_appl_seq_num", F.when(one, 0).otherwise(F.col("offer_appl_seq_num"))).withColumn("volume", F.col("volume") - 2)
+    return normalize.normalize_trades(t, _other_day("trade_time"))
 
 
 @query("SELECT event_id, event_id / 10000 AS price, event_id / 100 AS quantity, event_id / 1000000 AS turnover FROM events")
@@ -146,13 +166,13 @@ def p10_auction(spark: SparkSession, d: str) -> DataFrame:
     return A.feed(spark, d).groupBy(S.is_auction_time("exchange_time_us").alias("auction")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
 
-@query(with_ctes("SELECT t.appl_seq_num, o.ord_type = 1 AND t.order_kind = 4 AS market_cancel FROM l2_trades t JOIN l2_orders o ON t.bid_appl_seq_num = o.appl_seq_num WHERE t.order_kind = 4", "l2_trades", "l2_orders"))
+@query(with_ctes("SELECT t.appl_seq_num, o.ord_type = 1 AND t.order_kind = 4 AS market_cancel FROM l2_trades t JOIN l2_orders o ON t.bid_appl_seq_num = o.appl_seq_num", "l2_trades", "l2_orders"))
 def p11_market_cancels(spark: SparkSession, d: str) -> DataFrame:
-    t, o = A.l2_trades(spark, d).where("order_kind = 4"), A.l2_orders(spark, d).select(F.col("appl_seq_num").alias("bid_appl_seq_num"), "ord_type")
+    t, o = A.l2_trades(spark, d), A.l2_orders(spark, d).select(F.col("appl_seq_num").alias("bid_appl_seq_num"), "ord_type")
     return t.join(o, "bid_appl_seq_num").select("appl_seq_num", ((F.col("ord_type") == 1) & (F.col("order_kind") == 4)).alias("market_cancel"))
 
 
-@query(with_ctes("SELECT event_id, bid_prices[5] > 0 AND ask_prices[1] > bid_prices[1] AND last_price > 0 AS valid FROM snapshots", "snapshots"))
+@query(with_ctes("SELECT event_id, last_price > 0 AND list_min(bid_prices) > 0 AND list_min(ask_prices) > 0 AND ask_prices[1] > bid_prices[1] AND list_min(bid_volumes) >= 0 AND list_min(ask_volumes) >= 0 AND volume >= 0 AND turnover >= 0 AS valid FROM snapshots", "snapshots"))
 def p12_valid_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return A.snapshots(spark, d).select("event_id", S.valid_snapshot().alias("valid"))
 
@@ -225,10 +245,12 @@ def u2_orphans(spark: SparkSession, d: str) -> DataFrame:
     return static.orphan_positions(A.feed(spark, d).select("symbol").distinct(), A.positions(spark, d))
 
 
-@query("SELECT count(*) = -1 AS same, 'o_orderstatus' AS only_first, 'l_quantity' AS only_second FROM orders")
+@query("""WITH a AS (SELECT substr(column_name, 3) AS c FROM (DESCRIBE customer)), b AS (SELECT substr(column_name, 3) AS c FROM (DESCRIBE supplier)), x AS (SELECT string_agg(c, ',' ORDER BY c) AS names FROM a WHERE c NOT IN (SELECT c FROM b)), y AS (SELECT string_agg(c, ',' ORDER BY c) AS names FROM b WHERE c NOT IN (SELECT c FROM a))
+SELECT x.names IS NULL AND y.names IS NULL AS same, coalesce(x.names, '') AS only_first, coalesce(y.names, '') AS only_second FROM x, y""")
 def u3_schemas(spark: SparkSession, d: str) -> DataFrame:
-    a = A.read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_orderstatus")
-    return quality.schema_diff(a, A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_quantity"))
+    """Columns of customers and suppliers, without the tables' prefixes."""
+    a, b = (t.toDF(*[c[2:] for c in t.columns]) for t in (A.read(spark, d, n) for n in ("customer", "supplier")))
+    return quality.schema_diff(a, b)
 
 
 @query("SELECT ticker, count(*) AS n FROM (SELECT c_nationkey || '@' || c_mktsegment AS ticker FROM customer UNION SELECT s_nationkey || '@' || 'BUILDING' FROM supplier) GROUP BY 1")
@@ -320,14 +342,14 @@ def f23_imbalance(spark: SparkSession, d: str) -> DataFrame:
     return A.feed(spark, d).groupBy("symbol").agg(side("buy").alias("b"), side("sell").alias("s")).select("symbol", F.round(S.imbalance("b", "s"), 9).alias("imbalance"))
 
 
-@query("SELECT encode(c_name) = encode(c_name) AS same, count(*) AS n FROM customer GROUP BY 1")
+@query("SELECT c_custkey, c_name || '退市' AS back, length(c_name) + 4 AS n_bytes FROM customer")
 def f20_gbk(spark: SparkSession, d: str) -> DataFrame:
-    """Names as GBK bytes and back."""
+    """Names as GBK bytes, two to a Chinese character, and back."""
     before = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     try:
-        rows = A.read(spark, d, "customer").select("c_name", S.gbk_to_utf8(F.encode("c_name", "GBK")).alias("back"))
-        return rows.groupBy((F.col("c_name") == F.col("back")).alias("same")).agg(F.count("*").alias("n"))
+        rows = A.read(spark, d, "customer").select("c_custkey", F.encode(F.concat("c_name", F.lit("退市")), "GBK").alias("bytes"))
+        return rows.select("c_custkey", S.gbk_to_utf8("bytes").alias("back"), F.octet_length("bytes").cast("long").alias("n_bytes"))
     finally:
         spark.conf.set("spark.sql.legacy.javaCharsets", before)
 

@@ -73,19 +73,20 @@ def samples(feed: DataFrame, amount: float = 1000.0, span_us: int = 3_600_000_00
 
 
 class BookOwner(StatefulProcessor):
-    """Open quantity by side and tick of one symbol; returns the touched levels."""
+    """Open quantity by side and tick of one symbol; returns the touched levels. State is read and
+    written once per level that a micro-batch touches."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.levels = handle.getMapState("levels", "side string, tick long", "qty long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for r in _ordered(rows).itertuples():
-            at = (r.side, r.tick)
-            qty = (self.levels.getValue(at)[0] if self.levels.containsKey(at) else 0) + r.qty
-            self.levels.updateValue(at, (qty,))
-            out.append((*key, r.sequence, r.side, r.tick, qty))
-        yield pd.DataFrame(out, columns=["symbol", "sequence", "side", "tick", "level_qty"])
+        changes = _ordered(rows)
+        levels = changes.groupby(["side", "tick"], sort=False)["qty"]
+        held = {at: self.levels.getValue(at)[0] if self.levels.containsKey(at) else 0 for at in levels.groups}
+        changes["level_qty"] = levels.cumsum() + [held[at] for at in zip(changes["side"], changes["tick"])]
+        for at, qty in levels.sum().items():
+            self.levels.updateValue(at, (held[at] + int(qty),))
+        yield changes.assign(symbol=key[0])[["symbol", "sequence", "side", "tick", "level_qty"]]
 
     def close(self) -> None:
         pass

@@ -32,15 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-def replayed(spark: SparkSession, source: DataFrame, fn, **options) -> DataFrame:
-    """fn over ``source`` written to files and read back as a stream, until all is consumed."""
-    home = shared_dir(spark)
-    source.write.parquet(f"{home}/in")
+#: Parts of its time in which a replay by key is written and read.
+PARTS = 3
+
+
+def replayed(spark: SparkSession, source: DataFrame, fn, key: list[str] | None = None, time: str | None = None, **options) -> DataFrame:
+    """fn over ``source`` written to files and read back as a stream, until all is consumed.
+
+    With key and time (a number) the parts of the time are written one after the other, each
+    dealt by key. Files are read as they were written, a part's number at a time, so that
+    state is carried over several micro-batches, in order of time.
+    """
+    home, files = shared_dir(spark), 1000
+    if key is None:
+        source.write.parquet(f"{home}/in")
+    else:
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ends = sorted(set(source.approxQuantile(time, [i / PARTS for i in range(1, PARTS)], 0.01)))
+        part = sum(((F.col(time) > x).cast("int") for x in ends), F.lit(0))
+        for i in range(len(ends) + 1):
+            source.where(part == i).repartition(files, *key).write.mode("append").parquet(f"{home}/in")
     before = {k: spark.conf.get(k, None) for k in options}
     for k, v in options.items():
         spark.conf.set(k, v)
     try:
-        stream = fn(read_parquet_stream(spark, f"{home}/in", source.schema, max_files=2))
+        stream = fn(read_parquet_stream(spark, f"{home}/in", source.schema, files))
         T.recover(stream, f"{home}/out", f"{home}/checkpoint").awaitTermination()
     finally:
         for k, v in before.items():
@@ -63,24 +79,24 @@ def t1_capture_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def t3_sampler(spark: SparkSession, d: str) -> DataFrame:
-    return replayed(spark, _feed(spark, d).coalesce(1), T.samples, **_ROCKS)
+    return replayed(spark, _feed(spark, d), T.samples, ["symbol", "trading_day"], "ts_us", **_ROCKS)
 
 
 @query(A.with_ctes("SELECT symbol, sequence, side, tick, (sum(qty) OVER (PARTITION BY symbol, side, tick ORDER BY ts_us, sequence ROWS UNBOUNDED PRECEDING))::BIGINT AS level_qty FROM book_changes", "book_changes"))
 def t4_book_owner(spark: SparkSession, d: str) -> DataFrame:
     changes = A.book_changes(spark, d).withColumn("exchange_time_us", F.col("ts_us"))
-    return replayed(spark, changes.coalesce(1), T.book_levels, **_ROCKS)
+    return replayed(spark, changes, T.book_levels, ["symbol"], "ts_us", **_ROCKS)
 
 
 @query()
 def t5_stream_scoring(spark: SparkSession, d: str) -> DataFrame:
     weights = scoring.random_weights(50, [64], 32, [8])
-    return replayed(spark, _features(spark, d, 50).coalesce(1), lambda s: T.scored(s, weights), **_ROCKS)
+    return replayed(spark, _features(spark, d, 50), lambda s: T.scored(s, weights), ["symbol", "trading_day"], "row_in_stock_day", **_ROCKS)
 
 
 @query(A.with_ctes(_ARBITER + " SELECT symbol, arrival, accepted, selected, selected_sequence FROM rows_", "candidates"))
 def t6_stream_arbiter(spark: SparkSession, d: str) -> DataFrame:
-    return replayed(spark, A.candidates(spark, d).coalesce(1), lambda s: T.arbitration(s, 14_400_000_000), **_ROCKS)
+    return replayed(spark, A.candidates(spark, d), lambda s: T.arbitration(s, 14_400_000_000), ["symbol"], "arrival", **_ROCKS)
 
 
 @query(A.with_ctes("SELECT DISTINCT event_id, symbol FROM feed", "feed"))
@@ -91,7 +107,7 @@ def t9_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def t10_heartbeats(spark: SparkSession, d: str) -> DataFrame:
-    return replayed(spark, _feed(spark, d).select("shard", "ts").coalesce(1), lambda s: T.heartbeats(s, 3_600_000), **_ROCKS)
+    return replayed(spark, _feed(spark, d).select("shard", "ts"), lambda s: T.heartbeats(s, 3_600_000), **_ROCKS)
 
 
 @query(A.with_ctes("SELECT f.event_id, p_size * 1000.0::DOUBLE AS free_share FROM feed f LEFT JOIN part ON lpad(p_partkey::VARCHAR, 6, '0') = f.symbol", "feed"))
