@@ -191,3 +191,29 @@ def test_parity_sees_a_changed_order(spark):
     turned = [("s", i, f"x{4 - i}") for i in range(5)]
     digests = [quality.parity_digest(spark.createDataFrame(r, "symbol string, arrival long, body string"), "symbol", ["body"], ["arrival"]).first().digest for r in (rows, rows[::-1], turned)]
     assert digests[0] == digests[1] != digests[2]
+
+
+def test_large_groups_in_ranges_equal_whole_windows(spark):
+    """Numbers, audits and nearest ticks of one hot group, null keys, ties and null times."""
+    rnd = random.Random(5)
+    rows = [(i, None if i % 9 == 0 else "hot" if i % 3 else "b", None if i % 50 == 3 else rnd.randrange(60), rnd.randrange(200)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, g string, t long, seq long")
+    got = {r.id: r.n for r in sampling.numbered(frame, ["g"], ["t", "id"], "n", large=True).collect()}
+    assert got == {r.id: r.n for r in sampling.numbered(frame, ["g"], ["t", "id"], "n").collect()}
+
+    want, seen = {}, {}
+    for i, g, t, seq in sorted(rows, key=lambda r: r[0]):
+        step = seq - seen[g] if g in seen else None
+        want[i] = ("ok" if step in (None, 1) else "duplicate" if step <= 0 else "gap", max(step - 1, 0) if step else 0)
+        seen[g] = max(seen.get(g, seq), seq)
+    assert {r.id: (r.state, r.missing) for r in stats.sequence_audit(frame, ["g"], "seq", ["id"]).collect()} == want
+
+    left, right = frame.where("id % 2 = 0 and t is not null"), frame.where("id % 2 = 1 and t is not null and g is not null")
+    near = {r.id: r.delta for r in asof.nearest(left.select("id", "g", "t"), right.select("g", "t"), ["g"], "t").collect()}
+    ticks = lambda g: [t for i, h, t, _ in rows if i % 2 and t is not None and h == g and g]
+    assert near == {i: min((abs(t - x) for x in ticks(g)), default=None) for i, g, t, _ in rows if i % 2 == 0 and t is not None}
+
+
+def test_ranges_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "id long, g string, t long")
+    assert sampling.numbered(empty, ["g"], ["t", "id"], "n", large=True).count() == 0

@@ -10,18 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranges
+
 
 def nearest(left: DataFrame, right: DataFrame, by: list[str], time: str = "ts_us") -> DataFrame:
     """left with ``delta``: the least absolute distance in time to the last row of right at or
-    before it and to the next one after it; null where right has no row of the key."""
+    before it and to the next one after it; null where right has no row of the key. A key (a shard,
+    say) may hold many rows: it is read in ranges of time."""
     both = left.withColumn("_other", F.lit(None).cast("long")).unionByName(right.select(*by, time, F.col(time).alias("_other")), allowMissingColumns=True)
     both = both.withColumn("_rank", F.col("_other").isNull().cast("int"))  # at equal times right comes first
-    key = W.partitionBy(*by)
+    both = ranges.before(ranges.cut(both, time), by, {"_earlier": (F.max("_other"), F.max("_earlier"))})
+    both = ranges.before(both, by, {"_later": (F.min("_other"), F.min("_later"))}, later=True)
+    key = W.partitionBy(*by, "_range")
     last = F.last("_other", ignorenulls=True)
-    before = last.over(key.orderBy(time, "_rank").rowsBetween(W.unboundedPreceding, 0))
-    after = last.over(key.orderBy(F.desc(time), F.desc("_rank")).rowsBetween(W.unboundedPreceding, 0))
+    before = F.coalesce(last.over(key.orderBy(time, "_rank").rowsBetween(W.unboundedPreceding, 0)), F.col("_earlier"))
+    after = F.coalesce(last.over(key.orderBy(F.desc(time), F.desc("_rank")).rowsBetween(W.unboundedPreceding, 0)), F.col("_later"))
     delta = F.least(F.abs(F.col(time) - before), F.abs(F.col(time) - after))
-    return both.withColumn("delta", delta).where("_rank = 1").drop("_other", "_rank")
+    return both.withColumn("delta", delta).where("_rank = 1").drop("_other", "_rank", "_range", "_earlier", "_later")
 
 
 def forward(left: DataFrame, right: DataFrame, by: list[str], value: str, horizons: dict[str, int], time: str = "ts_us", tie: str = "sequence") -> DataFrame:

@@ -11,10 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import ranges
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """rows with a contiguous number from 1 in each group."""
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
+
+def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: str, large: bool = False) -> DataFrame:
+    """rows with a contiguous number from 1 in each group. ``large`` groups are numbered in ranges of the
+    order's first column, a number."""
+    if not large:
+        return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
+    parted = ranges.before(ranges.cut(rows, order[0]), by, {"_before": (F.count("*"), F.sum("_before"))})
+    place = F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order))
+    return parted.withColumn(name, (place + F.coalesce("_before", F.lit(0))).cast("long")).drop("_range", "_before")
 
 
 def batch_end(rows: DataFrame, by: list[str], time: str, order: list[str], gap_us: int = 100) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranges
+
 #: Index of a percentile among n sorted values, from 0: three rules are in use.
 RULES = {"ceil": lambda n, p: F.ceil((n - 1) * p), "floor": lambda n, p: F.floor((n - 1) * p), "round": lambda n, p: F.bround((n - 1) * p).cast("long")}
 
@@ -101,8 +103,11 @@ def ticker_pnl(trades: DataFrame, fee: float, by: str = "symbol", sign: str = "s
 
 def sequence_audit(rows: DataFrame, by: list[str], seq: str, order: list[str]) -> DataFrame:
     """rows with the step from the greatest sequence before: ok (1), duplicate (0 or less) or
-    gap (more), and the number of missing events."""
-    before = F.max(seq).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    step = F.col(seq) - before
+    gap (more), and the number of missing events. A group (a shard, say) may be large: it is read in
+    ranges of the order's first column, a number."""
+    parted = ranges.before(ranges.cut(rows, order[0]), by, {"_seen": (F.max(seq), F.max("_seen"))})
+    inside = F.max(seq).over(W.partitionBy(*by, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    parted = parted.withColumn("_step", F.col(seq) - F.greatest(inside, F.col("_seen"))).drop("_range", "_seen")
+    step = F.col("_step")
     state = F.when(step.isNull() | (step == 1), "ok").when(step <= 0, "duplicate").otherwise("gap")
-    return rows.withColumn("state", state).withColumn("missing", F.when(step > 1, step - 1).otherwise(0))
+    return parted.withColumn("state", state).withColumn("missing", F.when(step > 1, step - 1).otherwise(0)).drop("_step")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import normalize, quality, static
+from tidemark.operators import normalize, quality, sampling, static
 from tidemark.plans import adapters as A
 from tidemark.plans.adapters import with_ctes
 from tidemark.plans.registry import part, query
@@ -225,8 +225,8 @@ def p19_decode_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_ctes("SELECT event_id, row_number() OVER (PARTITION BY shard ORDER BY ts_us, volume, feed_sequence, event_id) AS place, shard FROM feed", "feed"))
 def l1_event_order(spark: SparkSession, d: str) -> DataFrame:
-    order = W.partitionBy("shard").orderBy("ts_us", "volume", F.coalesce("feed_sequence", "event_id"), "event_id")
-    return A.feed(spark, d).select("event_id", F.row_number().over(order).cast("long").alias("place"), "shard")
+    order = ["ts_us", "volume", F.coalesce("feed_sequence", "event_id"), "event_id"]
+    return sampling.numbered(A.feed(spark, d), ["shard"], order, "place", large=True).select("event_id", "place", "shard")
 
 
 @query(with_ctes("SELECT event_id, price FROM feed ORDER BY price DESC, event_id LIMIT 100", "feed"))

@@ -162,7 +162,7 @@ def a31_stale_symbols(spark: SparkSession, d: str) -> DataFrame:
 @query(with_ctes("SELECT event_id, shard, row_number() OVER (PARTITION BY shard ORDER BY event_id) AS shard_event_id, row_number() OVER (PARTITION BY symbol, trading_day ORDER BY ts_us, event_id) AS row_in_stock_day FROM feed", "feed"))
 def w2_numbers(spark: SparkSession, d: str) -> DataFrame:
     """W2 and W3."""
-    rows = sampling.numbered(A.feed(spark, d), ["shard"], ["event_id"], "shard_event_id")
+    rows = sampling.numbered(A.feed(spark, d), ["shard"], ["event_id"], "shard_event_id", large=True)
     return sampling.numbered(rows, ["symbol", "trading_day"], ["ts_us", "event_id"], "row_in_stock_day").select("event_id", "shard", "shard_event_id", "row_in_stock_day")
 
 
