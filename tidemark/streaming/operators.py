@@ -196,6 +196,53 @@ def heartbeats(feed: DataFrame, limit_ms: int, late: str = "1 second") -> DataFr
     return feed.withWatermark("ts", late).groupBy("shard").transformWithStateInPandas(Heartbeat(limit_ms), "shard int, last_ms long, stale boolean", "Append", "EventTime")
 
 
+class DelayedCancel(StatefulProcessor):
+    """The open order of each symbol (the last one placed; a trade or cancel ends it) and a timer
+    that asks for its cancellation ``delay_us`` after it was placed.
+
+    A later event shows by its time whether the delay had passed before it, so results do not
+    depend on how rows fall into micro-batches; the timer serves orders that nothing follows.
+    """
+
+    def __init__(self, delay_us: int):
+        self.delay_us = delay_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getValueState("open", "order_id long, due_us long")
+
+    def _frame(self, key, due: list) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *x) for x in due], columns=["symbol", "order_id", "due_us"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, out = self.open.get() if self.open.exists() else None, []
+        for r in pd.concat(list(rows)).sort_values(["ts_us", "event_id"], kind="stable").itertuples():
+            if held and held[1] < r.ts_us:
+                out.append(held)
+            held = (int(r.event_id), int(r.ts_us) + self.delay_us) if r.kind in ("buy", "sell") else None
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if held:
+            self.handle.registerTimer(held[1] // 1000)
+            self.open.update(held)
+        elif self.open.exists():
+            self.open.clear()
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = [self.open.get()] if self.open.exists() else []
+        self.open.clear()
+        yield self._frame(key, due)
+
+    def close(self) -> None:
+        pass
+
+
+def delayed_cancels(events: DataFrame, delay_us: int, late: str = "1 second") -> DataFrame:
+    """(symbol, order_id, due_us) of orders that stayed open for the delay."""
+    processor = DelayedCancel(delay_us)
+    return events.withWatermark("ts", late).groupBy("symbol").transformWithStateInPandas(processor, "symbol string, order_id long, due_us long", "Append", "EventTime")
+
+
 def recover(feed: DataFrame, path: str, checkpoint: str, follow: bool = False) -> StreamingQuery:
     """Replay what is there and stop, or go on following; the checkpoint makes either resume
     where the other ended, so that each row is written once."""

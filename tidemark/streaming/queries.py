@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,26 +10,12 @@ from tidemark.plans import adapters as A
 from tidemark.plans.market import _ARBITER
 from tidemark.plans.registry import query
 from tidemark.plans.summaries import _features
+from tidemark.sources import sinks
 from tidemark.sources.readers import read_parquet_stream
+from tidemark.sources.shared import shared_dir
 from tidemark.streaming import operators as T
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the checkpoint folder that all executors share; in a single
-    process without one, a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if named is None:
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-stream-")
-        sc.setCheckpointDir(named)
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-
-
 #: Parts of its time in which a replay by key is written and read.
 PARTS = 3
 
@@ -39,25 +23,24 @@ PARTS = 3
 def replayed(spark: SparkSession, source: DataFrame, fn, key: list[str] | None = None, time: str | None = None, **options) -> DataFrame:
     """fn over ``source`` written to files and read back as a stream, until all is consumed.
 
-    With key and time (a number) the parts of the time are written one after the other, each
-    dealt by key. Files are read as they were written, a part's number at a time, so that
-    state is carried over several micro-batches, in order of time.
+    With key and time (a number) the parts of the time, dealt by key, come one after the other:
+    the query ends after each part and a new one resumes from its checkpoint, as after a lost
+    driver. State, watermark, timers and the sink's commit log are carried over.
     """
-    home, files = shared_dir(spark), 1000
-    if key is None:
-        source.write.parquet(f"{home}/in")
-    else:
-        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    home, parts, files = shared_dir(spark), [source], 1000
+    if key is not None:
         ends = sorted(set(source.approxQuantile(time, [i / PARTS for i in range(1, PARTS)], 0.01)))
         part = sum(((F.col(time) > x).cast("int") for x in ends), F.lit(0))
-        for i in range(len(ends) + 1):
-            source.where(part == i).repartition(files, *key).write.mode("append").parquet(f"{home}/in")
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = [source.where(part == i).repartition(files, *key) for i in range(len(ends) + 1)]
     before = {k: spark.conf.get(k, None) for k in options}
     for k, v in options.items():
         spark.conf.set(k, v)
     try:
-        stream = fn(read_parquet_stream(spark, f"{home}/in", source.schema, files))
-        T.recover(stream, f"{home}/out", f"{home}/checkpoint").awaitTermination()
+        for rows in parts:
+            rows.write.mode("append").parquet(f"{home}/in")
+            stream = fn(read_parquet_stream(spark, f"{home}/in", source.schema, files))
+            sinks.stream_sink(stream, f"{home}/out", f"{home}/checkpoint").awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -71,14 +54,24 @@ def _feed(spark: SparkSession, d: str) -> DataFrame:
     return A.feed(spark, d).withColumn("ts", F.timestamp_micros("ts_us")).withColumn("sequence", F.col("event_id"))
 
 
-@query()
+@query(A.with_ctes("""WITH w AS (SELECT ts_us // 86400000000 * 86400000000 AS start_us, shard, kind, volume FROM feed)
+SELECT start_us, shard, kind, count(*) AS n, sum(volume)::BIGINT AS volume FROM w WHERE start_us + 86400000000 <= (SELECT max(ts_us) // 1000 * 1000 FROM feed) GROUP BY start_us, shard, kind""", "feed"))
 def t1_capture_metrics(spark: SparkSession, d: str) -> DataFrame:
-    out = replayed(spark, _feed(spark, d), lambda s: T.capture_metrics(s, "1 day", "0 seconds"))
+    """The windows that the watermark has passed."""
+    out = replayed(spark, _feed(spark, d), lambda s: T.capture_metrics(s, "1 day", "0 seconds"), ["shard", "kind"], "ts_us")
     return out.select(F.unix_micros("window.start").alias("start_us"), "shard", "kind", "n", "volume")
 
 
-@query()
+@query(A.with_ctes("""WITH rows_ AS (SELECT symbol, trading_day, event_id, exchange_time_us AS t, price * volume AS a, row_number() OVER (PARTITION BY symbol, trading_day ORDER BY exchange_time_us, event_id) AS k FROM feed),
+walk(symbol, trading_day, k, sequence, cut_index, window_start_us, amount_trigger, time_trigger, start_, amount) AS (
+  SELECT symbol, trading_day, k, event_id, (a >= 1000)::BIGINT, t, a >= 1000, false, t, CASE WHEN a >= 1000 THEN 0.0::DOUBLE ELSE 0.0::DOUBLE + a END FROM rows_ WHERE k = 1
+  UNION ALL
+  SELECT r.symbol, r.trading_day, r.k, r.event_id, w.cut_index + (w.amount + r.a >= 1000 OR r.t - w.start_ >= 3600000000)::BIGINT, w.start_, w.amount + r.a >= 1000, r.t - w.start_ >= 3600000000,
+    CASE WHEN w.amount + r.a >= 1000 OR r.t - w.start_ >= 3600000000 THEN r.t ELSE w.start_ END, CASE WHEN w.amount + r.a >= 1000 OR r.t - w.start_ >= 3600000000 THEN 0.0::DOUBLE ELSE w.amount + r.a END
+  FROM walk w JOIN rows_ r ON r.symbol = w.symbol AND r.trading_day = w.trading_day AND r.k = w.k + 1)
+SELECT symbol, trading_day, sequence, cut_index, window_start_us, amount_trigger, time_trigger FROM walk WHERE amount_trigger OR time_trigger""", "feed").replace("WITH ", "WITH RECURSIVE ", 1))
 def t3_sampler(spark: SparkSession, d: str) -> DataFrame:
+    """T3, and T13: rows of an instrument are taken in the order of time and sequence."""
     return replayed(spark, _feed(spark, d), T.samples, ["symbol", "trading_day"], "ts_us", **_ROCKS)
 
 
@@ -110,6 +103,19 @@ def t10_heartbeats(spark: SparkSession, d: str) -> DataFrame:
     return replayed(spark, _feed(spark, d).select("shard", "ts"), lambda s: T.heartbeats(s, 3_600_000), **_ROCKS)
 
 
+_DELAY_US = 1_800_000_000
+
+
+@query(A.with_ctes(f"""WITH last_ AS (SELECT max(ts_us) AS newest FROM feed),
+o AS (SELECT *, lead(ts_us) OVER (PARTITION BY symbol ORDER BY ts_us, event_id) AS next_us FROM feed WHERE kind <> 'malformed'),
+due AS (SELECT symbol, event_id, ts_us + {_DELAY_US} AS due_us, next_us FROM o WHERE kind IN ('buy', 'sell'))
+SELECT symbol, event_id AS order_id, due_us FROM due, last_ WHERE CASE WHEN next_us IS NULL THEN due_us // 1000 <= (newest - 1000000) // 1000 ELSE next_us > due_us END""", "feed"))
+def t8_delayed_cancels(spark: SparkSession, d: str) -> DataFrame:
+    """Orders to be cancelled as nothing replaced, filled or cancelled them within half an hour."""
+    events = _feed(spark, d).where("kind <> 'malformed'")
+    return replayed(spark, events, lambda s: T.delayed_cancels(s, _DELAY_US), ["symbol"], "ts_us", **_ROCKS)
+
+
 @query(A.with_ctes("SELECT f.event_id, p_size * 1000.0::DOUBLE AS free_share FROM feed f LEFT JOIN part ON lpad(p_partkey::VARCHAR, 6, '0') = f.symbol", "feed"))
 def t11_stream_enrich(spark: SparkSession, d: str) -> DataFrame:
     share = A.instruments(spark, d).select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("symbol"), "free_share")
@@ -118,14 +124,12 @@ def t11_stream_enrich(spark: SparkSession, d: str) -> DataFrame:
 
 @query(A.with_ctes("SELECT event_id, symbol, price FROM feed", "feed"))
 def s7_replay(spark: SparkSession, d: str) -> DataFrame:
-    """S7, S11 and T12: replay to the end through the file sink's commit log."""
-    return replayed(spark, _feed(spark, d), lambda s: s.select("event_id", "symbol", "price"))
+    """S7, S11 and T12: replay through the file sink's commit log, resumed twice from its checkpoint."""
+    return replayed(spark, _feed(spark, d), lambda s: s.select("event_id", "symbol", "price"), ["shard"], "ts_us")
 
 
 @query(A.with_ctes("SELECT event_id, price, trading_day, shard FROM feed", "feed"))
 def s8_by_shard(spark: SparkSession, d: str) -> DataFrame:
-    from tidemark.sources.sinks import write_by_shard
-
     path = f"{shared_dir(spark)}/by_shard"
-    write_by_shard(A.feed(spark, d).select("event_id", "price", "trading_day", "shard"), path)
+    sinks.write_by_shard(A.feed(spark, d).select("event_id", "price", "trading_day", "shard"), path)
     return spark.read.parquet(path).select("event_id", "price", "trading_day", "shard")
