@@ -65,6 +65,12 @@ def first_of_each(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def ended_once(updates: DataFrame, key: list[str], order: list[str], status: str, terminal: list[str]) -> DataFrame:
+    """updates with ``applied``: false from the row after an order's first terminal state."""
+    ended = F.max(F.col(status).isin(*terminal).cast("int")).over(W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return updates.withColumn("applied", F.coalesce(ended, F.lit(0)) == 0)
+
+
 def position_path(trades: DataFrame, by: list[str], order: list[str], sign: Column, volume: str = "volume") -> DataFrame:
     """trades with running bought and sold volumes and the position."""
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

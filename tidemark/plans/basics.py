@@ -3,34 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark import schemas
 from tidemark.functions import scalars as S
 from tidemark.operators import normalize, quality, sampling, static
 from tidemark.plans import adapters as A
 from tidemark.plans.adapters import with_ctes
 from tidemark.plans.registry import part, query
 from tidemark.sources import readers, sinks
+from tidemark.sources.shared import shared_dir
 
 # --- sources and sinks ------------------------------------------------------------
 
 
+def _written(rows: DataFrame, schema: T.StructType, fmt: str = "parquet") -> str:
+    """A fresh folder with rows in the given form; columns that they lack are null."""
+    path = shared_dir(rows.sparkSession, "table")
+    columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    rows.select(*columns).write.format(fmt).option("header", True).save(path)
+    return path
+
+
 @query(with_ctes("SELECT order_time, exchange_id, instrument_id, price, volume, order_kind, ord_type, appl_seq_num FROM l2_orders WHERE volume > 10", "l2_orders"))
 def s1_orders(spark: SparkSession, d: str) -> DataFrame:
-    return A.l2_orders(spark, d).where("volume > 10")
+    orders = readers.read_orders(spark, _written(A.l2_orders(spark, d), schemas.L2_ORDER))
+    return orders.where("volume > 10").select("order_time", "exchange_id", "instrument_id", "price", "volume", "order_kind", "ord_type", "appl_seq_num")
 
 
 @query(with_ctes("SELECT instrument_id, count(*) AS n, round(sum(turnover), 2) AS turnover FROM l2_trades GROUP BY 1", "l2_trades"))
 def s2_trades(spark: SparkSession, d: str) -> DataFrame:
-    return A.l2_trades(spark, d).groupBy("instrument_id").agg(F.count("*").alias("n"), F.round(F.sum("turnover"), 2).alias("turnover"))
+    trades = readers.read_trades(spark, _written(A.l2_trades(spark, d), schemas.L2_TRADE, "csv"), "csv")
+    return trades.groupBy("instrument_id").agg(F.count("*").alias("n"), F.round(F.sum("turnover"), 2).alias("turnover"))
 
 
 @query(with_ctes("SELECT symbol, event_id, b.u.p AS bid_price, b.u.v AS bid_volume, b.i AS level FROM (SELECT symbol, event_id, unnest([{'u': {'p': bid_prices[i], 'v': bid_volumes[i]}, 'i': i} FOR i IN range(1, 6)]) AS b FROM snapshots)", "snapshots"))
 def s3_snapshots(spark: SparkSession, d: str) -> DataFrame:
     s = A.snapshots(spark, d)
-    wide = s.select("symbol", "event_id", *[F.col(f"{side}_{k}s")[i - 1].alias(f"{side}_{k}{i}") for side in ("bid", "ask") for k in ("price", "volume") for i in range(1, 6)])
-    return readers.pack_levels(wide).select("symbol", "event_id", F.posexplode("bids").alias("level", "b")).select("symbol", "event_id", (F.col("level") + 1).cast("long").alias("level"), F.col("b.price").alias("bid_price"), F.col("b.volume").alias("bid_volume"))
+    wide = s.select(F.col("symbol").alias("instrument_id"), F.col("event_id").alias("rank"), *[F.col(f"{side}_{k}s")[i - 1].alias(f"{side}_{k}{i}") for side in ("bid", "ask") for k in ("price", "volume") for i in range(1, 6)])
+    rows = readers.read_snapshots(spark, _written(wide, schemas.SNAPSHOT_WIDE)).select(F.col("instrument_id").alias("symbol"), F.col("rank").alias("event_id"), F.posexplode("bids").alias("level", "b"))
+    return rows.select("symbol", "event_id", (F.col("level") + 1).cast("long").alias("level"), F.col("b.price").alias("bid_price"), F.col("b.volume").cast("long").alias("bid_volume"))
 
 
 @query("""SELECT (event_id % 10 <> 0 AND event_id % 7 <> 0) AS good, count(*) AS n, max(CASE WHEN event_id % 10 <> 0 AND event_id % 7 <> 0 THEN event_id * 1000 END) AS last_ns FROM events WHERE event_id % 13 <> 0 GROUP BY 1""")
@@ -357,9 +370,10 @@ def f20_gbk(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, event_type AS instrument, value AS raw_prediction FROM events")
 def s5_samples(spark: SparkSession, d: str) -> DataFrame:
     """Samples of which one file is absent: an absent file is an empty relation."""
-    absent = readers.read_samples(spark, f"{d}/no_such_samples.csv").select(F.col("app_sequence").alias("event_id"), "instrument", "raw_prediction")
-    e = A.read(spark, d, "events").select("event_id", F.col("event_type").alias("instrument"), F.col("value").alias("raw_prediction"))
-    return e.unionByName(absent)
+    e = A.read(spark, d, "events").select(F.col("event_id").alias("app_sequence"), F.col("event_type").alias("instrument"), F.col("value").alias("raw_prediction"))
+    paths = [_written(e, schemas.SAMPLE, "csv"), f"{d}/no_such_samples.csv"]
+    there, absent = (readers.read_samples(spark, path).select(F.col("app_sequence").alias("event_id"), "instrument", "raw_prediction") for path in paths)
+    return there.unionByName(absent)
 
 
 for _name, _of, *_columns in [

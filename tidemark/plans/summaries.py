@@ -197,6 +197,12 @@ def w10_trade_dedup(spark: SparkSession, d: str) -> DataFrame:
     return sampling.first_of_each(rows, ["l_orderkey", "l_linenumber"], ["l_quantity"]).select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("quantity"))
 
 
+@query(with_ctes("SELECT event_id, coalesce(max((kind IN ('trade', 'cancel'))::INT) OVER (PARTITION BY symbol, tick ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS applied FROM feed", "feed"))
+def w10_ended_once(spark: SparkSession, d: str) -> DataFrame:
+    """W10: terminal states of orders, for which symbol and tick stand, are applied once."""
+    return sampling.ended_once(A.feed(spark, d), ["symbol", "tick"], ["ts_us", "event_id"], "kind", ["trade", "cancel"]).select("event_id", "applied")
+
+
 @query(with_ctes("SELECT event_id, (sum(CASE WHEN kind = 'buy' THEN volume ELSE 0 END) OVER w)::BIGINT AS bought, (sum(CASE WHEN kind = 'sell' THEN volume ELSE 0 END) OVER w)::BIGINT AS sold, (sum(CASE kind WHEN 'buy' THEN volume WHEN 'sell' THEN -volume ELSE 0 END) OVER w)::BIGINT AS position FROM feed WINDOW w AS (PARTITION BY symbol ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING)", "feed"))
 def w11_position_path(spark: SparkSession, d: str) -> DataFrame:
     sign = F.when(F.col("kind") == "buy", 1).when(F.col("kind") == "sell", -1).otherwise(0)
