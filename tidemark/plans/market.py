@@ -33,25 +33,25 @@ def a17_relation_stats(spark: SparkSession, d: str) -> DataFrame:
 
 _FUTURE = """WITH mids AS (SELECT symbol, ts_us, event_id AS sequence, (ask_prices[1] + bid_prices[1]) / 2 AS mid FROM snapshots)"""
 _MID_AT = "(SELECT m.mid FROM mids m WHERE m.symbol = s.symbol AND m.ts_us >= s.ts_us + {} ORDER BY m.ts_us, m.sequence LIMIT 1)"
-_HOURS = {"mid_15": 54_000_000_000, "mid_30": 108_000_000_000, "mid_60": 216_000_000_000}
+HORIZONS = {"mid_15": 54_000_000_000, "mid_30": 108_000_000_000, "mid_60": 216_000_000_000}
 
 
 def _future_mids(spark: SparkSession, d: str) -> DataFrame:
     """Our test events are hours apart, so the horizons are hours where live data have seconds."""
     s = A.snapshots(spark, d)
     mids = s.select("symbol", "ts_us", F.col("event_id").alias("sequence"), ((F.col("ask_prices")[0] + F.col("bid_prices")[0]) / 2).alias("mid"))
-    return asof.forward(mids, mids, ["symbol"], "mid", _HOURS)
+    return asof.forward(mids, mids, ["symbol"], "mid", HORIZONS)
 
 
-@query(with_ctes(_FUTURE + f" SELECT symbol, sequence, {', '.join(f'round({_MID_AT.format(v)}, 6) AS {k}' for k, v in _HOURS.items())} FROM mids s", "snapshots"))
+@query(with_ctes(_FUTURE + f" SELECT symbol, sequence, {', '.join(f'round({_MID_AT.format(v)}, 6) AS {k}' for k, v in HORIZONS.items())} FROM mids s", "snapshots"))
 def j2_future_mid(spark: SparkSession, d: str) -> DataFrame:
-    return _future_mids(spark, d).select("symbol", "sequence", *[F.round(c, 6).alias(c) for c in _HOURS])
+    return _future_mids(spark, d).select("symbol", "sequence", *[F.round(c, 6).alias(c) for c in HORIZONS])
 
 
-@query(with_ctes(_FUTURE + f""", ahead AS (SELECT symbol, sequence, mid, {', '.join(f'{_MID_AT.format(v)} AS {k}' for k, v in _HOURS.items())} FROM mids s)
+@query(with_ctes(_FUTURE + f""", ahead AS (SELECT symbol, sequence, mid, {', '.join(f'{_MID_AT.format(v)} AS {k}' for k, v in HORIZONS.items())} FROM mids s)
 SELECT symbol, sequence, CASE WHEN mid > 0 AND mid_15 > 0 AND mid_30 > 0 AND mid_60 > 0 THEN round(((mid_15 / mid - 1) * 1000 + (mid_30 / mid - 1) * 1000 + (mid_60 / mid - 1) * 1000) / 3, 5) END AS target FROM ahead""", "snapshots"))
 def f7_targets(spark: SparkSession, d: str) -> DataFrame:
-    return _future_mids(spark, d).select("symbol", "sequence", F.round(S.target_permille("mid", *_HOURS), 5).alias("target"))
+    return _future_mids(spark, d).select("symbol", "sequence", F.round(S.target_permille("mid", *HORIZONS), 5).alias("target"))
 
 
 @query(with_ctes("""WITH good AS (SELECT * FROM snapshots WHERE bid_prices[5] > 0 AND ask_prices[1] > bid_prices[1] AND last_price > 0)
@@ -345,7 +345,7 @@ def a7_flow_factors(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("symbol", "trading_day", *[F.round(c, 9).alias(c) for c in factors.FLOW])
 
 
-def _places(name: str) -> int:
+def places(name: str) -> int:
     """Decimals that are compared: of parts of one more than of permille."""
     return 8 if name.endswith(("_ratio", "_imbalance", "_share", "turnover")) else 6 if name.endswith("on_tick") else 5
 
@@ -367,13 +367,13 @@ def _market_sql() -> str:
     micros = ", ".join(f"{micro(k)} AS m{k}" for k in range(1, 6))
     return f"""WITH t AS (SELECT *, (ask_prices[1] + bid_prices[1]) / 2 AS mid, {added('bid_volumes')} AS bt, {added('ask_volumes')} AS at_, {vwap('bid')} AS vb, {vwap('ask')} AS va, {micros} FROM snapshots),
 l AS (SELECT *, lag(mid) OVER w AS pmid, lag(bt) OVER w AS pbt, lag(at_) OVER w AS pat, lag(vb) OVER w AS pvb, lag(va) OVER w AS pva, lag(turnover) OVER w AS pturnover FROM t WINDOW w AS (PARTITION BY symbol, trading_day ORDER BY ts_us, event_id))
-SELECT event_id, {', '.join(f'round({x}, {_places(n)}) + 0 AS factor_{n}' for n, x in columns.items())} FROM l WHERE mid > 0"""
+SELECT event_id, {', '.join(f'round({x}, {places(n)}) + 0 AS factor_{n}' for n, x in columns.items())} FROM l WHERE mid > 0"""
 
 
 @query(with_ctes(_market_sql(), "snapshots"))
 def a6_market_factors(spark: SparkSession, d: str) -> DataFrame:
     rows = factors.market_factors(A.snapshots(spark, d), ["symbol", "trading_day"], ["ts_us", "event_id"]).where("mid > 0")
-    return rows.select("event_id", *[F.round(c, _places(c)).alias(c) for c in factors.MARKET])
+    return rows.select("event_id", *[F.round(c, places(c)).alias(c) for c in factors.MARKET])
 
 
 def _paired_sql() -> str:

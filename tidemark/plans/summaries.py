@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import sampling, scoring, static, stats
 from tidemark.plans import adapters as A
+from tidemark.plans import market
 from tidemark.plans.adapters import with_ctes
-from tidemark.plans.registry import part, query
+from tidemark.plans.registry import ORACLE_SQL, part, query
 
 _RANKED = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY price) - 1 AS i, count(*) OVER (PARTITION BY shard) AS n FROM feed)"
 
@@ -291,17 +292,16 @@ def m6_golden_check(spark: SparkSession, d: str) -> DataFrame:
     return scoring.golden_check(f, f.where("event_id % 1000 <> 7").withColumn("p", F.when(F.col("event_id") % 100 == 1, 5e-6).otherwise(0.0)), ["event_id"], "p").withColumn("max_error", F.round("max_error", 9))
 
 
-@query(with_ctes("""WITH mids AS (SELECT symbol, ts_us, event_id AS sequence, (ask_prices[1] + bid_prices[1]) / 2 AS mid, (ask_prices[1] - bid_prices[1]) AS width FROM snapshots),
-ahead AS (SELECT *, (SELECT m.mid FROM mids m WHERE m.symbol = s.symbol AND m.ts_us >= s.ts_us + 54000000000 ORDER BY m.ts_us, m.sequence LIMIT 1) AS later FROM mids s WHERE mid > 0)
-SELECT sequence AS event_id, round(width / mid * 1000, 5) AS factor_spread, round((later / mid - 1) * 1000, 5) AS target FROM ahead WHERE later > 0""", "snapshots"))
+@query(f"SELECT a.*, t.target FROM ({ORACLE_SQL['a6_market_factors']}) a JOIN ({ORACLE_SQL['f7_targets']}) t ON t.sequence = a.event_id WHERE t.target IS NOT NULL")
 def m7_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Training rows: factors with the target at one horizon."""
+    """Training rows: all market factors with the target over the three horizons."""
     from tidemark.operators import asof, factors
 
     rows = factors.market_factors(A.snapshots(spark, d), ["symbol", "trading_day"], ["ts_us", "event_id"])
     mids = rows.select("symbol", "ts_us", F.col("event_id").alias("sequence"), "mid")
-    labelled = asof.forward(rows, mids, ["symbol"], "mid", {"later": 54_000_000_000})
-    return labelled.withColumn("target", S.target_permille("mid", "later")).where("target is not null").select("event_id", F.round("factor_spread", 5).alias("factor_spread"), F.round("target", 5).alias("target"))
+    left = rows.where("mid > 0").select("symbol", "ts_us", "event_id", "mid", *factors.MARKET)
+    labelled = asof.forward(left, mids, ["symbol"], "mid", market.HORIZONS).withColumn("target", F.round(S.target_permille("mid", *market.HORIZONS), 5))
+    return labelled.where("target is not null").select("event_id", *[F.round(c, market.places(c)).alias(c) for c in factors.MARKET], "target")
 
 
 part("w3_row_in_stock_day", "w2_numbers", "event_id", "row_in_stock_day")
