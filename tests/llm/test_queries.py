@@ -49,6 +49,7 @@ def test_whole_documents_match_brute_force(spark):
         spans = test_pii_crf.plain(text[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
         assert r.n_email == sum(k == "email" for _, _, k in spans)
+        assert r.n_spans == len([x for x in r.spans.split(",") if x]) >= len(spans)
     for r in QUERIES["op9_rules"](spark, DATA).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == test_robust_rules.plain(text[r.doc_id])
     for r in QUERIES["op10_licenses"](spark, DATA).collect():

@@ -33,7 +33,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii_crf.find(table(spark, sf_dir, "documents"), pii_crf.train())
     of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [of(kind) for kind in pii_crf.BASE_KINDS]
-    return out.select("doc_id", *counts, F.sha2(pii_crf.joined("base"), 256).alias("base_sha256"), pii_crf.joined("concat(base, added)").alias("spans"))
+    all_spans = (F.size("base") + F.size("added")).cast("long").alias("n_spans")
+    return out.select("doc_id", *counts, F.sha2(pii_crf.joined("base"), 256).alias("base_sha256"), pii_crf.joined("concat(base, added)").alias("spans"), all_spans)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
