@@ -21,7 +21,7 @@ def rows_of(frame):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     assert rows_of(QUERIES[name](spark, DATA).toPandas()) == rows_of(con.execute(ORACLE_SQL[name]).df())
 
@@ -30,6 +30,7 @@ def test_equals_its_sql(spark, name):
 def test_one_row_per_document(spark, name):
     rows = QUERIES[name](spark, DATA).toPandas()
     ids = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").toPandas()
+    rows = rows[rows.piece == 0] if name == "op13_packing" else rows
     assert sorted(rows.doc_id) == sorted(ids.doc_id)
 
 

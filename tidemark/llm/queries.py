@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam_sa, langid_crf, license_diagonals, line_templates, mixing, pii_crf, quality_gam, robust_rules, simhash_vptree, url_rules
+from tidemark.llm import centroids, decontam_sa, langid_crf, license_diagonals, line_templates, mixing, negatives, packing, pii_crf, quality_gam, robust_rules, simhash_vptree, url_rules
 from tidemark.llm.common import table
 from tidemark.llm.sql import MIX_DOMAIN, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, OWN_URL_RULES, URL_RULES
 
@@ -86,6 +86,29 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_diagonals.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each anchor and positive."""
+    ids = F.col("vec_id")
+    label = F.when(ids % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), ids % 100 == 0, label, positives=5, negatives=10, window=(30, 90))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each vector after five rounds over 40 centroids."""
+    rows, found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, size=64)
+    whole = F.try_sum("cluster_inertia").over(Window.partitionBy())  # over the k centroids only
+    named = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)
+    found = found.select("cluster", "cluster_inertia", whole.alias("inertia"), named.alias("centroid_sha256"))
+    return rows.join(F.broadcast(found), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2,048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -97,4 +120,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_rules": op9_rules,
     "op10_licenses": op10_licenses,
+    "op11_negatives": op11_negatives,
+    "op12_centroids": op12_centroids,
+    "op13_packing": op13_packing,
 }

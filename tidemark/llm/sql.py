@@ -132,9 +132,60 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id LEFT JOIN best_at a ON a.doc_id = d.doc_id"""
 
 
+_REAL = "embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
+_WHOLE = "list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT)"
+
+
+def negatives_sql() -> str:
+    """All anchors against all rows; exact copies of a row count once."""
+    return f"""
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_REAL}
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, a.x AS ax, b.vec_id, b.label, list_inner_product(a.x::DOUBLE[], b.x::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, anchor_label, ax, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id, anchor_label, ax ORDER BY score DESC, vec_id) <= 5
+), inside AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.anchor_label, p.ax, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s USING (anchor_id, anchor_label, ax)
+  WHERE s.label <> p.anchor_label AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM inside WHERE rank <= 10"""
+
+
+def centroids_sql(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    """Each round written out: all distances, the nearest, the floors of the means."""
+    square = "list_inner_product(list_transform(list_zip(v.x, c.x), p -> (p[1] - p[2])::DOUBLE), list_transform(list_zip(v.x, c.x), p -> (p[1] - p[2])::DOUBLE))::BIGINT"
+    steps = ""
+    for n in range(rounds + 1):
+        steps += f""", assigned{n} AS MATERIALIZED (
+  SELECT rid, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT v.rid, c.cluster, {square} AS d FROM v, c{n} c) GROUP BY rid
+)"""
+        if n < rounds:
+            steps += f""", means{n} AS (
+  SELECT cluster, list(m ORDER BY i) AS x FROM (
+    SELECT a.cluster, i, ((sum(v.x[i]) - ((sum(v.x[i]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+    FROM assigned{n} a JOIN v USING (rid), range(1, {size + 1}) t(i) GROUP BY a.cluster, i) GROUP BY cluster
+), c{n + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN means{n} m USING (cluster))"""
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, {_WHOLE} AS x FROM embeddings WHERE len(embedding) = {size} AND {_REAL}
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1)::INT AS cluster, x FROM v QUALIFY cluster < {k}
+){steps}
+SELECT v.vec_id, a.cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(a.distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN assigned{rounds} a USING (rid) JOIN c{rounds} c USING (cluster)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing_sql(MIX_DOMAIN, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED),
     "op5_lines": line_dedup_sql(),
     "op7_decontamination": decontamination_sql(),
     "op8_urls": url_rules_sql(),
+    "op11_negatives": negatives_sql(),
+    "op12_centroids": centroids_sql(),
 }
