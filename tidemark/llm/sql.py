@@ -132,8 +132,8 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id LEFT JOIN best_at a ON a.doc_id = d.doc_id"""
 
 
-_REAL = "embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
-_WHOLE = "list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT)"
+_REAL = "embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"
+_WHOLE = "[floor(256 * x::DOUBLE)::BIGINT for x in embedding]"
 
 
 def negatives_sql() -> str:
@@ -158,7 +158,8 @@ SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, n
 
 def centroids_sql(k: int = 40, rounds: int = 5, size: int = 64) -> str:
     """Each round written out: all distances, the nearest, the floors of the means."""
-    square = "list_inner_product(list_transform(list_zip(v.x, c.x), p -> (p[1] - p[2])::DOUBLE), list_transform(list_zip(v.x, c.x), p -> (p[1] - p[2])::DOUBLE))::BIGINT"
+    gaps = "[(p[1] - p[2])::DOUBLE for p in list_zip(v.x, c.x)]"
+    square = f"list_inner_product({gaps}, {gaps})::BIGINT"
     steps = ""
     for n in range(rounds + 1):
         steps += f""", assigned{n} AS MATERIALIZED (
