@@ -64,19 +64,27 @@ def plain(rows):
 
     lines = [(d, i, re.sub("[0-9]+", "<*>", " ".join(x.split())).split(" ")) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
     lines = [(d, i, t) for d, i, t in lines if t != [""]]
-    leaf = lambda t: (len(t), tuple(t[: min(4, (2 * len(t) + 4) // 5)]))
-    docs, holders = defaultdict(set), defaultdict(set)
+    def leaves(t):
+        k = min(4, (2 * len(t) + 4) // 5)
+        return [(len(t), "lead", tuple(t[:k])), (len(t), "tail", tuple(t[-k:]))] if len(t) >= 4 else []
+
+    docs, holders, support = defaultdict(set), defaultdict(set), defaultdict(set)
     for d, _, t in lines:
-        docs[leaf(t)].add(d)
-        for k, w in enumerate(t):
-            holders[leaf(t), k, w].add(d)
+        for leaf in leaves(t):
+            docs[leaf].add(d)
+            for k, w in enumerate(t):
+                holders[leaf, k, w].add(d)
+                support[leaf, k, w].add(tuple(t))
     groups = defaultdict(set)
     for d, i, t in lines:
         groups[3 if len(t) < 4 else 2, tuple(t), "exact"].add((d, i))
-        if len(t) >= 8 and len(docs[leaf(t)]) >= 3:
-            fixed = [len(holders[leaf(t), k, w]) > 1 for k, w in enumerate(t)]
-            if sum(fixed) >= 0.75 * len(t):
-                groups[3, tuple(w if f else "<*>" for w, f in zip(t, fixed)), "general"].add((d, i))
+        for leaf in leaves(t):
+            if len(docs[leaf]) >= 3:
+                own = [len(support[leaf, k, w]) for k, w in enumerate(t)]
+                measure = sorted(own, reverse=True)[-(-3 * len(t) // 4) - 1]
+                fixed = [2 * s > measure and len(holders[leaf, k, w]) > 1 for k, (s, w) in enumerate(zip(own, t))]
+                if measure >= 2 and sum(fixed) >= 0.75 * len(t):
+                    groups[10 if len(t) < 8 else 3, tuple(w if f else "<*>" for w, f in zip(t, fixed)), "general"].add((d, i))
     gone = {x for (need, _, _), places in groups.items() if len({d for d, _ in places}) >= need for x in places - {min(places)}}
     return {d: t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
 
@@ -121,3 +129,40 @@ def test_clashing_columns_and_repeated_ids(spark):
     assert sorted(got.columns) == sorted(docs.columns)
     # Of one doc_id two texts hold the line: the ids tell no order, so that both first places stay.
     assert sorted((r.doc_id, r.text, r.leaf) for r in got.collect())[-1] == (2, "", 2)
+
+
+DAYS = "monday tuesday wednesday thursday friday saturday".split()
+
+
+def planted(spark, docs, line):
+    """Documents of two lines of their own and one of ``line``; how many of those went, and others."""
+    own = lambda i, k: " ".join(f"{letters(31 * i + 7 * j + k)}{'abc'[k]}" for j in range(12))
+    rows = [(i, "x", f"{own(i, 0)}\n{line(i)}\n{own(i, 1)}") for i in range(docs)]
+    got = {r[0]: r[1].split("\n") for r in run(spark, rows)}
+    gone = sum(line(i) not in got[i] for i in range(docs))
+    return gone, sum(len(x) for x in got.values()) + gone == 3 * docs
+
+
+def test_fields_of_few_values_at_any_size(spark):
+    names, many = ["ann", "bob", "cyd", "dee", "eve", "flo"], [f"n{letters(i)}" for i in range(3600)]
+    long = "this entry was posted by moderator {} on last {} in the public forum"
+    for docs in (36, 3600):
+        lines = [
+            lambda i: long.format(names[i % 6], DAYS[i // 6 % 6]),
+            lambda i: long.format(many[i], many[-1 - i]),
+            lambda i: f"posted by {many[i % 26 if docs == 36 else i]} in the forum",
+            lambda i: f"user {many[i]} has posted this entry in the public forum on behalf of all",
+        ]
+        for line in lines:
+            gone, others = planted(spark, docs, line)
+            assert gone == docs - 1 and others
+
+
+def test_common_words_in_few_frames_stay(spark):
+    """Lines of common words that share their leading and trailing tokens but under three quarters of all."""
+    words = ["red", "old", "new", "dry", "hot", "odd"]
+    line = lambda i: "it is said that the {} and {} men or {} and {} women may come to see us".format(*(words[i // 6**k % 6] for k in range(4)))
+    other = lambda i: "in the end of {} {} {} {} {} {} they came to us".format(*(letters(97 * i + k) for k in range(6)))
+    assert planted(spark, 600, other) == (0, True)
+    gone, others = planted(spark, 600, line)
+    assert gone and others  # four fields in eighteen tokens are a template

@@ -3,17 +3,25 @@
 A line is parsed at fixed depth, with digits generalised to ``<*>``:
 
 * level 1 is its number of tokens, level 2 its leading tokens: two fifths of them, four at
-  most. That names a leaf;
-* in a leaf a token is a fixed part of its place if it stands there in two documents at
-  least; any other token is a variable field and becomes ``<*>`` as well. A line whose
-  tokens are fixed to ``fixed_share`` has the leaf's tokens and fields as its general
-  template; lines of fewer than ``general_tokens`` tokens have none;
+  most. That names a leaf. The wildcard branch of level 1 takes any leading tokens, and
+  there as many trailing tokens name the leaf, so that fields among the first tokens part
+  nothing;
+* in a leaf the support of a token is the number of different lines that have it at its
+  place. A line's own measure is the support that ``fixed_share`` of its tokens reach: that
+  of the frame it was made from, however many other lines and frames the leaf has. A token
+  of more than half that support, found in two documents, is fixed; any other is a variable
+  field and becomes ``<*>`` as well. So a field's values may each recur any number of times.
+  A line whose tokens are fixed to ``fixed_share``, with a measure of two lines or more,
+  has the leaf's tokens and fields as its general template; lines of fewer than
+  ``min_tokens`` tokens have none;
 * every line that is not blank has an exact template, all its tokens.
 
 A template that recurs in ``min_docs`` documents (``general_docs`` for general ones,
-``short_docs`` for exact ones of fewer than ``min_tokens`` tokens) is boilerplate or a copied
-passage: its first occurrence, by doc_id and line number, stays and every other line of
-it goes. Blank lines stay.
+``short_general_docs`` for those of fewer than ``general_tokens`` tokens, ``short_docs`` for
+exact ones of fewer than ``min_tokens``) is boilerplate or a copied passage: its first
+occurrence, by doc_id and line number, stays and every other line of it goes. So a line that
+goes agrees in ``fixed_share`` of its tokens, place by place, with lines of
+``general_docs`` - 1 other documents. Blank lines stay.
 
 Only (doc_id, text hash, line number, template hashes) rows are shuffled to find recurring
 templates; counts are pre-aggregated by document, and a template that a third of all
@@ -67,66 +75,74 @@ def two_hashes(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.hash(F.lit(1), text).alias("t2")]
 
 
-def templates(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8) -> DataFrame:
-    """(doc_id, row_key, line_no, short, t1, t2, leaf) of the lines that are not blank: the hashes of
-    the exact template, and that of the leaf for lines of ``general_tokens`` tokens or more."""
+def templates(docs: DataFrame, min_tokens: int = 4) -> DataFrame:
+    """(doc_id, row_key, line_no, n, t1, t2, lead, tail) of the lines that are not blank: the number
+    of tokens, the hashes of the exact template, and those of both leaves for lines of
+    ``min_tokens`` tokens or more."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     plain = plain_line(F.col("line"))
     # Counted before numbers are generalised, which changes no token's bounds.
     lines = lines.where(plain != "").withColumn("n", F.length(plain) - F.length(F.replace(plain, F.lit(" "))) + 1)
-    lines = lines.withColumn("norm", without_digits(plain))
-    lead = F.expr("substring_index(norm, ' ', least(4, (2 * n + 4) div 5))")
-    leaf = F.when(F.col("n") >= general_tokens, F.xxhash64("n", lead)).alias("leaf")
-    return lines.select("doc_id", "row_key", "line_no", (F.col("n") < min_tokens).alias("short"), *two_hashes(F.col("norm")), leaf)
+    lines = lines.withColumn("norm", without_digits(plain)).withColumn("depth", F.expr("least(4, (2 * n + 4) div 5)").cast("int"))
+    lead, tail = F.expr("substring_index(norm, ' ', depth)"), F.expr("substring_index(norm, ' ', -depth)")
+    leaves = [F.when(F.col("n") >= min_tokens, F.xxhash64("n", F.lit(kind), words)).alias(kind) for kind, words in (("lead", lead), ("tail", tail))]
+    return lines.select("doc_id", "row_key", "line_no", F.col("n").cast("int").alias("n"), *two_hashes(F.col("norm")), *leaves)
 
 
 def general_templates(docs: DataFrame, found: DataFrame, general_docs: int, fixed_share: float) -> DataFrame:
-    """(t1, t2, g1, g2): the general template of exact templates that have one."""
-    deep = found.where("leaf is not null")
+    """(t1, t2, g1, g2): the general templates, two at most, of exact templates that have one."""
+    deep = found.where("lead is not null").select("doc_id", "row_key", "line_no", "t1", "t2", F.explode(F.array("lead", "tail")).alias("leaf"))
     by_doc = deep.groupBy("leaf", "doc_id").agg(F.min("t1").alias("least"), F.max("t1").alias("most"))
     leaves = by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), (F.min("least") < F.max("most")).alias("several"))
     leaves = checkpointed(leaves.where((F.col("docs") >= general_docs) & F.col("several")).select("leaf"))
     doc = F.struct("doc_id")  # a null id is a document too
     at = F.min(F.struct("doc_id", "row_key", "line_no")).alias("at")
-    members = checkpointed(deep.join(small(leaves), "leaf").groupBy("leaf", "t1", "t2").agg(F.min(doc).alias("least"), F.max(doc).alias("most"), at))
+    members = deep.join(small(leaves), "leaf").groupBy("t1", "t2").agg(F.collect_set("leaf").alias("leaves"), F.min(doc).alias("least"), F.max(doc).alias("most"), at)
+    members = checkpointed(members)
     texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
     fetched = texts.join(members, F.col("_id").eqNullSafe(F.col("at.doc_id")) & (F.col("_key") == F.col("at.row_key")))
     norm = without_digits(plain_line(F.get(F.split("text", "\n"), F.col("at.line_no"))))
-    fetched = fetched.select("leaf", "t1", "t2", "least", "most", norm.alias("norm")).dropDuplicates(["t1", "t2"])
-    tokens = checkpointed(fetched.select("leaf", "t1", "t2", "least", "most", F.posexplode(F.split("norm", " ")).alias("place", "token")))
-    fixed = tokens.groupBy("leaf", "place", "token").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    fixed = fixed.where(~F.col("least").eqNullSafe(F.col("most"))).select("leaf", "place", "token", F.lit(True).alias("fixed"))
-    parts = tokens.select("leaf", "t1", "t2", "place", "token").join(fixed, ["leaf", "place", "token"], "left")
-    part = F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("part"))
-    lines = parts.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.count("fixed").alias("fixed"), F.count("*").alias("n"))
-    text = F.concat_ws("|", F.col("n").cast("string"), F.array_join("parts.part", " "))
-    return lines.where(F.col("fixed") >= fixed_share * F.col("n")).select("t1", "t2", *[h.alias(f"g{i}") for i, h in enumerate(two_hashes(text), 1)])
+    fetched = fetched.select("leaves", "t1", "t2", "least", "most", norm.alias("norm")).dropDuplicates(["t1", "t2"])
+    tokens = fetched.select(F.explode("leaves").alias("leaf"), "t1", "t2", "least", "most", "norm")
+    tokens = checkpointed(tokens.select("leaf", "t1", "t2", "least", "most", F.posexplode(F.split("norm", " ")).alias("place", "token")))
+    support = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("support"), F.min("least").alias("least"), F.max("most").alias("most"))
+    support = support.select("leaf", "place", "token", "support", (~F.col("least").eqNullSafe(F.col("most"))).alias("shared"))
+    parts = tokens.select("leaf", "t1", "t2", "place", "token").join(support, ["leaf", "place", "token"])
+    lines = parts.groupBy("leaf", "t1", "t2").agg(F.array_sort(F.collect_list(F.struct("place", "token", "support", "shared"))).alias("parts"), F.count("*").alias("n"))
+    measure = F.element_at(F.sort_array("parts.support", asc=False), F.ceil(F.lit(fixed_share) * F.col("n")).cast("int"))
+    lines = lines.withColumn("measure", measure).where("measure >= 2")
+    part = lambda x: F.when(x["shared"] & (2 * x["support"] > F.col("measure")), x["token"])
+    lines = lines.select("t1", "t2", "n", F.transform("parts", part).alias("fixed"))
+    lines = lines.where(F.size(F.filter("fixed", F.isnotnull)) >= fixed_share * F.col("n"))
+    text = F.concat_ws("|", F.col("n").cast("string"), F.array_join("fixed", " ", "<*>"))
+    return lines.select("t1", "t2", *[h.alias(f"g{i}") for i, h in enumerate(two_hashes(text), 1)]).distinct()
 
 
 def later_lines(rows: DataFrame, need: Column) -> DataFrame:
-    """The lines (doc_id, row_key, line_no, t1, t2, short) but for the first of each template,
-    of templates that stand in ``need`` documents."""
-    by_doc = rows.groupBy("t1", "t2", "doc_id").agg(F.min("line_no").alias("line_no"), F.max("short").alias("short"))
-    stats = by_doc.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.max("short").alias("short"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    """The lines (doc_id, row_key, line_no, t1, t2, n) but for the first of each template, of
+    templates that stand in ``need`` documents."""
+    by_doc = rows.groupBy("t1", "t2", "doc_id").agg(F.min("line_no").alias("line_no"), F.max("n").alias("n"))
+    stats = by_doc.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
     # Written, so that the join deals out its rows anew and a hot template can be split.
     recurring = checkpointed(stats.where(F.col("docs") >= need).select("t1", "t2", "first"))
     later = rows.join(small(recurring), ["t1", "t2"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     return later.select("doc_id", "row_key", "line_no")
 
 
-def dropped_lines(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8, min_docs: int = 2, general_docs: int = 3, short_docs: int = 3, fixed_share: float = 0.75) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8, min_docs: int = 2, general_docs: int = 3, short_docs: int = 3, short_general_docs: int = 10, fixed_share: float = 0.75) -> DataFrame:
     """(doc_id, row_key, dropped): the numbers of the lines that repeat a recurring template."""
-    found = stored(templates(docs, min_tokens, general_tokens))
+    found = stored(templates(docs, min_tokens))
     general = checkpointed(general_templates(docs, found, general_docs, fixed_share))
-    alike = found.where("leaf is not null").join(small(general), ["t1", "t2"]).select("doc_id", "row_key", "line_no", "short", F.col("g1").alias("t1"), F.col("g2").alias("t2"))
-    exact = later_lines(found.drop("leaf"), F.when(F.col("short"), short_docs).otherwise(min_docs))
-    return exact.union(later_lines(alike, F.lit(general_docs))).groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("dropped"))
+    alike = found.where("lead is not null").join(small(general), ["t1", "t2"]).select("doc_id", "row_key", "line_no", "n", F.col("g1").alias("t1"), F.col("g2").alias("t2"))
+    exact = later_lines(found.drop("lead", "tail"), F.when(F.col("n") < min_tokens, short_docs).otherwise(min_docs))
+    general = later_lines(alike, F.when(F.col("n") < general_tokens, short_general_docs).otherwise(general_docs))
+    return exact.union(general).groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8, min_docs: int = 2, general_docs: int = 3, short_docs: int = 3, fixed_share: float = 0.75) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_tokens: int = 4, general_tokens: int = 8, min_docs: int = 2, general_docs: int = 3, short_docs: int = 3, short_general_docs: int = 10, fixed_share: float = 0.75) -> DataFrame:
     """The documents with their columns, text without repeated lines, and a struct ``lines_report``
     of n_lines and n_dropped."""
-    dropped = dropped_lines(docs.select("doc_id", "text"), min_tokens, general_tokens, min_docs, general_docs, short_docs, fixed_share)
+    dropped = dropped_lines(docs.select("doc_id", "text"), min_tokens, general_tokens, min_docs, general_docs, short_docs, short_general_docs, fixed_share)
     dropped = dropped.select(F.col("doc_id").alias("_drop_id"), F.col("row_key").alias("_drop_key"), F.col("dropped").alias("_dropped"))
     # The split text crosses the join, so that it is split once and not for each line.
     others = [F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns) if c != "text"]

@@ -14,25 +14,34 @@ WITH split AS (
 ), toks AS (
   SELECT *, string_split(norm, ' ') AS t, len(string_split(norm, ' ')) AS n FROM norms
 ), parsed AS (
-  SELECT *, array_to_string(t[1:least(4, (2 * n + 4) // 5)], ' ') AS lead FROM toks WHERE norm <> ''
+  SELECT doc_id, line_no, norm, t, n, least(4, (2 * n + 4) // 5) AS depth FROM toks WHERE norm <> ''
+), deep AS (
+  SELECT doc_id, norm, t, n, unnest(['^ ' || array_to_string(t[1:depth], ' '), '$ ' || array_to_string(t[n - depth + 1:n], ' ')]) AS leaf FROM parsed WHERE n >= 4
 ), leaves AS (
-  SELECT n, lead FROM parsed WHERE n >= 8 GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 3
+  SELECT n, leaf FROM deep GROUP BY n, leaf HAVING count(DISTINCT doc_id) >= 3
+), lines AS (
+  SELECT n, leaf, norm, any_value(t) AS t, min(doc_id) AS least_doc, max(doc_id) AS most_doc FROM deep JOIN leaves USING (n, leaf) GROUP BY n, leaf, norm
 ), parts AS (
-  SELECT doc_id, norm, n, lead, unnest(t) AS token, generate_subscripts(t, 1) AS place FROM parsed JOIN leaves USING (n, lead)
-), fixed AS (
-  SELECT n, lead, place, token, true AS is_fixed FROM parts GROUP BY n, lead, place, token HAVING count(DISTINCT doc_id) >= 2
+  SELECT n, leaf, norm, least_doc, most_doc, unnest(t) AS token, generate_subscripts(t, 1) AS place FROM lines
+), supports AS (
+  SELECT *, count(*) OVER w AS support, min(least_doc) OVER w < max(most_doc) OVER w AS shared FROM parts WINDOW w AS (PARTITION BY n, leaf, place, token)
+), measured AS (
+  SELECT *, list_reverse_sort(list(support) OVER (PARTITION BY n, leaf, norm))[ceil(0.75 * n)::INT] AS measure FROM supports
+), judged AS (
+  SELECT *, shared AND 2 * support > measure AS fixed FROM measured WHERE measure >= 2
 ), general AS (
-  SELECT norm, concat(n, '|', string_agg(CASE WHEN is_fixed THEN token ELSE '<*>' END, ' ' ORDER BY place)) AS template
-  FROM (SELECT DISTINCT norm, n, lead, place, token FROM parts) LEFT JOIN fixed USING (n, lead, place, token) GROUP BY norm, n, lead HAVING 4 * count(is_fixed) >= 3 * n
+  SELECT DISTINCT norm, n, template FROM (
+    SELECT norm, n, leaf, concat(n, '|', string_agg(CASE WHEN fixed THEN token ELSE '<*>' END, ' ' ORDER BY place)) AS template
+    FROM judged GROUP BY norm, n, leaf HAVING 4 * count(*) FILTER (WHERE fixed) >= 3 * n)
 ), named AS (
   SELECT doc_id, line_no, CASE WHEN n < 4 THEN 3 ELSE 2 END AS need, norm AS template FROM parsed
   UNION ALL
-  SELECT doc_id, line_no, 3, template FROM parsed JOIN general USING (norm)
+  SELECT DISTINCT p.doc_id, p.line_no, CASE WHEN g.n < 8 THEN 10 ELSE 3 END + 100, g.template FROM parsed p JOIN general g USING (norm)
 ), stats AS (
   SELECT need, template, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM named GROUP BY ALL
 ), firsts AS (
   SELECT s.need, s.template, s.first_doc, min(n.line_no) AS first_line
-  FROM stats s JOIN named n ON n.need = s.need AND n.template = s.template AND n.doc_id = s.first_doc WHERE s.docs >= s.need GROUP BY ALL
+  FROM stats s JOIN named n ON n.need = s.need AND n.template = s.template AND n.doc_id = s.first_doc WHERE s.docs >= s.need % 100 GROUP BY ALL
 ), dropped AS (
   SELECT DISTINCT n.doc_id, n.line_no FROM named n JOIN firsts f USING (need, template) WHERE n.doc_id <> f.first_doc OR n.line_no <> f.first_line
 ), rebuilt AS (
