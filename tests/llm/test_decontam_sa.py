@@ -111,3 +111,14 @@ def test_clashing_columns(spark, monkeypatch):
         seen.append(sorted((r.doc_id, r.text or "", r.text_hash, r._before) for r in kept.collect()))
         assert sa.contamination(wide, tests, window=4).count() == len(docs)
     assert seen[0] == seen[1] and {r[2:] for r in seen[0]} == {("text_hash", "_before")}
+
+
+def test_short_rows_share_a_shard(monkeypatch):
+    """Items are ranked once for a shard of bytes, not once for each batch of rows."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sa, "SHARD_BYTES", 1000)
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array([b"x" * 40] * 10)}) for _ in range(9)]
+    sizes = []
+    out = list(sa.by_shard("text", lambda b: sizes.append(len(b)) or b)(iter(batches)))
+    assert sum(map(len, out)) == 90 and len(sizes) <= 5 and list(sa.by_shard("text", lambda b: b)(iter([]))) == []

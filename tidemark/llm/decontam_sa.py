@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-Each Arrow batch of documents is a shard. Its words become integers under the
+Arrow batches of documents that together hold ``SHARD_BYTES`` make a shard. Its words become integers under the
 vocabulary of the test items; words that no item has cannot be part of a match and
 end a run. Prefix doubling ranks the suffixes of the shard's runs together with those
 of the test items, so that ranks compare across both. The shard's suffixes are sorted
@@ -27,8 +27,8 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_batch, stored
+from tidemark.llm.common import stored
 
 #: Characters of test items that one pass over the documents searches for.
 BLOCK_CHARS = 8_000_000
+#: Bytes of text in a shard at least, unless a task has less: a block of items is ranked once
+#: for each, however short the rows.
+SHARD_BYTES = 16_000_000
 
 #: ASCII letters lower-cased; all that is no ASCII digit, letter or non-ASCII byte to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -201,6 +204,23 @@ def blocks_of(benchmark: DataFrame, window: int) -> Iterator[tuple[TestWindows,
         yield TestWindows([(r.item_id, bytes(r.text) if r.text is not None else None) for r in rows], window), k == n - 1
 
 
+def by_shard(column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
+    """An iterator function for ``mapInArrow`` from one that maps a shard: batches together that
+    hold SHARD_BYTES of ``column``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += batch.column(column).nbytes
+            if held and (batch is None or size >= SHARD_BYTES):
+                yield from map(fn, pa.Table.from_batches(held).combine_chunks().to_batches())
+                held, size = [], 0
+
+    return run
+
+
 _FOUND = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>, longest int, longest_at int"
 
 
@@ -215,7 +235,7 @@ def _pass(docs: DataFrame, shared) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], ["doc_id", "text_hash", *found])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(by_batch(run), f"doc_id {kind}, text_hash bigint, {_FOUND}")
+    return rows.mapInArrow(by_shard("text", run), f"doc_id {kind}, text_hash bigint, {_FOUND}")
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame | None, object]:
@@ -276,7 +296,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
         return batch.select(list(range(width))).filter(pa.array(keep, pa.bool_()))
 
     schema = T.StructType([T.StructField(f"_in_{i}", f.dataType, True) for i, f in enumerate(docs.schema)])
-    return rows.mapInArrow(by_batch(clean), schema).select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return rows.mapInArrow(by_shard("_text", clean), schema).select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def digest(items) -> F.Column:
