@@ -185,8 +185,11 @@ def test_contiguous_changes(spark):
     assert found_classes(spark, rows) == want
 
 
-def test_large_groups_are_compared_in_parts(spark, monkeypatch):
-    """More pairs of one run than are named, over parts of a few nodes."""
+@pytest.mark.parametrize("group_nodes", [4096, 40])
+def test_large_groups_are_compared_in_parts(spark, monkeypatch, group_nodes):
+    """More pairs of one run than are named, over parts of a few nodes, of groups that a task
+    takes whole and of groups that none does."""
+    monkeypatch.setattr(sv, "GROUP_NODES", group_nodes)
     monkeypatch.setattr(sv, "FEW_PAIRS", 20)
     monkeypatch.setattr(sv, "PART_NODES", 25)
     rnd = random.Random(7)
@@ -201,3 +204,14 @@ def test_large_groups_are_compared_in_parts(spark, monkeypatch):
     want = similar_classes(rows)
     assert 2 < len(set(want.values())) < len(rows)
     assert found_classes(spark, rows) == want
+
+
+def test_a_hot_key_is_dealt_in_bounded_parts(spark):
+    """A key of 100,000 nodes, each a class of its own, beside one with the same nodes."""
+    rows = spark.range(100_000).select(F.col("id").alias("node"), F.lit(300).cast("long").alias("size"), F.col("id").alias("root"))
+    dealt = rows.select(F.explode(F.array(*[F.lit(k).cast("long") for k in (7, 9)])).alias("key"), "node", "size", "root").union(rows.limit(5000).select(F.lit(11).cast("long"), "node", "size", "root"))
+    hot = {r.key: r for r in sv.hot_keys(dealt).collect()}
+    assert {k: (r.parts, r.chosen) for k, r in hot.items()} == {7: (98, True), 9: (98, False), 11: (5, True)}
+    pairs = sv.part_pairs(sv.hot_keys(dealt).where("chosen"))
+    assert pairs.count() == 98 * 99 // 2 + 5 * 6 // 2
+    assert max(r["count"] for r in pairs.groupBy("key", "i").count().collect()) <= 98

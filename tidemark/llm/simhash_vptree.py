@@ -64,6 +64,9 @@ SMALL_SET = 8
 #: Pairs of different classes with a run in common that are named; of more, parts of the group
 #: of at most so many nodes and shingles are compared in one task.
 FEW_PAIRS, PART_NODES, PART_HASHES = 2000, 1024, 1_000_000
+#: Nodes that share a run key of which a task takes all; of more none holds more than two parts.
+#: Rows of such keys that are broadcast.
+GROUP_NODES, BROADCAST_KEYS = 4096, 100_000
 #: Width of each tree's block of bits and of the ranges of it that its nodes look at.
 BLOCKS, RANGES = (21, 21, 22), ((7, 7, 7), (7, 7, 7), (7, 7, 8))
 #: Residents with one value beyond which their other bits are looked up as well.
@@ -505,10 +508,18 @@ def links_between(nodes: DataFrame, docs: DataFrame, root: DataFrame, shingle: i
     nodes: node, first, size, keys; root: (node, root), of other nodes the node. Up to
     ``FEW_PAIRS`` pairs of different classes that share a key are named and joined with their
     sets of shingles; of more the members are sent to tasks with their sets, which compare all
-    of a bounded part of the group with another and return only what links.
+    of a bounded part of the group with another and return only what links. Keys are counted
+    first: groups of more than ``GROUP_NODES`` are dealt to parts wherever their members lie,
+    and pairs of parts are joined with them, so that no task sees such a group whole.
     """
     named = nodes.select("node", "size", "keys").join(root, "node", "left")
-    dealt = named.select(F.explode("keys").alias("key"), "node", "size", F.coalesce("root", "node").alias("root")).repartition("key").sortWithinPartitions("key")
+    dealt = named.select(F.explode("keys").alias("key"), "node", "size", F.coalesce("root", "node").alias("root"))
+    hot = hot_keys(dealt)
+    n_hot = hot.count()
+    known = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+    members = stored(dealt.join(known, "key").where("chosen").select("key", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int").alias("part"), "node", "root")) if n_hot else None
+    dealt = dealt.join(known.select("key"), "key", "left_anti") if n_hot else dealt
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
 
     def groups(parts: list) -> Iterator[pa.RecordBatch]:
         key, node, size, root = (np.concatenate(x) for x in zip(*parts))
@@ -540,10 +551,40 @@ def links_between(nodes: DataFrame, docs: DataFrame, root: DataFrame, shingle: i
 
     found = stored(dealt.mapInArrow(scan, "a bigint, b bigint, cell bigint"))
     few = verified(found.where("cell is null").select("a", "b").distinct(), nodes, docs, shingle, similarity)
-    members = found.where("cell is not null").select("cell", F.col("a").alias("node"), F.col("b").alias("root"))
-    sets = shingle_sets(members.select("node").distinct(), nodes, docs, shingle)
-    many = members.join(sets, "node").groupBy("cell").applyInArrow(lambda t: cell_links(t, similarity), "a bigint, b bigint")
-    return few.union(many)
+    in_cells = found.where("cell is not null").select("cell", F.col("a").alias("node"), F.col("b").alias("root"))
+    wanted = in_cells.select("node")
+    wanted = wanted.union(members.select("node")) if n_hot else wanted
+    sets = shingle_sets(wanted.distinct(), nodes, docs, shingle)
+    out = few.union(in_cells.join(sets, "node").groupBy("cell").applyInArrow(lambda t: cell_links(t, similarity), "a bigint, b bigint"))
+    if not n_hot:
+        return out
+    packed = stored(members.join(sets, "node").groupBy("key", "part").agg(F.collect_list(F.struct("node", "root", "shingles")).alias("members")))
+    dealt = part_pairs(hot.where("chosen")).select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part")).join(packed, ["key", "part"])
+    return out.union(dealt.groupBy("key", "i", "j").applyInArrow(lambda t: packed_links(t, similarity), "a bigint, b bigint"))
+
+
+def hot_keys(dealt: DataFrame) -> DataFrame:
+    """(key, parts, chosen) of the keys that more than ``GROUP_NODES`` nodes of several classes share;
+    of keys that the same nodes share one is chosen."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), (F.min("root") < F.max("root")).alias("several"), *marks)
+    counts = checkpointed(counts.where(F.col("several") & (F.col("n") > GROUP_NODES)).drop("several"))
+    parts = F.greatest(F.ceil(F.col("n") / PART_NODES), F.ceil(F.col("hashes") / PART_HASHES)).cast("int").alias("parts")
+    least = counts.groupBy("n", "mark1", "mark2").agg(F.min("key").alias("chosen"))
+    return checkpointed(counts.join(least, ["n", "mark1", "mark2"]).select("key", parts, (F.col("key") == F.col("chosen")).alias("chosen")))
+
+
+def part_pairs(hot: DataFrame) -> DataFrame:
+    """(key, i, j), i up to j, of the pairs of parts of each key; no task names more than those of
+    the parts i that it is dealt."""
+    first = hot.select("key", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i")).repartition("key", "i")
+    return first.select("key", "i", F.explode(F.sequence(F.col("i"), F.col("parts") - 1)).alias("j"))
+
+
+def packed_links(table: pa.Table, similarity: float) -> pa.Table:
+    """cell_links of the members of a part, or of two."""
+    members = pa.concat_arrays([x.flatten() for x in table.column("members").chunks])
+    return cell_links(pa.table(members.flatten(), ["node", "root", "shingles"]), similarity)
 
 
 # --- components -------------------------------------------------------------------
