@@ -1,4 +1,18 @@
-"""The training-corpus pipeline: quality, line dedup, near-dedup, decontamination, mixing."""
+"""The training-corpus pipeline: quality, line dedup, near-dedup, decontamination, mixing.
+
+Edge cases, from end to end: a text that is null, empty or blank is judged by the quality
+model like any other, has no lines to drop, is a near-duplicate of all others without words,
+of which one stays, is never contaminated, and has no tokens to mix, so that it is in no
+result. Texts of any length are read whole. Repeated rows, and rows of one id and text, are
+one class of near-duplicates, of which one row stays. Of equal documents the first keeps its
+lines, a row without an id before all others; the rest lose theirs and go as texts without
+words. Of near-duplicates that of the smallest id stays, a row without an id only where
+its class has none other. A null lang or source is
+a leaf of its own in the mixture. An empty documents table, or one without any labelled
+document, gives an empty result at the first stage or rejects nothing; an empty benchmark
+table contaminates nothing. Other columns of documents, whatever their names, pass through
+all stages but the last, which adds its own.
+"""
 
 from __future__ import annotations
 
