@@ -217,3 +217,52 @@ def test_large_groups_in_ranges_equal_whole_windows(spark):
 def test_ranges_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "id long, g string, t long")
     assert sampling.numbered(empty, ["g"], ["t", "id"], "n", large=True).count() == 0
+
+
+def test_long_intervals_are_dealt_to_few_nodes(spark):
+    """Covers are exact, disjoint, and of 30 nodes at most over 10,000 slots."""
+    rnd = random.Random(2)
+    spans = [(a, a + rnd.choice([0, 1, 2, 37, 1000, 10_000])) for a in (rnd.randrange(-20_000, 20_000) for _ in range(300))]
+    frame = spark.createDataFrame(spans, "low long, high long")
+    for depth in (1, 4, 10):
+        for r in frame.select("low", "high", book.cover("low", "high", depth).alias("nodes")).collect():
+            slots = [s for level, n in r.nodes or [] for s in range(n << level, (n + 1) << level)]
+            assert sorted(slots) == list(range(r.low, r.high))
+            assert depth < 10 or len(r.nodes or []) <= 30
+    up = frame.select("low", book.ancestors("low", 4).alias("a")).first()
+    assert [tuple(x) for x in up.a] == [(k, up.low >> k) for k in range(5)]
+
+
+def test_book_of_long_intervals(spark):
+    """As with one bucket for all of time, at any width and depth."""
+    rnd = random.Random(6)
+    levels = [("s" if i % 3 else "t", "B", i, a, None if i % 11 == 0 else a + rnd.choice([1, 5, 300, 5000]), 1, 1, a) for i, a in enumerate(rnd.randrange(6000) for _ in range(200))]
+    frame = spark.createDataFrame(levels, "symbol string, side string, tick long, valid_from long, valid_to long, qty long, n_orders long, since long")
+    samples = [(s, t) for s in "stu" for t in (0, 1, 77, 3000, 5999, 9000)]
+    asked = spark.createDataFrame(samples, "symbol string, ts_us long")
+    want = sorted((s, t, tick) for s, t in samples for x, _, tick, a, b, *_ in levels if x == s and a <= t and (b is None or t < b))
+    for width, depth in ((1, 10), (3, 2), (10_000, 10)):
+        got = book.book_at(asked, frame, bucket_us=width, depth=depth)
+        assert sorted((r.symbol, r.ts_us, r.tick) for r in got.collect()) == want
+    assert book.book_at(asked.limit(0), frame).count() == 0 == book.book_at(asked, frame.limit(0)).count()
+
+
+def test_best_prices_and_market_orders(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("st"), rnd.choice("BS"), rnd.randrange(95, 105), t // 2, t, rnd.choice([3, 2, 1, -2, -4]), 1) for t in range(1, 300)]
+    levels = book.intervals(spark.createDataFrame(rows, "symbol string, side string, tick long, ts_us long, sequence long, qty long, orders int"))
+    plain = [(r.symbol, r.side, r.tick, r.valid_from, r.valid_to) for r in levels.collect()]
+
+    def best(symbol, side, t):
+        alive = [k for x, y, k, a, b in plain if (x, y) == (symbol, side) and a <= t and (b is None or t < b)]
+        return None if not alive else max(alive) if side == "B" else min(alive)
+
+    for depth in (1, 12):
+        got = book.best_prices(levels, depth).collect()
+        assert all(r.best == best(r.symbol, r.side, r.ts_us) for r in got)
+    assert {(r.symbol, r.side, r.ts_us) for r in got} == {(x, y, t) for x, y, _, a, b in plain for t in (a, b) if t is not None}
+    orders = [(x, y, t, 1000 * i + t) for i, (x, y) in enumerate([("s", "B"), ("s", "S"), ("t", "B"), ("u", "S")]) for t in (0, 3, 50, 149, 500)]
+    fills = [(orders[1][3], 9, 77), (orders[1][3], 8, 78)]
+    out = book.market_order_prices(spark.createDataFrame(orders, "symbol string, side string, ts_us long, sequence long"), spark.createDataFrame(fills, "order_sequence long, sequence long, tick long"), book.best_prices(levels))
+    got = {r.sequence: (r.side, r.tick, r.from_linked_fill) for r in out.collect()}
+    assert got == {q: (y, 78, True) if q == orders[1][3] else (y, best(x, "S" if y == "B" else "B", t), False) for x, y, t, q in orders}

@@ -3,6 +3,8 @@ formulas are published microstructure definitions of our choice."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,23 +59,19 @@ def _ratio(x: Column, y: Column) -> Column:
     return F.when(y != 0, x / y)
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))
-
-
 def market_factors(snapshots: DataFrame, by: list[str], order: list[str], tick: float = 0.01, fee_share: float = 0.0005) -> DataFrame:
     """snapshots (bid/ask prices and volumes as arrays of five, turnover) with the market factors; those
     that need the snapshot before are null on the first of a group."""
     b, a, bv, av = (F.col(c) for c in ("bid_prices", "ask_prices", "bid_volumes", "ask_volumes"))
     mid = (a[0] + b[0]) / 2
-    total = lambda v, k=5: _sum(F.slice(v, 1, k))
-    vwap = lambda p, v: _ratio(_sum(F.zip_with(p, v, lambda x, y: x * y)), total(v))
+    # The five levels are written out, so that they are compiled.
+    total = lambda v, k=5: _added([v[i].cast("double") for i in range(k)])
+    vwap = lambda p, v: _ratio(_added([p[i] * v[i] for i in range(5)]), total(v))
     micro = lambda k: _ratio(a[0] * total(bv, k) + b[0] * total(av, k), total(bv, k) + total(av, k))
     rows = snapshots.select("*", mid.alias("mid"), total(bv).alias("bid_total"), total(av).alias("ask_total"), vwap(b, bv).alias("vwap_bid"), vwap(a, av).alias("vwap_ask"), *[micro(k).alias(f"micro_{k}") for k in range(1, 6)])
     w = W.partitionBy(*by).orderBy(*order)
     was = lambda c: F.lag(c).over(w)
-    weights = F.array(*[F.lit(1.0 / k) for k in range(1, 6)])
-    weighted = lambda v: _sum(F.zip_with(v, weights, lambda x, y: x * y))
+    weighted = lambda v: _added([v[i] * (1.0 / (i + 1)) for i in range(5)])
     permille = lambda x, y: (_ratio(x, y) - 1) * 1000
     m = F.col("mid")
     return rows.select(
@@ -113,9 +111,40 @@ def full_book_factors(book: DataFrame) -> DataFrame:
     return book.select("*", *[x.alias(n) for n, x in zip(FULL_BOOK, values, strict=True)], ((c("bid_all_count") > 0) & (c("ask_all_count") > 0)).alias("valid"))
 
 
+#: Our names of the 36 floats of a pair of snapshots.
+PAIRED = [
+    *[f"level_{c}_{i}" for i in range(1, 6) for c in ("imbalance", "change")], *[f"{s}_return_{i}" for i in range(1, 6) for s in ("bid", "ask")], "interval_volume", "interval_turnover",
+    *[f"{s}_{c}" for s in ("bid", "ask") for c in ("added", "new_levels", "removed", "gone_levels", "shift")], "best_order_flow", "interval_price", "matched_order_flow", "matched_imbalance",
+]
+
+
+def _added(terms: list[Column]) -> Column:
+    return reduce(Column.__add__, terms)
+
+
+def _matched(side: str) -> dict[str, Column]:
+    """Volumes added to and removed from a side between two snapshots, and levels that came and
+    went, by price: of the prices that both snapshots can see, which end at the nearer fifth."""
+    now, then = [(F.col(f"{p}{side}_prices"), F.col(f"{p}{side}_volumes")) for p in ("", "p.")]
+    worst = (F.greatest if side == "bid" else F.least)(now[0][4], then[0][4])
+    out = {}
+    for names, (price, volume), (other, held) in ((("added", "new_levels"), now, then), (("removed", "gone_levels"), then, now)):
+        seen = [(price[i] >= worst if side == "bid" else price[i] <= worst) for i in range(5)]
+        there = [_added([F.when(other[j] == price[i], held[j]).otherwise(0) for j in range(5)]) for i in range(5)]
+        out[f"{side}_{names[0]}"] = _added([F.when(seen[i], F.greatest(volume[i] - there[i], F.lit(0))).otherwise(0) for i in range(5)])
+        out[f"{side}_{names[1]}"] = _added([F.when(seen[i] & ~F.array_contains(other, price[i]), 1).otherwise(0) for i in range(5)]).cast("long")
+    return out
+
+
 def paired_factors(snapshots: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Factors of adjacent accepted snapshots: per level the volume imbalance, its change and the
-    prices' returns, with interval volume and turnover. The first of a group has no pair."""
+    """The 36 floats of PAIRED of adjacent accepted snapshots; the first of a group has no pair.
+
+    By position: the volume imbalance of each level, its change, the prices' returns. By price:
+    volumes added and removed, levels come and gone, and the order flow and imbalance that these
+    make (bids added and asks removed against the reverse). At the best prices the order flow
+    of the first level alone. Over the interval: volume, turnover, their price against the mid,
+    and the shift of each side's volume-weighted price, both in permille.
+    """
     w = W.partitionBy(*by).orderBy(*order)
     rows = snapshots.withColumn("p", F.lag(F.struct("bid_prices", "ask_prices", "bid_volumes", "ask_volumes", "volume", "turnover")).over(w)).where("p is not null")
     out = []
@@ -124,4 +153,18 @@ def paired_factors(snapshots: DataFrame, by: list[str], order: list[str]) -> Dat
         then = imbalance(F.col("p.bid_volumes")[i], F.col("p.ask_volumes")[i])
         out += [now.alias(f"level_imbalance_{i + 1}"), (now - then).alias(f"level_change_{i + 1}")]
         out += [((_ratio(F.col(f"{s}_prices")[i], F.col(f"p.{s}_prices")[i]) - 1) * 1000).alias(f"{s}_return_{i + 1}") for s in ("bid", "ask")]
-    return rows.select("*", *out, (F.col("volume") - F.col("p.volume")).alias("interval_volume"), (F.col("turnover") - F.col("p.turnover")).alias("interval_turnover")).drop("p")
+    traded, amount = F.col("volume") - F.col("p.volume"), F.col("turnover") - F.col("p.turnover")
+    mid = (F.col("ask_prices")[0] + F.col("bid_prices")[0]) / 2
+    vwap = lambda s, p="": _ratio(_added([F.col(f"{p}{s}_prices")[i] * F.col(f"{p}{s}_volumes")[i] for i in range(5)]), _added([F.col(f"{p}{s}_volumes")[i] for i in range(5)]))
+
+    def best(s: str) -> Column:
+        price, was = F.col(f"{s}_prices")[0], F.col(f"p.{s}_prices")[0]
+        volume, before = F.col(f"{s}_volumes")[0], F.col(f"p.{s}_volumes")[0]
+        nearer, farther = (price > was, price < was) if s == "bid" else (price < was, price > was)
+        return F.when(nearer, volume).when(farther, -before).otherwise(volume - before)
+
+    out += [traded.alias("interval_volume"), amount.alias("interval_turnover"), *[x.alias(n) for s in ("bid", "ask") for n, x in _matched(s).items()]]
+    out += [*[(_ratio(vwap(s), vwap(s, "p.")) * 1000 - 1000).alias(f"{s}_shift") for s in ("bid", "ask")], (best("bid") - best("ask")).alias("best_order_flow"), (_ratio(_ratio(amount, traded), mid) * 1000 - 1000).alias("interval_price")]
+    rows, c = rows.select("*", *out).drop("p"), F.col
+    flow = c("bid_added") - c("bid_removed") - c("ask_added") + c("ask_removed")
+    return rows.withColumns({"matched_order_flow": flow, "matched_imbalance": imbalance(c("bid_added") + c("ask_removed"), c("bid_removed") + c("ask_added"))})

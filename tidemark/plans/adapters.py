@@ -71,6 +71,22 @@ def l2_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("offer_appl_seq_num"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("appl_seq_num"), F.round("l_extendedprice", 2).alias("turnover"))
 
 
+def order_side() -> F.Column:
+    """A third of the orders sell."""
+    return F.when(F.col("appl_seq_num") % 3 == 0, "S").otherwise("B")
+
+
+def l2_book_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level changes of orders and trades: new limit orders add their volume, and a trade takes its
+    volume from the level of either linked limit order."""
+    limits = l2_orders(spark, sf_dir).where("ord_type = 2 and order_kind = 1").select(F.col("appl_seq_num").alias("_order"), F.col("instrument_id").alias("symbol"), order_side().alias("side"), F.round(F.col("price") * 100).cast("long").alias("tick"), "order_time", F.col("volume").cast("long").alias("qty"))
+    trades = l2_trades(spark, sf_dir).where("order_kind = 1")
+    links = [trades.select(F.lit(side).alias("side"), F.col(link).alias("_order"), "trade_time", F.col("appl_seq_num").alias("sequence"), F.col("volume").cast("long").alias("_taken")) for side, link in (("B", "bid_appl_seq_num"), ("S", "offer_appl_seq_num"))]
+    level = ["symbol", "side", "tick"]
+    taken = links[0].union(links[1]).join(limits.drop("qty", "order_time"), ["_order", "side"]).select(*level, F.col("trade_time").alias("ts_us"), "sequence", (-F.col("_taken")).alias("qty"), F.lit(0).alias("orders"))
+    return limits.select(*level, F.col("order_time").alias("ts_us"), F.col("_order").alias("sequence"), "qty", F.lit(1).alias("orders")).union(taken)
+
+
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static data of one instrument per part."""
     p = read(spark, sf_dir, "part")
@@ -112,6 +128,12 @@ CTES = {
   (o_orderkey % 50 + 1)::DOUBLE AS volume, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END::BIGINT AS order_kind, CASE WHEN starts_with(o_orderpriority, '1') THEN 1 ELSE 2 END::BIGINT AS ord_type, o_orderkey AS appl_seq_num FROM orders)""",
     "l2_trades": """l2_trades AS (SELECT epoch_us(l_shipdate) + l_linenumber * 1000000 AS trade_time, l_suppkey AS instrument_id, floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS price, l_quantity::DOUBLE AS volume,
   CASE WHEN l_returnflag = 'R' THEN 4 ELSE 1 END::BIGINT AS order_kind, l_orderkey AS bid_appl_seq_num, l_partkey AS offer_appl_seq_num, l_orderkey * 10 + l_linenumber AS appl_seq_num, round(l_extendedprice, 2) AS turnover FROM lineitem)""",
+    "l2_book": """l2_sided AS (SELECT *, CASE WHEN appl_seq_num % 3 = 0 THEN 'S' ELSE 'B' END AS side FROM l2_orders),
+l2_limits AS (SELECT appl_seq_num AS o, instrument_id AS symbol, side, round(price * 100)::BIGINT AS tick, order_time, volume::BIGINT AS qty FROM l2_sided WHERE ord_type = 2 AND order_kind = 1),
+l2_links AS (SELECT 'B' AS side, bid_appl_seq_num AS o, * FROM l2_trades WHERE order_kind = 1 UNION ALL SELECT 'S', offer_appl_seq_num, * FROM l2_trades WHERE order_kind = 1),
+l2_changes AS (SELECT symbol, side, tick, order_time AS ts_us, o AS sequence, qty FROM l2_limits UNION ALL SELECT symbol, side, tick, trade_time, t.appl_seq_num, -t.volume::BIGINT FROM l2_links t JOIN l2_limits USING (o, side)),
+l2_states AS (SELECT symbol, side, tick, ts_us AS valid_from, sum(qty) OVER w AS q, lead(ts_us) OVER w AS valid_to FROM l2_changes WINDOW w AS (PARTITION BY symbol, side, tick ORDER BY ts_us, sequence)),
+l2_levels AS (SELECT * FROM l2_states WHERE q > 0 AND (valid_to IS NULL OR valid_to > valid_from))""",
     "instruments": f"""instruments AS (SELECT {PREFIXES}[p_partkey % {len(PREFIXES)} + 1] || lpad((p_partkey % 1000)::VARCHAR, 3, '0') AS code, p_partkey, p_name AS name, p_retailprice AS close,
   p_size * 1000.0::DOUBLE AS free_share, p_retailprice * p_size * 100 AS history_amount, (p_partkey % 8)::INT AS shard FROM part)""",
     "positions": """positions AS (SELECT lpad(c_custkey::VARCHAR, 6, '0') AS symbol, c_custkey % 11 * 100 AS static_position, (c_custkey * 7) % 13 * 100 - 100 AS total_position, (c_custkey * 5) % 17 * 100 - 200 AS available_position,
@@ -119,7 +141,7 @@ CTES = {
     "candidates": """candidates AS (SELECT symbol, CASE WHEN kind IN ('trade', 'buy') THEN 1 ELSE 2 END AS source, CASE WHEN event_id % 50 = 3 THEN trading_day - 1 ELSE trading_day END AS trading_day,
   greatest(exchange_time_us - CASE WHEN event_id % 20 = 7 THEN 18000000000 ELSE 0 END, 0) AS exchange_time_us, price AS turnover, event_id AS sequence, event_type <> 'error' AS valid, event_id % 9 <> 0 AS full_runtime_valid, event_id AS arrival FROM feed)""",
 }
-_NEEDS = {"book_changes": ["feed"], "snapshots": ["feed"], "candidates": ["feed"]}
+_NEEDS = {"l2_book": ["l2_orders", "l2_trades"], "book_changes": ["feed"], "snapshots": ["feed"], "candidates": ["feed"]}
 
 
 def with_ctes(sql: str, *names: str) -> str:

@@ -69,15 +69,25 @@ def j4_link_orders(spark: SparkSession, d: str) -> DataFrame:
     return t.join(side("bid"), "bid_appl_seq_num", "left").join(side("offer"), "offer_appl_seq_num", "left").select("appl_seq_num", "bid_price", "offer_price")
 
 
-@query(with_ctes("""WITH fills AS (SELECT k, p FROM (SELECT bid_appl_seq_num AS k, price AS p, row_number() OVER (PARTITION BY bid_appl_seq_num ORDER BY appl_seq_num, price) AS n FROM l2_trades) WHERE n = 1),
-reference AS (SELECT appl_seq_num, last_value(CASE WHEN ord_type = 2 THEN price END IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY order_time, appl_seq_num ROWS UNBOUNDED PRECEDING) AS r, ord_type FROM l2_orders)
-SELECT appl_seq_num, coalesce(p, r) AS price, p IS NOT NULL AS from_linked_fill FROM reference LEFT JOIN fills ON k = appl_seq_num WHERE ord_type = 1""", "l2_trades", "l2_orders"))
+@query(with_ctes("""WITH fills AS (SELECT side, o, arg_min(price, {'s': appl_seq_num, 'p': price}) AS p FROM l2_links GROUP BY 1, 2),
+asked AS (SELECT m.appl_seq_num, m.side, min(CASE WHEN l.side = 'S' THEN l.tick END) AS ask, max(CASE WHEN l.side = 'B' THEN l.tick END) AS bid FROM l2_sided m
+  LEFT JOIN l2_levels l ON l.symbol = m.instrument_id AND l.side <> m.side AND l.valid_from <= m.order_time AND (l.valid_to IS NULL OR m.order_time < l.valid_to) WHERE m.ord_type = 1 GROUP BY 1, 2)
+SELECT appl_seq_num, a.side, coalesce(round(p * 100)::BIGINT, ask, bid) AS tick, p IS NOT NULL AS from_linked_fill FROM asked a LEFT JOIN fills f ON f.o = a.appl_seq_num AND f.side = a.side""", "l2_book"))
 def j5_market_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Market orders take their first linked fill's price, else the last limit price before them."""
-    fills = A.l2_trades(spark, d).groupBy(F.col("bid_appl_seq_num").alias("appl_seq_num")).agg(F.min(F.struct("appl_seq_num", "price"))["price"].alias("fill"))
-    w = W.partitionBy("instrument_id").orderBy("order_time", "appl_seq_num").rowsBetween(W.unboundedPreceding, 0)
-    o = A.l2_orders(spark, d).withColumn("reference", F.last(F.when(F.col("ord_type") == 2, F.col("price")), ignorenulls=True).over(w)).where("ord_type = 1")
-    return o.join(fills, "appl_seq_num", "left").select("appl_seq_num", F.coalesce("fill", "reference").alias("price"), F.col("fill").isNotNull().alias("from_linked_fill"))
+    """Market orders of both sides take their first linked fill's price, else the best price of the
+    other side of the book at their time."""
+    o = A.l2_orders(spark, d).where("ord_type = 1").select(F.col("instrument_id").alias("symbol"), A.order_side().alias("side"), F.col("order_time").alias("ts_us"), F.col("appl_seq_num").alias("sequence"))
+    t = A.l2_trades(spark, d).where("order_kind = 1")
+    fills = [t.where(side).select(F.col(link).alias("order_sequence"), F.col("appl_seq_num").alias("sequence"), F.round(F.col("price") * 100).cast("long").alias("tick")) for link, side in (("bid_appl_seq_num", F.col("bid_appl_seq_num") % 3 != 0), ("offer_appl_seq_num", F.col("offer_appl_seq_num") % 3 == 0))]
+    best = book.best_prices(book.intervals(A.l2_book_changes(spark, d)))
+    return book.market_order_prices(o, fills[0].union(fills[1]), best).select(F.col("sequence").alias("appl_seq_num"), "side", "tick", "from_linked_fill")
+
+
+@query(with_ctes("""WITH times AS (SELECT symbol, side, valid_from AS ts_us FROM l2_levels UNION SELECT symbol, side, valid_to FROM l2_levels WHERE valid_to IS NOT NULL)
+SELECT t.symbol, t.side, t.ts_us, CASE WHEN t.side = 'B' THEN max(l.tick) ELSE min(l.tick) END AS best FROM times t LEFT JOIN l2_levels l ON l.symbol = t.symbol AND l.side = t.side AND l.valid_from <= t.ts_us AND (l.valid_to IS NULL OR t.ts_us < l.valid_to) GROUP BY 1, 2, 3""", "l2_book"))
+def j5_best_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Best bid and ask of each instrument from each change of its book on."""
+    return book.best_prices(book.intervals(A.l2_book_changes(spark, d)))
 
 
 def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -245,10 +255,16 @@ def j15_book_at(spark: SparkSession, d: str) -> DataFrame:
     return _alive(spark, d).select("symbol", "trading_day", "side", "tick", "qty")
 
 
-@query(with_ctes(_BOOK + " SELECT symbol, trading_day, coalesce(string_agg(CASE WHEN side = 'B' THEN tick || ':' || qty END, ',' ORDER BY rank), '') AS bids, coalesce(string_agg(CASE WHEN side = 'S' THEN tick || ':' || qty END, ',' ORDER BY rank), '') AS asks FROM ranked WHERE rank <= 5 GROUP BY ALL", "feed", "book_changes"))
+@query(with_ctes(_BOOK + """, traded AS (SELECT s.symbol, s.trading_day, arg_max(f.price, {'t': f.ts_us, 'e': f.event_id}) AS last_price, coalesce(sum(f.volume), 0)::BIGINT AS volume, round(coalesce(sum(f.price * f.volume), 0), 3) AS turnover
+  FROM samples s LEFT JOIN feed f ON f.symbol = s.symbol AND f.ts_us <= s.ts_us AND f.kind = 'trade' GROUP BY 1, 2)
+SELECT symbol, trading_day, coalesce(string_agg(CASE WHEN side = 'B' THEN tick || ':' || qty END, ',' ORDER BY rank), '') AS bids, coalesce(string_agg(CASE WHEN side = 'S' THEN tick || ':' || qty END, ',' ORDER BY rank), '') AS asks, last_price, volume, turnover
+FROM ranked JOIN traded USING (symbol, trading_day) WHERE rank <= 5 GROUP BY ALL""", "feed", "book_changes"))
 def a3_visible_book(spark: SparkSession, d: str) -> DataFrame:
+    """The best five levels of each side beside last price, volume and turnover."""
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["tick"], x["qty"])), ",").alias(c)
-    return book.visible_book(_alive(spark, d), _KEY, 5).select("symbol", "trading_day", text("bids"), text("asks"))
+    trades = A.feed(spark, d).where("kind = 'trade'").select("symbol", "ts_us", F.col("event_id").alias("sequence"), "price", "volume")
+    rows = book.with_trades(book.visible_book(_alive(spark, d), _KEY, 5), trades)
+    return rows.select("symbol", "trading_day", text("bids"), text("asks"), "last_price", "volume", F.round("turnover", 3).alias("turnover"))
 
 
 _ZONES = {"pct1": "away <= 1", "pct5": "away <= 5", "pct10": "away <= 10", "l1": "rank <= 1", "l5": "rank <= 5", "all": "true"}
@@ -377,20 +393,34 @@ def a6_market_factors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paired_sql() -> str:
-    imbalance = lambda i, side="": f"CASE WHEN {side}bid_volumes[{i}] + {side}ask_volumes[{i}] = 0 THEN 0 ELSE ({side}bid_volumes[{i}] - {side}ask_volumes[{i}]) / ({side}bid_volumes[{i}] + {side}ask_volumes[{i}]) END"
+    """All 36 floats; levels are matched position by position and price by price, written out."""
+    part_of = lambda x, y: f"CASE WHEN {x} + {y} = 0 THEN 0 ELSE ({x} - {y}) / ({x} + {y}) END"
+    imbalance = lambda i, side="": part_of(f"{side}bid_volumes[{i}]", f"{side}ask_volumes[{i}]")
     columns = [f"round({imbalance(i)}, 8) + 0 AS level_imbalance_{i}, round({imbalance(i)} - ({imbalance(i, 'p.')}), 8) + 0 AS level_change_{i}" for i in range(1, 6)]
     columns += [f"round(({s}_prices[{i}] / nullif(p.{s}_prices[{i}], 0) - 1) * 1000, 5) + 0 AS {s}_return_{i}" for i in range(1, 6) for s in ("bid", "ask")]
     columns += ["volume - p.volume AS interval_volume", "round(turnover - p.turnover, 4) AS interval_turnover"]
+    matched = []
+    for s, fn, seen in (("bid", "greatest", ">="), ("ask", "least", "<=")):
+        worst = f"{fn}({s}_prices[5], p.{s}_prices[5])"
+        for name, here, there in (("added", "", "p."), ("removed", "p.", "")):
+            at = lambda i, s=s, there=there, here=here: "(" + " + ".join(f"CASE WHEN {there}{s}_prices[{j}] = {here}{s}_prices[{i}] THEN {there}{s}_volumes[{j}] ELSE 0 END" for j in range(1, 6)) + ")"
+            matched.append("(" + " + ".join(f"CASE WHEN {here}{s}_prices[{i}] {seen} {worst} THEN greatest({here}{s}_volumes[{i}] - {at(i)}, 0) ELSE 0 END" for i in range(1, 6)) + f")::BIGINT AS {s}_{name}")
+            matched.append("(" + " + ".join(f"CASE WHEN {here}{s}_prices[{i}] {seen} {worst} AND NOT list_contains({there}{s}_prices, {here}{s}_prices[{i}]) THEN 1 ELSE 0 END" for i in range(1, 6)) + f")::BIGINT AS {s}_{'new' if name == 'added' else 'gone'}_levels")
+    vwap = lambda s, side="": "(" + " + ".join(f"{side}{s}_prices[{i}] * {side}{s}_volumes[{i}]" for i in range(1, 6)) + ") / nullif(" + " + ".join(f"{side}{s}_volumes[{i}]" for i in range(1, 6)) + ", 0)"
+    best = lambda s, up, down: f"CASE WHEN {s}_prices[1] {up} p.{s}_prices[1] THEN {s}_volumes[1] WHEN {s}_prices[1] {down} p.{s}_prices[1] THEN -p.{s}_volumes[1] ELSE {s}_volumes[1] - p.{s}_volumes[1] END"
+    more = [f"round(({vwap(s)}) / nullif({vwap(s, 'p.')}, 0) * 1000 - 1000, 5) + 0 AS {s}_shift" for s in ("bid", "ask")]
+    more += [f"(({best('bid', '>', '<')}) - ({best('ask', '<', '>')}))::BIGINT AS best_order_flow", "round((turnover - p.turnover) / nullif(volume - p.volume, 0) / nullif((ask_prices[1] + bid_prices[1]) / 2, 0) * 1000 - 1000, 5) + 0 AS interval_price"]
+    flow = "bid_added - bid_removed - ask_added + ask_removed AS matched_order_flow, round(" + part_of("(bid_added + ask_removed)", "(bid_removed + ask_added)") + ", 8) + 0 AS matched_imbalance"
     return f"""WITH good AS (SELECT * FROM snapshots WHERE bid_prices[5] > 0 AND ask_prices[1] > bid_prices[1] AND last_price > 0),
 l AS (SELECT *, lag({{'bid_prices': bid_prices, 'ask_prices': ask_prices, 'bid_volumes': bid_volumes, 'ask_volumes': ask_volumes, 'volume': volume, 'turnover': turnover}}) OVER (PARTITION BY symbol, trading_day ORDER BY ts_us, event_id) AS p FROM good)
-SELECT event_id, {', '.join(columns)} FROM l WHERE p IS NOT NULL"""
+SELECT *, {flow} FROM (SELECT event_id, {', '.join(columns + matched + more)} FROM l WHERE p IS NOT NULL)"""
 
 
 @query(with_ctes(_paired_sql(), "snapshots"))
 def a9_paired_factors(spark: SparkSession, d: str) -> DataFrame:
     rows = factors.paired_factors(A.snapshots(spark, d).where(S.valid_snapshot()), ["symbol", "trading_day"], ["ts_us", "event_id"])
-    places = [f"level_{c}_{i}" for i in range(1, 6) for c in ("imbalance", "change")], [f"{s}_return_{i}" for i in range(1, 6) for s in ("bid", "ask")]
-    return rows.select("event_id", *[F.round(c, n).alias(c) for cols, n in zip(places, (8, 5)) for c in cols], "interval_volume", F.round("interval_turnover", 4).alias("interval_turnover"))
+    digits = {c: 8 if c.startswith("level_") or c == "matched_imbalance" else 4 if c == "interval_turnover" else 5 for c in factors.PAIRED}
+    return rows.select("event_id", *[F.round(c, n).alias(c) if rows.schema[c].dataType.typeName() == "double" else F.col(c) for c, n in digits.items()])
 
 
 part("j7_event_replay", "j6_replay_compare", "n_exact", "n_floating", "n_ordering")

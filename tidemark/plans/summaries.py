@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import sampling, scoring, static, stats
+from tidemark.operators import asof, factors, sampling, scoring, static, stats
 from tidemark.plans import adapters as A
 from tidemark.plans import market
 from tidemark.plans.adapters import with_ctes
@@ -292,16 +292,18 @@ def m6_golden_check(spark: SparkSession, d: str) -> DataFrame:
     return scoring.golden_check(f, f.where("event_id % 1000 <> 7").withColumn("p", F.when(F.col("event_id") % 100 == 1, 5e-6).otherwise(0.0)), ["event_id"], "p").withColumn("max_error", F.round("max_error", 9))
 
 
-@query(f"SELECT a.*, t.target FROM ({ORACLE_SQL['a6_market_factors']}) a JOIN ({ORACLE_SQL['f7_targets']}) t ON t.sequence = a.event_id WHERE t.target IS NOT NULL")
+@query(f"""SELECT a.*, {', '.join('w.' + c for c in factors.FLOW)}, {', '.join('k.' + c for c in factors.FULL_BOOK)}, t.target FROM ({ORACLE_SQL['a6_market_factors']}) a JOIN ({ORACLE_SQL['f7_targets']}) t ON t.sequence = a.event_id
+JOIN ({with_ctes('SELECT event_id, symbol, trading_day FROM snapshots', 'snapshots')}) s ON s.event_id = a.event_id JOIN ({ORACLE_SQL['a7_flow_factors']}) w ON w.symbol = s.symbol AND w.trading_day = s.trading_day
+JOIN ({ORACLE_SQL['a8_full_book_factors']}) k ON k.symbol = s.symbol AND k.trading_day = s.trading_day WHERE t.target IS NOT NULL AND k.valid""")
 def m7_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Training rows: all market factors with the target over the three horizons."""
-    from tidemark.operators import asof, factors
-
+    """Training rows: all 50 factors, in the contract's order, with the target over the three
+    horizons. Market factors are a snapshot's own, flow and full book those of its symbol and day."""
     rows = factors.market_factors(A.snapshots(spark, d), ["symbol", "trading_day"], ["ts_us", "event_id"])
     mids = rows.select("symbol", "ts_us", F.col("event_id").alias("sequence"), "mid")
-    left = rows.where("mid > 0").select("symbol", "ts_us", "event_id", "mid", *factors.MARKET)
-    labelled = asof.forward(left, mids, ["symbol"], "mid", market.HORIZONS).withColumn("target", F.round(S.target_permille("mid", *market.HORIZONS), 5))
-    return labelled.where("target is not null").select("event_id", *[F.round(c, market.places(c)).alias(c) for c in factors.MARKET], "target")
+    left = rows.where("mid > 0").select("symbol", "trading_day", "ts_us", "event_id", "mid", *factors.MARKET)
+    labelled = asof.forward(left, mids, ["symbol"], "mid", market.HORIZONS).withColumn("target", F.round(S.target_permille("mid", *market.HORIZONS), 5)).where("target is not null")
+    whole = labelled.join(market.a7_flow_factors(spark, d), ["symbol", "trading_day"]).join(market.a8_full_book_factors(spark, d).where("valid"), ["symbol", "trading_day"])
+    return whole.select("event_id", *[F.round(c, market.places(c)).alias(c) for c in factors.MARKET], *factors.FLOW, *factors.FULL_BOOK, "target")
 
 
 part("w3_row_in_stock_day", "w2_numbers", "event_id", "row_in_stock_day")
