@@ -99,23 +99,28 @@ def general_templates(docs: DataFrame, found: DataFrame, general_docs: int, fixe
     at = F.min(F.struct("doc_id", "row_key", "line_no")).alias("at")
     members = deep.join(small(leaves), "leaf").groupBy("t1", "t2").agg(F.collect_set("leaf").alias("leaves"), F.min(doc).alias("least"), F.max(doc).alias("most"), at)
     members = checkpointed(members)
+    # A line's text is fetched from one of its documents; tokens and templates go on as hashes.
     texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
-    fetched = texts.join(members, F.col("_id").eqNullSafe(F.col("at.doc_id")) & (F.col("_key") == F.col("at.row_key")))
+    fetched = texts.join(small(members), F.col("_id").eqNullSafe(F.col("at.doc_id")) & (F.col("_key") == F.col("at.row_key")))
     norm = without_digits(plain_line(F.get(F.split("text", "\n"), F.col("at.line_no"))))
     fetched = fetched.select("leaves", "t1", "t2", "least", "most", norm.alias("norm")).dropDuplicates(["t1", "t2"])
     tokens = fetched.select(F.explode("leaves").alias("leaf"), "t1", "t2", "least", "most", "norm")
-    tokens = checkpointed(tokens.select("leaf", "t1", "t2", "least", "most", F.posexplode(F.split("norm", " ")).alias("place", "token")))
-    support = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("support"), F.min("least").alias("least"), F.max("most").alias("most"))
-    support = support.select("leaf", "place", "token", "support", (~F.col("least").eqNullSafe(F.col("most"))).alias("shared"))
-    parts = tokens.select("leaf", "t1", "t2", "place", "token").join(support, ["leaf", "place", "token"])
-    lines = parts.groupBy("leaf", "t1", "t2").agg(F.array_sort(F.collect_list(F.struct("place", "token", "support", "shared"))).alias("parts"), F.count("*").alias("n"))
-    measure = F.element_at(F.sort_array("parts.support", asc=False), F.ceil(F.lit(fixed_share) * F.col("n")).cast("int"))
-    lines = lines.withColumn("measure", measure).where("measure >= 2")
-    part = lambda x: F.when(x["shared"] & (2 * x["support"] > F.col("measure")), x["token"])
-    lines = lines.select("t1", "t2", "n", F.transform("parts", part).alias("fixed"))
-    lines = lines.where(F.size(F.filter("fixed", F.isnotnull)) >= fixed_share * F.col("n"))
-    text = F.concat_ws("|", F.col("n").cast("string"), F.array_join("fixed", " ", "<*>"))
-    return lines.select("t1", "t2", *[h.alias(f"g{i}") for i, h in enumerate(two_hashes(text), 1)]).distinct()
+    tokens = tokens.select("leaf", "t1", "t2", "least", "most", F.posexplode(F.split("norm", " ")).alias("place", "token"))
+    tokens = checkpointed(tokens.select("leaf", "t1", "t2", "least", "most", F.xxhash64("place", "token").alias("part"), F.hash("token", "place").alias("check")))
+    at = ["leaf", "part", "check"]
+    support = tokens.groupBy(*at).agg(F.count("*").alias("support"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # Negative where all of a token's lines are of one document, so that it is never fixed.
+    support = support.select(*at, F.when(F.col("least").eqNullSafe(F.col("most")), -F.col("support")).otherwise(F.col("support")).alias("support"))
+    parts = tokens.select("t1", "t2", *at).join(support, at)
+    lines = parts.groupBy("leaf", "t1", "t2").agg(F.collect_list(F.struct("support", "part", "check")).alias("parts"), F.count("*").alias("n"))
+    supports = F.sort_array(F.transform("parts.support", F.abs), asc=False)
+    lines = lines.withColumn("measure", F.element_at(supports, F.ceil(F.lit(fixed_share) * F.col("n")).cast("int"))).where("measure >= 2")
+    lines = lines.select("t1", "t2", "n", F.filter("parts", lambda x: 2 * x["support"] > F.col("measure")).alias("fixed"))
+    lines = lines.where(F.size("fixed") >= fixed_share * F.col("n"))
+    # Places differ, so that a template is told by the combined hashes of its fixed parts.
+    combined = lambda c, t: F.aggregate(F.col(f"fixed.{c}"), F.lit(0).cast(t), lambda a, x: a.bitwiseXOR(x))
+    g1, g2 = F.xxhash64("n", F.size("fixed"), combined("part", "long")), F.hash("n", F.size("fixed"), combined("check", "int"))
+    return lines.select("t1", "t2", g1.alias("g1"), g2.alias("g2")).distinct()
 
 
 def later_lines(rows: DataFrame, need: Column) -> DataFrame:
