@@ -266,3 +266,24 @@ def test_best_prices_and_market_orders(spark):
     out = book.market_order_prices(spark.createDataFrame(orders, "symbol string, side string, ts_us long, sequence long"), spark.createDataFrame(fills, "order_sequence long, sequence long, tick long"), book.best_prices(levels))
     got = {r.sequence: (r.side, r.tick, r.from_linked_fill) for r in out.collect()}
     assert got == {q: (y, 78, True) if q == orders[1][3] else (y, best(x, "S" if y == "B" else "B", t), False) for x, y, t, q in orders}
+
+
+def test_rejects_block_and_only_answers_to_requests_count(spark):
+    """Against a plain loop, over several Arrow batches; ties in time keep their order."""
+    rnd = random.Random(9)
+    rows = [(f"k{i % 3}" if i % 7 else None, t // 3, i, rnd.random() < 0.2 if i % 11 else None) for i, t in enumerate(sorted(rnd.randrange(9000) for _ in range(900)))]
+    want, state = {}, {}
+    for key, t, i, answer in rows:
+        free, asked = state.get(key, (-(10**9), False))
+        if answer:
+            want[i] = False
+            state[key] = (max(free, t + 60), False) if asked else (free, False)
+        else:
+            want[i] = t < free
+            state[key] = (free, asked) if want[i] else (t + 7, True)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = sampling.throttled(spark.createDataFrame(rows, "g string, t long, id long, answer boolean"), ["g"], "t", ["t", "id"], 7, "answer", 60).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.id: r.blocked for r in got} == want and 100 < sum(want.values()) < 850

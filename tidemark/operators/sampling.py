@@ -83,29 +83,47 @@ def filled(rows: DataFrame, by: list[str], order: list[str], column: str) -> Dat
     return rows.withColumn(column, F.last(column, ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
 
 
-def throttled(rows: DataFrame, by: list[str], time: str, order: list[str], min_gap: int) -> DataFrame:
-    """rows with ``blocked``: less than min_gap after the last row of its key that was let through.
+def throttled(rows: DataFrame, by: list[str], time: str, order: list[str], min_gap: int, reject: str | None = None, block: int = 0) -> DataFrame:
+    """rows with ``blocked``: less than min_gap after the last row of its key that was let through,
+    or less than ``block`` after a reject.
+
+    ``reject``: a boolean column; rows where it is true are answers, not requests. One that
+    follows a row let through, and no other answer to it, blocks its key; any other is ignored.
+    Answers are never blocked themselves.
 
     What a row meets depends on all decisions before it, so each key's rows are walked in order,
-    batch by batch; what is kept between batches is one key and one time. ``time`` is a long
-    without nulls and the first column of ``order``.
+    batch by batch; what is kept between batches is one key, two times and whether an answer
+    is still open. ``time`` is a long without nulls and the first column of ``order``.
     """
     dealt = rows.repartition(*by).sortWithinPartitions(*by, *order)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = last = None
+        key = free = asked = None  # free: the time from which the key is open
         for batch in batches:
             at = batch.column(time).to_numpy()
+            answers = np.zeros(len(at), bool) if reject is None else batch.column(reject).fill_null(False).to_numpy(zero_copy_only=False)
             keys = list(zip(*(batch.column(c).to_pylist() for c in by)))
             starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
-            passed = np.zeros(len(keys), bool)
+            passed = answers.copy()
             for a, b in zip(starts, [*starts[1:], len(keys)]):
                 if keys[a] != key:
-                    key, last = keys[a], None
-                i = a if last is None else a + int(np.searchsorted(at[a:b], last + min_gap))
-                while i < b:  # from one row let through to the next
-                    passed[i], last = True, int(at[i])
-                    i = max(i + 1, a + int(np.searchsorted(at[a:b], last + min_gap)))
+                    key, free, asked = keys[a], None, False
+                requests, rejects = a + np.flatnonzero(~answers[a:b]), a + np.flatnonzero(answers[a:b])
+                i = a
+                while i < b:  # from one row let through, or one answer to it, to the next
+                    opens = i if free is None else max(i, a + int(np.searchsorted(at[a:b], free)))
+                    k = int(np.searchsorted(requests, opens))
+                    request = int(requests[k]) if k < len(requests) else b
+                    k = int(np.searchsorted(rejects, i)) if asked else len(rejects)
+                    if k < len(rejects) and rejects[k] < request:
+                        i, asked = int(rejects[k]), False
+                        free = max(free, int(at[i]) + block)
+                    elif request < b:
+                        i, asked, passed[request] = request, True, True
+                        free = int(at[i]) + min_gap
+                    else:
+                        break
+                    i += 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(~passed)], [*batch.schema.names, "blocked"])
 
     return dealt.mapInArrow(walk, T.StructType([*rows.schema.fields, T.StructField("blocked", T.BooleanType())]))

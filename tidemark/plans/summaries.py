@@ -224,6 +224,25 @@ def w13_throttle(spark: SparkSession, d: str) -> DataFrame:
     return sampling.throttled(A.feed(spark, d), ["symbol", "kind"], "ts_us", ["ts_us", "event_id"], 7_200_000_000).select("event_id", "blocked")
 
 
+_GAP_US, _BLOCK_US = 7_200_000_000, 86_400_000_000
+
+
+@query(with_ctes(f"""WITH rows_ AS (SELECT symbol, event_id, ts_us AS t, kind = 'malformed' AS answer, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, event_id) AS k FROM feed),
+walk(symbol, k, event_id, blocked, free, asked) AS (
+  SELECT symbol, k, event_id, false, CASE WHEN answer THEN 0 ELSE t + {_GAP_US} END, NOT answer FROM rows_ WHERE k = 1
+  UNION ALL
+  SELECT r.symbol, r.k, r.event_id, NOT r.answer AND r.t < w.free,
+    CASE WHEN r.answer AND w.asked THEN greatest(w.free, r.t + {_BLOCK_US}) WHEN NOT r.answer AND r.t >= w.free THEN r.t + {_GAP_US} ELSE w.free END,
+    CASE WHEN r.answer THEN false WHEN r.t >= w.free THEN true ELSE w.asked END
+  FROM walk w JOIN rows_ r ON r.symbol = w.symbol AND r.k = w.k + 1)
+SELECT event_id, blocked FROM walk""", "feed").replace("WITH ", "WITH RECURSIVE ", 1))
+def w13_reject_block(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of a symbol at least two hours apart, and none within a day of a reject; malformed
+    events stand for rejects."""
+    rows = A.feed(spark, d).withColumn("answer", F.col("kind") == "malformed")
+    return sampling.throttled(rows, ["symbol"], "ts_us", ["ts_us", "event_id"], _GAP_US, "answer", _BLOCK_US).select("event_id", "blocked")
+
+
 @query(with_ctes("SELECT event_id, event_id - coalesce(lag(event_id) OVER w, 0) AS volume_delta, round(event_id * 10.0 - coalesce(lag(event_id * 10.0) OVER w, 0), 4)::DOUBLE AS turnover_delta FROM snapshots WINDOW w AS (PARTITION BY symbol, trading_day ORDER BY ts_us, event_id)", "snapshots"))
 def w14_deltas(spark: SparkSession, d: str) -> DataFrame:
     rows = sampling.deltas(A.snapshots(spark, d), ["symbol", "trading_day"], ["ts_us", "event_id"], ["volume", "turnover"])
