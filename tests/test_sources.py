@@ -25,6 +25,7 @@ def test_absent_samples_are_an_empty_relation(spark, tmp_path):
 
 def test_static_map_becomes_rows(spark, tmp_path):
     doc = {"ins_params": {"000001": {"Close": 10.5, "FreeShare": 3.0, "static_position": 7}, "000002": {"Close": 1.0}}}
+    (tmp_path / ".daily.json.crc").unlink(missing_ok=True)
     (tmp_path / "daily.json").write_text(json.dumps(doc, indent=1))
     got = {r.symbol: (r.Close, r.FreeShare, r.static_position) for r in readers.read_static(spark, str(tmp_path / "daily.json")).collect()}
     assert got == {"000001": (10.5, 3.0, 7), "000002": (1.0, None, None)}
@@ -62,3 +63,21 @@ def test_gbk(spark):
         assert raw.select(gbk_to_utf8("b").alias("t")).first().t == "平安银行"
     finally:
         spark.conf.unset("spark.sql.legacy.javaCharsets")
+
+
+def test_daily_document_is_published_whole_or_not_at_all(spark, tmp_path):
+    import pytest
+
+    path = f"file://{tmp_path}/daily.json"
+    rows = spark.createDataFrame([("b", 2), ("a", 1)], "symbol string, x int")
+    digest = sinks.publish_daily(rows, path)
+    read = lambda: sinks.read_daily(spark, path).first()
+    assert read().sha256 == digest and read().intact and json.loads(read().document) == [{"symbol": "a", "x": 1}, {"symbol": "b", "x": 2}]
+    broken = rows.withColumn("x", F.when(F.col("symbol") == "b", F.raise_error(F.lit("a failed task"))).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="a failed task"):
+        sinks.publish_daily(broken, path)
+    assert read().sha256 == digest and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["daily.json"]
+    assert sinks.publish_daily(rows.where("x = 1"), path) != digest and json.loads(read().document) == [{"symbol": "a", "x": 1}]
+    (tmp_path / ".daily.json.crc").unlink(missing_ok=True)
+    (tmp_path / "daily.json").write_text((tmp_path / "daily.json").read_text().replace("a", "b", 1))
+    assert not read().intact

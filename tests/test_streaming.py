@@ -65,3 +65,119 @@ def test_stream_scores_equal_batch_scores(spark, files):
         assert got.keys() == batch.keys() and all(abs(got[k] - batch[k]) < 1e-5 for k in got)
     else:
         assert got.keys() == batch.keys()
+
+
+def feed_of(spark, rows, schema="symbol string, event_id long, ts_us long, name string, after_us long"):
+    return spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("ts_us"))
+
+
+def fired_plain(rows):
+    """What fires by a loop over each symbol's rows and, at the end, the watermark."""
+    mark, out, held = (max(r[2] for r in rows) - 1_000_000) // 1000, set(), {}
+    for s, e, t, name, after in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        for key in [k for k, v in held.items() if k[0] == s and v[0] < t]:
+            out.add((*key, *held.pop(key)))
+        if after is None:
+            held.pop((s, name), None)
+        else:
+            held[s, name] = (t + after, e)
+    return out | {(*k, *v) for k, v in held.items() if v[0] // 1000 <= mark}
+
+
+@pytest.mark.parametrize("batches", [1, 8])
+def test_deadlines_do_not_depend_on_micro_batches(spark, batches):
+    """Many names of a key, moved, taken back, passed between rows and after the last one."""
+    import random
+
+    rnd = random.Random(3)
+    times = sorted(rnd.sample(range(1, 4000), 260))
+    rows = [(rnd.choice("abc"), i, t * 1_000_000, rnd.choice(["cancel", "throttle", "callback"]), rnd.choice([None, 5, 40, 40, 900]) and rnd.choice([5, 40, 900]) * 1_000_000 + 7) for i, t in enumerate(times)]
+    rows.append(("z", 999, times[-1] * 1_000_000 + 50_000_000, "end", None))
+    got = replayed(spark, feed_of(spark, rows), T.deadlines, ["symbol"], "ts_us", n_parts=batches, **_ROCKS)
+    assert {(r.symbol, r.name, r.due_us, r.set_by) for r in got.collect()} == fired_plain(rows) and got.count() == len(fired_plain(rows)) > 50
+
+
+def test_backfill_and_following_survive_a_failure_in_either_phase(spark, tmp_path):
+    home, schema = str(tmp_path), "id long, v long"
+    (tmp_path / "fail").write_text("")
+
+    def brittle(frames):
+        import os
+
+        for f in frames:
+            if os.path.exists(f"{home}/fail") and (f["id"] % 10 == 7).any():
+                raise RuntimeError("a lost driver")
+            yield f
+
+    def add(a, b):
+        spark.range(a, b).selectExpr("id", "id * 2 AS v").repartition(2).write.mode("append").parquet(f"{home}/in")
+
+    def start(follow=None):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+        return T.recover(stream.mapInPandas(brittle, schema), f"{home}/out", f"{home}/ck", follow)
+
+    add(0, 40)
+    with pytest.raises(Exception, match="lost driver"):
+        start().awaitTermination()
+    (tmp_path / "fail").unlink()
+    start().awaitTermination()
+    running = start("100 milliseconds")
+    add(40, 60)
+    running.processAllAvailable()
+    (tmp_path / "fail").write_text("")
+    add(60, 100)
+    with pytest.raises(Exception, match="lost driver"):
+        running.processAllAvailable()
+    (tmp_path / "fail").unlink()
+    running.stop()
+    running = start("100 milliseconds")
+    running.processAllAvailable()
+    running.stop()
+    assert sorted(r.id for r in spark.read.schema(schema).parquet(f"{home}/out").collect()) == list(range(100))
+
+
+def test_a_batch_that_fails_between_its_outputs_is_written_once(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    schema = "symbol string, id long, kind string, extra long"
+    rows = [("ab"[i % 2], i, "sample" if i % 3 else "event", 10 * i) for i in range(60)]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
+    calls = []
+
+    def between(number):
+        calls.append(number)
+        if len(calls) == 5:  # in the second batch, after its second table
+            raise RuntimeError("a lost driver")
+
+    def start(hook):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        detailed = spark.createDataFrame([("a",)], "symbol string")
+        return sinks.split_stream(stream, detailed, ["symbol", "id"], str(tmp_path / "out"), str(tmp_path / "ck"), F.col("kind") == "event", between=hook)
+
+    with pytest.raises(Exception, match="lost driver"):
+        start(between).awaitTermination()
+    read = lambda name, columns: sorted(map(tuple, sinks.read_split(spark, str(tmp_path / "out"), name, spark.createDataFrame([], schema).select(*columns).schema).collect()))
+    whole = ["symbol", "id", "kind", "extra"]
+    assert 0 < len(read("full", whole)) < 20  # of the first batch alone, though half of the second is there
+    start(lambda number: None).awaitTermination()
+    assert read("full", whole) == sorted(r for r in rows if r[0] == "a" and r[2] == "sample")
+    assert read("events", whole) == sorted(r for r in rows if r[0] == "a" and r[2] == "event")
+    assert read("compact", ["symbol", "id"]) == sorted(r[:2] for r in rows if r[0] == "b" and r[2] == "sample")
+
+
+def test_flushes_keep_their_limits_and_an_incomplete_tail_is_not_read(spark, tmp_path):
+    import shutil
+
+    from tidemark.sources import readers, sinks
+
+    source = spark.range(4000).withColumn("v", F.rand(1))
+    source.repartition(10).write.parquet(str(tmp_path / "in"))
+    sizes = [p.stat().st_size for p in (tmp_path / "in").glob("*.parquet")]
+    stream = readers.read_parquet_stream(spark, str(tmp_path / "in"), source.schema, max_bytes=2 * max(sizes) + 1)
+    query = sinks.stream_sink(stream, str(tmp_path / "out"), str(tmp_path / "ck"), flush_rows=150)
+    query.awaitTermination()
+    assert all(0 < p["numInputRows"] <= 1300 for p in query.recentProgress if p["numInputRows"]) and len(list((tmp_path / "ck" / "commits").glob("[0-9]*"))) >= 4
+    out = list((tmp_path / "out").glob("*.parquet"))
+    assert max(r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy(F.input_file_name()).count().collect()) <= 150
+    shutil.copy(out[0], tmp_path / "out" / "part-00000-tail.snappy.parquet")  # of a batch that never committed
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4000

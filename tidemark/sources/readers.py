@@ -68,6 +68,8 @@ def read_static(spark: SparkSession, path: str) -> DataFrame:
     return parse_static(spark.read.text(path, wholetext=True))
 
 
-def read_parquet_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
-    """A captured day replayed as a stream; run it with trigger(availableNow=True)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_parquet_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1000, max_bytes: int | None = None) -> DataFrame:
+    """A captured day replayed as a stream; run it with trigger(availableNow=True). A micro-batch takes
+    ``max_bytes`` of files if that is given (a single larger file alone), else ``max_files``."""
+    limit = ("maxFilesPerTrigger", max_files) if max_bytes is None else ("maxBytesPerTrigger", max_bytes)
+    return spark.readStream.schema(schema).option(*limit).parquet(path)

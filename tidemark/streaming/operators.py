@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from tidemark.sources import sinks
+
 
 def capture_metrics(feed: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Tumbling counts per shard and kind."""
@@ -243,8 +245,68 @@ def delayed_cancels(events: DataFrame, delay_us: int, late: str = "1 second") ->
     return events.withWatermark("ts", late).groupBy("symbol").transformWithStateInPandas(processor, "symbol string, order_id long, due_us long", "Append", "EventTime")
 
 
-def recover(feed: DataFrame, path: str, checkpoint: str, follow: bool = False) -> StreamingQuery:
-    """Replay what is there and stop, or go on following; the checkpoint makes either resume
-    where the other ended, so that each row is written once."""
-    writer = feed.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime="1 second") if follow else writer.trigger(availableNow=True)).start()
+class Deadlines(StatefulProcessor):
+    """Named deadlines of each key: a row sets one (``after_us`` from its own time), moves it, or, where
+    after_us is null, takes it back; one that passes fires once and is forgotten.
+
+    Throttle expiry, delayed cancels and scheduled callbacks are names. A later row of the key
+    shows by its time which deadlines passed before it, so results do not depend on how rows
+    fall into micro-batches; one timer, at the earliest deadline, serves keys that nothing follows.
+    State holds the deadlines that are open and nothing else.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getMapState("deadlines", "name string", "due_us long, set_by long")
+
+    def _held(self) -> dict:
+        return {k[0]: (int(v[0]), int(v[1])) for k, v in self.open.iterator()}
+
+    def _keep(self, before: dict, held: dict) -> None:
+        for name in before.keys() - held.keys():
+            self.open.removeKey((name,))
+        for name, value in held.items():
+            if before.get(name) != value:
+                self.open.updateValue((name,), value)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if held:
+            self.handle.registerTimer(min(held.values())[0] // 1000)
+
+    def _fired(self, key, fired: list) -> pd.DataFrame:
+        return pd.DataFrame([(*key, name, due, by) for due, name, by in fired], columns=["symbol", "name", "due_us", "set_by"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before, out = self._held(), []
+        held = dict(before)
+        rows = pd.concat(list(rows)).sort_values(["ts_us", "event_id", "name"], kind="stable")
+        for at, event, name, after in zip(rows["ts_us"].tolist(), rows["event_id"].tolist(), rows["name"].tolist(), rows["after_us"].tolist()):
+            passed = sorted((due, n, by) for n, (due, by) in held.items() if due < at)
+            out += passed
+            for _, n, _ in passed:
+                del held[n]
+            if after is None or after != after:
+                held.pop(name, None)
+            else:
+                held[name] = (int(at) + int(after), int(event))
+        self._keep(before, held)
+        yield self._fired(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        before, now = self._held(), expiredTimerInfo.getExpiryTimeInMs()
+        fired = sorted((due, n, by) for n, (due, by) in before.items() if due // 1000 <= now)
+        self._keep(before, {n: v for n, v in before.items() if v[0] // 1000 > now})
+        yield self._fired(key, fired)
+
+    def close(self) -> None:
+        pass
+
+
+def deadlines(rows: DataFrame, late: str = "1 second") -> DataFrame:
+    """(symbol, name, due_us, set_by): what fires when. rows: symbol, ts, ts_us, event_id, name, after_us."""
+    return rows.withWatermark("ts", late).groupBy("symbol").transformWithStateInPandas(Deadlines(), "symbol string, name string, due_us long, set_by long", "Append", "EventTime")
+
+
+def recover(feed: DataFrame, path: str, checkpoint: str, follow: str | None = None) -> StreamingQuery:
+    """Replay what is there and stop, or go on ``follow``-ing at that interval; the checkpoint makes
+    either resume where the other ended, so that each row is written once."""
+    return sinks.stream_sink(feed, path, checkpoint, follow)

@@ -20,33 +20,35 @@ from tidemark.streaming import operators as T
 PARTS = 3
 
 
-def replayed(spark: SparkSession, source: DataFrame, fn, key: list[str] | None = None, time: str | None = None, **options) -> DataFrame:
+def replayed(spark: SparkSession, source: DataFrame, fn, key: list[str] | None = None, time: str | None = None, n_parts: int = PARTS, **options) -> DataFrame:
     """fn over ``source`` written to files and read back as a stream, until all is consumed.
 
     With key and time (a number) the parts of the time, dealt by key, come one after the other:
     the query ends after each part and a new one resumes from its checkpoint, as after a lost
-    driver. State, watermark, timers and the sink's commit log are carried over.
+    driver. State, watermark, timers and the sink's commit log are carried over. The stream runs
+    in a session of its own with the given options.
     """
-    home, parts, files = shared_dir(spark), [source], 1000
-    if key is not None:
-        ends = sorted(set(source.approxQuantile(time, [i / PARTS for i in range(1, PARTS)], 0.01)))
-        part = sum(((F.col(time) > x).cast("int") for x in ends), F.lit(0))
-        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        parts = [source.where(part == i).repartition(files, *key) for i in range(len(ends) + 1)]
-    before = {k: spark.conf.get(k, None) for k in options}
+    home, own = shared_dir(spark), spark.newSession()
     for k, v in options.items():
-        spark.conf.set(k, v)
-    try:
-        for rows in parts:
-            rows.write.mode("append").parquet(f"{home}/in")
-            stream = fn(read_parquet_stream(spark, f"{home}/in", source.schema, files))
-            sinks.stream_sink(stream, f"{home}/out", f"{home}/checkpoint").awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        own.conf.set(k, v)
+    parts, files = parts_of(source, key, time, n_parts)
+    for rows in parts:
+        rows.write.mode("append").parquet(f"{home}/in")
+        stream = fn(read_parquet_stream(own, f"{home}/in", source.schema, files))
+        sinks.stream_sink(stream, f"{home}/out", f"{home}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{home}/out")
 
 
+def parts_of(source: DataFrame, key: list[str] | None, time: str | None, n_parts: int = PARTS) -> tuple[list[DataFrame], int]:
+    """The source in parts of its time, each dealt by key to as many files as is returned."""
+    if key is None:
+        return [source], 1000
+    ends = sorted(set(source.approxQuantile(time, [i / n_parts for i in range(1, n_parts)], 0.01))) if n_parts > 1 else []
+    part = sum(((F.col(time) > x).cast("int") for x in ends), F.lit(0))
+    files = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return [source.where(part == i).repartition(files, *key) for i in range(len(ends) + 1)], files
+
+
 _ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
@@ -94,13 +96,22 @@ def t6_stream_arbiter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(A.with_ctes("SELECT DISTINCT event_id, symbol FROM feed", "feed"))
 def t9_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    f = _feed(spark, d).select("event_id", "ts", "symbol")
-    return replayed(spark, f.union(f.where("event_id % 5 = 0")), lambda s: T.without_duplicates(s, ["event_id"], "40 days"), **_ROCKS).select("event_id", "symbol")
+    f = _feed(spark, d).select("event_id", "ts", "symbol", "ts_us")
+    again = f.where("event_id % 5 = 0").withColumn("ts_us", F.col("ts_us") + 3 * A.DAY_US)  # the copies come in later parts
+    return replayed(spark, f.union(again), lambda s: T.without_duplicates(s, ["event_id"], "40 days"), ["symbol"], "ts_us", **_ROCKS).select("event_id", "symbol")
 
 
-@query()
+_LIMIT_MS = 3_600_000
+
+
+@query(A.with_ctes(f"""WITH beats AS (SELECT shard, ts_us // 1000 AS ms FROM feed), edge AS (SELECT (max(ts_us) - 1000000) // 1000 AS mark FROM feed),
+last_ AS (SELECT shard, max(ms) AS last_ms FROM beats GROUP BY 1)
+SELECT shard, last_ms, last_ms + {_LIMIT_MS} <= mark AS stale FROM last_, edge""", "feed"))
 def t10_heartbeats(spark: SparkSession, d: str) -> DataFrame:
-    return replayed(spark, _feed(spark, d).select("shard", "ts"), lambda s: T.heartbeats(s, 3_600_000), **_ROCKS)
+    """The last heartbeat of each shard, and whether the watermark has passed its limit since."""
+    rows = replayed(spark, _feed(spark, d).select("shard", "ts", "ts_us"), lambda s: T.heartbeats(s, _LIMIT_MS), ["shard"], "ts_us", **_ROCKS)
+    said = rows.groupBy("shard").agg(F.max("last_ms").alias("last_ms"), F.max(F.when(F.col("stale"), F.col("last_ms"))).alias("_stale_ms"))
+    return said.select("shard", "last_ms", F.coalesce(F.col("_stale_ms") == F.col("last_ms"), F.lit(False)).alias("stale"))
 
 
 _DELAY_US = 1_800_000_000
@@ -119,7 +130,7 @@ def t8_delayed_cancels(spark: SparkSession, d: str) -> DataFrame:
 @query(A.with_ctes("SELECT f.event_id, p_size * 1000.0::DOUBLE AS free_share FROM feed f LEFT JOIN part ON lpad(p_partkey::VARCHAR, 6, '0') = f.symbol", "feed"))
 def t11_stream_enrich(spark: SparkSession, d: str) -> DataFrame:
     share = A.instruments(spark, d).select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("symbol"), "free_share")
-    return replayed(spark, _feed(spark, d), lambda s: T.enriched(s, share)).select("event_id", "free_share")
+    return replayed(spark, _feed(spark, d), lambda s: T.enriched(s, share), ["symbol"], "ts_us").select("event_id", "free_share")
 
 
 @query(A.with_ctes("SELECT event_id, symbol, price FROM feed", "feed"))
@@ -133,3 +144,85 @@ def s8_by_shard(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/by_shard"
     sinks.write_by_shard(A.feed(spark, d).select("event_id", "price", "trading_day", "shard"), path)
     return spark.read.parquet(path).select("event_id", "price", "trading_day", "shard")
+
+
+#: Deadlines by kind of event: name, and microseconds from the event on (none: taken back).
+_DEADLINES = {"buy": ("cancel", 1_800_000_000), "sell": ("cancel", 1_800_000_000), "trade": ("cancel", None), "cancel": ("throttle", 7_200_000_000), "malformed": ("callback", 86_400_000_000)}
+
+
+def _deadline_rows(spark: SparkSession, d: str) -> DataFrame:
+    f = _feed(spark, d).select("symbol", "ts", "ts_us", "event_id", "kind")
+    pick = lambda i, t: F.coalesce(*[F.when(F.col("kind") == k, F.lit(v[i]).cast(t)) for k, v in _DEADLINES.items()])
+    return f.withColumn("name", pick(0, "string")).withColumn("after_us", pick(1, "long")).drop("kind")
+
+
+@query(A.with_ctes(f"""WITH rules(kind, name, after_us) AS (VALUES {', '.join(f"('{k}', '{n}', {'NULL' if a is None else a})" for k, (n, a) in _DEADLINES.items())}),
+rows_ AS (SELECT f.symbol, f.event_id, f.ts_us, r.name, f.ts_us + r.after_us AS due_us FROM feed f JOIN rules r USING (kind)),
+next_ AS (SELECT *, lead(ts_us) OVER (PARTITION BY symbol, name ORDER BY ts_us, event_id) AS next_us, max(ts_us) OVER (PARTITION BY symbol) AS last_us, (max(ts_us) OVER () - 1000000) // 1000 AS mark FROM rows_)
+SELECT symbol, name, due_us, event_id AS set_by FROM next_ WHERE due_us IS NOT NULL AND CASE WHEN next_us IS NULL THEN last_us > due_us OR due_us // 1000 <= mark ELSE next_us > due_us END""", "feed"))
+def t8_deadlines(spark: SparkSession, d: str) -> DataFrame:
+    """Delayed cancels, throttle expiry and scheduled callbacks as named deadlines of a symbol."""
+    return replayed(spark, _deadline_rows(spark, d), T.deadlines, ["symbol"], "ts_us", **_ROCKS)
+
+
+@query(A.with_ctes("SELECT event_id, symbol, price FROM feed", "feed"))
+def t12_follow(spark: SparkSession, d: str) -> DataFrame:
+    """Backfill of what is there, then the same checkpoint followed while the rest arrives; the
+    following query is stopped once on the way and started again."""
+    home, own = shared_dir(spark), spark.newSession()
+    source = _feed(spark, d)
+    parts, files = parts_of(source, ["shard"], "ts_us", 4)
+    start = lambda follow: T.recover(read_parquet_stream(own, f"{home}/in", source.schema, files).select("event_id", "symbol", "price"), f"{home}/out", f"{home}/checkpoint", follow)
+    parts[0].write.mode("append").parquet(f"{home}/in")
+    start(None).awaitTermination()
+    running = start("500 milliseconds")
+    for k, rows in enumerate(parts[1:]):
+        rows.write.mode("append").parquet(f"{home}/in")
+        if k == 1:
+            running.stop()
+            running = start("500 milliseconds")
+    running.processAllAvailable()
+    running.stop()
+    return spark.read.schema("event_id long, symbol string, price double").parquet(f"{home}/out")
+
+
+@query(A.with_ctes("""WITH f AS (SELECT *, symbol IN (SELECT symbol FROM feed WHERE shard = 3) AS detailed FROM feed)
+SELECT CASE WHEN kind <> 'trade' THEN 'events' WHEN detailed THEN 'full' ELSE 'compact' END AS output, event_id, symbol, price, CASE WHEN detailed THEN volume END AS volume FROM f WHERE detailed OR kind = 'trade'""", "feed"))
+def s9_split_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Trades are samples, the rest events: three outputs of each micro-batch."""
+    home, own = shared_dir(spark), spark.newSession()
+    source = _feed(spark, d).select("event_id", "symbol", "price", "volume", "kind", "shard", "ts_us")
+    parts, files = parts_of(source, ["symbol"], "ts_us")
+    detailed = source.where("shard = 3")
+    for rows in parts:
+        rows.write.mode("append").parquet(f"{home}/in")
+        stream = read_parquet_stream(own, f"{home}/in", source.schema, files)
+        sinks.split_stream(stream, detailed, ["event_id", "symbol", "price"], f"{home}/out", f"{home}/checkpoint", F.col("kind") != "trade").awaitTermination()
+    columns = ["event_id", "symbol", "price", "volume"]
+    read = lambda name: sinks.read_split(spark, f"{home}/out", name, source.select(*(columns[:3] if name == "compact" else columns)).schema).withColumn("output", F.lit(name))
+    return read("full").unionByName(read("events")).unionByName(read("compact"), allowMissingColumns=True)
+
+
+_FLUSH_ROWS = 300
+
+
+@query(A.with_ctes(f"SELECT shard, count(*) AS n, true AS within_limit FROM feed GROUP BY 1", "feed"))
+def s11_flush(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that a sink with limits wrote, by shard, and whether all of their files kept the limit."""
+    home, own = shared_dir(spark), spark.newSession()
+    source = _feed(spark, d).select("event_id", "symbol", "price", "shard", "ts_us")
+    source.repartition(8, "shard").write.parquet(f"{home}/in")
+    stream = read_parquet_stream(own, f"{home}/in", source.schema, max_bytes=256_000)
+    sinks.stream_sink(stream, f"{home}/out", f"{home}/checkpoint", flush_rows=_FLUSH_ROWS).awaitTermination()
+    rows = spark.read.schema(source.schema).parquet(f"{home}/out").withColumn("file", F.input_file_name())
+    of_file = rows.groupBy("file", "shard").agg(F.count("*").alias("n"))
+    sizes = of_file.groupBy("file").agg((F.sum("n") <= _FLUSH_ROWS).alias("within"))
+    return of_file.join(sizes, "file").groupBy("shard").agg(F.sum("n").alias("n"), F.every("within").alias("within_limit"))
+
+
+@query(A.with_ctes("SELECT document, sha256(document) AS sha256, true AS intact FROM (SELECT '[' || string_agg('{\"code\":\"' || code || '\",\"p_partkey\":' || p_partkey || ',\"shard\":' || shard || '}', ',' ORDER BY p_partkey) || ']' AS document FROM instruments)", "instruments"))
+def s10_published(spark: SparkSession, d: str) -> DataFrame:
+    """The daily document as it is read back after its publication."""
+    path = f"{shared_dir(spark)}/daily.json"
+    sinks.publish_daily(A.instruments(spark, d).select("code", "p_partkey", "shard"), path, "p_partkey")
+    return sinks.read_daily(spark, path)
