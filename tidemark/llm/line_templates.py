@@ -114,8 +114,11 @@ def general_templates(docs: DataFrame, found: DataFrame, general_docs: int, fixe
     parts = tokens.select("t1", "t2", *at).join(support, at)
     lines = parts.groupBy("leaf", "t1", "t2").agg(F.collect_list(F.struct("support", "part", "check")).alias("parts"), F.count("*").alias("n"))
     supports = F.sort_array(F.transform("parts.support", F.abs), asc=False)
-    lines = lines.withColumn("measure", F.element_at(supports, F.ceil(F.lit(fixed_share) * F.col("n")).cast("int"))).where("measure >= 2")
-    lines = lines.select("t1", "t2", "n", F.filter("parts", lambda x: 2 * x["support"] > F.col("measure")).alias("fixed"))
+    measure = F.element_at(supports, F.ceil(F.lit(fixed_share) * F.col("n")).cast("int"))
+    # Bound as the element of an array: a column would be worked out anew for each part.
+    bound = F.filter(F.array(measure), lambda m: m >= 2)
+    fixed = F.flatten(F.transform(bound, lambda m: F.filter(F.col("parts"), lambda x: 2 * x["support"] > m)))
+    lines = lines.select("t1", "t2", "n", fixed.alias("fixed"))
     lines = lines.where(F.size("fixed") >= fixed_share * F.col("n"))
     # Places differ, so that a template is told by the combined hashes of its fixed parts.
     combined = lambda c, t: F.aggregate(F.col(f"fixed.{c}"), F.lit(0).cast(t), lambda a, x: a.bitwiseXOR(x))
