@@ -287,3 +287,29 @@ def test_rejects_block_and_only_answers_to_requests_count(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r.id: r.blocked for r in got} == want and 100 < sum(want.values()) < 850
+
+
+def test_golden_check_of_predictions_and_hidden_states(spark):
+    make = lambda rows: spark.createDataFrame(rows, "id long, p double, h array<double>")
+    base = [(i, i / 7, [i / 3, -i / 5]) for i in range(6)]
+    check = lambda rows: scoring.golden_check(make(base), make(rows), ["id"], "p", "h").first()
+    good = check([(i, p + 9e-6, [h[0], h[1] - 9e-6]) for i, p, h in base])
+    assert good.passed and abs(good.max_error - 9e-6) < 1e-9 and abs(good.max_hidden_error - 9e-6) < 1e-9
+    assert not check([(i, p, [h[0] + 2e-5 * (i == 3), h[1]]) for i, p, h in base]).passed
+    assert not check(base[1:]).passed and check(base[1:]).missing == 1
+    assert check([(i, p, h[:1] if i == 2 else h) for i, p, h in base]).unlike == 1 and not check([]).passed
+
+
+def test_states_are_those_of_a_loop(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    weights = scoring.patterned_weights(4, [6], 5, [3], layers=2)
+    rows = [(s, 1, i, rng.normal(size=4).tolist()) for s in "ab" for i in range(1, 8)]
+    got = {(r.symbol, r.row_in_stock_day): r for r in scoring.score(spark.createDataFrame(rows, "symbol string, trading_day int, row_in_stock_day long, x array<double>"), weights, states=True).collect()}
+    net = scoring.Network(weights)
+    for s in "ab":
+        state = net.start(1)
+        for _, _, i, x in [r for r in rows if r[0] == s]:
+            y, state = net.step(np.array([x]), state)
+            assert np.allclose(got[s, i].hidden, state.ravel(), atol=1e-12) and abs(got[s, i].prediction - y[0]) < 1e-12

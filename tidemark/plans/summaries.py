@@ -271,22 +271,88 @@ def _features(spark: SparkSession, d: str, n: int) -> DataFrame:
     return e.select(F.lpad(F.col("label").cast("string"), 6, "0").alias("symbol"), (20240101 + F.col("vec_id") % 10).cast("int").alias("trading_day"), F.col("vec_id").alias("row_in_stock_day"), F.slice("embedding", 1, n).alias("x"))
 
 
-@query()
+def network_sql(inputs: int, dense: list[int], hidden: int, head: list[int], layers: int = 1, residual: bool = True, states: bool = True) -> str:
+    """The network of scoring.patterned_weights over _features: dense layers as inner products of
+    lists, the recurrence as recursive queries, one for each layer."""
+    shapes, size = [], inputs
+    for i, n in enumerate(dense):
+        shapes, size = [*shapes, (f"dense{i}_w", n, size)], n
+    if residual:
+        shapes.append(("residual_w", size, inputs))
+    for i in range(layers):
+        shapes, size = [*shapes, (f"gru{i}_wi", 3 * hidden, size), (f"gru{i}_wh", 3 * hidden, hidden)], hidden
+    for i, n in enumerate([*head, 1]):
+        shapes, size = [*shapes, (f"head{i}_w", n, size)], n
+    weights = ", ".join(f"[[((7 * r + 3 * c + {k}) % 13 - 6) / (4 * sqrt({cols}::DOUBLE)) for c in range(0, {cols})] for r in range(0, {rows})] AS {name}" for k, (name, rows, cols) in enumerate(shapes))
+    biases = {}
+    for i in range(len(dense)):
+        biases[f"dense{i}"] = len(biases)
+    for i in range(layers):
+        biases[f"gru{i}_i"] = len(biases)
+        biases[f"gru{i}_h"] = len(biases)
+    for i in range(len(head) + 1):
+        biases[f"head{i}"] = len(biases)
+    key, n = "symbol, trading_day, k, number", hidden
+    softsign = lambda v: f"[z / (1 + abs(z)) for z in {v}]"
+    times = lambda w, v, bias=None: f"[list_inner_product({v}, p[1]) + ((p[2] - 1 + {biases[bias]}) % 5 - 2) / 10.0::DOUBLE for p in list_zip({w}, range(1, len({w}) + 1))]" if bias else f"[list_inner_product({v}, p) for p in {w}]"
+    sql = f"""WITH RECURSIVE W AS MATERIALIZED (SELECT {weights}), start AS (
+  SELECT lpad(label::VARCHAR, 6, '0') AS symbol, (20240101 + vec_id % 10)::INT AS trading_day, vec_id AS number, embedding[1:{inputs}]::DOUBLE[] AS x, row_number() OVER (PARTITION BY label, vec_id % 10 ORDER BY vec_id) AS k FROM embeddings
+), in0 AS (SELECT {key}, x, x AS h FROM start)"""
+    last = "in0"
+    for i in range(len(dense)):
+        sql += f", in{i + 1} AS (SELECT {key}, x, {softsign('v')} AS h FROM (SELECT {key}, x, {times(f'dense{i}_w', 'h', f'dense{i}')} AS v FROM {last}, W))"
+        last = f"in{i + 1}"
+    plus = f"[p[1] + p[2] for p in list_zip(h, {times('residual_w', 'x')})]" if residual else "h"
+    sql += f", out_ AS (SELECT {key}, {plus} AS h FROM {last}, W)"
+    last, kept = "out_", []
+    gate = lambda i, j: f"1 / (1 + exp(-(a[{i}] + b[{j}])))"
+    step = f"[(1 - {gate(f'i + {n}', f'i + {n}')}) * tanh(a[i + {2 * n}] + {gate('i', 'i')} * b[i + {2 * n}]) + {gate(f'i + {n}', f'i + {n}')} * s[i] for i in range(1, {n + 1})]"
+    for i in range(layers):
+        old = times(f"gru{i}_wh", "s", f"gru{i}_h")
+        sql += f""", a{i} AS MATERIALIZED (SELECT {key}, {times(f'gru{i}_wi', 'h', f'gru{i}_i')} AS a FROM {last}, W), g{i}({key}, h) AS (
+  SELECT {key}, {step} FROM (SELECT {key}, a, s, {old} AS b FROM (SELECT {key}, a, [0.0::DOUBLE for i in range(0, {n})] AS s FROM a{i} WHERE k = 1), W)
+  UNION ALL
+  SELECT {key}, {step} FROM (SELECT {key}, a, s, {old} AS b FROM (SELECT a.symbol, a.trading_day, a.k, a.number, a.a, g.h AS s FROM g{i} g JOIN a{i} a ON a.symbol = g.symbol AND a.trading_day = g.trading_day AND a.k = g.k + 1), W))"""
+        last = f"g{i}"
+        kept.append(f"SELECT number, {i} AS layer, h FROM g{i}")
+    sql += f""", norm AS (SELECT {key}, [(z - m) / sqrt(v + 1e-5) for z in h] AS h FROM (SELECT {key}, h, list_avg(h) AS m, list_aggregate(h, 'var_pop') AS v FROM {last}))"""
+    last = "norm"
+    for i in range(len(head) + 1):
+        value = times(f"head{i}_w", "h", f"head{i}")
+        sql += f", head{i} AS (SELECT {key}, {softsign('v') if i < len(head) else 'v'} AS h FROM (SELECT {key}, {value} AS v FROM {last}, W))"
+        last = f"head{i}"
+    hidden_sql = f", (SELECT round(list_sum([abs(z) for z in flatten(list(h ORDER BY layer))]), 6) FROM ({' UNION ALL '.join(kept)}) s WHERE s.number = p.number) AS hidden_sum" if states else ""
+    return f"{sql} SELECT symbol, trading_day, number AS row_in_stock_day, round(h[1], 6) + 0 AS prediction{hidden_sql} FROM {last} p"
+
+
+#: Shapes of the three networks: inputs, dense layers, hidden, head, recurrent layers, residual.
+_NETWORKS = {"m1": (50, [512, 256, 128], 64, [8], 1, True), "m2": (36, [512, 256, 128], 64, [8], 1, True), "m3": (50, [128], 128, [16], 2, False)}
+
+
+def _scored(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Predictions, and the sum of the absolute hidden states after each row."""
+    shape = _NETWORKS[name]
+    rows = scoring.score(_features(spark, d, shape[0]), scoring.patterned_weights(*shape), states=True)
+    total = F.aggregate("hidden", F.lit(0.0), lambda a, x: a + F.abs(x))
+    return rows.select("symbol", "trading_day", "row_in_stock_day", F.round("prediction", 6).alias("prediction"), F.round(total, 6).alias("hidden_sum"))
+
+
+@query(network_sql(*_NETWORKS["m1"]))
 def m1_score_dense_gru(spark: SparkSession, d: str) -> DataFrame:
     """Fifty features, three dense layers and a residual, one recurrent layer."""
-    return scoring.score(_features(spark, d, 50), scoring.random_weights(50, [512, 256, 128], 64, [8]))
+    return _scored(spark, d, "m1")
 
 
-@query()
+@query(network_sql(*_NETWORKS["m2"]))
 def m2_score_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The same network over 36 features."""
-    return scoring.score(_features(spark, d, 36), scoring.random_weights(36, [512, 256, 128], 64, [8], seed=2))
+    return _scored(spark, d, "m2")
 
 
-@query()
+@query(network_sql(*_NETWORKS["m3"]))
 def m3_score_two_layers(spark: SparkSession, d: str) -> DataFrame:
     """A projection of fifty features and two recurrent layers of 128."""
-    return scoring.score(_features(spark, d, 50), scoring.random_weights(50, [128], 128, [16], layers=2, residual=False, seed=3))
+    return _scored(spark, d, "m3")
 
 
 @query("SELECT vec_id AS row_in_stock_day, o AS output, round(list_sum([embedding[i + 1]::DOUBLE * (((i * 7 + o * 3) % 11)::DOUBLE - 5) FOR i IN range(0, 50)]), 4) AS score FROM embeddings, range(0, 4) t(o)")
@@ -297,18 +363,29 @@ def m4_linear_score(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_in_stock_day", F.col("output").cast("long").alias("output"), F.round("score", 4).alias("score"))
 
 
-@query("SELECT 'v' || vec_id AS name, vec_id % 9 <> 4 AS shape_ok, len([x FOR x IN CASE WHEN vec_id % 13 = 5 THEN ['nan'::FLOAT] ELSE embedding END IF NOT isfinite(x)]) = 0 AS finite FROM embeddings")
+_FACTORS = [*factors.MARKET, *factors.FLOW, *factors.FULL_BOOK]
+
+
+@query(f"""SELECT 'v' || vec_id AS name, vec_id % 9 <> 4 AS shape_ok, len([x FOR x IN CASE WHEN vec_id % 13 = 5 THEN ['nan'::FLOAT] ELSE embedding END IF NOT isfinite(x)]) = 0 AS finite,
+  sha256(array_to_string(CASE WHEN vec_id % 11 = 2 THEN list_reverse(names) ELSE names END, chr(10))) = sha256(array_to_string(names, chr(10))) AS contract_ok FROM embeddings, (SELECT {_FACTORS} AS names)""")
 def m5_check_weights(spark: SparkSession, d: str) -> DataFrame:
-    e = A.read(spark, d, "embeddings")
-    name = F.concat(F.lit("v"), F.col("vec_id").cast("string"))
-    weights = e.select(name.alias("name"), F.array(F.when(F.col("vec_id") % 9 == 4, 63).otherwise(F.size("embedding"))).alias("shape"), F.when(F.col("vec_id") % 13 == 5, F.array(F.lit(float("nan")).cast("float"))).otherwise(F.col("embedding")).alias("values"))
-    return scoring.check_weights(weights, e.select(name.alias("name"), F.array(F.lit(64)).alias("shape")))
+    """Shapes, finite values, and the hash of the factors in the model's order; some are planted wrong."""
+    e, k = A.read(spark, d, "embeddings"), F.col("vec_id")
+    name = F.concat(F.lit("v"), k.cast("string"))
+    given = F.when(k % 11 == 2, scoring.factor_hash(_FACTORS[::-1])).otherwise(scoring.factor_hash(_FACTORS))
+    weights = e.select(name.alias("name"), F.array(F.when(k % 9 == 4, 63).otherwise(F.size("embedding"))).alias("shape"), F.when(k % 13 == 5, F.array(F.lit(float("nan")).cast("float"))).otherwise(F.col("embedding")).alias("values"), given.alias("factor_hash"))
+    return scoring.check_weights(weights, e.select(name.alias("name"), F.array(F.lit(64)).alias("shape")), _FACTORS)
 
 
-@query(with_ctes("SELECT round(max(CASE WHEN event_id % 100 = 1 THEN 5e-6 ELSE 0 END), 9) AS max_error, count(*) FILTER (event_id % 1000 = 7) AS missing, max(CASE WHEN event_id % 100 = 1 THEN 5e-6 ELSE 0 END) <= 1e-5 AND count(*) FILTER (event_id % 1000 = 7) = 0 AS passed FROM feed", "feed"))
+@query("""WITH a AS (SELECT vec_id, label::DOUBLE AS e, label + CASE WHEN vec_id % 100 = 1 THEN 5e-6 ELSE 0 END AS a, embedding::DOUBLE[] AS h, [embedding[i]::DOUBLE + CASE WHEN i = vec_id % 64 AND vec_id % 50 = 3 THEN 2e-5 ELSE 0 END for i in range(1, 65)] AS g FROM embeddings)
+SELECT round(max(abs(e - a)) FILTER (vec_id % 1000 <> 7), 9) AS max_error, count(*) FILTER (vec_id % 1000 = 7) AS missing, round(max(list_max([abs(p[1] - p[2]) for p in list_zip(h, g)])) FILTER (vec_id % 1000 <> 7), 9) AS max_hidden_error, 0::BIGINT AS unlike, false AS passed FROM a""")
 def m6_golden_check(spark: SparkSession, d: str) -> DataFrame:
-    f = A.feed(spark, d).select("event_id", (F.col("volume") * 0.0).alias("p"))
-    return scoring.golden_check(f, f.where("event_id % 1000 <> 7").withColumn("p", F.when(F.col("event_id") % 100 == 1, 5e-6).otherwise(0.0)), ["event_id"], "p").withColumn("max_error", F.round("max_error", 9))
+    """Predictions within the tolerance, hidden states (embeddings stand for them) beyond it."""
+    e, k = A.read(spark, d, "embeddings"), F.col("vec_id")
+    expected = e.select(k, F.col("label").cast("double").alias("p"), F.col("embedding").cast("array<double>").alias("h"))
+    moved = F.transform("h", lambda x, i: x + F.when((i + 1 == k % 64) & (k % 50 == 3), 2e-5).otherwise(0.0))
+    actual = expected.where(k % 1000 != 7).select(k, (F.col("p") + F.when(k % 100 == 1, 5e-6).otherwise(0.0)).alias("p"), moved.alias("h"))
+    return scoring.golden_check(expected, actual, ["vec_id"], "p", "h").withColumns({c: F.round(c, 9) for c in ("max_error", "max_hidden_error")})
 
 
 @query(f"""SELECT a.*, {', '.join('w.' + c for c in factors.FLOW)}, {', '.join('k.' + c for c in factors.FULL_BOOK)}, t.target FROM ({ORACLE_SQL['a6_market_factors']}) a JOIN ({ORACLE_SQL['f7_targets']}) t ON t.sequence = a.event_id

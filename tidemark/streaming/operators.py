@@ -146,15 +146,15 @@ class Scorer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         from tidemark.operators.scoring import Network
 
-        self.net, self.state = Network(self.weights), handle.getValueState("hidden", "h array<float>")
+        self.net, self.state = Network(self.weights), handle.getValueState("hidden", "h array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        h = np.array(self.state.get()[0], np.float32).reshape(self.net.layers, 1, -1) if self.state.exists() else self.net.start(1)
+        h = np.array(self.state.get()[0], self.net.kind).reshape(self.net.layers, 1, -1) if self.state.exists() else self.net.start(1)
         out = []
         for r in pd.concat(list(rows)).sort_values("row_in_stock_day").itertuples():
-            y, h = self.net.step(np.array([r.x], np.float32), h)
+            y, h = self.net.step(np.array([r.x], self.net.kind), h)
             out.append((*key, r.row_in_stock_day, float(y[0])))
         self.state.update((h.ravel().tolist(),))
         yield pd.DataFrame(out, columns=["symbol", "trading_day", "row_in_stock_day", "prediction"])

@@ -9,7 +9,7 @@ from tidemark.operators import scoring
 from tidemark.plans import adapters as A
 from tidemark.plans.market import _ARBITER
 from tidemark.plans.registry import query
-from tidemark.plans.summaries import _features
+from tidemark.plans.summaries import _features, network_sql
 from tidemark.sources import sinks
 from tidemark.sources.readers import read_parquet_stream
 from tidemark.sources.shared import shared_dir
@@ -83,10 +83,14 @@ def t4_book_owner(spark: SparkSession, d: str) -> DataFrame:
     return replayed(spark, changes, T.book_levels, ["symbol"], "ts_us", **_ROCKS)
 
 
-@query()
+_SMALL = (50, [64], 32, [8])
+
+
+@query(network_sql(*_SMALL, states=False))
 def t5_stream_scoring(spark: SparkSession, d: str) -> DataFrame:
-    weights = scoring.random_weights(50, [64], 32, [8])
-    return replayed(spark, _features(spark, d, 50), lambda s: T.scored(s, weights), ["symbol", "trading_day"], "row_in_stock_day", **_ROCKS)
+    weights = scoring.patterned_weights(*_SMALL)
+    rows = replayed(spark, _features(spark, d, 50), lambda s: T.scored(s, weights), ["symbol", "trading_day"], "row_in_stock_day", **_ROCKS)
+    return rows.withColumn("prediction", F.round("prediction", 6))
 
 
 @query(A.with_ctes(_ARBITER + " SELECT symbol, arrival, accepted, selected, selected_sequence FROM rows_", "candidates"))
