@@ -29,6 +29,14 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], time: str = "ts_us
     return both.withColumn("delta", delta).where("_rank = 1").drop("_other", "_rank", "_range", "_earlier", "_later")
 
 
+def nearest_by_key(left: DataFrame, right: DataFrame, by: list[str], time: str = "ts_us") -> DataFrame:
+    """As ``nearest`` with ``status``: ok for rows of keys that both sides have; a key that only one side
+    has is a single row of its own with status insufficient and nothing else."""
+    keys = left.groupBy(*by).agg(F.lit(True).alias("_l")).join(right.groupBy(*by).agg(F.lit(True).alias("_r")), by, "full_outer")
+    alone = keys.where("_l is null or _r is null").select(*by, F.lit("insufficient").alias("status"))
+    return nearest(left, right, by, time).where("delta is not null").withColumn("status", F.lit("ok")).unionByName(alone, allowMissingColumns=True)
+
+
 def forward(left: DataFrame, right: DataFrame, by: list[str], value: str, horizons: dict[str, int], time: str = "ts_us", tie: str = "sequence") -> DataFrame:
     """left with a column per horizon: right's ``value`` at its first row at or after time + horizon,
     of equal times the row of the smallest ``tie``."""

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranges
+from tidemark.sources.shared import written
 
 #: Index of a percentile among n sorted values, from 0: three rules are in use.
 RULES = {"ceil": lambda n, p: F.ceil((n - 1) * p), "floor": lambda n, p: F.floor((n - 1) * p), "round": lambda n, p: F.bround((n - 1) * p).cast("long")}
@@ -28,9 +29,10 @@ def _beside(rows: DataFrame, facts: DataFrame, by: list[str], few: bool) -> Data
     return rows.join(F.broadcast(named) if few else named, same).drop(*[f"_by_{c}" for c in by])
 
 
-def at_places(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+def at_places(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[float, Callable[[Column], Column]]], beside: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Per group its number ``_n`` of values that are not null, and those at exact places of their
-    order: name -> (about which share of them is before, place from 0 as a function of ``_n``).
+    order: name -> (about which share of them is before, place from 0 as a function of ``_n``);
+    ``beside``: further aggregates of the value, taken with the first pass.
 
     No group is ordered whole. Approximate percentiles, which are aggregated before the shuffle,
     part each group into ranges with two bounds about each place; counts by range tell which ones
@@ -38,11 +40,12 @@ def at_places(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tupl
     that are off cost time, not exactness. Ties are counted, so a frequent value is one row.
     """
     rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    few = rows.select(*by).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     shares = sorted({min(max(p + m, 0.0), 1.0) for p, _ in wanted.values() for m in (-MARGIN, MARGIN)})
-    bounds = rows.groupBy(*by).agg(F.percentile_approx("_v", shares, 10_000).alias("_bounds"))
+    more = beside or {}
+    bounds = written(rows.groupBy(*by).agg(F.percentile_approx("_v", shares, 10_000).alias("_bounds"), *[f(F.col("_v")).alias(n) for n, f in more.items()]))
+    few = bounds.count() <= BROADCAST_GROUPS
     cell = reduce(Column.__add__, [(F.col("_v") >= F.col("_bounds")[i]).cast("int") for i in range(len(shares))])
-    celled = _beside(rows, bounds, by, few).select(*by, "_v", cell.alias("_cell"))
+    celled = _beside(rows, bounds.select(*by, "_bounds"), by, few).select(*by, "_v", cell.alias("_cell"))
 
     group = W.partitionBy(*by)
     sizes = celled.groupBy(*by, "_cell").agg(F.count("*").alias("_size"))
@@ -55,7 +58,8 @@ def at_places(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tupl
     upto = F.col("_before") + F.sum("_k").over(W.partitionBy(*by, "_cell").orderBy("_v"))
     inside = inside.withColumn("_upto", upto)
     picks = [F.max(F.when((x >= F.col("_upto") - F.col("_k")) & (x < F.col("_upto")), F.col("_v"))).alias(name) for name, x in places.items()]
-    return inside.groupBy(*by, "_n").agg(*picks)
+    found = inside.groupBy(*by, "_n").agg(*picks)
+    return _beside(found, bounds.drop("_bounds"), by, few) if more else found
 
 
 def rank_percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
@@ -66,14 +70,21 @@ def rank_percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[st
 def latency_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, mean, p50 at (n-1)/2, p99 at (n-1)*99/100 (whole division), max; nulls do not count."""
     whole = lambda num, den: lambda n: F.floor((n - 1) * num / den)
-    base = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
-    placed = at_places(rows, by, value, {"p50": (0.5, whole(1, 2)), "p99": (0.99, whole(99, 100))})
-    return _beside(placed, base, by, few=False).select(*by, F.col("_n").alias("n"), "mean", "p50", "p99", "max")
+    placed = at_places(rows, by, value, {"p50": (0.5, whole(1, 2)), "p99": (0.99, whole(99, 100))}, {"mean": F.avg, "max": F.max})
+    return placed.select(*by, F.col("_n").alias("n"), "mean", "p50", "p99", "max")
 
 
 def gaps(rows: DataFrame, by: list[str], time: str) -> DataFrame:
-    """rows with ``gap`` to the time before in the group."""
-    return rows.withColumn("gap", F.col(time) - F.lag(time).over(W.partitionBy(*by).orderBy(time)))
+    """rows with ``gap`` to the time before in the group. A group may be large: it is read in ranges of
+    time, and the last time of the ranges before is carried over."""
+    parted = ranges.before(ranges.cut(rows, time), by, {"_earlier": (F.max(time), F.max("_earlier"))})
+    inside = F.lag(time).over(W.partitionBy(*by, "_range").orderBy(time))
+    return parted.withColumn("gap", F.col(time) - F.coalesce(inside, F.col("_earlier"))).drop("_range", "_earlier")
+
+
+def gap_metrics(rows: DataFrame, by: list[str], time: str, limit: int) -> DataFrame:
+    """Per group: rows, gaps of more than ``limit``, the greatest gap."""
+    return gaps(rows, by, time).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("gap") > limit).alias("gaps"), F.max("gap").alias("longest"))
 
 
 def channel_stats(rows: DataFrame, channel: str, time: str) -> DataFrame:

@@ -139,22 +139,26 @@ def _other_day(time: str) -> F.Column:
 
 
 @query(with_ctes(_events_sql(
-    "SELECT * REPLACE (CASE WHEN appl_seq_num % 40 = 7 THEN 0 ELSE price END AS price, volume - 3 AS volume) FROM l2_orders", "order_time", "WHEN ord_type <> 1 AND price <= 0 THEN 'price'",
+    "SELECT * REPLACE (CASE WHEN appl_seq_num % 40 = 7 THEN 0 ELSE price END AS price, volume - 3 AS volume, CASE WHEN appl_seq_num % 60 = 13 THEN 9 ELSE order_kind END AS order_kind, CASE WHEN appl_seq_num % 70 = 6 THEN NULL ELSE ord_type END AS ord_type) FROM l2_orders", "order_time",
+    "WHEN coalesce(order_kind NOT IN (1, 2) OR ord_type NOT IN (1, 2), true) THEN 'kind' WHEN ord_type <> 1 AND price <= 0 THEN 'price'",
     {"tick": "CASE WHEN ord_type <> 1 THEN round(price * 100)::BIGINT END", "kind": "CASE WHEN order_kind = 2 THEN 'cancel' WHEN ord_type = 1 THEN 'market' ELSE 'limit' END"}), "l2_orders"))
 def p5_normalize_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Orders, some without a price or volume or of another day."""
-    o = A.l2_orders(spark, d).withColumn("price", F.when(F.col("appl_seq_num") % 40 == 7, 0.0).otherwise(F.col("price"))).withColumn("volume", F.col("volume") - 3)
+    """Orders, some without a price, volume or known kind, or of another day."""
+    k = F.col("appl_seq_num")
+    o = A.l2_orders(spark, d).withColumn("order_kind", F.when(k % 60 == 13, 9).otherwise(F.col("order_kind"))).withColumn("ord_type", F.when(k % 70 != 6, F.col("ord_type")))
+    o = o.withColumn("price", F.when(F.col("appl_seq_num") % 40 == 7, 0.0).otherwise(F.col("price"))).withColumn("volume", F.col("volume") - 3)
     return normalize.normalize_orders(o, _other_day("order_time"))
 
 
 @query(with_ctes(_events_sql(
-    "SELECT * REPLACE (CASE WHEN order_kind = 4 AND appl_seq_num % 3 > 0 THEN 0 ELSE offer_appl_seq_num END AS offer_appl_seq_num, volume - 2 AS volume) FROM l2_trades", "trade_time",
-    "WHEN CASE WHEN order_kind = 4 THEN (bid_appl_seq_num > 0) = (offer_appl_seq_num > 0) ELSE bid_appl_seq_num <= 0 OR offer_appl_seq_num <= 0 END THEN 'link' WHEN order_kind <> 4 AND price <= 0 THEN 'price'",
+    "SELECT * REPLACE (CASE WHEN order_kind = 4 AND appl_seq_num % 3 > 0 THEN 0 ELSE offer_appl_seq_num END AS offer_appl_seq_num, volume - 2 AS volume, CASE WHEN appl_seq_num % 45 = 4 THEN 7 ELSE order_kind END AS order_kind) FROM l2_trades", "trade_time",
+    "WHEN order_kind NOT IN (1, 4) THEN 'kind' WHEN CASE WHEN order_kind = 4 THEN (bid_appl_seq_num > 0) = (offer_appl_seq_num > 0) ELSE bid_appl_seq_num <= 0 OR offer_appl_seq_num <= 0 END THEN 'link' WHEN order_kind <> 4 AND price <= 0 THEN 'price'",
     {"tick": "CASE WHEN order_kind <> 4 THEN round(price * 100)::BIGINT END", "kind": "CASE WHEN order_kind = 4 THEN 'cancel' ELSE 'trade' END", "bid_sequence": "bid_appl_seq_num", "ask_sequence": "nullif(offer_appl_seq_num, 0)"}), "l2_trades"))
 def p6_normalize_trades(spark: SparkSession, d: str) -> DataFrame:
-    """Trades and cancels, some cancels with one linked order, some with two."""
+    """Trades and cancels, some cancels with one linked order, some with two, some of an unknown kind."""
     one = (F.col("order_kind") == 4) & (F.col("appl_seq_num") % 3 > 0)
     t = A.l2_trades(spark, d).withColumn("offer_appl_seq_num", F.when(one, 0).otherwise(F.col("offer_appl_seq_num"))).withColumn("volume", F.col("volume") - 2)
+    t = t.withColumn("order_kind", F.when(F.col("appl_seq_num") % 45 == 4, 7).otherwise(F.col("order_kind")))
     return normalize.normalize_trades(t, _other_day("trade_time"))
 
 
@@ -334,12 +338,24 @@ def f14_dates(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", S.parse_date(text).cast("string").alias("day"))
 
 
-@query("SELECT vec_id, round(((embedding[3]::DOUBLE - 0.5) / 2), 6) AS z0, round(((embedding[1]::DOUBLE - 0.5) / 2), 6) AS z1, round(embedding[1]::DOUBLE / (1 + abs(embedding[1]::DOUBLE)), 6) AS soft, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 6) AS sig, true AS finite FROM embeddings")
+@query("""SELECT vec_id, i AS position, round((embedding[64 - i]::DOUBLE - (64 - i) / 100.0::DOUBLE) / (1 + (63 - i) % 3), 6) AS z, round(embedding[i + 1]::DOUBLE / (1 + abs(embedding[i + 1]::DOUBLE)), 6) AS soft, round(1 / (1 + exp(-embedding[i + 1]::DOUBLE)), 6) AS sig FROM embeddings, range(0, 64) t(i)""")
 def f16_vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = A.read(spark, d, "embeddings").withColumn("x", F.slice("embedding", 1, 3).cast("array<double>"))
-    z = S.zscore("x", F.array_repeat(F.lit(0.5), 3), F.array_repeat(F.lit(2.0), 3), order=[2, 0, 1])
-    first = F.col("x")[0]
-    return e.select("vec_id", F.round(z[0], 6).alias("z0"), F.round(z[1], 6).alias("z1"), F.round(S.softsign(first), 6).alias("soft"), F.round(S.sigmoid(first), 6).alias("sig"), S.all_finite("embedding").alias("finite"))
+    """All entries of each vector: standardised and taken in the reverse order, and squashed."""
+    e = A.read(spark, d, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
+    mean, std = F.array(*[F.lit((i + 1) / 100) for i in range(64)]), F.array(*[F.lit(1.0 + i % 3) for i in range(64)])
+    z = S.zscore("x", mean, std, order=list(range(63, -1, -1)))
+    each = e.select("vec_id", F.posexplode(F.arrays_zip(z.alias("z"), "x")).alias("position", "v"))
+    values = {"z": F.col("v.z"), "soft": S.softsign("v.x"), "sig": S.sigmoid("v.x")}
+    return each.select("vec_id", F.col("position").cast("long").alias("position"), *[F.round(x, 6).alias(n) for n, x in values.items()])
+
+
+@query("SELECT vec_id, vec_id % 7 > 3 OR len(embedding) <= vec_id % 64 AS finite FROM embeddings")
+def f18_is_finite(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of which some hold a NaN, an infinity of either sign or a null at some place."""
+    k = F.col("vec_id")
+    odd = F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 7 == 1, F.lit(float("inf"))).when(k % 7 == 2, F.lit(float("-inf"))).when(k % 7 == 3, F.lit(None).cast("double"))
+    planted = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when((i == k % 64) & (k % 7 <= 3), odd).otherwise(x))
+    return A.read(spark, d, "embeddings").select("vec_id", S.all_finite(planted).alias("finite"))
 
 
 @query("SELECT s_suppkey, '10.0.' || s_nationkey || '.1' AS host, 9000 + s_suppkey::INT AS port FROM supplier")
@@ -358,13 +374,10 @@ def f23_imbalance(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey, c_name || '退市' AS back, length(c_name) + 4 AS n_bytes FROM customer")
 def f20_gbk(spark: SparkSession, d: str) -> DataFrame:
     """Names as GBK bytes, two to a Chinese character, and back."""
-    before = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    try:
-        rows = A.read(spark, d, "customer").select("c_custkey", F.encode(F.concat("c_name", F.lit("退市")), "GBK").alias("bytes"))
-        return rows.select("c_custkey", S.gbk_to_utf8("bytes").alias("back"), F.octet_length("bytes").cast("long").alias("n_bytes"))
-    finally:
-        spark.conf.set("spark.sql.legacy.javaCharsets", before)
+    own = spark.newSession()
+    own.conf.set("spark.sql.legacy.javaCharsets", "true")
+    rows = A.read(own, d, "customer").select("c_custkey", F.encode(F.concat("c_name", F.lit("退市")), "GBK").alias("bytes"))
+    return rows.select("c_custkey", S.gbk_to_utf8("bytes").alias("back"), F.octet_length("bytes").cast("long").alias("n_bytes"))
 
 
 @query("SELECT event_id, event_type AS instrument, value AS raw_prediction FROM events")
@@ -382,6 +395,6 @@ for _name, _of, *_columns in [
     ("f4_bias", "f1_position_risk", "symbol", "bias"), ("f5_unit_bias", "f1_position_risk", "symbol", "unit_bias"),
     ("f9_lot_round", "f1_position_risk", "symbol", "lots"), ("f22_flags", "f1_position_risk", "symbol", "buy_flag", "sell_flag"),
     ("f11_time_text", "f10_times", "event_id", "ms"), ("f13_round_price", "f12_text", "p_partkey", "tick"), ("f15_format_decimal", "f12_text", "p_partkey", "dec"),
-    ("f19_to_float", "f12_text", "p_partkey", "number"), ("f17_softsign_sigmoid", "f16_vectors", "vec_id", "soft", "sig"), ("f18_is_finite", "f16_vectors", "vec_id", "finite"),
+    ("f19_to_float", "f12_text", "p_partkey", "number"), ("f17_softsign_sigmoid", "f16_vectors", "vec_id", "position", "soft", "sig"),
 ]:
     part(_name, _of, *_columns)

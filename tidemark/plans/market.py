@@ -19,16 +19,22 @@ both_ AS (SELECT shard, event_id, ts_us, NULL AS o, 1 AS r FROM snap UNION ALL S
 near AS (SELECT *, last_value(o IGNORE NULLS) OVER (PARTITION BY shard ORDER BY ts_us, r ROWS UNBOUNDED PRECEDING) AS p, first_value(o IGNORE NULLS) OVER (PARTITION BY shard ORDER BY ts_us, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM both_)"""
 
 
-@query(with_ctes(_NEAREST + " SELECT shard, event_id, least(abs(ts_us - p), abs(ts_us - q)) AS delta FROM near WHERE r = 1", "feed"))
+@query(with_ctes("""WITH snap AS (SELECT shard, event_id, ts_us FROM feed WHERE kind = 'buy' AND shard <> 6), tick AS (SELECT shard, ts_us AS o FROM feed WHERE kind = 'trade' AND shard <> 5),""" + _NEAREST.split("AS o FROM feed WHERE kind = 'trade'),", 1)[1] + """
+SELECT shard, event_id, least(abs(ts_us - p), abs(ts_us - q)) AS delta, 'ok' AS status FROM near WHERE r = 1 AND shard IN (SELECT shard FROM tick)
+UNION ALL SELECT coalesce(a.shard, b.shard), NULL, NULL, 'insufficient' FROM (SELECT DISTINCT shard FROM snap) a FULL JOIN (SELECT DISTINCT shard FROM tick) b ON a.shard = b.shard WHERE a.shard IS NULL OR b.shard IS NULL""", "feed"))
 def j1_nearest_tick(spark: SparkSession, d: str) -> DataFrame:
+    """Shard 5 has no ticks and shard 6 no snapshots."""
     f = A.feed(spark, d)
-    return asof.nearest(f.where("kind = 'buy'").select("shard", "event_id", "ts_us"), f.where("kind = 'trade'").select("shard", "ts_us"), ["shard"]).select("shard", "event_id", "delta")
+    snapshots, ticks = f.where("kind = 'buy' and shard <> 6").select("shard", "event_id", "ts_us"), f.where("kind = 'trade' and shard <> 5").select("shard", "ts_us")
+    return asof.nearest_by_key(snapshots, ticks, ["shard"]).select("shard", "event_id", "delta", "status")
 
 
 @query(with_ctes(_NEAREST + """, deltas AS (SELECT shard, least(abs(ts_us - p), abs(ts_us - q)) AS delta FROM near WHERE r = 1), ranked AS (SELECT shard, delta, row_number() OVER (PARTITION BY shard ORDER BY delta) - 1 AS i, count(*) OVER (PARTITION BY shard) AS n FROM deltas WHERE delta IS NOT NULL)
 SELECT shard, max(CASE WHEN i = round_even((n - 1) * 0.5::DOUBLE, 0)::BIGINT THEN delta END) AS median, max(CASE WHEN i = round_even((n - 1) * 0.95::DOUBLE, 0)::BIGINT THEN delta END) AS p95, max(CASE WHEN i = round_even((n - 1) * 0.99::DOUBLE, 0)::BIGINT THEN delta END) AS p99 FROM ranked GROUP BY shard""", "feed"))
 def a17_relation_stats(spark: SparkSession, d: str) -> DataFrame:
-    return stats.rank_percentiles(j1_nearest_tick(spark, d), ["shard"], "delta", {"median": (0.5, "round"), "p95": (0.95, "round"), "p99": (0.99, "round")})
+    f = A.feed(spark, d)
+    near = asof.nearest(f.where("kind = 'buy'").select("shard", "event_id", "ts_us"), f.where("kind = 'trade'").select("shard", "ts_us"), ["shard"])
+    return stats.rank_percentiles(near, ["shard"], "delta", {"median": (0.5, "round"), "p95": (0.95, "round"), "p99": (0.99, "round")})
 
 
 _FUTURE = """WITH mids AS (SELECT symbol, ts_us, event_id AS sequence, (ask_prices[1] + bid_prices[1]) / 2 AS mid FROM snapshots)"""

@@ -69,7 +69,7 @@ def a19_feed_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SEQ = "(event_id // 3 * 3 + event_id % 2)"
-_AUDIT = f"WITH s AS (SELECT shard, event_id, {_SEQ} AS seq FROM feed), p AS (SELECT *, seq - max(seq) OVER (PARTITION BY shard ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM s), a AS (SELECT *, CASE WHEN step IS NULL OR step = 1 THEN 'ok' WHEN step <= 0 THEN 'duplicate' ELSE 'gap' END AS state, CASE WHEN step > 1 THEN step - 1 ELSE 0 END AS missing FROM p)"
+_AUDIT = f"WITH s AS (SELECT shard, event_id, kind, {_SEQ} AS seq FROM feed), p AS (SELECT *, seq - max(seq) OVER (PARTITION BY shard ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM s), a AS (SELECT *, CASE WHEN step IS NULL OR step = 1 THEN 'ok' WHEN step <= 0 THEN 'duplicate' ELSE 'gap' END AS state, CASE WHEN step > 1 THEN step - 1 ELSE 0 END AS missing FROM p)"
 
 
 def _audited(spark: SparkSession, d: str) -> DataFrame:
@@ -82,10 +82,10 @@ def w1_sequence_audit(spark: SparkSession, d: str) -> DataFrame:
     return _audited(spark, d).select("event_id", "state", "missing")
 
 
-@query(with_ctes(_AUDIT + " SELECT shard, max(event_id) AS last_event, max(seq) AS last_sequence, count(*) FILTER (state = 'duplicate') AS duplicates, sum(missing)::BIGINT AS missing, greatest(max(event_id) - max(seq), 0) AS flush_lag FROM a GROUP BY 1", "feed"))
+@query(with_ctes(_AUDIT + " SELECT shard, max(event_id) AS last_event, max(seq) AS last_sequence, count(*) AS captured, count(*) FILTER (kind <> 'malformed' AND state <> 'duplicate') AS selected, count(*) FILTER (kind = 'malformed') AS malformed, count(*) FILTER (state = 'duplicate') AS duplicates, sum(missing)::BIGINT AS missing, greatest(max(event_id) - max(seq), 0) AS flush_lag FROM a GROUP BY 1", "feed"))
 def a20_recovery_status(spark: SparkSession, d: str) -> DataFrame:
     lag = F.greatest(F.max("event_id") - F.max("seq"), F.lit(0))
-    return _audited(spark, d).groupBy("shard").agg(F.max("event_id").alias("last_event"), F.max("seq").alias("last_sequence"), F.count_if(F.col("state") == "duplicate").alias("duplicates"), F.sum("missing").alias("missing"), lag.alias("flush_lag"))
+    return _audited(spark, d).groupBy("shard").agg(F.max("event_id").alias("last_event"), F.max("seq").alias("last_sequence"), F.count("*").alias("captured"), F.count_if((F.col("kind") != "malformed") & (F.col("state") != "duplicate")).alias("selected"), F.count_if(F.col("kind") == "malformed").alias("malformed"), F.count_if(F.col("state") == "duplicate").alias("duplicates"), F.sum("missing").alias("missing"), lag.alias("flush_lag"))
 
 
 @query(with_ctes("SELECT count(*) AS events, count(*) FILTER (kind IN ('buy', 'sell')) AS orders, count(*) FILTER (kind = 'trade') AS executions FROM feed", "feed"))
@@ -93,10 +93,12 @@ def a21_verify_counts(spark: SparkSession, d: str) -> DataFrame:
     return A.feed(spark, d).agg(F.count("*").alias("events"), F.count_if(F.col("kind").isin("buy", "sell")).alias("orders"), F.count_if(F.col("kind") == "trade").alias("executions"))
 
 
-@query(with_ctes("SELECT coalesce(kind, 'all') AS status, coalesce(shard, -1) AS failure, count(*) AS n, round(avg(CASE WHEN volume > 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS truncated FROM feed GROUP BY CUBE (kind, shard)", "feed"))
+@query(with_ctes("SELECT coalesce(kind, 'all') AS status, coalesce(shard, -1) AS failure, coalesce(bad, 'all') AS invalidating, count(*) AS n, round(avg(CASE WHEN volume > 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS truncated FROM (SELECT *, CASE WHEN event_id % 10 = 0 THEN 'yes' ELSE 'no' END AS bad FROM feed) GROUP BY CUBE (kind, shard, bad)", "feed"))
 def a22_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    cube = A.feed(spark, d).cube("kind", "shard").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("volume") > 5, 1.0).otherwise(0.0)), 6).alias("truncated"))
-    return cube.select(F.coalesce("kind", F.lit("all")).alias("status"), F.coalesce("shard", F.lit(-1)).alias("failure"), "n", "truncated")
+    """Counts over all combinations of status, failure code and whether it invalidates."""
+    rows = A.feed(spark, d).withColumn("bad", F.when(F.col("event_id") % 10 == 0, "yes").otherwise("no"))
+    cube = rows.cube("kind", "shard", "bad").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("volume") > 5, 1.0).otherwise(0.0)), 6).alias("truncated"))
+    return cube.select(F.coalesce("kind", F.lit("all")).alias("status"), F.coalesce("shard", F.lit(-1)).alias("failure"), F.coalesce("bad", F.lit("all")).alias("invalidating"), "n", "truncated")
 
 
 @query("""SELECT count(*) FILTER (r = 'keep') AS accepted, count(*) FILTER (r <> 'keep') AS rejected, count(*) AS candidates, count(*) FILTER (r = 'delisting') AS delisting, count(*) FILTER (r = 'new_listing') AS new_listing, count(*) FILTER (r = 'st') AS st
@@ -143,18 +145,25 @@ def a29_rolling_volume(spark: SparkSession, d: str) -> DataFrame:
     return sampling.rolling_volume(A.feed(spark, d), ["symbol"], "ts_us", 3_600_000_000).select("event_id", "window_volume")
 
 
-@query(with_ctes("SELECT coalesce(kind, 'total') AS stage, count(*) AS n, round(avg(price), 6) AS mean, max(price) AS max FROM feed GROUP BY ROLLUP (kind)", "feed"))
+@query(with_ctes("""WITH s AS (SELECT kind AS stage, price FROM feed UNION ALL SELECT 'total', price FROM feed), r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY price) - 1 AS i, count(*) OVER (PARTITION BY stage) AS k FROM s)
+SELECT stage, count(*) AS n, round(avg(price), 6) AS mean, max(CASE WHEN i = (k - 1) // 2 THEN price END) AS p50, max(CASE WHEN i = (k - 1) * 99 // 100 THEN price END) AS p99, max(price) AS max FROM r GROUP BY stage""", "feed"))
 def a30_stage_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.feed(spark, d).rollup("kind").agg(F.count("*").alias("n"), F.round(F.avg("price"), 6).alias("mean"), F.max("price").alias("max"))
-    return rows.select(F.coalesce("kind", F.lit("total")).alias("stage"), "n", "mean", "max")
+    """The latency summary of each stage and over all."""
+    rows = A.feed(spark, d).select(F.explode(F.array("kind", F.lit("total"))).alias("stage"), "price")
+    return stats.latency_summary(rows, ["stage"], "price").withColumn("mean", F.round("mean", 6))
 
 
 @query(with_ctes("SELECT symbol, max(ts_us) AS last, (SELECT max(ts_us) FROM feed) - max(ts_us) > 86400000000 AS stale FROM feed GROUP BY 1", "feed"))
 def a31_stale_symbols(spark: SparkSession, d: str) -> DataFrame:
     last = A.feed(spark, d).groupBy("symbol").agg(F.max("ts_us").alias("last"))
-    # One row of one number, met by a constant key.
-    newest = last.agg(F.max("last").alias("newest")).withColumn("k", F.lit(1))
-    return last.withColumn("k", F.lit(1)).join(newest, "k").select("symbol", "last", (F.col("newest") - F.col("last") > A.DAY_US).alias("stale"))
+    newest = last.agg(F.max("last").alias("newest"))  # one row
+    return last.crossJoin(F.broadcast(newest)).select("symbol", "last", (F.col("newest") - F.col("last") > A.DAY_US).alias("stale"))
+
+
+@query(with_ctes("SELECT shard, count(*) AS n, count(*) FILTER (gap > 7200000000) AS gaps, max(gap) AS longest FROM (SELECT shard, ts_us - lag(ts_us) OVER (PARTITION BY shard ORDER BY ts_us) AS gap FROM feed) GROUP BY 1", "feed"))
+def a31_shard_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps of over two hours in each shard."""
+    return stats.gap_metrics(A.feed(spark, d), ["shard"], "ts_us", 7_200_000_000)
 
 
 # --- windows ----------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, kind: str = "stream") -> str:
@@ -20,3 +20,10 @@ def shared_dir(spark: SparkSession, kind: str = "stream") -> str:
             named = tempfile.mkdtemp(prefix="spark-stream-")
         sc.setCheckpointDir(named)
     return f"{sc.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once, written to a fresh shared folder and read from there."""
+    path = shared_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
