@@ -17,7 +17,8 @@ def plain(url, rules, default="allow"):
     cut = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
     host = "".join(c.lower() if c.isascii() else c for c in rest[:cut])
     path = rest[cut:].split("?")[0].split("#")[0]
-    fit = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1]) and host]
+    words = {"~" + w for w in host.replace("-", ".").split(".")}
+    fit = [r for r in rules if host and None not in r and (r[0] in words if r[0][:1] == "~" else (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1]))]
     if not fit:
         return host, path, None, default
     best = max(fit, key=lambda r: (-r[3], len(r[0] + r[1]), len(r[0]), r[2]))
@@ -49,3 +50,24 @@ def test_hosts_of_many_labels(spark):
     from tidemark.llm import url_rules
 
     assert {r.page_id: r.verdict for r in url_rules.judge(pages, rules).collect()} == {1: "block", 2: "allow"}
+
+
+def test_fifty_thousand_rules_with_precedence(spark, monkeypatch):
+    """Rules by broadcast and by shuffle, of several tiers, overlapping in host and path."""
+    import random
+
+    rnd = random.Random(3)
+    hosts = [".".join(rnd.choice("abcdefgh") * rnd.randrange(1, 3) for _ in range(rnd.randrange(1, 4))) + rnd.choice([".com", ".net", ".org"]) for _ in range(400)]
+    rules = [(rnd.choice(hosts) if i % 3 else f"h{i}.{rnd.choice(hosts)}", "".join(f"/{rnd.choice('xyz')}" for _ in range(rnd.randrange(4))), rnd.choice(["allow", "block"]), rnd.randrange(3)) for i in range(50_000)]
+    rules += [("~pills", "", "block", 1), ("~aa", "", "allow", 0), (None, "/", "block", 0), ("com", None, "block", 0), ("com", "", None, 0)]
+    urls = [f"http://{rnd.choice(['', 'www.', 'cheap-pills.', 'h9.'])}{rnd.choice(hosts)}" + "".join(f"/{rnd.choice('xyz')}" for _ in range(rnd.randrange(5))) for _ in range(300)]
+    want = {i: plain(u, rules) for i, u in enumerate(urls)}
+    assert judge(spark, urls, rules) == want and len({v[3] for v in want.values()}) == 2
+    monkeypatch.setattr(ur, "BROADCAST_RULES", 0)
+    assert judge(spark, urls, rules) == want
+
+
+def test_default_rules_block_by_words(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://best-casino.example.org/x", "http://spam-farm.example.org", "http://pills.example.com", "http://spillscasinos2.example.com", "http://example.org/casino"])], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in ur.judge(pages, ur.default_rules(spark)).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "allow"}

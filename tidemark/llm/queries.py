@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import centroids, decontam_sa, langid_crf, license_diagonals, line_templates, mixing, negatives, packing, pii_crf, quality_gam, robust_rules, simhash_vptree, url_rules
 from tidemark.llm.common import table
-from tidemark.llm.sql import MIX_DOMAIN, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, OWN_URL_RULES, URL_RULES
+from tidemark.llm.sql import MIX_DOMAIN, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, URL_RULES
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +70,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on each page's URL: the contract's rules first, then the method's own."""
-    rules = [(*r, 0) for r in URL_RULES] + [(*r, 1) for r in OWN_URL_RULES]
-    out = url_rules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(rules, "host string, path string, verdict string, tier int"))
+    rules = spark.createDataFrame([(*r, 0) for r in URL_RULES], "host string, path string, verdict string, tier int")
+    out = url_rules.judge(table(spark, sf_dir, "pages"), rules.union(url_rules.default_rules(spark, tier=1)))
     return out.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("rule")).alias("rule"), "verdict")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.llm.url_rules import BLOCKED_WORDS
+
 _SPACE = r"[^ \t\n\x0B\f\r]+"
 
 
@@ -94,13 +96,12 @@ MIX_DOMAIN = "CASE coalesce(try_cast(regexp_extract(source, '[0-9]+$', 0) AS INT
 MIX_WEIGHTS = [("web", None, None, 3), ("books", None, None, 5), ("code", None, None, 2), *[(d, g, None, w) for d in ("web", "books", "code") for g, w in (("en", 4), ("de", 3), ("fr", 2), ("es", 3))]]
 MIX_EPOCHS, MIX_SEED = 2, 17
 
-#: Rules of op8: the contract's, and the method's own for pages that none of those fits.
+#: Rules of op8: the contract's; the method's own for other pages are url_rules.default_rules.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-OWN_URL_RULES = [("spam-farm.example.org", "", "block"), ("cheap-pills.example.com", "", "block")]
 
 
 def url_rules_sql() -> str:
-    rows = [f"('{h}', '{p}', '{v}', 0)" for h, p, v in URL_RULES] + [f"('{h}', '{p}', '{v}', 1)" for h, p, v in OWN_URL_RULES]
+    rows = [f"('{h}', '{p}', '{v}', 0)" for h, p, v in URL_RULES] + [f"('~{w}', '', 'block', 1)" for w in BLOCKED_WORDS]
     parts = r"'^(?s:.*?)://([^/?#]*)([^?#]*)'"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
@@ -109,7 +110,7 @@ WITH rules(rh, rp, v, tier) AS (VALUES {', '.join(rows)}
   SELECT row_number() OVER () AS rid, page_id, translate(coalesce(regexp_extract(url, {parts}, 1), ''), '{upper}', '{lower}') AS host, coalesce(regexp_extract(url, {parts}, 2), '') AS path FROM pages
 ), m AS (
   SELECT p.*, rh || rp AS r, v, tier, row_number() OVER (PARTITION BY rid ORDER BY tier, length(rh || rp) DESC NULLS LAST, length(rh) DESC, v DESC) AS k
-  FROM p LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  FROM p LEFT JOIN rules ON CASE WHEN rh[1] = '~' THEN list_contains(string_split(replace(host, '-', '.'), '.'), rh[2:]) ELSE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) END
 )
 SELECT page_id, host, path, CASE WHEN tier = 0 THEN r END AS rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1"""
 
