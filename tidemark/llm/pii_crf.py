@@ -1,15 +1,14 @@
 """Personal data: exact base patterns, and a linear-chain CRF over word shapes for the rest.
 
 The base kinds (email, ip, card, phone) are regular expressions with checks. The random
-field labels the words of each line (parted by whitespace, and after the = or : of a name)
-from their shapes (classes of characters, length, hexadecimal or not), cue words before
+field labels the words of each line (parted by whitespace, after the = or : of a name and
+the :// of a link, at an @, and after a -p) from their shapes (classes of characters, length, hexadecimal or not), cue words before
 them and the shapes beside them. It is trained from a small table of labelled lines and
 decoded by Viterbi for all lines of a batch in step. Its spans (secret, ssn, iban, phone
-without a country code, email written out) are added where they touch no base span; an
-iban, an ssn, a phone number and a written-out email must look like one as a whole.
+without a country code, email written out) are added where they touch no base span, but for a password before
+an @, in which the base patterns see an address; an iban, an ssn, a phone number and a written-out email must look like one as a whole.
 
-A word's features are of bounded size: its length up to 48, the classes of its first 64
-characters, its shape to 24. All of a text's words are labelled, and a span covers whole words.
+All of a text's words are labelled by features of the whole word, and a span covers whole words.
 
 Edge cases: a null text is empty and has no spans; texts are read whole, in linear time
 whatever they hold; of equally likely labels the first in LABELS is taken; repeated rows
@@ -89,21 +88,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # --- the random field -------------------------------------------------------------
 
-BUCKETS = 4096
-#: Cue words by what they announce.
-CUES = {
-    "token": 1, "key": 1, "api_key": 1, "apikey": 1, "api-key": 1, "secret": 1, "password": 1, "passwd": 1, "bearer": 1,
-    "pw": 1, "pwd": 1, "pass": 1, "passphrase": 1, "passwort": 1, "credential": 1, "credentials": 1, "access_token": 1, "auth": 1, "client_secret": 1,
-    "ssn": 2, "social": 2, "iban": 3, "account": 3, "konto": 3, "call": 4, "tel": 4, "phone": 4, "fax": 4, "telefon": 4, "mobile": 4, "ring": 4, "text": 4,
-    "mail": 5, "email": 5, "contact": 5, "write": 5, "reach": 5, "at": 6, "dot": 7, "=": 8, ":": 8, ":=": 8, "=>": 8, "is": 9, "was": 9,
-    "no": 10, "order": 10, "ref": 10, "ticket": 10, "invoice": 10, "serial": 10, "part": 10, "isbn": 10, "page": 10, "version": 10, "item": 10,
-    "commit": 11, "sha": 11, "sha1": 11, "sha256": 11, "md5": 11, "hash": 11, "checksum": 11, "revision": 11, "rev": 11, "digest": 11, "uuid": 11, "id": 11,
-}
-N_CUES, N_COARSE = 13, 8  # the last cue stands for the edge of a line
+BUCKETS = 8192
+#: Cue words, in four languages, by what they announce.
+_CUE_WORDS = [
+    "token key api_key apikey api-key secret password passwd bearer pw pwd pass passphrase passwort credential credentials access_token auth client_secret kennwort passe contraseña clave geheim basic -p",
+    "ssn social", "iban account konto compte cuenta",
+    "call tel phone fax telefon mobile ring text dial handy mobilnummer nummer rufen anrufen appelez appeler joindre cell büro marque llamar téléphone tél portable numéro llame teléfono móvil número number",
+    "mail email contact write reach e-mail kontakt schreiben écrivez courriel escriba correo", "at arroba arobase", "dot punkt point punto underscore dash", "= : := =>",
+    "is was ist war lautet est es", "no order ref ticket invoice serial part isbn page version item rechnung bestellung facture commande pedido", "commit sha sha1 sha256 md5 hash checksum revision rev digest uuid id",
+    "code codes otp pin tan passcode código tan-code pin-code one-time", "zip area error postal postleitzahl", "must muss doit debe should soll", "://", "@",
+]
+CUES = {w: k for k, words in enumerate(_CUE_WORDS, 1) for w in words.split()}
+N_CUES, N_COARSE = len(_CUE_WORDS) + 2, 8  # the last cue stands for the edge of a line
 
 _EDGE = "\"'`.,;:!?()[]{}<>*#$%&|=-"
-#: A name with the sign that ties it to a value, or a word.
-_TIED = re.compile(r"[A-Za-z_][\w.-]*[=:]+(?=[^\s=:/])|\S+")
+#: The scheme of a link, a name with the sign that ties it to a value, a -p before one, an @, or a word.
+_TIED = re.compile(r"[A-Za-z][\w+.-]*://(?=\S)|[A-Za-z_][\w.-]*[=:]+(?=[^\s=:/])|(?<!\S)-[pP](?=[^\s-]*[0-9!$%&#*?])|@|[^\s@]+")
+_SPACED = re.compile(r"\S+")
+#: An address in one word whose signs are written out.
+_WRITTEN = re.compile(r"\w[\[(]at[\])]\w", re.I)
 
 
 class _Classes(dict):
@@ -118,35 +121,47 @@ class _Classes(dict):
 _SHAPE = _Classes()
 #: What a span of a kind must look like as a whole.
 _LOOKS = {
-    "email": re.compile(r"\S+(?: [\[(]?dot[\])]? \S+)* [\[(]?at[\])]? \S+(?: [\[(]?dot[\])]? \S+)+", re.I),
+    "email": re.compile(
+        r"\S+(?: [\[(]?(?:dot|punkt|point|punto|underscore|dash)[\])]? \S+)* [\[(]?(?:at|arroba|arobase)[\])]? \S+(?: [\[(]?(?:dot|punkt|point|punto)[\])]? \S+)+"
+        r"|[^\s\[\]()]+[\[(]at[\])][^\s\[\]()]+(?:[\[(]dot[\])][^\s\[\]()]+)+", re.I),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}"),
     "phone": re.compile(r"[(]?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}"),
-    "secret": re.compile(r"\S{6,}"),
+    "secret": re.compile(r"\S{6,}|(?=\S*[0-9])(?=\S*[^\w\s])\S{5}|[0-9]{4,8}|[0-9]{3}[ -][0-9]{3}"),
     "ssn": re.compile(r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}"),
 }
 
 
+#: Padding that belongs to a value.
+_PADDED = re.compile(r"[A-Za-z0-9+/_-]{12,}={1,2}")
+
+
+def tied(line: str) -> bool:
+    return "=" in line or ":" in line or "@" in line or "-p" in line or "-P" in line
+
+
 def words_of(line: str) -> list[str]:
-    return _TIED.findall(line) if "=" in line or ":" in line else line.split()
-_SPACED = re.compile(r"\S+")
+    return _TIED.findall(line) if tied(line) else line.split()
+
+
 _HEX = re.compile(r"[0-9a-fA-F]+")
 
 
 def cue_of(word: str) -> int:
-    return CUES.get(word if word in ("=", ":", ":=", "=>") else word.lower().strip("\"'.,;:()[]<>="), 0)
+    return CUES.get(word if word in ("=", ":", ":=", "=>", "@") else "://" if word.endswith("://") else word.lower().strip("\"'.,;:()[]<>="), 0)
 
 
 def word_shape(word: str) -> tuple[list[int], int, int]:
     """Feature numbers of a word, its cue and its coarse class."""
     core = word.strip(_EDGE)
-    shape = core[:64].translate(_SHAPE)
-    short = re.sub(r"(.)\1+", r"\1", shape)[:16]
+    shape = core.translate(_SHAPE)
+    short = re.sub(r"(.)\1+", r"\1", shape)
+    short = short if len(short) <= 24 else "long"
     size = min(len(core), 8) if len(core) < 8 else 8 + min(len(core) // 4, 12)
     long_hex = len(core) >= 16 and bool(_HEX.fullmatch(core)) and any(c.isdigit() for c in core) and any(c.isalpha() for c in core)
     mixed = sum(a != b for a, b in zip(shape, shape[1:]))
     cue = cue_of(word)
     coarse = 0 if not core else 1 if core.isalpha() else 2 if core.isdigit() else 3 if long_hex else 4 if any(c.isdigit() for c in core) else 5
-    names = [f"s{short}", f"n{size}", f"h{long_hex}", f"m{min(mixed, 10)}", f"c{cue}", f"e{shape[:24]}" if len(shape) <= 24 else "e", f"q{word[:1] in _EDGE}{coarse}", f"z{core[:1] == '0'}{size}", f"p{core[:3]}" if len(core) >= 16 else "p", f"t{word[-1:] in '=:'}{cue}"]
+    names = [f"s{short}", f"n{size}", f"h{long_hex}", f"m{min(mixed, 10)}", f"c{cue}", f"e{shape}" if len(shape) <= 24 else "e", f"a{bool(_WRITTEN.search(word))}", f"q{word[:1] in _EDGE}{coarse}", f"z{core[:1] == '0'}{size}", f"p{core[:3]}" if len(core) >= 16 else "p", f"t{word[-1:] in '=:'}{cue}"]
     return [zlib.crc32(n.encode()) % BUCKETS for n in names], cue, coarse
 
 
@@ -193,7 +208,7 @@ class PiiModel:
             self.known, self.shared, self.rows, self.tags, new = {}, {}, self.rows[:0], self.tags[:0], list(set(words))
         if new:
             # Words without digits or cues that have one shape share a row.
-            keys = [k if "9" not in (k := w.translate(_SHAPE)) and not cue_of(w) else w for w in new]
+            keys = [k if "9" not in (k := w.translate(_SHAPE)) and not cue_of(w) and not _WRITTEN.search(w) else w for w in new]
             fresh = [k for k in dict.fromkeys(keys) if k not in self.shared]
             shapes = [word_shape(k) for k in fresh]
             self.shared.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
@@ -233,7 +248,7 @@ class PiiModel:
             i, begin = places[k]
             stop = texts[i].find("\n", begin)
             line = texts[i][begin : stop if stop >= 0 else None]
-            words = [m.span() for m in (_TIED if "=" in line or ":" in line else _SPACED).finditer(line)]
+            words = [m.span() for m in (_TIED if tied(line) else _SPACED).finditer(line)]
             marks = label[ends[k] - len(lines[k]) : ends[k]]
             at = 0
             while at < len(marks):
@@ -248,6 +263,8 @@ class PiiModel:
                 edge = _EDGE.replace("(", "") if marks[at] == LABELS.index("phone") else _EDGE
                 a, b = a + len(whole) - len(whole.lstrip(edge)), b - len(whole) + len(whole.rstrip(_EDGE))
                 kind = LABELS[marks[at]]
+                if kind == "secret" and (m := _PADDED.match(texts[i], a)) and m.end() > b:
+                    b = m.end()
                 if a < b and (kind not in _LOOKS or _LOOKS[kind].fullmatch(texts[i], a, b)):
                     out[i].append((a, b, kind))
                 at = last + 1
@@ -257,8 +274,21 @@ class PiiModel:
 
 #: Lines with the labelled part in braces, as kind and pattern: 9 a digit,
 #: h a hexadecimal digit, b a base-62 character, q a sign, X a capital letter, w a made-up word,
-#: what angle brackets hold as it stands.
+#: what angle brackets hold as it stands; ~ is one of PASSWORDS.
+PASSWORDS = [
+    "Xw9", "Xw99", "Xw999", "Xw9999", "Xwq99", "Xwq9999", "Xwq", "w99", "w9999", "w-w", "w-w-99", "w-w-w", "w-w9", "w_w_9", "w.w99", "Xw-Xw-9", "XwXw99", "XwqXw9", "99w99", "9999bXbX", "9w9w", "wqw9", "w9qw9", "qw99", "9q9w9",
+    "bbqbbb9", "bq9bXq", "b9b9b9b9", "bbbbbbbbbbbb", "bbbbbb99bbbbbb", "X9b9bXb9", "qqw9", "Xw-w-w-9", "w9-w9", "Xwqq", "bbbb-bbbb-bbbb", "X99wX9w",
+]
 FRAMES = [
+    "password: {secret:~}", "w password: {secret:~} w w", "password {secret:~} w w", "w w password {secret:~} w", "w password is {secret:~} w w", "password is {secret:~}, w", "the password was {secret:~}.", "w w: {secret:~}@w.w", "w w w password {secret:~}, w w",
+    "pw {secret:~} w w", "w pw {secret:~}", "pw={secret:~}", "w pw: {secret:~}, w", "w pwd={secret:~} w w", "pwd {secret:~}", "pass: {secret:~} w", "w passwd: {secret:~}", "secret: {secret:~}", "secret={secret:~} w", "w login w:{secret:~}@w.w.com w", "w://w:{secret:~}@w.w:9999/w w",
+    "w -u w -p{secret:~} w", "passwort: {secret:~}", "w w, passwort {secret:~}, w w", "w passwort ist {secret:~} w", "w passwort lautet {secret:~}, w w", "kennwort: {secret:~} (w w)", "w kennwort lautet {secret:~}, w", "w kennwort ist {secret:~}.",
+    "w mot de passe est {secret:~} w w", "mot de passe : {secret:~}", "w mot de passe {secret:~}, w", "mot de passe: {secret:~}", "la contraseña es {secret:~} w w", "contraseña: {secret:~} w", "w contraseña {secret:~}, w", "w=w clave={secret:~}", "clave: {secret:~}", "w clave es {secret:~}.",
+    "code is {secret:999 999}, w w", "w code: {secret:999 999}", "enter {secret:999 999} w w code", "use {secret:999999} w w code w", "w code w w : {secret:999 999}", "w w code w w : {secret:999999}", "w code : {secret:999 999}", "w code is {secret:999 999} w", "w code ist {secret:999 999}.", "tan-code: {secret:999999}", "w pin-code {secret:9999} w",
+    "w appeler le {phone:09 99 99 99 99} w w", "w le {phone:09 99 99 99 99} w", "w au {phone:09 99 99 99 99}, w", "w w w {phone:0999/999999}.", "w w w w {phone:099/9999999} w", "w: {phone:0999/9999999}", "teléfono {phone:999999999}", "marque el {phone:999 999 999} w", "w el {phone:999 99 99 99}, w", "her cell, {phone:999-999-9999}, w",
+    "{iban:XX99 9999 9999 9999}", "{iban:XX99 9999 9999 9999 9999 99}", "{iban:XX99999999999999}", "w w {iban:XX99 XXXX 9999 9999 9999 99}.", "w w w {iban:XX9999999999999999999999}, w", "w {iban:XX99 9999 9999 99XX 9999 9999 999} w", "w social security {ssn:999 99 9999} w", "social {ssn:999 99 9999}", "w w ssn {ssn:999 99 9999}, w", "w: {ssn:999-99-9999}", "w w w w w {ssn:999-99-9999}",
+    "w w {email:w[at]w[dot]com}.", "w {email:w[at]w[dot]w} w", "{email:w(at)w(dot)com}", "mail {email:w(at)w(dot)w} w", "w w {email:w(at)w[dot]net} w", "w w a {email:w arroba w punto com}.", "w w à {email:w arobase w point org}, w", "w an {email:w punkt w at w punkt de} w", "{email:w at w punkt de}", "w an {email:w at w punkt com} w w", "mail w {email:w at w dot com} w",
+    "passphrase = {secret:~}", "w passphrase is {secret:~} w w", "w passphrase: {secret:~}", "w w w token {secret:~} w", "token={secret:~}; w w", "w auth={secret:~}; w", "w key {secret:~} w w", "api key = {secret:~}, w w", "bearer {secret:~} w w", "w w (password {secret:~}) w",
     'w w w token = "{secret:hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh}" w w',
     "w, w token = {secret:hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh} w w w.",
     "TOKEN = \"{secret:hhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhhh}\"!! W!! W!!",
@@ -296,13 +326,14 @@ def labelled_table(copies: int = 6, seed: int = 11) -> list[tuple[list[str], lis
             word = lambda m: "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 4)))
             pattern = re.sub(r"\bW\b", lambda m: word(m).title() if rnd.random() < 0.6 else word(m).upper(), re.sub(r"\bw\b", word, pattern))
             return re.sub(r"9|\bh{4,}\b", lambda m: "".join(made[c]() for c in m.group()), pattern)
+        pattern = rnd.choice(PASSWORDS) if pattern == "~" else pattern
         made["w"] = lambda: "".join(rnd.choice(parts) for _ in range(rnd.randrange(2, 4)))
         value = re.sub(r"<([^>]*)>|.", lambda m: m.group(1) or (made[m.group()]() if m.group() in made else m.group()), pattern)
         return value.upper() if set(pattern) == {"h"} and rnd.random() < 0.3 else value
 
     out = []
     for frame in FRAMES:
-        for _ in range(copies):
+        for _ in range(copies * (1 + ("~" in frame))):
             words, labels, cut = [], [], 0
             pieces = [(m.start(), m.end(), m.group(1), m.group(2)) for m in re.finditer(r"\{(\w+):([^}]*)\}", frame)]
             text, marks = "", []
@@ -312,7 +343,9 @@ def labelled_table(copies: int = 6, seed: int = 11) -> list[tuple[list[str], lis
                 marks.append((len(text), len(text) + len(value), kind))
                 text, cut = text + value, b
             text += fill(frame[cut:], None)
-            for m in (_TIED if "=" in text or ":" in text else _SPACED).finditer(text):
+            if rnd.random() < 0.4:
+                text = text[:1].upper() + text[1:]
+            for m in (_TIED if tied(text) else _SPACED).finditer(text):
                 words.append(m.group())
                 labels.append(next((k for a, b, k in marks if m.start() < b and m.end() > a), "O"))
             out.append((words, labels))
@@ -339,7 +372,9 @@ def all_spans(texts: list[str | None], model: PiiModel) -> list[tuple[list, list
     out = []
     for text, more in zip(texts, model.spans(texts)):
         base = base_spans(text)
-        out.append((base, [s for s in more if not any(s[0] < b and a < s[1] for a, b, _ in base)]))
+        # In user:password@host the base patterns see an address; the password in it is added all the same.
+        inside = lambda s: next((k == "email" and s[2] == "secret" and text[s[1] : s[1] + 1] == "@" for a, b, k in base if s[0] < b and a < s[1]), True)  # noqa: B023, E731
+        out.append((base, [s for s in more if inside(s)]))
     return out
 
 
