@@ -6,7 +6,8 @@ the :// of a link, at an @, and after a -p) from their shapes (classes of charac
 them and the shapes beside them. It is trained from a small table of labelled lines and
 decoded by Viterbi for all lines of a batch in step. Its spans (secret, ssn, iban, phone
 without a country code, email written out) are added where they touch no base span, but for a password before
-an @, in which the base patterns see an address; an iban, an ssn, a phone number and a written-out email must look like one as a whole.
+an @, in which the base patterns see an address; an iban, an ssn, a phone number and a written-out email must look like one as a whole, and a
+secret is no plain word.
 
 All of a text's words are labelled by features of the whole word, and a span covers whole words.
 
@@ -126,7 +127,7 @@ _LOOKS = {
         r"|[^\s\[\]()]+[\[(]at[\])][^\s\[\]()]+(?:[\[(]dot[\])][^\s\[\]()]+)+", re.I),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}"),
     "phone": re.compile(r"[(]?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}"),
-    "secret": re.compile(r"\S{6,}|(?=\S*[0-9])(?=\S*[^\w\s])\S{5}|[0-9]{4,8}|[0-9]{3}[ -][0-9]{3}"),
+    "secret": re.compile(r"(?=\S*(?:[^A-Za-zÀ-ÿ]|[a-z][A-Z]))\S{6,}|(?=\S*[0-9])(?=\S*[^\w\s])\S{5}|[0-9]{4,8}|[0-9]{3}[ -][0-9]{3}"),
     "ssn": re.compile(r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}"),
 }
 
@@ -373,7 +374,7 @@ def all_spans(texts: list[str | None], model: PiiModel) -> list[tuple[list, list
     for text, more in zip(texts, model.spans(texts)):
         base = base_spans(text)
         # In user:password@host the base patterns see an address; the password in it is added all the same.
-        inside = lambda s: next((k == "email" and s[2] == "secret" and text[s[1] : s[1] + 1] == "@" for a, b, k in base if s[0] < b and a < s[1]), True)  # noqa: B023, E731
+        inside = lambda s: next((k == "email" and s[2] == "secret" and text[s[0] - 1 : s[0]] == ":" and text[s[1] : s[1] + 1] == "@" for a, b, k in base if s[0] < b and a < s[1]), True)  # noqa: B023, E731
         out.append((base, [s for s in more if inside(s)]))
     return out
 
