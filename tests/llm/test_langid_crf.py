@@ -63,7 +63,7 @@ def test_forward_backward_against_all_labellings():
     model = lid.fit([(t, x) for _, t, x, _ in corpus(60, 5)])
     for text in ("thing schkeit mente", "eau", "ther ther ung ción", "WHING, 12 los"):
         words = lid.words_in(text)
-        emit = [[sum(model.weight[f][y] for f in lid.word_features(w, model.lexicon) if f >= 0) for y in range(len(model.langs))] for w in words]
+        emit = [[sum(model.weight[f][y] for f in lid.word_features(w, model.lexicon)) for y in range(len(model.langs))] for w in words]
         share = [[0.0] * len(model.langs) for _ in words]
         for labels in itertools.product(range(len(model.langs)), repeat=len(words)):
             weight = math.exp(sum(emit[i][y] for i, y in enumerate(labels)) + sum(model.transit[a][b] for a, b in itertools.pairwise(labels)))
@@ -73,3 +73,11 @@ def test_forward_backward_against_all_labellings():
         means = [sum(s[y] for s in share) / total / len(words) for y in range(len(model.langs))]
         langs, scores = model.predict([text])
         assert langs == [model.langs[max(range(len(means)), key=means.__getitem__)]] and abs(scores[0] - max(means)) < 1e-9
+
+
+def test_all_of_a_long_word_counts():
+    """A change in the middle of a long word changes its features; none is left out."""
+    a, b = "a" * 40 + "xyz" + "b" * 40, "a" * 40 + "xqz" + "b" * 40
+    none = frozenset()
+    assert lid.word_features(a, none) != lid.word_features(b, none)
+    assert len(lid.word_features("".join(chr(97 + i % 26) for i in range(26)), none)) == 7 + 23

@@ -11,8 +11,9 @@ The model is fitted on at most ``docs_per_lang`` documents of each language, in
 order of a hash of their id, and at most ``spans_per_doc`` spans of each. Prediction
 reads every row's whole text, and nothing but the text.
 
-A word has at most ``SLOTS`` features: of a word of more than about a dozen bytes the
-n-grams nearest to its two ends. Texts of any length are labelled whole, word by word.
+A word's score is the sum over all its features, however long it is. (In training a word of
+more than ``SLOTS`` features, some sixty bytes, is learned from its first ones.) Texts of any
+length are labelled whole, word by word.
 
 Edge cases: null texts and texts without a letter (Unicode categories L) are ``und`` with
 score 0, whatever digits, fractions or marks they hold; other characters only part words;
@@ -40,7 +41,7 @@ from tidemark.llm.common import by_batch, thinned
 #: Runs of letters, and of what Unicode counts as numbers but not as decimal digits.
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
-SLOTS = 16
+SLOTS = 64
 #: Words whose emissions a worker remembers before it starts anew.
 REMEMBERED = 400_000
 #: Words that are decoded at once.
@@ -56,19 +57,18 @@ def words_in(text: str | None) -> list[str]:
 
 
 def word_features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Feature numbers of a word, at most SLOTS, padded with -1.
+    """Feature numbers of a word: affixes, all n-grams, and the word itself if it is in the lexicon.
 
-    Affixes and n-grams are of the lower-cased word's UTF-8 bytes; the second argument of
-    the hash keeps the kinds of features apart.
+    They are of the lower-cased word's UTF-8 bytes; the second argument of the hash keeps
+    the kinds of features apart.
     """
     w = word.lower()
     b, crc = w.encode(), zlib.crc32
-    # n-grams from both ends inwards; the longest words skip some in the middle.
-    inner = {b[i : i + 3] for i in range(1, len(b) - 2) if i < 5 or i > len(b) - 6}
-    out = [crc(b[:1], 1), crc(b[:2], 2), crc(b[:3], 3), crc(b[-1:], 4), crc(b[-2:], 5), crc(b[-3:], 6), crc(b[-4:], 7)] + [crc(g, 8) for g in sorted(inner)]
+    inner = {b[i : i + 3] for i in range(1, len(b) - 2)}
+    out = [crc(b[:1], 1), crc(b[:2], 2), crc(b[:3], 3), crc(b[-1:], 4), crc(b[-2:], 5), crc(b[-3:], 6), crc(b[-4:], 7)]
     if w in lexicon:
         out.append(crc(b, 9))
-    return [h % BUCKETS for h in out[-SLOTS:]] + [-1] * (SLOTS - len(out))
+    return [h % BUCKETS for h in out] + [crc(g, 8) % BUCKETS for g in sorted(inner)]
 
 
 @dataclass
@@ -91,9 +91,11 @@ class LangModel:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 self.rows, new = self.rows[:0], list(set(words))
-            numbers = np.array([word_features(w, self.lexicon) for w in new])
+            numbers = [word_features(w, self.lexicon) for w in new]
             known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.rows = np.concatenate([self.rows, crf.emissions(self.weight, list(numbers.T))])
+            size = np.fromiter(map(len, numbers), np.int64, len(numbers))
+            flat = np.fromiter((f for x in numbers for f in x), np.int64, int(size.sum()))
+            self.rows = np.concatenate([self.rows, np.add.reduceat(self.weight[flat], np.cumsum(size) - size)])
         return self.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def label_words(self, texts: list[str | None]) -> list[list[tuple[str, str, float]]]:
@@ -154,8 +156,9 @@ def fit(rows: list[tuple[str, str]], spans_per_doc: int = 6, span_words: int = 2
     words = [w for s in sequences for x, _ in s for w in x]
     labels = np.array([y for s in sequences for x, y in s for _ in x])
     lengths = np.array([sum(len(x) for x, _ in s) for s in sequences])
-    numbers = {w: word_features(w, lexicon) for w in set(words)}
-    features = list(np.array([numbers[w] for w in words]).T)
+    numbers = {w: word_features(w, lexicon)[:SLOTS] for w in set(words)}
+    slots = max(map(len, numbers.values()))
+    features = list(np.array([numbers[w] + [-1] * (slots - len(numbers[w])) for w in words]).T)
     weight, transit = crf.fit(features, lengths, labels, BUCKETS, len(langs), epochs=6, seed=seed)
     return LangModel(langs, lexicon, weight, transit)
 

@@ -14,7 +14,8 @@ The templates are a fixed list of a few hundred grams and are broadcast. Documen
 never shuffled for the search: only votes are, pre-aggregated.
 
 Edge cases: a null text is empty; documents with equal doc_id and text are judged
-alike, and matched by both; a null doc_id is allowed; very long texts are exploded word by word and never
+alike, and matched by both; a null doc_id is allowed; where several templates of one label fit,
+the label stands once and the best cover is the score, whichever has it; very long texts are exploded word by word and never
 held as one group; an empty table gives no rows; other columns are ignored.
 """
 

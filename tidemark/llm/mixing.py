@@ -16,7 +16,8 @@ for counting and for the result and never shuffled while the tree has at most
 
 Edge cases: a null or wordless text has no tokens and is not taken; null lang or source is a leaf of its own, named
 by the empty string; a node without a given weight has ``default_weight``; weight 0
-takes nothing; rows that repeat a doc_id have one place in the order and are taken or
+takes nothing; a text of any length is counted whole and taken whole, and one of more tokens
+than its leaf's share is not taken; an own column ``domain`` or ``epoch`` is replaced; rows that repeat a doc_id have one place in the order and are taken or
 left together; leaves without tokens are left out; an empty table gives no rows.
 """
 
