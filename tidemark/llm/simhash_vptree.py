@@ -72,7 +72,7 @@ BLOCKS, RANGES = (21, 21, 22), ((7, 7, 7), (7, 7, 7), (7, 7, 8))
 #: Residents with one value beyond which their other bits are looked up as well.
 FULL = 256
 #: Pairs that are compared at once.
-RUN = 2_000_000
+RUN = 250_000
 #: Parts of a shard's residents in each of which a query's nearest partner is named.
 PARTNERS = 8
 
