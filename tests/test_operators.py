@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import arbiter, asof, book, normalize, quality, sampling, scoring, static, stats
+from tidemark.operators import arbiter, asof, book, normalize, quality, ranges, sampling, scoring, static, stats
 
 US = 1_000_000
 
@@ -81,8 +81,11 @@ def test_batch_end_sessions_and_percentiles(spark):
     assert (got.c, got.f, got.r) == (3.0, 2.0, 2.0)
 
 
-def test_percentiles_with_ties_nulls_and_small_groups(spark):
-    """Exact places in a group of one frequent value, in one of a row, and under a null key."""
+@pytest.mark.parametrize("small_rows", [0, 500_000])
+def test_percentiles_with_ties_nulls_and_small_groups(spark, monkeypatch, small_rows):
+    """Exact places in a group of one frequent value, in one of a row, and under a null key; of few
+    rows and in ranges of values."""
+    monkeypatch.setattr(ranges, "SMALL_ROWS", small_rows)
     rnd = random.Random(7)
     groups = {"hot": [5.0] * 4000 + [rnd.random() * 10 for _ in range(2000)], "one": [3.0], None: [float(i % 17) for i in range(500)], "none": [None] * 3}
     rows = spark.createDataFrame([(g, v) for g, values in groups.items() for v in [*values, None]], "g string, v double")
@@ -193,8 +196,10 @@ def test_parity_sees_a_changed_order(spark):
     assert digests[0] == digests[1] != digests[2]
 
 
-def test_large_groups_in_ranges_equal_whole_windows(spark):
-    """Numbers, audits and nearest ticks of one hot group, null keys, ties and null times."""
+@pytest.mark.parametrize("small_rows", [0, 500_000])
+def test_large_groups_in_ranges_equal_whole_windows(spark, monkeypatch, small_rows):
+    """Numbers, audits, gaps and nearest ticks of one hot group, null keys, ties and null times."""
+    monkeypatch.setattr(ranges, "SMALL_ROWS", small_rows)
     rnd = random.Random(5)
     rows = [(i, None if i % 9 == 0 else "hot" if i % 3 else "b", None if i % 50 == 3 else rnd.randrange(60), rnd.randrange(200)) for i in range(400)]
     frame = spark.createDataFrame(rows, "id long, g string, t long, seq long")
@@ -213,6 +218,11 @@ def test_large_groups_in_ranges_equal_whole_windows(spark):
     ticks = lambda g: [t for i, h, t, _ in rows if i % 2 and t is not None and h == g and g]
     assert near == {i: min((abs(t - x) for x in ticks(g)), default=None) for i, g, t, _ in rows if i % 2 == 0 and t is not None}
 
+    timed = frame.where("t is not null")
+    whole = timed.withColumn("gap", F.expr("t - lag(t) over (partition by g order by t)"))
+    key = lambda r: (str(r.g), r.t, -1 if r.gap is None else r.gap)
+    assert sorted(map(key, stats.gaps(timed, ["g"], "t").collect())) == sorted(map(key, whole.collect()))
+
 
 def test_ranges_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "id long, g string, t long")

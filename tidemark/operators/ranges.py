@@ -15,15 +15,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows up to which one range holds all: a window over them is a small task, whatever the groups.
+SMALL_ROWS = 500_000
+
+
 def cut(rows: DataFrame, value: str, name: str = "_range") -> DataFrame:
     """rows with the number of the range of ``value``, a number; nulls come first, as in a sort.
-    Equal values share a range."""
+    Equal values share a range. Of few rows all share one, which its metadata say."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = sorted(set(rows.approxQuantile(value, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    found = rows.agg(F.count("*").alias("n"), F.percentile_approx(value, [i / n for i in range(1, n)] or [0.5], 10 * n).alias("ends")).first()
+    if found["n"] <= SMALL_ROWS or n == 1:
+        return rows.withColumn(name, F.lit(0)).withMetadata(name, {"single": True})
     at = F.when(F.col(value).isNull(), -1)
-    if not ends:
-        return rows.withColumn(name, at.otherwise(0))
-    bounds = F.array(*[F.lit(x) for x in ends])
+    bounds = F.array(*[F.lit(x) for x in sorted(set(found["ends"] or []))])
     return rows.withColumn(name, at.otherwise(F.size(F.filter(bounds, lambda x: x < F.col(value)))))
 
 
@@ -31,6 +35,8 @@ def before(rows: DataFrame, by: list[str], facts: dict[str, tuple[Column, Column
     """rows with, per fact (an aggregate of a range, an aggregate of ``facts`` by their name), its value
     over the ranges of the group before a row's own, or after it; null where there are none."""
     each = rows.groupBy(*by, name).agg(*[one.alias(n) for n, (one, _) in facts.items()])
+    if rows.schema[name].metadata.get("single"):
+        return rows.withColumns({n: F.lit(None).cast(each.schema[n].dataType) for n in facts})
     frame = W.partitionBy(*by).orderBy(F.desc(name) if later else name).rowsBetween(W.unboundedPreceding, -1)
     carried = each.select(*[F.col(c).alias(f"_by_{c}") for c in [*by, name]], *[over.over(frame).alias(n) for n, (_, over) in facts.items()])
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in [*by, name]])
