@@ -81,3 +81,11 @@ def test_daily_document_is_published_whole_or_not_at_all(spark, tmp_path):
     (tmp_path / ".daily.json.crc").unlink(missing_ok=True)
     (tmp_path / "daily.json").write_text((tmp_path / "daily.json").read_text().replace("a", "b", 1))
     assert not read().intact
+
+
+def test_a_daily_document_of_over_20_mb_is_published(spark, tmp_path):
+    path = f"file://{tmp_path}/daily.json"
+    rows = spark.range(25).select("id", F.repeat(F.lit("x"), 1_000_000).alias("text"))
+    digest = sinks.publish_daily(rows, path, "id")
+    got = sinks.read_daily(spark, path).select("sha256", "intact", F.length("document").alias("n")).first()
+    assert got.sha256 == digest and got.intact and got.n > 25_000_000

@@ -107,7 +107,7 @@ def publish_daily(static: DataFrame, path: str, key: str = "symbol") -> str:
     files = target.getFileSystem(conf)
     try:
         daily_document(static, key).select(F.to_json(F.struct("sha256", "document"))).coalesce(1).write.text(beside)
-        found = read_daily(spark, beside).first()
+        found = read_daily(spark, beside).select("sha256", "intact").first()  # the text stays with the executors
         if found is None or not found["intact"]:
             raise OSError(f"{beside} was not written whole")
         part = next(f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen())
@@ -121,5 +121,5 @@ def publish_daily(static: DataFrame, path: str, key: str = "symbol") -> str:
 
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
     """(document, sha256, intact) of a published file; intact: its text has that hash."""
-    row = F.from_json("value", "sha256 string, document string")
+    row = F.from_json("value", "sha256 string, document string", {"maxStringLen": str(2**31 - 1)})  # 20 MB by default
     return spark.read.text(path).select(row.alias("d")).select("d.document", "d.sha256", (F.sha2("d.document", 256) == F.col("d.sha256")).alias("intact"))
