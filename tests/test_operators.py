@@ -278,6 +278,13 @@ def test_best_prices_and_market_orders(spark):
     assert got == {q: (y, 78, True) if q == orders[1][3] else (y, best(x, "S" if y == "B" else "B", t), False) for x, y, t, q in orders}
 
 
+def test_a_time_asks_no_nodes_that_its_side_cannot_have(spark):
+    for last in (1, 2, 3, 6, 7, 8, 40):
+        n = spark.range(1).selectExpr("1L AS s", f"{last}L AS n").select(F.size(book.ancestors("s", 12, "n")).alias("k")).first().k
+        nodes = spark.range(1, last + 1).selectExpr("id AS a", f"{last} + 1L AS b").select(F.explode(book.cover("a", "b", 12)).alias("at")).agg(F.max("at.level").alias("m")).first().m
+        assert nodes < n <= max(1, (last + 1).bit_length() - 1)
+
+
 def test_rejects_block_and_only_answers_to_requests_count(spark):
     """Against a plain loop, over several Arrow batches; ties in time keep their order."""
     rnd = random.Random(9)

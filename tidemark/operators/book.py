@@ -44,9 +44,11 @@ def cover(low: str, high: str, depth: int) -> Column:
     return F.expr(f"if({low} < {high}, concat({below}, {top}), null)")
 
 
-def ancestors(slot: str, depth: int) -> Column:
-    """The nodes of all levels up to ``depth`` that hold a slot."""
-    return F.expr(f"transform(sequence(0, {depth}), k -> named_struct('level', k, 'node', shiftright({slot}, k)))")
+def ancestors(slot: str, depth: int, last: str | None = None) -> Column:
+    """The nodes of all levels up to ``depth`` that hold a slot. Of slots from 1 to ``last`` no interval has
+    nodes of over (last + 1) / 2 slots, and no others are named."""
+    top = depth if last is None else f"least({depth}, length(bin({last} + 1)) - 2)"
+    return F.expr(f"transform(sequence(0, {top}), k -> named_struct('level', k, 'node', shiftright({slot}, k)))")
 
 
 def book_at(samples: DataFrame, levels: DataFrame, bucket_us: int = 86_400_000_000, depth: int = 10) -> DataFrame:
@@ -85,7 +87,7 @@ def best_prices(levels: DataFrame, depth: int = 12) -> DataFrame:
     spans = spans.withColumn("_high", F.coalesce("_valid_to", F.col("_last") + 1)).withColumn("_at", F.explode(cover("_valid_from", "_high", depth)))
     up = F.when(F.col("side") == "B", 1).otherwise(-1)
     nodes = spans.groupBy(*side, "_at").agg(F.max(F.col("tick") * up).alias("_best"))
-    asked = times.withColumn("_at", F.explode(ancestors("_slot", depth)))
+    asked = times.join(last, side).withColumn("_at", F.explode(ancestors("_slot", depth, "_last"))).drop("_slot", "_last")
     found = asked.join(nodes, [*side, "_at"], "left").groupBy(*side, "ts_us").agg(F.max("_best").alias("_best"))
     return found.select(*side, "ts_us", (F.col("_best") * up).alias("best"))
 
