@@ -129,6 +129,12 @@ def test_many_keys_share_a_group_of_state(spark, name):
         assert got.groupBy("symbol").count().where("count = 2").count() == 1000 == got.count() / 2  # the third of each is open, as nothing has passed it
 
 
+def test_malformed_events_move_the_watermark_of_delayed_cancels(spark):
+    rows = [("a", 1, 1_000_000, "buy"), ("b", 2, 9_000_000, "malformed"), ("c", 3, 2_000_000, "sell"), ("c", 4, 2_500_000, "malformed")]
+    got = replayed(spark, feed_of(spark, rows, "symbol string, event_id long, ts_us long, kind string"), lambda s: T.delayed_cancels(s, 3_000_000), ["symbol"], "ts_us", n_parts=1, **_ROCKS)
+    assert sorted((r.symbol, r.order_id, r.due_us) for r in got.collect()) == [("a", 1, 4_000_000), ("c", 3, 5_000_000)]
+
+
 def test_backfill_and_following_survive_a_failure_in_either_phase(spark, tmp_path):
     home, schema = str(tmp_path), "id long, v long"
     (tmp_path / "fail").write_text("")

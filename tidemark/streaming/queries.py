@@ -127,8 +127,7 @@ due AS (SELECT symbol, event_id, ts_us + {_DELAY_US} AS due_us, next_us FROM o W
 SELECT symbol, event_id AS order_id, due_us FROM due, last_ WHERE CASE WHEN next_us IS NULL THEN due_us // 1000 <= (newest - 1000000) // 1000 ELSE next_us > due_us END""", "feed"))
 def t8_delayed_cancels(spark: SparkSession, d: str) -> DataFrame:
     """Orders to be cancelled as nothing replaced, filled or cancelled them within half an hour."""
-    events = _feed(spark, d).where("kind <> 'malformed'")
-    return replayed(spark, events, lambda s: T.delayed_cancels(s, _DELAY_US), ["symbol"], "ts_us", **_ROCKS)
+    return replayed(spark, _feed(spark, d), lambda s: T.delayed_cancels(s, _DELAY_US), ["symbol"], "ts_us", **_ROCKS)
 
 
 @query(A.with_ctes("SELECT f.event_id, p_size * 1000.0::DOUBLE AS free_share FROM feed f LEFT JOIN part ON lpad(p_partkey::VARCHAR, 6, '0') = f.symbol", "feed"))
