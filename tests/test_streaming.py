@@ -135,6 +135,18 @@ def test_malformed_events_move_the_watermark_of_delayed_cancels(spark):
     assert sorted((r.symbol, r.order_id, r.due_us) for r in got.collect()) == [("a", 1, 4_000_000), ("c", 3, 5_000_000)]
 
 
+def test_rows_of_one_file_are_flushed_by_several_tasks(spark, tmp_path):
+    from tidemark.sources import readers, sinks
+
+    source = spark.range(1000)
+    source.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = readers.read_parquet_stream(spark, str(tmp_path / "in"), source.schema, max_bytes=1)
+    sinks.stream_sink(stream, str(tmp_path / "out"), str(tmp_path / "ck"), flush_rows=50, writers=4).awaitTermination()
+    names = [p.name for p in (tmp_path / "out").glob("part-*.parquet")]
+    assert {n.split("-")[1] for n in names} == {f"{i:05}" for i in range(4)} and len(names) == 20
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(1000))
+
+
 def test_backfill_and_following_survive_a_failure_in_either_phase(spark, tmp_path):
     home, schema = str(tmp_path), "id long, v long"
     (tmp_path / "fail").write_text("")

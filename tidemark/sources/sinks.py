@@ -44,8 +44,9 @@ def retention(partitions: DataFrame, today: Column, days: int, name: str = "name
     return partitions.withColumn("day", day).where(F.col("day") < F.date_sub(today, days))
 
 
-def stream_sink(df: DataFrame, path: str, checkpoint: str, interval: str | None = None, flush_rows: int | None = None) -> StreamingQuery:
-    """Append micro-batches as Parquet files of at most ``flush_rows`` rows.
+def stream_sink(df: DataFrame, path: str, checkpoint: str, interval: str | None = None, flush_rows: int | None = None, writers: int | None = None) -> StreamingQuery:
+    """Append micro-batches as Parquet files of at most ``flush_rows`` rows,
+    by ``writers`` tasks if that is given (else those that read; many small files of one task are slow).
 
     With an interval the query follows its source and flushes what has come every so often;
     without one it writes what is there and ends. Bytes of a flush are bounded where the stream
@@ -53,6 +54,7 @@ def stream_sink(df: DataFrame, path: str, checkpoint: str, interval: str | None
     finished batches: an incomplete tail is not read, and is written anew on restart. Either
     form resumes where the other ended, from one checkpoint.
     """
+    df = df.repartition(writers) if writers else df
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     if flush_rows:
         writer = writer.option("maxRecordsPerFile", flush_rows)

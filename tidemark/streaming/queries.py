@@ -216,7 +216,7 @@ def s11_flush(spark: SparkSession, d: str) -> DataFrame:
     source = _feed(spark, d).select("event_id", "symbol", "price", "shard", "ts_us")
     source.repartition(8, "shard").write.parquet(f"{home}/in")
     stream = read_parquet_stream(own, f"{home}/in", source.schema, max_bytes=256_000)
-    sinks.stream_sink(stream, f"{home}/out", f"{home}/checkpoint", flush_rows=_FLUSH_ROWS).awaitTermination()
+    sinks.stream_sink(stream, f"{home}/out", f"{home}/checkpoint", flush_rows=_FLUSH_ROWS, writers=int(spark.conf.get("spark.sql.shuffle.partitions"))).awaitTermination()
     rows = spark.read.schema(source.schema).parquet(f"{home}/out").withColumn("file", F.input_file_name())
     of_file = rows.groupBy("file", "shard").agg(F.count("*").alias("n"))
     sizes = of_file.groupBy("file").agg((F.sum("n") <= _FLUSH_ROWS).alias("within"))
